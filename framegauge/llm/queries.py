@@ -4,28 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language import learn_profiles, predict_language
 from .near_dup import near_duplicates
+from .quality import fit_discriminant, score_quality, text_counts, text_statistics
+from .store import cut
 from .substring_dedup import remove_repeats
+from .toxicity import learn_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(folds: int, fold: int) -> Column:
+    """Whether a row's crc32 of doc_id as text is in the fold kept out of learning; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
+
+
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statistics = text_statistics(cut(text_counts(table(spark, sf_dir, "documents")), "counts"))
+    model = fit_discriminant(statistics, table(spark, sf_dir, "labels").filter(~held_out(3, 1)), "quality")
+    scored = score_quality(statistics, model)
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    langs, prototypes = learn_profiles(docs.filter(~held_out(4, 2)))
+    predicted = predict_language(docs, langs, prototypes)
+    return predicted.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out(3, 1)))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_repeated_passages, op9_near_duplicates)}
+    return {f.__name__: f for f in (op4_repeated_passages, op7_quality, op8_language, op9_near_duplicates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
