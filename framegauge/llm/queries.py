@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import contaminated
 from .language import learn_profiles, predict_language
+from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .quality import fit_discriminant, score_quality, text_counts, text_statistics
 from .store import cut
@@ -24,11 +26,35 @@ def held_out(folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
+def mixing_weights(docs: DataFrame) -> DataFrame:
+    """Every source of docs in the tree of the registered mix: a domain by source name, English before other languages."""
+    leaves = docs.select(*(F.coalesce(F.col(c), F.lit("unknown")).alias(c) for c in ("lang", "source"))).distinct()
+    leaves = leaves.withColumn("domain", domain())
+    w_domain = F.when(F.col("domain") == "first", 5).when(F.col("domain") == "second", 3).otherwise(2)
+    w_lang = F.when(F.col("lang") == "en", 6).otherwise(2)
+    return leaves.select("domain", "lang", "source", w_domain.alias("w_domain"), w_lang.alias("w_lang"), F.lit(1).alias("w_source"))
+
+
+def domain() -> Column:
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)")
+    return F.when(number < 5, "first").when(number < 12, "second").otherwise("third")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("domain", domain())
+    mixed = mix_sources(docs, mixing_weights(docs))
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     statistics = text_statistics(cut(text_counts(table(spark, sf_dir, "documents")), "counts"))
     model = fit_discriminant(statistics, table(spark, sf_dir, "labels").filter(~held_out(3, 1)), "quality")
@@ -55,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_repeated_passages, op7_quality, op8_language, op9_near_duplicates, op10_toxicity)}
+    return {f.__name__: f for f in (op3_mixing, op4_repeated_passages, op6_decontamination, op7_quality, op8_language, op9_near_duplicates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
