@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .decontam import contaminated
+from .html_extract import extract_pages
 from .language import learn_profiles, predict_language
 from .mixing import mix_sources
 from .near_dup import near_duplicates
@@ -15,6 +17,7 @@ from .quality import fit_discriminant, score_quality, text_counts, text_statisti
 from .store import cut
 from .substring_dedup import remove_repeats
 from .toxicity import learn_toxicity, score_toxicity
+from .warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +29,15 @@ def held_out(folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archive_round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def mixing_weights(docs: DataFrame) -> DataFrame:
     """Every source of docs in the tree of the registered mix: a domain by source name, English before other languages."""
     leaves = docs.select(*(F.coalesce(F.col(c), F.lit("unknown")).alias(c) for c in ("lang", "source"))).distinct()
@@ -51,6 +63,10 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -81,7 +97,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_repeated_passages, op6_decontamination, op7_quality, op8_language, op9_near_duplicates, op10_toxicity)}
+    return {f.__name__: f for f in (op1_main_text, op2_warc, op3_mixing, op4_repeated_passages, op5_nearest, op6_decontamination, op7_quality, op8_language, op9_near_duplicates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
