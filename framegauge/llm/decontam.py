@@ -75,7 +75,10 @@ def _hashed(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, hits (windows found), windows (of the item), slots and changed (slots with other values)."""
+    """doc_id, item_id, hits (windows found), windows (of the item), slots, changed (slots with other values), doc_key.
+
+    doc_key is xxhash64(doc_id, text), which tells rows apart that share an id.
+    """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item")).filter("item is not null").distinct()
     items = cut(_hashed(items.withColumn("item_key", F.xxhash64("item_id", "item")), "item"), "items")
@@ -92,7 +95,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = _windows(hashed, ["doc_key"], width).join(theirs, "hash").select("doc_key", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"))
         found = hits if found is None else found.union(hits)
     if found is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, hits long, windows int, slots int, changed int")
+        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, hits long, windows int, slots int, changed int, doc_key long")
     sizes = _item_windows(items)
     counts = found.groupBy("doc_key", "item_key", "offset").agg(F.count_distinct("item_pos").alias("hits")).join(sizes, "item_key")
     likely = cut(counts.filter(F.col("hits") >= F.col("windows") * SHARE), "likely")
@@ -107,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = pairs.withColumn("filled", F.array_distinct(filled)).withColumn("slots", F.size(F.array_distinct(F.col("filled.mine"))))
     pairs = pairs.filter(F.size("filled") == F.col("slots")).withColumn("changed", F.size(F.filter("filled", lambda p: p["mine"] != p["theirs"])))
     best = pairs.groupBy("doc_key", "item_key").agg(F.max(F.struct("hits", "windows", "slots", "changed", "doc_id", "item_id")).alias("b"))
-    return best.select("b.doc_id", "b.item_id", "b.hits", "b.windows", "b.slots", "b.changed").distinct()
+    return best.select("b.doc_id", "b.item_id", "b.hits", "b.windows", "b.slots", "b.changed", "doc_key").distinct()
 
 
 def _item_windows(items: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 A document's set holds its distinct shingles of five words (A-Z lower-cased). Documents link when
 100 * intersection >= 75 * union. 32 bands of 4 MinHash values propose pairs: a pair at similarity 0.75 shares no
-band with probability 5e-6. The 128 MinHash samples are folded into a 256-bit parity bitmap (odd sketch); the
-population count of two bitmaps' XOR estimates how many samples differ, and pairs whose estimate lies over 4.5
-standard deviations below the threshold are dropped. The full sets of all others are compared.
+band with probability 5e-6. 768 MinHash samples are folded into a 2048-bit parity bitmap (odd sketch); the population
+count of two bitmaps' XOR estimates how many samples differ, with a standard deviation of 0.018 in the similarity.
+Pairs whose estimate lies over 4.5 standard deviations below the threshold are dropped (a pair at the threshold is lost
+with probability 3e-6); the full sets of all others are compared.
 
 Equal sets are one class, represented by the smallest id. Classes that share a bucket are compared with one pivot of
 the bucket first; once they are known to be connected they need no further comparison. What is left, pairs of
@@ -28,12 +29,11 @@ from pyspark.sql import functions as F
 from .store import cut
 from .text import batches, mix, ngram_hashes, slices
 
-SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 256
-SAMPLES = BANDS * ROWS
+SHINGLE, BANDS, ROWS, SAMPLES, BITS = 5, 32, 4, 768, 2048
 NUM, DEN = 75, 100
 #: Most bits in which the odd sketches of two documents to be compared may differ: the count expected at similarity
-#: 0.56, which is 4.5 standard deviations of the estimate below 0.75.
-MOST_BITS = int(np.ceil(BITS / 2 * (1 - np.exp(-2 * 2 * SAMPLES * (1 - 0.56) / BITS))))
+#: 0.669, which is 4.5 standard deviations of the estimate below 0.75.
+MOST_BITS = int(np.ceil(BITS / 2 * (1 - np.exp(-2 * 2 * SAMPLES * (1 - 0.669) / BITS))))
 PIVOT_ROUNDS = 2
 _C = 0x9E3779B97F4A7C15
 _rng = np.random.Generator(np.random.PCG64(9))
@@ -55,7 +55,8 @@ def _shingles(s) -> tuple[np.ndarray, np.ndarray]:
     return mix(grams), np.searchsorted(owner, np.arange(len(s.n_words) + 1))
 
 
-_SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+SKETCH = [f"s{k}" for k in range(BITS // 64)]
+_SIGNATURE = ", ".join(["doc_id long, n_shingles long, digest binary, bands array<long>", *(f"{c} long" for c in SKETCH)])
 
 
 def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,10 +72,10 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in full:
                 own = np.unique(grams[first[i] : first[i + 1]])
                 sizes[i], digests[i] = len(own), hashlib.blake2b(own, digest_size=16).digest()
-            bands, sketch = [None] * len(n), np.zeros((len(n), 4), np.int64)
+            bands, sketch = [None] * len(n), np.zeros((len(n), len(SKETCH)), np.int64)
             if len(full):
                 low = np.stack([np.minimum.reduceat(grams * a, first[full]) for a in _A], axis=1)
-                keys = ngram_hashes(mix(low).ravel(), ROWS, _C)[::ROWS].reshape(-1, BANDS)
+                keys = ngram_hashes(mix(low[:, : BANDS * ROWS]).ravel(), ROWS, _C)[::ROWS].reshape(-1, BANDS)
                 keys = mix(keys + _SALT[:BANDS]).view(np.int64)
                 at = (mix(low ^ _SALT) % np.uint64(BITS)).astype(np.int64) + np.arange(len(full))[:, None] * BITS
                 parity = (np.bincount(at.ravel(), minlength=len(full) * BITS) & 1).astype(np.uint8)
@@ -82,8 +83,8 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, k in zip(full, keys, strict=True):
                     bands[i] = k
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(sketch[:, k].copy()) for k in range(4))],
-                names=["doc_id", "n_shingles", "digest", "bands", "s0", "s1", "s2", "s3"],
+                [ids.cast(pa.int64()), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(c.copy()) for c in sketch.T)],
+                names=["doc_id", "n_shingles", "digest", "bands", *SKETCH],
             )
 
 
@@ -125,7 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _differing_bits() -> F.Column:
-    return sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(4)), F.lit(0))
+    return sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(len(SKETCH))), F.lit(0))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,13 +138,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = real.select("doc_id", "digest").distinct().join(classes, "digest").select("doc_id", "rep")
     own = real.join(classes.select("rep", F.col("digest").alias("d")), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d")))
     own = own.dropDuplicates(["rep", "digest"])
-    buckets = own.select("rep", F.explode("bands").alias("key")).distinct()
+    buckets = own.select("rep", F.posexplode("bands").alias("band", "key")).distinct()
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("key")
-    live = cut(buckets.join(shared, "key").join(own.select("rep", "n_shingles", "s0", "s1", "s2", "s3"), "rep"), "buckets")
+    live = cut(buckets.join(shared, "key"), "buckets")
     # an id that stands for several texts joins their classes
     several = members.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     repeated = cut(members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "links")
     compared = live.select("rep").distinct()
+    signs = cut(own.join(compared, "rep", "left_semi").select("rep", "n_shingles", "bands", *SKETCH), "signs")
     nodes = compared.union(repeated.select("a")).union(repeated.select("b")).distinct()
     sets = cut(docs.join(compared, docs.doc_id == compared.rep, "left_semi").mapInArrow(_sets, "id long, grams binary").dropDuplicates(["id", "grams"]), "sets")
 
@@ -166,17 +168,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for k in range(PIVOT_ROUNDS):
         rows = live.join(labels, "rep")
         order = F.xxhash64("rep", F.lit(k)) if k == 0 else F.xxhash64("rep", "key", F.lit(k))
-        pivots = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(order.alias("o"), "rep", "comp", "n_shingles", "s0", "s1", "s2", "s3")).alias("p"))
-        pivots = pivots.filter("lo <> hi").select("key", "p.*").drop("o")
-        near = rows.alias("x").join(pivots.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & sketches_agree())
-        best = near.groupBy(F.col("x.rep").alias("a")).agg(F.min(F.struct(_differing_bits().alias("bits"), F.col("y.rep").alias("b"))).alias("m"))
+        pivots = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(order.alias("o"), "rep", "comp")).alias("p"))
+        pivots = pivots.filter("lo <> hi").select("key", F.col("p.rep").alias("b"), F.col("p.comp").alias("cb"))
+        near = rows.join(pivots, "key").filter("comp <> cb").select(F.col("rep").alias("a"), "b").distinct()
+        near = near.join(signs.alias("x"), F.col("a") == F.col("x.rep")).join(signs.alias("y"), F.col("b") == F.col("y.rep")).filter(sketches_agree())
+        best = near.groupBy("a").agg(F.min(F.struct(_differing_bits().alias("bits"), "b")).alias("m"))
         found = confirmed(best.select("a", "m.b"))
         labels = relabel(found if k else found.union(repeated))
 
     rows = live.join(labels, "rep")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rows = cut(rows.join(mixed, "key"), "mixed")
-    cross = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & sketches_agree())
+    rows = cut(rows.join(mixed, "key").join(signs, "rep"), "mixed")
+    # a pair that shares several buckets is made in the first one only
+    first = F.expr("forall(slice(zip_with(x.bands, y.bands, (p, q) -> p = q), 1, x.band), same -> not same)")
+    cross = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & sketches_agree() & first)
     labels = relabel(confirmed(cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()))
 
     least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))

@@ -94,22 +94,22 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measure, schema)
 
 
-def text_statistics(counts: DataFrame) -> DataFrame:
-    """doc_id and the transformed statistics, from text_counts."""
-    all_texts = counts.agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in COUNTS)).first()
+def _transformed(counts: np.ndarray, shares: dict[str, float]) -> np.ndarray:
+    """The statistics of each row of COUNTS."""
+    column = {c: counts[:, i].astype(float) for i, c in enumerate(COUNTS)}
+    smooth = [(column[name] + PRIOR[whole] * shares[name]) / (column[whole] + PRIOR[whole]) for name, whole in STATISTICS.items()]
+    return np.stack([np.log1p(smooth[0]), *(np.sqrt(x) for x in smooth[1:])], axis=1)
 
-    def statistic(name: str, whole: str) -> F.Column:
-        share = (all_texts[name] or 0.0) / (all_texts[whole] or 1.0)
-        smooth = (F.col(name) + PRIOR[whole] * share) / (F.col(whole) + PRIOR[whole])
-        return (F.log1p(smooth) if name == "word_size" else F.sqrt(smooth)).alias(name)
 
-    return counts.select("doc_id", *(statistic(name, whole) for name, whole in STATISTICS.items()))
+def _matrix(batch: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in names], axis=1)
 
 
 @dataclass(frozen=True)
 class Discriminant:
     """Means, inverse Cholesky factors and log determinants of the two classes, on standardised statistics."""
 
+    shares: dict[str, float]  # of all texts together
     shift: np.ndarray
     scale: np.ndarray
     means: np.ndarray
@@ -117,23 +117,35 @@ class Discriminant:
     offset: float  # log prior odds and half the difference of the log determinants
     constant: float | None = None
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, counts: np.ndarray) -> np.ndarray:
         if self.constant is not None:
-            return np.full(len(x), self.constant)
-        z = (x - self.shift) / self.scale
+            return np.full(len(counts), self.constant)
+        z = (_transformed(counts, self.shares) - self.shift) / self.scale
         d0, d1 = (((z - m) @ f.T) ** 2 for m, f in zip(self.means, self.factors, strict=True))
         return 1 / (1 + np.exp(-np.clip(self.offset + 0.5 * (d0.sum(axis=1) - d1.sum(axis=1)), -60, 60)))
 
 
-def fit_discriminant(statistics: DataFrame, labels: DataFrame, label_col: str) -> Discriminant:
-    """labels: doc_id and label_col, 0 or 1 (other values are left out). What reaches the driver is two rows of sums."""
+def fit_discriminant(counts: DataFrame, labels: DataFrame, label_col: str) -> Discriminant:
+    """counts as text_counts gives them; labels: doc_id and label_col, 0 or 1 (other values are left out).
+
+    What reaches the driver is one row of sums for all texts and one for each label value.
+    """
     d, names = len(STATISTICS), list(STATISTICS)
+    sums = counts.agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in COUNTS)).first()
+    shares = {name: (sums[name] or 0.0) / (sums[whole] or 1.0) for name, whole in STATISTICS.items()}
+
+    def transform(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            x = _transformed(_matrix(batch, COUNTS), shares)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c.copy()) for c in x.T)], names=["doc_id", *names])
+
+    statistics = counts.mapInArrow(transform, ", ".join(["doc_id long", *(f"{c} double" for c in names)]))
     rows = statistics.join(labels.select("doc_id", F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)"), "doc_id")
-    sums = [F.sum(c) for c in STATISTICS]
+    firsts = [F.sum(c) for c in STATISTICS]
     products = [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(d) for j in range(i + 1)]
-    found = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.array(*sums).alias("sums"), F.array(*products).alias("products")).collect()}
+    found = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.array(*firsts).alias("sums"), F.array(*products).alias("products")).collect()}
     if len(found) < 2:
-        return Discriminant(*[np.zeros(0)] * 4, 0.0, float(next(iter(found), 0.5)))
+        return Discriminant(shares, *[np.zeros(0)] * 4, 0.0, float(next(iter(found), 0.5)))
     n, first, second = [], [], []
     for k in (0, 1):
         n.append(float(found[k]["n"]))
@@ -154,15 +166,28 @@ def fit_discriminant(statistics: DataFrame, labels: DataFrame, label_col: str) -
         lower = np.linalg.cholesky(s)
         factors.append(np.linalg.inv(lower))
         logdet.append(2 * np.log(np.diag(lower)).sum())
-    return Discriminant(shift, scale, means, np.stack(factors), float(np.log(n[1] / n[0]) + 0.5 * (logdet[0] - logdet[1])))
+    return Discriminant(shares, shift, scale, means, np.stack(factors), float(np.log(n[1] / n[0]) + 0.5 * (logdet[0] - logdet[1])))
 
 
-def score_quality(statistics: DataFrame, model: Discriminant) -> DataFrame:
-    """doc_id and score (0 to 1, higher: label 1 likelier)."""
+def score_quality(counts: DataFrame, model: Discriminant) -> DataFrame:
+    """doc_id and score (0 to 1, higher: label 1 likelier), from text_counts."""
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            x = np.stack([batch.column(c).to_numpy() for c in STATISTICS], axis=1) if batch.num_rows else np.zeros((0, len(STATISTICS)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(_matrix(batch, COUNTS)))], names=["doc_id", "score"])
+
+    return counts.mapInArrow(score, "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, model: Discriminant, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores least or more."""
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it):
+            raw = batch.column(text_col).cast(pa.binary())
+            sizes = np.array([len(x or b"") for x in raw.to_pylist()], np.int64)
+            counts = [_counts(s, sizes[s.rows.start : s.rows.stop]) for s in slices(raw)]
+            if counts:
+                yield batch.filter(pa.array(model.scores(np.concatenate(counts)) >= least))
 
-    return statistics.mapInArrow(score, "doc_id long, score double")
+    return docs.mapInArrow(keep, docs.schema)

@@ -13,7 +13,7 @@ from .html_extract import extract_pages
 from .language import learn_profiles, predict_language
 from .mixing import mix_sources
 from .near_dup import near_duplicates
-from .quality import fit_discriminant, score_quality, text_counts, text_statistics
+from .quality import fit_discriminant, score_quality, text_counts
 from .store import cut
 from .substring_dedup import remove_repeats
 from .toxicity import learn_toxicity, score_toxicity
@@ -68,13 +68,13 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc_key")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statistics = text_statistics(cut(text_counts(table(spark, sf_dir, "documents")), "counts"))
-    model = fit_discriminant(statistics, table(spark, sf_dir, "labels").filter(~held_out(3, 1)), "quality")
-    scored = score_quality(statistics, model)
+    counts = cut(text_counts(table(spark, sf_dir, "documents")), "counts")
+    model = fit_discriminant(counts, table(spark, sf_dir, "labels").filter(~held_out(3, 1)), "quality")
+    scored = score_quality(counts, model)
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
