@@ -121,7 +121,7 @@ def upgrade_cost(owned: Column | str, hire: Column | str) -> Column:
 def offline_window(now_ms: Column | str, saved_ms: Column | str, most_ms: float = 8 * 3600 * 1000.0) -> Column:
     """Milliseconds away, between 0 and eight hours; 0 without a finite saving time."""
     saved = F.when(F.isnan(_c(saved_ms)) | (F.abs(_c(saved_ms)) == float("inf")), None).otherwise(_c(saved_ms))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(_c(now_ms) - saved, F.lit(most_ms))), F.lit(0.0))
+    return F.when(saved.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(_c(now_ms) - saved, F.lit(most_ms))))
 
 
 def damage_bucket(x: Column | str) -> Column:
