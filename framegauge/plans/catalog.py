@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_frames
+from . import q_frames, q_grid, q_ledger, q_scalars
 
-MODULES = (q_frames,)
+MODULES = (q_frames, q_scalars, q_grid, q_ledger)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
