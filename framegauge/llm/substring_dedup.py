@@ -3,16 +3,19 @@
 A window is 35 consecutive words; a word goes when a window that covers it has the same word sequence as a window that
 starts anywhere else, in this document or another.
 
-1. Every window picks an anchor: the 18-word phrase of least hash inside it. Equal windows pick the same phrase, so
-   only windows around phrases that occur twice can recur (about one phrase in ten words is ever looked at).
+1. Every window picks an anchor: the 10-word phrase of least hash inside it. Equal windows pick the same phrase, so
+   only windows around phrases that occur twice can recur (about one phrase in thirteen words is ever looked at).
 2. Windows around such phrases are confirmed: a 128-bit hash of all 35 words must occur at two places at least.
 3. Recurring windows that follow each other at exactly the same places form one passage. Its words are taken from the
    document with the smallest id that holds it.
-4. Documents are dealt into shards of about SHARD_BYTES of text. Each shard gets the passages whose rarest anchor it
-   holds, compiles them (as sequences of word numbers) into one Aho-Corasick automaton, and streams its documents
-   through it. Every occurrence found has its words removed; the match is on words, not on hashes.
+4. Each shard of documents (about SHARD_BYTES of text) gets the passages whose rarest anchor it holds, compiles them
+   (as sequences of word numbers) into one Aho-Corasick automaton, and streams its documents through it. Every
+   occurrence found has its words removed; the match is on words, not on hashes.
 
-A passage in very many documents is one row for each shard, and its counts are summed before they are shuffled.
+Texts are dealt into shards by their hash, once for all steps. Equal texts meet in a shard and are looked at once, with
+their number as weight; only texts that hold over a thousandth of all rows (so under a thousand of them) are dealt
+over all shards. A shard adds up equal windows of its own before they are shuffled, so a passage in very many
+documents is one row for each shard.
 
 Cases: null text has no words (n_words 0, kept_text empty); under 35 words nothing is removed; rows that repeat are
 documents of their own, so their windows recur; null ids are allowed; input columns other than the text come back
@@ -31,10 +34,12 @@ from pyspark.sql import functions as F
 
 from .text import Slice, batches, mix, ngram_hashes, slices
 
-WINDOW, GRAM = 35, 18
+WINDOW, GRAM = 35, 10
 SHARD_BYTES = 8 << 20
 #: Longer passages are compiled as pieces of so many words; every piece is a window at least.
 PIECE = 256
+#: Texts with over COPIES_AT_LEAST copies and over 1 / HOT_TEXTS of all rows are dealt over all shards.
+HOT_TEXTS, COPIES_AT_LEAST = 1000, 100
 _C1, _C2, _C3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
@@ -49,16 +54,33 @@ def _anchors(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, at, grams[at].view(np.int64)
 
 
-def _find_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(it):
+def _distinct(docs: pa.Table) -> tuple[pa.Table, dict[int, int]]:
+    """One row for each text of a shard, and how often each is there."""
+    keys = docs.column("key").to_numpy()
+    _, first, weight = np.unique(keys, return_index=True, return_counts=True)
+    return docs.take(pa.array(first)), dict(zip(keys[first].tolist(), weight.tolist(), strict=True))
+
+
+def _parts(docs: pa.Table) -> Iterator[tuple[Slice, np.ndarray]]:
+    """Slices of a shard's texts with their keys."""
+    for batch in batches(docs.to_batches()):
+        keys = batch.column("key").to_numpy()
         for s in slices(batch.column("text")):
-            _, at, anchor = _anchors(s)
-            at, first = np.unique(at, return_index=True)
-            doc = pa.array(s.doc[at] + s.rows.start)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(doc), batch.column("shard").take(doc), pa.array((at - s.first[s.doc[at]]).astype(np.int32)), pa.array(anchor[first])],
-                names=["key", "shard", "pos", "anchor"],
-            )
+            yield s, keys[s.rows.start : s.rows.stop]
+
+
+def _find_anchors(docs: pa.Table) -> pa.Table:
+    docs, weight = _distinct(docs)
+    out = []
+    for s, keys in _parts(docs):
+        _, at, anchor = _anchors(s)
+        at, first = np.unique(at, return_index=True)
+        doc = s.doc[at]
+        times = np.array([weight[k] for k in keys.tolist()], np.int64)
+        out.append((keys[doc], (at - s.first[doc]).astype(np.int32), anchor[first], times[doc]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    shard = np.full(len(columns[0]), docs.column("shard")[0].as_py(), np.int32)
+    return pa.table([pa.array(shard), *map(pa.array, columns)], names=["shard", "key", "pos", "anchor", "weight"])
 
 
 def _by_key(table: pa.Table, columns: list[str]) -> dict[int, list[np.ndarray]]:
@@ -72,45 +94,69 @@ def _by_key(table: pa.Table, columns: list[str]) -> dict[int, list[np.ndarray]]:
     return {int(k): list(x) for k, *x in zip(key[order][np.append(0, cuts)], *parts, strict=True)}
 
 
+def _here(key: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """40-bit hash of a place, to be summed over a window's places."""
+    return (mix(mix(key.view(np.uint64)) + pos.astype(np.int64).view(np.uint64)) >> np.uint64(24)).view(np.int64)
+
+
 def _windows(docs: pa.Table, cand: pa.Table) -> pa.Table:
-    found, out = _by_key(cand, ["pos", "n"]), []
-    docs = docs.filter(pa.array([k in found for k in docs.column("key").to_pylist()], pa.bool_()))
-    for batch in docs.to_batches():
-        for s in slices(batch.column("text")):
-            starts, at, anchor = _anchors(s)
-            keys = batch.column("key").to_numpy()[s.rows.start : s.rows.stop]
-            count = np.zeros(len(s.hashes), np.int64)
-            for i, k in enumerate(keys):
-                pos, n = found[int(k)]
-                count[pos + s.first[i]] = n
-            hit = np.flatnonzero(count[at])
-            starts, n, anchor = starts[hit], count[at[hit]], anchor[hit]
-            h1 = mix(ngram_hashes(s.hashes, WINDOW, _C2)[starts]) if len(hit) else np.zeros(0, np.uint64)
-            h2 = mix(ngram_hashes(mix(s.hashes + np.uint64(_C2)), WINDOW, _C3)[starts]) if len(hit) else np.zeros(0, np.uint64)
+    """A row for each distinct window around the shard's candidate anchors; sums are those over its places in the shard."""
+    names = ["shard", "h1", "h2", "key", "pos", "n", "times", "here", "before"]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    found = _by_key(cand, ["pos", "n"])
+    if not found:
+        return pa.table([pa.array([], t) for t in types], names=names)
+    docs, weight = _distinct(docs.filter(pa.array([k in found for k in docs.column("key").to_pylist()], pa.bool_())))
+    out = []
+    for s, keys in _parts(docs):
+        starts, at, _ = _anchors(s)
+        count = np.zeros(len(s.hashes), np.int64)
+        for i, k in enumerate(keys.tolist()):
+            pos, n = found[k]
+            count[pos + s.first[i]] = n
+        hit = np.flatnonzero(count[at])
+        if len(hit):
+            starts, n = starts[hit], count[at[hit]]
+            h1 = mix(ngram_hashes(s.hashes, WINDOW, _C2)[starts]).view(np.int64)
+            h2 = (mix(ngram_hashes(mix(s.hashes + np.uint64(_C2)), WINDOW, _C3)[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             doc = s.doc[starts]
-            out.append(pa.table([h1.view(np.int64), h2.view(np.int64), keys[doc] if len(keys) else starts, (starts - s.first[doc]).astype(np.int32), anchor, n], names=["h1", "h2", "key", "pos", "anchor", "n"]))
-    return pa.concat_tables(out) if out else pa.table({"h1": pa.array([], pa.int64()), "h2": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "pos": pa.array([], pa.int32()), "anchor": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+            times = np.array([weight[k] for k in keys.tolist()], np.int64)[doc]
+            out.append((h1, h2, keys[doc], (starts - s.first[doc]).astype(np.int32), np.minimum(n, 2**31 - 1).astype(np.int32), times))
+    if not out:
+        return pa.table([pa.array([], t) for t in types], names=names)
+    h1, h2, key, pos, n, times = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.lexsort((pos, key, h2, h1))
+    h1, h2, key, pos, n, times = (c[order] for c in (h1, h2, key, pos, n, times))
+    first = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
+    sums = [np.add.reduceat(c, first) for c in (times, _here(key, pos), _here(key, pos - 1))]
+    shard = np.full(len(first), docs.column("shard")[0].as_py(), np.int32)
+    return pa.table([pa.array(shard), *(pa.array(c[first]) for c in (h1, h2, key, pos)), pa.array(np.minimum.reduceat(n, first)), *map(pa.array, sums)], names=names)
 
 
 def _passages(docs: pa.Table, recurring: pa.Table) -> pa.Table:
     anchors, pieces = [], []
-    found = _by_key(recurring, ["pos", "anchor", "n", "times", "here", "before", "sum_here", "sum_before"])
-    for key, text in zip(docs.column("key").to_pylist(), docs.column("text").to_pylist(), strict=True):
-        rows = found.pop(key, None)
-        if rows is None:
-            continue
-        order = np.argsort(rows[0])
-        pos, anchor, n, times, here, before, sum_here, sum_before = (x[order] for x in rows)
-        new = (np.diff(pos) != 1) | (times[1:] != times[:-1]) | (before[1:] != here[:-1]) | (sum_before[1:] != sum_here[:-1])
-        cuts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(pos)]))
-        words = text.encode().split()
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rare, start, end = int(anchor[a + n[a:b].argmin()]), int(pos[a]), int(pos[b - 1]) + WINDOW
-            while start < end:
-                stop = start + PIECE if end - start - PIECE >= WINDOW else end
-                anchors.append(rare)
-                pieces.append(b" ".join(words[start:stop]))
-                start = stop
+    found = _by_key(recurring, ["pos", "n", "times", "here", "before"])
+    if found:
+        docs, _ = _distinct(docs.filter(pa.array([k in found for k in docs.column("key").to_pylist()], pa.bool_())))
+        for s, keys in _parts(docs):
+            first_words, _, anchor = _anchors(s)
+            anchor_of = np.zeros(len(s.hashes), np.int64)
+            anchor_of[first_words] = anchor
+            for i, k in enumerate(keys.tolist()):
+                pos, n, times, here, before = found[k]
+                order = np.argsort(pos)
+                pos, n, times, here, before = (x[order] for x in (pos, n, times, here, before))
+                new = (np.diff(pos) != 1) | (times[1:] != times[:-1]) | (before[1:] != here[:-1])
+                cuts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(pos)]))
+                words = s.words(i)
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    rare = int(anchor_of[s.first[i] + pos[a + n[a:b].argmin()]])
+                    start, end = int(pos[a]), int(pos[b - 1]) + WINDOW
+                    while start < end:
+                        stop = start + PIECE if end - start - PIECE >= WINDOW else end
+                        anchors.append(rare)
+                        pieces.append(b" ".join(words[start:stop]))
+                        start = stop
     return pa.table({"anchor": pa.array(anchors, pa.int64()), "piece": pa.array(pieces, pa.binary())})
 
 
@@ -125,7 +171,12 @@ def _remover(names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
             automaton.add_word(ids, len(ids))
         automaton.make_automaton()
         number, n_words, n_removed, kept_text = vocabulary.get, [], [], []
-        for text in docs.column("text").to_pylist():
+        done: dict[int, tuple[int, int, str]] = {}
+        for key, text in zip(docs.column("key").to_pylist(), docs.column("text").to_pylist(), strict=True):
+            if key in done:
+                for column, value in zip((n_words, n_removed, kept_text), done[key], strict=True):
+                    column.append(value)
+                continue
             words = (text or "").encode().split()
             gone = np.zeros(len(words) + 1, np.int32)
             if vocabulary and len(words) >= WINDOW:
@@ -138,6 +189,7 @@ def _remover(names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
             if n_removed[-1]:
                 words = [w for w, k in zip(words, kept.tolist(), strict=True) if k]
             kept_text.append(b" ".join(words).decode())
+            done[key] = n_words[-1], n_removed[-1], kept_text[-1]
         docs = docs.select(names)
         return pa.table([*docs.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_text, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
 
@@ -151,22 +203,26 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", shard_bytes: int = S
     carried = [f"c{i}" for i in range(len(others))]
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, ceil(size / shard_bytes))
-    # rows with equal keys are equal in text, and so in all that is computed from it
-    key = F.xxhash64("text", *carried)
-    docs = docs.withColumn("key", key).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    # equal texts have equal keys; the few texts with very many copies are dealt over all shards
+    docs = docs.withColumn("key", F.xxhash64("text"))
+    counts = docs.groupBy("key").agg(F.count("*").alias("copies"))
+    most = counts.agg((F.sum("copies") / HOT_TEXTS).alias("most"))
+    hot = [r["key"] for r in counts.join(F.broadcast(most), F.col("copies") > F.greatest("most", F.lit(COPIES_AT_LEAST))).select("key").collect()]
+    spread = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64("key", *carried), F.lit(shards))).otherwise(F.lit(0)) if hot else F.lit(0)
+    docs = docs.withColumn("shard", F.pmod(F.pmod("key", F.lit(shards)) + spread, F.lit(shards)).cast("int"))
 
-    anchors = docs.select("key", "shard", "text").mapInArrow(_find_anchors, "key long, shard int, pos int, anchor long")
-    repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    by_shard = docs.groupBy("shard")
+    anchors = by_shard.applyInArrow(_find_anchors, "shard int, key long, pos int, anchor long, weight long")
+    repeated = anchors.groupBy("anchor").agg(F.sum("weight").alias("n")).filter("n > 1")
     cand = anchors.join(repeated, "anchor")
+    cand = cand.select("anchor", "shard", "key", "pos", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))
 
-    by_shard = docs.groupBy("shard")
-    windows = by_shard.cogroup(cand.select("shard", "key", "pos", "n").groupBy("shard")).applyInArrow(_windows, "h1 long, h2 long, key long, pos int, anchor long, n long")
-    here, before = F.xxhash64("key", "pos"), F.xxhash64("key", F.col("pos") - 1)
-    recurring = windows.groupBy("h1", "h2").agg(
-        F.count("*").alias("times"), F.min(F.struct("key", "pos")).alias("at"), F.min("anchor").alias("anchor"), F.min("n").alias("n"),
-        F.bit_xor(here).alias("here"), F.bit_xor(before).alias("before"), F.sum(here.bitwiseAND(0xFFFFFF)).alias("sum_here"), F.sum(before.bitwiseAND(0xFFFFFF)).alias("sum_before"),
+    windows = by_shard.cogroup(cand.select("shard", "key", "pos", "n").groupBy("shard")).applyInArrow(_windows, "shard int, h1 long, h2 int, key long, pos int, n int, times long, here long, before long")
+    # shards have added up their own; equal rows of different shards meet once
+    recurring = windows.repartition("h1", "h2").groupBy("h1", "h2").agg(
+        F.sum("times").alias("times"), F.min(F.struct("key", "pos", "shard")).alias("at"), F.min("n").alias("n"), F.try_sum("here").alias("here"), F.try_sum("before").alias("before"),
     ).filter("times > 1")
-    recurring = recurring.select(F.pmod("at.key", F.lit(shards)).cast("int").alias("shard"), "at.key", "at.pos", "anchor", "n", "times", "here", "before", "sum_here", "sum_before")
+    recurring = recurring.select("at.shard", "at.key", "at.pos", "n", "times", F.coalesce("here", F.lit(-1)).alias("here"), F.coalesce("before", F.lit(-2)).alias("before"))
     passages = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(_passages, "anchor long, piece binary")
     patterns = cand.select("anchor", "shard").distinct().join(passages, "anchor").select("shard", "piece")
 
