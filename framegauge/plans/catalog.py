@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_frames, q_grid, q_ledger, q_scalars
+from . import q_evidence, q_frames, q_grid, q_ledger, q_scalars, q_streams
 
-MODULES = (q_frames, q_scalars, q_grid, q_ledger)
+MODULES = (q_frames, q_scalars, q_grid, q_ledger, q_evidence, q_streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
