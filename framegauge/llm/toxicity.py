@@ -177,7 +177,8 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label_col: str, most_rows:
     """label and text of at most most_rows labelled documents, those of least hash."""
     labels = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_rows)
-    return docs.join(chosen, "doc_id").select("label", "text")
+    # most_rows bounds what is broadcast, so texts stay where they are
+    return docs.join(F.broadcast(chosen), "doc_id").select("label", "text")
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, bool]:
