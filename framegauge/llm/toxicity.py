@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .text import batches
 
-LEARN_ROWS, MOST_TERMS = 20_000, 2_000
+LEARN_ROWS, MOST_TERMS = 10_000, 2_000
+#: Words and automaton states that a task keeps before it starts anew.
+MOST_KNOWN, MOST_STATES = 500_000, 50_000
 #: Lengths of the stems that learning looks at, and the log probability by chance that a term must stay under.
 STEMS, CHANCE = range(4, 9), -10.0
 # Common insults, reporting words and words of address.
@@ -45,7 +47,7 @@ def edits_allowed(term: str) -> int:
 
 
 class Lexicon:
-    """terms: word -> False, or stem -> True. find(word) gives 0 (no term), 1 (a term as it is) or 2 (misspelled)."""
+    """terms: word -> False, or stem -> True. Words once seen are remembered, MOST_KNOWN of them."""
 
     def __init__(self, terms: dict[str, bool]):
         self.children: list[dict[str, int]] = [{}]
@@ -69,7 +71,10 @@ class Lexicon:
         self.states: dict[tuple, int] = {}
         self.next: list[dict[str, int]] = []
         self.sets: list[tuple] = []
-        self.known: dict[str, int] = {}
+        self.stem: list[tuple[bool, frozenset] | None] = []
+        self.end: list[tuple[bool, frozenset] | None] = []
+        self.clean: set[str] = set()
+        self.dirty: dict[str, int] = {}
         self.start = self._state({0: 0})
 
     def _state(self, edits: dict[int, int]) -> int:
@@ -87,6 +92,8 @@ class Lexicon:
             self.states[key] = len(self.next)
             self.next.append({})
             self.sets.append(key)
+            self.stem.append(self._ends(key, False))
+            self.end.append(self._ends(key, True))
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -103,34 +110,52 @@ class Lexicon:
         self.next[state][c] = new = self._state(edits) if edits else -1
         return new
 
-    def _best(self, state: int, first: str, ended: bool) -> int:
-        best = 0
-        for node, e in self.sets[state]:
+    def _ends(self, key: tuple, ended: bool) -> tuple[bool, frozenset] | None:
+        """Whether a term matches here as it is, and the first letters of those that match with edits; None for neither."""
+        exact, letters = False, set()
+        for node, e in key:
             f = self.final[node]
-            if f and e <= f[0] and (ended or f[1]) and (e == 0 or f[2] == first):
-                if e == 0:
+            if f and e <= f[0] and (ended or f[1]):
+                exact = exact or e == 0
+                if e:
+                    letters.add(f[2])
+        return (exact, frozenset(letters)) if exact or letters else None
+
+    def _walk(self, word: str) -> int:
+        kind, state, steps, stems = 0, self.start, self.next, self.stem
+        for c in word:
+            after = steps[state].get(c)
+            state = self._step(state, c) if after is None else after
+            if state < 0:
+                return kind
+            found = stems[state]
+            if found is not None:
+                if found[0]:
                     return 1
-                best = 2
-        return best
-
-    def find(self, word: str) -> int:
-        kind = self.known.get(word)
-        if kind is None:
-            if len(self.known) > 300_000 or len(self.next) > 100_000:
-                self._reset()
-            kind, state = 0, self.start
-            for c in word:
-                after = self.next[state].get(c)
-                state = self._step(state, c) if after is None else after
-                if state < 0:
-                    break
-                if kind != 1:
-                    stem = self._best(state, word[0], False)
-                    kind = stem if stem == 1 or not kind else kind
-            if word and state >= 0 and kind != 1:
-                kind = self._best(state, word[0], True) or kind
-            self.known[word] = kind
-        return kind
+                if word[0] in found[1]:
+                    kind = 2
+        found = self.end[state] if word else None
+        return kind if found is None else 1 if found[0] else 2 if word[0] in found[1] else kind
+
+    def hits(self, words: set[str]) -> dict[str, int]:
+        """Those of the words (as they stand in a text) that match a term: 1 as it is, 2 misspelled."""
+        new = words - self.clean
+        if not new:
+            return {}
+        out = {}
+        for w in new:
+            kind = self.dirty.get(w)
+            if kind is None:
+                kind = self._walk(bare(w))
+                if kind:
+                    self.dirty[w] = kind
+                else:
+                    self.clean.add(w)
+            if kind:
+                out[w] = kind
+        if len(self.clean) > MOST_KNOWN or len(self.next) > MOST_STATES:
+            self._reset()
+        return out
 
 
 def bare(word: str) -> str:
@@ -140,7 +165,7 @@ def bare(word: str) -> str:
 
 def features(lexicon: Lexicon, text: str | None) -> list[float]:
     words = (text or "").lower().split()
-    kinds = {w: k for w in set(words) if (k := lexicon.find(bare(w)))}
+    kinds = lexicon.hits(set(words))
     if not kinds:
         return [0.0] * len(FEATURES)
     plain = misspelled = quoted = addressed = 0
