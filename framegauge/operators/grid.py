@@ -180,3 +180,37 @@ def replay(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """base with a delta's cells set to to_rgb; null there empties a cell."""
     rows = base.join(delta.select(*keys, "to_rgb", F.lit(True).alias("_d")), keys, "full_outer")
     return rows.withColumn("rgb", F.when(F.col("_d"), F.col("to_rgb")).otherwise(F.col("rgb"))).filter("rgb is not null").select(*keys, "rgb")
+
+
+def pitch_search(profile: DataFrame, least: float, most: float, step: float = 0.05, phase_step: float = 0.5, epsilon: float = 0.15) -> DataFrame:
+    """(image_id, pitch, phase, score): the grid whose teeth best meet the columns of an edge profile.
+
+    profile(image_id, x, energy) has a row for each column from the first to the last that counts. A tooth takes the
+    strongest of the three columns around it (the first on ties) and hits if that is over epsilon of the peak; the
+    score is the share of energy in distinct columns taken, times the share of hits. Ties go to the smaller pitch, then
+    phase; images without energy get score -1.
+    """
+    spark = profile.sparkSession
+    grids = spark.range(round((most - least) / step) + 1).select((F.lit(least) + F.col("id") * step).alias("pitch"))
+    grids = grids.select("pitch", F.explode(F.sequence(F.lit(0), F.ceil(F.col("pitch") / phase_step).cast("int") - 1)).alias("i")).select("pitch", (F.col("i") * phase_step).alias("phase"))
+    images = profile.groupBy("image_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("energy").alias("total"), F.max("energy").alias("peak"), F.map_from_entries(F.collect_list(F.struct("x", "energy"))).alias("at"))
+    # the grid of candidates depends on the parameters only
+    rows = images.filter("total > 0").crossJoin(F.broadcast(grids))
+    lo, hi = F.ceil((F.col("lo") - F.col("phase")) / F.col("pitch")), F.floor((F.col("hi") - F.col("phase")) / F.col("pitch"))
+    places = F.when(hi >= lo, F.transform(F.sequence(lo, hi), lambda k: F.col("phase") + k * F.col("pitch")))
+    teeth = F.filter(places, lambda p: (p > F.col("lo") + 0.5) & (p < F.col("hi") - 0.5))
+    energy = lambda x: F.coalesce(F.try_element_at(F.col("at"), x.cast("int")), F.lit(0).cast("long"))
+
+    def tooth(p: Column) -> Column:
+        mid = F.bround(p, 0).cast("int")
+        best = F.greatest(energy(mid - 1), energy(mid), energy(mid + 1))
+        column = F.when(best == 0, None).when(energy(mid - 1) == best, mid - 1).when(energy(mid) == best, mid).otherwise(mid + 1)
+        return F.struct(best.alias("e"), column.alias("x"))
+
+    rows = rows.withColumn("teeth", F.transform(teeth, tooth)).filter(F.size("teeth") > 0)
+    covered = F.aggregate(F.array_distinct(F.filter(F.col("teeth"), lambda t: t["x"].isNotNull())), F.lit(0).cast("long"), lambda s, t: s + t["e"])
+    hits = F.size(F.filter("teeth", lambda t: t["e"] > F.col("peak") * epsilon))
+    scored = rows.withColumn("score", covered / F.col("total") * (hits / F.size("teeth")))
+    best = scored.groupBy("image_id").agg(F.min(F.struct((-F.col("score")).alias("m"), "pitch", "phase")).alias("b"))
+    out = images.select("image_id").join(best, "image_id", "left")
+    return out.select("image_id", F.coalesce("b.pitch", F.lit(least)).alias("pitch"), F.coalesce("b.phase", F.lit(0.0)).alias("phase"), F.coalesce(-F.col("b.m"), F.lit(-1.0)).alias("score"))

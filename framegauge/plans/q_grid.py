@@ -38,6 +38,10 @@ def grid_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.edge_profile(T.pixels(spark, sf_dir))
 
 
+def grid_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.pitch_search(grid.edge_profile(T.pixels(spark, sf_dir)), 3.0, 6.0, 0.25)
+
+
 def grid_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.sample_cells(T.pixels(spark, sf_dir), 4, 4)
 
@@ -254,4 +258,4 @@ UNION ALL SELECT strip_id, frame, CASE WHEN frame = 2 THEN x + 3 ELSE x END, y,
     "grid_components": C.replace("WITH ", "WITH RECURSIVE ", 1) + " , f AS (SELECT strip_id, frame, x, y, CAST(y * 1048576 + x AS BIGINT) AS id FROM cells WHERE frame = 0), r AS (SELECT strip_id, x, y, id FROM f UNION SELECT f.strip_id, f.x, f.y, r.id FROM r JOIN f ON f.strip_id = r.strip_id AND abs(f.x - r.x) + abs(f.y - r.y) = 1) SELECT strip_id, 0 AS frame, x, y, min(id) AS component FROM r GROUP BY strip_id, x, y",
     "agg_fingerprint": C + " , t AS (SELECT strip_id, frame, sha256(string_agg(y || '/' || x || '/' || rgb, ',' ORDER BY y, x, rgb)) AS h FROM cells GROUP BY ALL) SELECT strip_id, sha256(string_agg(h, ':' ORDER BY frame)) AS fingerprint FROM t GROUP BY 1",
 }
-QUERIES = {n: globals()[n] for n in [*SQL, "agg_leader"]}
+QUERIES = {n: globals()[n] for n in [*SQL, "agg_leader", "grid_pitch"]}
