@@ -13,6 +13,7 @@ from .html_extract import extract_pages
 from .language import learn_profiles, predict_language
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .oracles import ORACLES
 from .quality import fit_discriminant, score_quality, text_counts
 from .store import cut
 from .substring_dedup import remove_repeats
@@ -101,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
