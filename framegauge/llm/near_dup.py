@@ -2,15 +2,16 @@
 
 A document's set holds its distinct shingles of five words (A-Z lower-cased). Documents link when
 100 * intersection >= 75 * union. 32 bands of 4 MinHash values propose pairs: a pair at similarity 0.75 shares no
-band with probability 5e-6. 768 MinHash samples are folded into a 2048-bit parity bitmap (odd sketch); the population
-count of two bitmaps' XOR estimates how many samples differ, with a standard deviation of 0.018 in the similarity.
+band with probability 5e-6. 1024 MinHash samples are folded into a 2048-bit parity bitmap (odd sketch); the population
+count of two bitmaps' XOR estimates how many samples differ, with a standard deviation of 0.0165 in the similarity.
 Pairs whose estimate lies over 4.5 standard deviations below the threshold are dropped (a pair at the threshold is lost
 with probability 3e-6); the full sets of all others are compared.
 
 Equal sets are one class, represented by the smallest id. Classes that share a bucket are compared with one pivot of
 the bucket first; once they are known to be connected they need no further comparison. What is left, pairs of
 different components in one bucket, is compared pair by pair, so no link between components is lost and no group of
-copies is expanded into all its pairs.
+copies is expanded into all its pairs. There, shingles that no other text in question has bound how similar a text can
+be to any other; pairs that can't reach the threshold for that reason are left out.
 
 Cases: null, empty and blank texts have an empty set and link with nothing; under five words make one shingle; rows
 that repeat an id are one node and stay as rows; a null id gets a null component and is kept; other columns are not
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 from .store import cut
 from .text import batches, mix, ngram_hashes, slices
 
-SHINGLE, BANDS, ROWS, SAMPLES, BITS = 5, 32, 4, 768, 2048
+SHINGLE, BANDS, ROWS, SAMPLES, BITS = 5, 32, 4, 1024, 2048
 NUM, DEN = 75, 100
 #: Most bits in which the odd sketches of two documents to be compared may differ: the count expected at similarity
-#: 0.669, which is 4.5 standard deviations of the estimate below 0.75.
-MOST_BITS = int(np.ceil(BITS / 2 * (1 - np.exp(-2 * 2 * SAMPLES * (1 - 0.669) / BITS))))
+#: 0.675, which is 4.5 standard deviations of the estimate below 0.75.
+MOST_BITS = int(np.ceil(BITS / 2 * (1 - np.exp(-2 * 2 * SAMPLES * (1 - 0.675) / BITS))))
 PIVOT_ROUNDS = 2
 _C = 0x9E3779B97F4A7C15
 _rng = np.random.Generator(np.random.PCG64(9))
@@ -106,6 +107,21 @@ def _confirm(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shingle_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches(it, 1 << 20):
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        if sets:
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "gram"])
+
+
+def _alone(sets: DataFrame) -> DataFrame:
+    """(rep, alone): how many of a text's shingles no other of the texts has; ids with several texts are left out."""
+    rows = sets.mapInArrow(_shingle_rows, "id long, gram long")
+    own = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    return own.join(sets.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), F.col("rep") == F.col("id"), "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges(a, b): comp is the smallest node that can be reached.
 
@@ -178,10 +194,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = live.join(labels, "rep")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rows = cut(rows.join(mixed, "key").join(signs, "rep"), "mixed")
+    rows = cut(rows.join(mixed, "key"), "mixed")
+    alone = _alone(sets.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    rows = rows.join(signs, "rep").join(alone, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
+    rows = cut(rows.drop("alone"), "mixed")
     # a pair that shares several buckets is made in the first one only
     first = F.expr("forall(slice(zip_with(x.bands, y.bands, (p, q) -> p = q), 1, x.band), same -> not same)")
-    cross = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & sketches_agree() & first)
+    both = F.least("x.common", "y.common")
+    can = both * DEN >= (F.col("x.n_shingles") + F.col("y.n_shingles") - both) * NUM
+    cross = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & can & sketches_agree() & first)
     labels = relabel(confirmed(cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()))
 
     least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
