@@ -29,7 +29,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import Slice, batches, mix, ngram_hashes, slices
@@ -38,6 +38,7 @@ WINDOW, GRAM = 35, 10
 SHARD_BYTES = 8 << 20
 #: Longer passages are compiled as pieces of so many words; every piece is a window at least.
 PIECE = 256
+PLACE_BITS = (1 << 40) - 1
 #: Texts with over COPIES_AT_LEAST copies and over 1 / HOT_TEXTS of all rows are dealt over all shards.
 HOT_TEXTS, COPIES_AT_LEAST = 1000, 100
 _C1, _C2, _C3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
@@ -70,17 +71,20 @@ def _parts(docs: pa.Table) -> Iterator[tuple[Slice, np.ndarray]]:
 
 
 def _find_anchors(docs: pa.Table) -> pa.Table:
+    """Each anchor of a shard once, and at how many places it stands there."""
     docs, weight = _distinct(docs)
-    out = []
+    anchors, times = [], []
     for s, keys in _parts(docs):
         _, at, anchor = _anchors(s)
         at, first = np.unique(at, return_index=True)
-        doc = s.doc[at]
-        times = np.array([weight[k] for k in keys.tolist()], np.int64)
-        out.append((keys[doc], (at - s.first[doc]).astype(np.int32), anchor[first], times[doc]))
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-    shard = np.full(len(columns[0]), docs.column("shard")[0].as_py(), np.int32)
-    return pa.table([pa.array(shard), *map(pa.array, columns)], names=["shard", "key", "pos", "anchor", "weight"])
+        anchors.append(anchor[first])
+        times.append(np.array([weight[k] for k in keys.tolist()], np.int64)[s.doc[at]])
+    anchor, times = np.concatenate(anchors), np.concatenate(times)
+    order = np.argsort(anchor)
+    anchor, times = anchor[order], times[order]
+    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))) if len(anchor) else np.zeros(0, np.int64)
+    shard = np.full(len(first), docs.column("shard")[0].as_py(), np.int32)
+    return pa.table([pa.array(shard), pa.array(anchor[first]), pa.array(np.add.reduceat(times, first) if len(first) else times)], names=["shard", "anchor", "times"])
 
 
 def _by_key(table: pa.Table, columns: list[str]) -> dict[int, list[np.ndarray]]:
@@ -94,43 +98,63 @@ def _by_key(table: pa.Table, columns: list[str]) -> dict[int, list[np.ndarray]]:
     return {int(k): list(x) for k, *x in zip(key[order][np.append(0, cuts)], *parts, strict=True)}
 
 
+def _rotated(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def _xxhash64(x: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    """Spark's xxhash64 of a bigint column (public algorithm, fixed values below)."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = (np.full(len(x), seed, np.uint64) if isinstance(seed, int) else seed) + p5 + np.uint64(8)
+    h = _rotated(h ^ (_rotated(x.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
 def _here(key: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """40-bit hash of a place, to be summed over a window's places."""
-    return (mix(mix(key.view(np.uint64)) + pos.astype(np.int64).view(np.uint64)) >> np.uint64(24)).view(np.int64)
+    """40 bits of xxhash64(key, pos), to be summed over a window's places."""
+    return (_xxhash64(pos, _xxhash64(key, 42)) & np.uint64(PLACE_BITS)).view(np.int64)
 
 
 def _windows(docs: pa.Table, cand: pa.Table) -> pa.Table:
-    """A row for each distinct window around the shard's candidate anchors; sums are those over its places in the shard."""
+    """A row for each distinct window around the shard's repeated anchors; here and before are sums over its places in
+    the shard, null where there is one place only."""
     names = ["shard", "h1", "h2", "key", "pos", "n", "times", "here", "before"]
     types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    found = _by_key(cand, ["pos", "n"])
-    if not found:
+    if not (docs.num_rows and cand.num_rows):
         return pa.table([pa.array([], t) for t in types], names=names)
-    docs, weight = _distinct(docs.filter(pa.array([k in found for k in docs.column("key").to_pylist()], pa.bool_())))
+    docs, weight = _distinct(docs)
+    repeated, n_of = cand.column("anchor").to_numpy(), cand.column("n").to_numpy()
+    order = np.argsort(repeated)
+    repeated, n_of = repeated[order], n_of[order]
     out = []
     for s, keys in _parts(docs):
-        starts, at, _ = _anchors(s)
-        count = np.zeros(len(s.hashes), np.int64)
-        for i, k in enumerate(keys.tolist()):
-            pos, n = found[k]
-            count[pos + s.first[i]] = n
-        hit = np.flatnonzero(count[at])
+        starts, _, anchor = _anchors(s)
+        place = np.minimum(np.searchsorted(repeated, anchor), len(repeated) - 1)
+        hit = np.flatnonzero(repeated[place] == anchor)
         if len(hit):
-            starts, n = starts[hit], count[at[hit]]
+            starts, n = starts[hit], n_of[place[hit]]
             h1 = mix(ngram_hashes(s.hashes, WINDOW, _C2)[starts]).view(np.int64)
             h2 = (mix(ngram_hashes(mix(s.hashes + np.uint64(_C2)), WINDOW, _C3)[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             doc = s.doc[starts]
             times = np.array([weight[k] for k in keys.tolist()], np.int64)[doc]
-            out.append((h1, h2, keys[doc], (starts - s.first[doc]).astype(np.int32), np.minimum(n, 2**31 - 1).astype(np.int32), times))
+            out.append((h1, h2, keys[doc], (starts - s.first[doc]).astype(np.int32), n, times))
     if not out:
         return pa.table([pa.array([], t) for t in types], names=names)
     h1, h2, key, pos, n, times = (np.concatenate(c) for c in zip(*out, strict=True))
     order = np.lexsort((pos, key, h2, h1))
     h1, h2, key, pos, n, times = (c[order] for c in (h1, h2, key, pos, n, times))
     first = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
-    sums = [np.add.reduceat(c, first) for c in (times, _here(key, pos), _here(key, pos - 1))]
+    alone = np.diff(np.append(first, len(h1))) == 1
+    times, here, before = (np.add.reduceat(c, first) for c in (times, _here(key, pos), _here(key, pos - 1)))
+    n = np.minimum.reduceat(n, first)
+    # rows of one document stand together again, which packs better
+    order = np.lexsort((pos[first], key[first]))
+    first, alone = first[order], alone[order]
     shard = np.full(len(first), docs.column("shard")[0].as_py(), np.int32)
-    return pa.table([pa.array(shard), *(pa.array(c[first]) for c in (h1, h2, key, pos)), pa.array(np.minimum.reduceat(n, first)), *map(pa.array, sums)], names=names)
+    columns = [shard, h1[first], h2[first], key[first], pos[first], n[order], times[order]]
+    return pa.table([*map(pa.array, columns), pa.array(here[order], mask=alone), pa.array(before[order], mask=alone)], names=names)
 
 
 def _passages(docs: pa.Table, recurring: pa.Table) -> pa.Table:
@@ -212,19 +236,22 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", shard_bytes: int = S
     docs = docs.withColumn("shard", F.pmod(F.pmod("key", F.lit(shards)) + spread, F.lit(shards)).cast("int"))
 
     by_shard = docs.groupBy("shard")
-    anchors = by_shard.applyInArrow(_find_anchors, "shard int, key long, pos int, anchor long, weight long")
-    repeated = anchors.groupBy("anchor").agg(F.sum("weight").alias("n")).filter("n > 1")
-    cand = anchors.join(repeated, "anchor")
-    cand = cand.select("anchor", "shard", "key", "pos", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))
+    anchors = by_shard.applyInArrow(_find_anchors, "shard int, anchor long, times long")
+    # a shard has an anchor once, so no anchor has more rows than there are shards
+    cand = anchors.repartition("anchor").withColumn("n", F.sum("times").over(Window.partitionBy("anchor"))).filter("n > 1")
+    cand = cand.select("shard", "anchor", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))
 
-    windows = by_shard.cogroup(cand.select("shard", "key", "pos", "n").groupBy("shard")).applyInArrow(_windows, "shard int, h1 long, h2 int, key long, pos int, n int, times long, here long, before long")
+    windows = by_shard.cogroup(cand.groupBy("shard")).applyInArrow(_windows, "shard int, h1 long, h2 int, key long, pos int, n int, times long, here long, before long")
     # shards have added up their own; equal rows of different shards meet once
-    recurring = windows.repartition("h1", "h2").groupBy("h1", "h2").agg(
-        F.sum("times").alias("times"), F.min(F.struct("key", "pos", "shard")).alias("at"), F.min("n").alias("n"), F.try_sum("here").alias("here"), F.try_sum("before").alias("before"),
+    windows = windows.repartition("h1", "h2")
+    place = lambda pos: F.xxhash64("key", pos.cast("long")).bitwiseAND(PLACE_BITS)
+    recurring = windows.groupBy("h1", "h2").agg(
+        F.sum("times").alias("times"), F.min(F.struct("key", "pos", "shard")).alias("at"), F.min("n").alias("n"),
+        F.try_sum(F.coalesce("here", place(F.col("pos")))).alias("here"), F.try_sum(F.coalesce("before", place(F.col("pos") - 1))).alias("before"),
     ).filter("times > 1")
     recurring = recurring.select("at.shard", "at.key", "at.pos", "n", "times", F.coalesce("here", F.lit(-1)).alias("here"), F.coalesce("before", F.lit(-2)).alias("before"))
     passages = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(_passages, "anchor long, piece binary")
-    patterns = cand.select("anchor", "shard").distinct().join(passages, "anchor").select("shard", "piece")
+    patterns = cand.join(passages, "anchor").select("shard", "piece")
 
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in carried), "n_words long, n_removed long, kept_text string"])
