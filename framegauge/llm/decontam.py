@@ -16,6 +16,8 @@ null; rows of one id with different texts are judged one by one; other columns a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +28,22 @@ BROADCAST_WINDOWS = 2_000_000
 # Units that may follow a number.
 UNITS = "mm cm m km mg g kg t ml cl l s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years inch inches foot feet ft yard yards mile miles pound pounds lb lbs oz ounce ounces gallon gallons dollar dollars cent cents euro euros percent degrees mph kmh watt watts volt volts".split()
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
-_BLANK = "[ \\t\\n\\x0B\\f\\r]+"
-_PUNCTUATION = "[\\p{Punct}“”‘’«»…¿¡–—]+"
+_BLANKS = " \t\n\x0b\f\r"
+_PUNCTUATION, _TYPOGRAPHIC = "[!-/:-@\\[-`{-~«»¿¡]+", "“”‘’…–—"
 
 
 def _tokens(text: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, _PUNCTUATION, ""), _BLANK, " "))
-    return F.split(plain, " ")
+    some = reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in _TYPOGRAPHIC))
+    plain = F.when(some, F.translate(text, _TYPOGRAPHIC, "")).otherwise(text)
+    return F.split(F.btrim(F.regexp_replace(plain, _PUNCTUATION, ""), F.lit(_BLANKS)), f"[{_BLANKS}]+")
 
 
 def template_tokens(text: Column) -> Column:
     """Template words of a text; raw_tokens gives the words that stand at the same places."""
     text = F.regexp_replace(text, "(?<=[^.!?:\\s][ \\t])\\p{Lu}\\p{Ll}+", NAME)
-    text = F.regexp_replace(text, "[0-9]+(?:[.,][0-9]+)*", NUMBER)
-    text = F.regexp_replace(F.lower(text), f"(?<={NUMBER}[ \\t]?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\\p{{L}}\\p{{N}}])", UNIT)
-    return _tokens(text)
+    text = F.lower(F.regexp_replace(text, "[0-9]+(?:[.,][0-9]+)*", NUMBER))
+    units = F.regexp_replace(text, f"(?<={NUMBER}[ \\t]?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\\p{{L}}\\p{{N}}])", UNIT)
+    return _tokens(F.when(F.contains(text, F.lit(NUMBER)), units).otherwise(text))
 
 
 def raw_tokens(text: Column) -> Column:
@@ -48,21 +51,23 @@ def raw_tokens(text: Column) -> Column:
 
 
 def _windows(df: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """keys, pos and hash of each window of `hashes` (a slot's hash is odd, a literal's even) with enough literals."""
-    at = F.sequence(F.lit(0), F.size("hashes") - width)
+    """keys, pos and hash of each window of `hashes`."""
+    at = F.when(F.size("hashes") >= width, F.sequence(F.lit(0), F.size("hashes") - width))
+    made = F.transform(at, lambda i: F.xxhash64(*(F.get(F.col("hashes"), i + k) for k in range(width))))
+    # the outer form: an inner one would compute all windows once more to see whether there are any
+    return df.select(*keys, F.posexplode_outer(made).alias("pos", "hash")).filter("hash is not null")
 
-    def window(i: Column) -> Column:
-        return F.xxhash64(*(F.get(F.col("hashes"), i + k) for k in range(width)))
 
-    def literals(i: Column) -> Column:
-        return sum(((F.get(F.col("hashes"), i + k).bitwiseAND(1) == 0).cast("int") for k in range(width)), F.lit(0))
+def _item_windows(items: DataFrame, width: int) -> DataFrame:
+    """item_key, item_pos and hash of the items' windows of this width; wide ones need enough literals.
 
-    rows = df.filter(F.size("hashes") >= width)
-    if width == WIDTH:
-        made = F.transform(at, lambda i: window(i))
-        rows = rows.select(*keys, "hashes", F.posexplode(made).alias("pos", "hash"))
-        return rows.filter(literals(F.col("pos")) >= LITERALS).select(*keys, "pos", "hash")
-    return rows.select(*keys, F.posexplode(F.transform(at, window)).alias("pos", "hash"))
+    A slot's hash is odd, a literal's even. Equal windows have equal slots, so the documents' side needs no such test.
+    """
+    if width < WIDTH:
+        return _windows(items.filter(F.size("hashes") == width), ["item_key"], width).withColumnRenamed("pos", "item_pos")
+    rows = _windows(items, ["item_key", "hashes"], width).withColumnRenamed("pos", "item_pos")
+    literals = F.size(F.filter(F.slice("hashes", F.col("item_pos") + 1, width), lambda h: h.bitwiseAND(1) == 0))
+    return rows.filter(literals >= LITERALS).drop("hashes")
 
 
 def _hashed(df: DataFrame, text_col: str) -> DataFrame:
@@ -88,15 +93,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     widths = [r[0] for r in items.select(F.least(F.size("hashes"), F.lit(WIDTH)).alias("w")).filter("w > 0").distinct().collect()]
     found = None
     for width in sorted(widths):
-        own = items if width == WIDTH else items.filter(F.size("hashes") == width)
-        theirs = _windows(own, ["item_key"], width).withColumnsRenamed({"pos": "item_pos"})
+        theirs = _item_windows(items, width)
         if theirs.count() <= BROADCAST_WINDOWS:
             theirs = F.broadcast(theirs)
         hits = _windows(hashed, ["doc_key"], width).join(theirs, "hash").select("doc_key", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"))
         found = hits if found is None else found.union(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, hits long, windows int, slots int, changed int, doc_key long")
-    sizes = _item_windows(items)
+    sizes = reduce(DataFrame.union, (_item_windows(items, w) for w in widths)).groupBy("item_key").agg(F.count("*").cast("int").alias("windows"))
     counts = found.groupBy("doc_key", "item_key", "offset").agg(F.count_distinct("item_pos").alias("hits")).join(sizes, "item_key")
     likely = cut(counts.filter(F.col("hits") >= F.col("windows") * SHARE), "likely")
 
@@ -111,9 +115,3 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = pairs.filter(F.size("filled") == F.col("slots")).withColumn("changed", F.size(F.filter("filled", lambda p: p["mine"] != p["theirs"])))
     best = pairs.groupBy("doc_key", "item_key").agg(F.max(F.struct("hits", "windows", "slots", "changed", "doc_id", "item_id")).alias("b"))
     return best.select("b.doc_id", "b.item_id", "b.hits", "b.windows", "b.slots", "b.changed", "doc_key").distinct()
-
-
-def _item_windows(items: DataFrame) -> DataFrame:
-    """item_key and its number of windows that can be found."""
-    wide = _windows(items, ["item_key"], WIDTH).groupBy("item_key").agg(F.count("*").cast("int").alias("windows"))
-    return wide.union(items.filter(F.size("hashes").between(1, WIDTH - 1)).select("item_key", F.lit(1).alias("windows")))
