@@ -193,8 +193,8 @@ def _terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = {w for x in set((text or "").lower().split()) if 2 < len(w := bare(x)) < 40 and not w.isdigit()}
             counts[label].update({f"{w} " for w in words} | {w[:k] for w in words for k in STEMS if len(w) >= k})
-        # what one batch has once in clean texts only is no news
-        names = [t for t in counts[1] | counts[0] if counts[1][t] or counts[0][t] > 1]
+        # all of them: a term that is rare in this batch may be common in clean texts of the others
+        names = list(counts[1] | counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][t] for t in names], pa.int64()), pa.array([counts[0][t] for t in names], pa.int64())], names=["term", "toxic", "clean"])
 
 
