@@ -47,9 +47,13 @@ def edits_allowed(term: str) -> int:
 
 
 class Lexicon:
-    """terms: word -> False, or stem -> True. Words once seen are remembered, MOST_KNOWN of them."""
+    """terms: word -> False, or stem -> True. Words once seen are remembered, MOST_KNOWN of them.
 
-    def __init__(self, terms: dict[str, bool]):
+    With same_first a misspelled word must begin with the term's first letter; learning and scoring do not ask for that.
+    """
+
+    def __init__(self, terms: dict[str, bool], same_first: bool = True):
+        self.same_first = same_first
         self.children: list[dict[str, int]] = [{}]
         self.final: list[tuple[int, bool, str] | None] = [None]  # edits allowed, stem, first letter
         self.reach = [0]  # most edits that any term below allows
@@ -132,10 +136,10 @@ class Lexicon:
             if found is not None:
                 if found[0]:
                     return 1
-                if word[0] in found[1]:
+                if not self.same_first or word[0] in found[1]:
                     kind = 2
         found = self.end[state] if word else None
-        return kind if found is None else 1 if found[0] else 2 if word[0] in found[1] else kind
+        return kind if found is None else 1 if found[0] else 2 if not self.same_first or word[0] in found[1] else kind
 
     def hits(self, words: set[str]) -> dict[str, int]:
         """Those of the words (as they stand in a text) that match a term: 1 as it is, 2 misspelled."""
@@ -258,7 +262,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     terms = learn_lexicon(rows)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(terms)
+        lexicon = Lexicon(terms, same_first=False)
         for batch in batches(it):
             x = np.array([features(lexicon, t) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.copy()) for c in x.T)], names=["label", *FEATURES])
@@ -275,7 +279,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """doc_id and score (0 to 1, higher: toxic likelier)."""
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model.terms)
+        lexicon = Lexicon(model.terms, same_first=False)
         for batch in batches(it):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(model.score(lexicon, batch.column(1).to_pylist()))], names=["doc_id", "score"])
 

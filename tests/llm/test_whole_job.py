@@ -1,5 +1,7 @@
 """Whole-job tests: one for each place where an operator once did less than its docstring says."""
 
+import random
+
 from framegauge.llm import toxicity
 
 
@@ -10,3 +12,37 @@ def test_clean_counts_do_not_depend_on_partitions(spark):
     assert one == many and not any(t.startswith("ordi") for t in many)
     rows = [(1, f"filler{i} common") for i in range(6)] + [(0, f"filler{i} common") for i in range(6, 16)] + [(0, f"filler{i}") for i in range(16, 300)]
     assert not any(t.startswith("comm") for t in toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, text string").repartition(300)))
+
+
+def test_first_letter_edits_are_hits(spark):
+    words = ["1diot", "xdiot", "diot", "@athetic", "athetic", "xxathetic"]
+    lexicon = toxicity.Lexicon({"idiot": False, "pathetic": True, "scum": False}, same_first=False)
+    assert lexicon.hits({*words, "xcum", "cum", "xxdiot", "other"}) == dict.fromkeys(words[:-1], 2)
+    model = toxicity.learn_toxicity(spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    docs = spark.createDataFrame([(-1, "what a day this is")] + [(i, f"what a {w} this is") for i, w in enumerate(words)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    base = scores.pop(-1)
+    assert all((s > base) == (i < 5) for i, s in scores.items())
+
+
+def test_free_automaton_equals_plain_edit_distance():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    terms, rng, words = {"idiot": False, "worthless": False, "loweis": True, "scum": False}, random.Random(8), set()
+    for t in terms:
+        for _ in range(300):
+            w = list(t + rng.choice(["", "", "abc"]))
+            for _ in range(rng.randrange(0, 4)):
+                k = rng.randrange(min(3, len(w) + 1))
+                w[k : k + rng.randrange(0, 2)] = rng.choice(["", "a", "i", "x"])
+            words.add("".join(w))
+    got = toxicity.Lexicon(terms, same_first=False).hits(words)
+    for w in words:
+        least = {t: min(distance(h, t) for h in ([w[:k] for k in range(len(w) + 1)] if stem else [w])) for t, stem in terms.items()}
+        assert got.get(w, 0) == (1 if 0 in least.values() else 2 if any(d <= toxicity.edits_allowed(t) for t, d in least.items()) else 0), w
