@@ -1,11 +1,12 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 A text is made a template: digits, with separators between them, become a number slot; a unit after a number becomes a
-unit slot; a capitalised word inside a sentence becomes a name slot; the rest is lower-cased and stripped of
+unit slot; a run of capitalised words inside a sentence becomes a name slot; the rest is lower-cased and stripped of
 punctuation. Windows of eight template words, four of them at least no slots, are hashed and joined with the windows
-of the benchmark's items. Hits are counted for each document, item and offset between the two; a document that has
-at least half of an item's windows at one offset is a candidate. Then the slots are filled in again: each value in the
-item must stand for one value only in the document (a re-parameterised question maps 12 to 30 wherever 12 stands).
+of the benchmark's items. Hits are counted for each document, item and place, which is a run of neighbouring offsets
+between the two; a document that has at least half of an item's windows at one place is a candidate. Then the slots that
+these windows cover are filled in again: each value in the item must stand for one value only in the document (a
+re-parameterised question maps 12 to 30 wherever 12 stands).
 
 An item of under eight words is one window of its own length. The benchmark's windows are broadcast only up to
 BROADCAST_WINDOWS of them, beyond that they are shuffled.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import cut
@@ -27,7 +28,8 @@ WIDTH, LITERALS, SHARE = 8, 4, 0.5
 BROADCAST_WINDOWS = 2_000_000
 # Units that may follow a number.
 UNITS = "mm cm m km mg g kg t ml cl l s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years inch inches foot feet ft yard yards mile miles pound pounds lb lbs oz ounce ounces gallon gallons dollar dollars cent cents euro euros percent degrees mph kmh watt watts volt volts".split()
-NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
+NUMBER, UNIT, NAME, JOINT = "\ue000", "\ue001", "\ue002", "\ue003"
+_INSIDE, _NAME = "(?<=[^.!?:\\s][ \\t])", "\\p{Lu}\\p{Ll}+"
 _BLANKS = " \t\n\x0b\f\r"
 _PUNCTUATION, _TYPOGRAPHIC = "[!-/:-@\\[-`{-~«»¿¡]+", "“”‘’…–—"
 
@@ -39,15 +41,15 @@ def _tokens(text: Column) -> Column:
 
 
 def template_tokens(text: Column) -> Column:
-    """Template words of a text; raw_tokens gives the words that stand at the same places."""
-    text = F.regexp_replace(text, "(?<=[^.!?:\\s][ \\t])\\p{Lu}\\p{Ll}+", NAME)
+    """Template words of a text, a run of name words as one; raw_tokens gives the words that stand at the same places."""
+    text = F.regexp_replace(text, f"{_INSIDE}{_NAME}(?:[ \\t]{_NAME})*", NAME)
     text = F.lower(F.regexp_replace(text, "[0-9]+(?:[.,][0-9]+)*", NUMBER))
     units = F.regexp_replace(text, f"(?<={NUMBER}[ \\t]?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\\p{{L}}\\p{{N}}])", UNIT)
     return _tokens(F.when(F.contains(text, F.lit(NUMBER)), units).otherwise(text))
 
 
 def raw_tokens(text: Column) -> Column:
-    return _tokens(F.lower(text))
+    return _tokens(F.lower(F.regexp_replace(text, f"({_INSIDE}{_NAME})[ \\t](?={_NAME})", f"$1{JOINT}")))
 
 
 def _windows(df: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -58,25 +60,60 @@ def _windows(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     return df.select(*keys, F.posexplode_outer(made).alias("pos", "hash")).filter("hash is not null")
 
 
-def _item_windows(items: DataFrame, width: int) -> DataFrame:
-    """item_key, item_pos and hash of the items' windows of this width; wide ones need enough literals.
+def _strong(hashes: Column, words: Column) -> Column:
+    """Where the item's windows start that have enough literals; an item of under eight words is one window as it is.
 
     A slot's hash is odd, a literal's even. Equal windows have equal slots, so the documents' side needs no such test.
     """
-    if width < WIDTH:
-        return _windows(items.filter(F.size("hashes") == width), ["item_key"], width).withColumnRenamed("pos", "item_pos")
-    rows = _windows(items, ["item_key", "hashes"], width).withColumnRenamed("pos", "item_pos")
-    literals = F.size(F.filter(F.slice("hashes", F.col("item_pos") + 1, width), lambda h: h.bitwiseAND(1) == 0))
-    return rows.filter(literals >= LITERALS).drop("hashes")
+    width = F.least(F.size(hashes), F.lit(WIDTH))
+    least = F.when(words < WIDTH, 0).when(width < WIDTH, F.ceil(width * LITERALS / WIDTH)).otherwise(LITERALS)
+    enough = lambda i: F.size(F.filter(F.slice(hashes, i + 1, width), lambda h: h.bitwiseAND(1) == 0)) >= least
+    return F.filter(F.sequence(F.lit(0), F.size(hashes) - width), enough)
 
 
-def _hashed(df: DataFrame, text_col: str) -> DataFrame:
+def _item_windows(forms: DataFrame, width: int) -> DataFrame:
+    """form_key, item_pos and hash of the items' windows of this width."""
+    rows = _windows(forms.filter(F.col("width") == width), ["form_key", "strong"], width).withColumnRenamed("pos", "item_pos")
+    return rows.filter(F.array_contains("strong", F.col("item_pos"))).drop("strong")
+
+
+def _hashes(tokens: Column) -> Column:
     def one(t: Column) -> Column:
-        slot = t.rlike(f"[{NUMBER}{UNIT}{NAME}]")
         h = F.xxhash64(t)
-        return F.when(slot, h.bitwiseOR(1)).otherwise(h.bitwiseAND(-2))
+        return F.when(_slot(t), h.bitwiseOR(1)).otherwise(h.bitwiseAND(-2))
+
+    return F.when(tokens[0] != "", F.transform(tokens, one)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _slot(t: Column) -> Column:
+    return t.rlike(f"[{NUMBER}{UNIT}{NAME}]")
 
-    return df.withColumn("tokens", template_tokens(F.col(text_col))).withColumn("hashes", F.when(F.col("tokens")[0] != "", F.transform("tokens", one)).otherwise(F.array().cast("array<bigint>")))
+
+def _forms(items: DataFrame) -> DataFrame:
+    """form_key, item_key, item_id, tokens, their hashes, the item's own words, window width and starts of windows."""
+    rows = items.withColumn("tokens", template_tokens(F.col("item"))).withColumn("item_tokens", raw_tokens(F.col("item")))
+    rows = rows.withColumn("form_key", F.xxhash64("item_key", F.lit(0))).withColumn("hashes", _hashes(F.col("tokens")))
+    words = F.size(_tokens(F.lower("item")))
+    rows = rows.filter(F.size("hashes") > 0).withColumn("width", F.least(F.size("hashes"), F.lit(WIDTH))).withColumn("strong", _strong(F.col("hashes"), words))
+    return cut(rows.drop("item"), "items")
+
+
+def _candidates(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """doc_key, form_key, picks: which windows of the form are found at which offsets, at least SHARE of its windows.
+
+    Offsets no more than WIDTH from the next belong together, since a word put in or left out shifts what follows. A
+    window found at several of them counts where most others are; an offset that has enough alone is judged alone, too.
+    """
+    each = found.groupBy("doc_key", "form_key", "offset").agg(F.collect_set("item_pos").alias("at"))
+    by_offset = Window.partitionBy("doc_key", "form_key").orderBy("offset")
+    each = each.withColumn("gap", F.col("offset") - F.lag("offset").over(by_offset))
+    each = each.withColumn("place", F.count(F.when(F.col("gap") > WIDTH, 1)).over(by_offset))
+    spans = each.groupBy("doc_key", "form_key", "place").agg(F.sort_array(F.collect_list(F.struct(F.size("at").alias("n"), "offset", "at")), asc=False).alias("spans"))
+    spans = spans.withColumn("all", F.array_sort(F.array_distinct(F.flatten("spans.at")))).join(sizes, "form_key").filter(F.size("all") >= F.col("windows") * SHARE)
+    pick = lambda p, s: F.struct(p.alias("pos"), s["offset"].alias("offset"))
+    mixed = F.transform("all", lambda p: pick(p, F.filter("spans", lambda s: F.array_contains(s["at"], p))[0]))
+    single = F.transform(F.filter("spans", lambda s: s["n"] >= F.col("windows") * SHARE), lambda s: F.transform(F.array_sort(s["at"]), lambda p: pick(p, s)))
+    return spans.select("doc_key", "form_key", "windows", F.explode(F.array_distinct(F.concat(F.array(mixed), single))).alias("picks"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -86,32 +123,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item")).filter("item is not null").distinct()
-    items = cut(_hashed(items.withColumn("item_key", F.xxhash64("item_id", "item")), "item"), "items")
+    forms = _forms(items.withColumn("item_key", F.xxhash64("item_id", "item")))
     docs = docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    hashed = _hashed(docs, "text").select("doc_key", "hashes")
+    hashed = docs.select("doc_key", template_tokens(F.col("text")).alias("tokens")).select("doc_key", _hashes(F.col("tokens")).alias("hashes"))
 
-    widths = [r[0] for r in items.select(F.least(F.size("hashes"), F.lit(WIDTH)).alias("w")).filter("w > 0").distinct().collect()]
     found = None
-    for width in sorted(widths):
-        theirs = _item_windows(items, width)
+    for width in sorted(r[0] for r in forms.select("width").distinct().collect()):
+        theirs = _item_windows(forms, width)
         if theirs.count() <= BROADCAST_WINDOWS:
             theirs = F.broadcast(theirs)
-        hits = _windows(hashed, ["doc_key"], width).join(theirs, "hash").select("doc_key", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"))
+        hits = _windows(hashed, ["doc_key"], width).join(theirs, "hash").select("doc_key", "form_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"))
         found = hits if found is None else found.union(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, hits long, windows int, slots int, changed int, doc_key long")
-    sizes = reduce(DataFrame.union, (_item_windows(items, w) for w in widths)).groupBy("item_key").agg(F.count("*").cast("int").alias("windows"))
-    counts = found.groupBy("doc_key", "item_key", "offset").agg(F.count_distinct("item_pos").alias("hits")).join(sizes, "item_key")
-    likely = cut(counts.filter(F.col("hits") >= F.col("windows") * SHARE), "likely")
+    likely = cut(_candidates(found, forms.select("form_key", F.size("strong").alias("windows"))), "likely")
 
     keys = likely.select("doc_key").distinct()
     texts = docs.join(keys, "doc_key", "left_semi").dropDuplicates(["doc_key"]).select("doc_key", "doc_id", raw_tokens(F.col("text")).alias("doc_tokens"))
-    fills = items.select("item_key", "item_id", "tokens", raw_tokens(F.col("item")).alias("item_tokens"))
-    pairs = likely.join(texts, "doc_key").join(fills, "item_key")
-    slot = lambda t: t.rlike(f"[{NUMBER}{UNIT}{NAME}]")
-    places = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: slot(F.get(F.col("tokens"), i)) & F.get(F.col("doc_tokens"), i + F.col("offset")).isNotNull())
-    filled = F.transform(places, lambda i: F.struct(F.get(F.col("item_tokens"), i).alias("mine"), F.get(F.col("doc_tokens"), i + F.col("offset")).alias("theirs")))
+    pairs = likely.join(texts, "doc_key").join(forms.drop("hashes", "strong"), "form_key")
+    # only what matched windows cover is filled in
+    covered = F.flatten(F.transform("picks", lambda c: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct((c["pos"] + k).alias("i"), (c["pos"] + k + c["offset"]).alias("j")))))
+    places = F.filter(F.array_distinct(covered), lambda p: _slot(F.get(F.col("tokens"), p["i"])))
+    filled = F.transform(places, lambda p: F.struct(F.get(F.col("item_tokens"), p["i"]).alias("mine"), F.get(F.col("doc_tokens"), p["j"]).alias("theirs")))
     pairs = pairs.withColumn("filled", F.array_distinct(filled)).withColumn("slots", F.size(F.array_distinct(F.col("filled.mine"))))
-    pairs = pairs.filter(F.size("filled") == F.col("slots")).withColumn("changed", F.size(F.filter("filled", lambda p: p["mine"] != p["theirs"])))
+    pairs = pairs.filter(F.size("filled") == F.col("slots")).withColumn("changed", F.size(F.filter("filled", lambda p: p["mine"] != p["theirs"]))).withColumn("hits", F.size("picks").cast("long"))
     best = pairs.groupBy("doc_key", "item_key").agg(F.max(F.struct("hits", "windows", "slots", "changed", "doc_id", "item_id")).alias("b"))
     return best.select("b.doc_id", "b.item_id", "b.hits", "b.windows", "b.slots", "b.changed", "doc_key").distinct()

@@ -2,7 +2,7 @@
 
 import random
 
-from framegauge.llm import toxicity
+from framegauge.llm import decontam, toxicity
 
 
 def test_clean_counts_do_not_depend_on_partitions(spark):
@@ -46,3 +46,20 @@ def test_free_automaton_equals_plain_edit_distance():
     for w in words:
         least = {t: min(distance(h, t) for h in ([w[:k] for k in range(len(w) + 1)] if stem else [w])) for t, stem in terms.items()}
         assert got.get(w, 0) == (1 if 0 in least.values() else 2 if any(d <= toxicity.edits_allowed(t) for t, d in least.items()) else 0), w
+
+
+def _leaks(spark, docs, items):
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
+
+
+def test_leaks_with_other_word_counts_and_partial_copies(spark):
+    item = "some people who live in the small town near the river say that Mary Ann once walked all the way to the old mill and came back home before dark"
+    half = "the road that runs 12 km along the lake is closed in winter and the people of the village walk over the hills then take the bus which needs 12 min"
+    docs = [
+        item.replace("Mary Ann", "Bob"), item.replace("once walked", "once slowly walked"), "Intro here. " + item.replace("Mary Ann", "Anna Maria Lee") + " End.",
+        " ".join(half.split()[:23]) + " they like and then for 99 min nothing else happens there at all",
+        half.replace("12 min", "99 min"),
+    ]
+    assert _leaks(spark, docs, [item, half]) == {(0, 0), (1, 0), (2, 0), (3, 1)}
