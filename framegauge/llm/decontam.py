@@ -8,7 +8,8 @@ between the two; a document that has at least half of an item's windows at one p
 these windows cover are filled in again: each value in the item must stand for one value only in the document (a
 re-parameterised question maps 12 to 30 wherever 12 stands).
 
-An item of under eight words is one window of its own length. The benchmark's windows are broadcast only up to
+An item of under eight words is one window of its own length. An item's first word is looked for as a literal and as
+what it becomes inside a sentence; an item with windows of too few literals is also looked for by its plain words. The benchmark's windows are broadcast only up to
 BROADCAST_WINDOWS of them, beyond that they are shuffled.
 
 Cases: null and empty texts and items match nothing; a row that repeats is reported once; null ids are reported as
@@ -29,6 +30,7 @@ BROADCAST_WINDOWS = 2_000_000
 # Units that may follow a number.
 UNITS = "mm cm m km mg g kg t ml cl l s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years inch inches foot feet ft yard yards mile miles pound pounds lb lbs oz ounce ounces gallon gallons dollar dollars cent cents euro euros percent degrees mph kmh watt watts volt volts".split()
 NUMBER, UNIT, NAME, JOINT = "\ue000", "\ue001", "\ue002", "\ue003"
+OWN, INSIDE, EXACT = range(3)
 _INSIDE, _NAME = "(?<=[^.!?:\\s][ \\t])", "\\p{Lu}\\p{Ll}+"
 _BLANKS = " \t\n\x0b\f\r"
 _PUNCTUATION, _TYPOGRAPHIC = "[!-/:-@\\[-`{-~«»¿¡]+", "“”‘’…–—"
@@ -82,7 +84,7 @@ def _hashes(tokens: Column) -> Column:
         h = F.xxhash64(t)
         return F.when(_slot(t), h.bitwiseOR(1)).otherwise(h.bitwiseAND(-2))
 
-    return F.when(tokens[0] != "", F.transform(tokens, one)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.get(tokens, 0) != "", F.transform(tokens, one)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _slot(t: Column) -> Column:
@@ -90,12 +92,23 @@ def _slot(t: Column) -> Column:
 
 
 def _forms(items: DataFrame) -> DataFrame:
-    """form_key, item_key, item_id, tokens, their hashes, the item's own words, window width and starts of windows."""
-    rows = items.withColumn("tokens", template_tokens(F.col("item"))).withColumn("item_tokens", raw_tokens(F.col("item")))
-    rows = rows.withColumn("form_key", F.xxhash64("item_key", F.lit(0))).withColumn("hashes", _hashes(F.col("tokens")))
-    words = F.size(_tokens(F.lower("item")))
-    rows = rows.filter(F.size("hashes") > 0).withColumn("width", F.least(F.size("hashes"), F.lit(WIDTH))).withColumn("strong", _strong(F.col("hashes"), words))
-    return cut(rows.drop("item"), "items")
+    """form_key, item_key, item_id, kind, tokens, their hashes, the item's own words, window width and starts of windows.
+
+    An item has up to three forms: its template (OWN), the template it has inside a sentence, where its first word may
+    be a name (INSIDE), and its plain words (EXACT) if one of the others has windows with too few literals.
+    """
+    inside, words = F.concat(F.lit("x "), F.btrim("item", F.lit(_BLANKS))), _tokens(F.lower("item"))
+    rest = lambda t: F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
+
+    def form(df: DataFrame, kind: int, tokens: Column, own: Column) -> DataFrame:
+        df = df.withColumns({"kind": F.lit(kind), "tokens": tokens, "item_tokens": own}).withColumn("form_key", F.xxhash64("item_key", "kind"))
+        df = df.withColumn("hashes", _hashes(F.col("tokens"))).filter(F.size("hashes") > 0).withColumn("width", F.least(F.size("hashes"), F.lit(WIDTH)))
+        return df.withColumn("strong", _strong(F.col("hashes"), F.size(words)))
+
+    within = form(items, INSIDE, rest(template_tokens(inside)), rest(raw_tokens(inside))).filter(F.col("tokens") != template_tokens(F.col("item")))
+    templates = cut(form(items, OWN, template_tokens(F.col("item")), raw_tokens(F.col("item"))).union(within), "templates")
+    weak = templates.filter(F.size("strong") <= F.size("hashes") - F.col("width")).select("item_key").distinct()
+    return cut(templates.union(form(items.join(weak, "item_key", "left_semi").select(*items.columns), EXACT, words, words)).drop("item"), "items")
 
 
 def _candidates(found: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -125,11 +138,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item")).filter("item is not null").distinct()
     forms = _forms(items.withColumn("item_key", F.xxhash64("item_id", "item")))
     docs = docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    hashed = docs.select("doc_key", template_tokens(F.col("text")).alias("tokens")).select("doc_key", _hashes(F.col("tokens")).alias("hashes"))
 
     found = None
-    for width in sorted(r[0] for r in forms.select("width").distinct().collect()):
-        theirs = _item_windows(forms, width)
+    for exact, width in sorted(tuple(r) for r in forms.select(F.col("kind") == EXACT, "width").distinct().collect()):
+        theirs = _item_windows(forms.filter((F.col("kind") == EXACT) == exact), width)
+        hashed = docs.select("doc_key", (_tokens(F.lower("text")) if exact else template_tokens(F.col("text"))).alias("tokens")).select("doc_key", _hashes(F.col("tokens")).alias("hashes"))
         if theirs.count() <= BROADCAST_WINDOWS:
             theirs = F.broadcast(theirs)
         hits = _windows(hashed, ["doc_key"], width).join(theirs, "hash").select("doc_key", "form_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"))
@@ -144,6 +157,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # only what matched windows cover is filled in
     covered = F.flatten(F.transform("picks", lambda c: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct((c["pos"] + k).alias("i"), (c["pos"] + k + c["offset"]).alias("j")))))
     places = F.filter(F.array_distinct(covered), lambda p: _slot(F.get(F.col("tokens"), p["i"])))
+    # inside a sentence the item's first word is a slot, but must be that very word
+    first = lambda p: (p["i"] != 0) | F.array_contains(F.split(F.get(F.col("doc_tokens"), p["j"]), JOINT), F.split(F.get(F.col("item_tokens"), p["i"]), JOINT)[0])
+    pairs = pairs.filter((F.col("kind") != INSIDE) | F.forall(covered, first))
     filled = F.transform(places, lambda p: F.struct(F.get(F.col("item_tokens"), p["i"]).alias("mine"), F.get(F.col("doc_tokens"), p["j"]).alias("theirs")))
     pairs = pairs.withColumn("filled", F.array_distinct(filled)).withColumn("slots", F.size(F.array_distinct(F.col("filled.mine"))))
     pairs = pairs.filter(F.size("filled") == F.col("slots")).withColumn("changed", F.size(F.filter("filled", lambda p: p["mine"] != p["theirs"]))).withColumn("hits", F.size("picks").cast("long"))

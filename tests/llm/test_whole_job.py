@@ -63,3 +63,12 @@ def test_leaks_with_other_word_counts_and_partial_copies(spark):
         half.replace("12 min", "99 min"),
     ]
     assert _leaks(spark, docs, [item, half]) == {(0, 0), (1, 0), (2, 0), (3, 1)}
+
+
+def test_items_without_literal_windows_and_embedded_short_items(spark):
+    sums = "12 + 30 = 42 and 17 + 25 = 42 and 11 + 12 = 23 so 42 + 23 = 65"
+    names = "Alice, Bobby, Carol, David, Erika, Frank, Georg, Helen, Irene, Jonas, Karla"
+    title = "The Quick Brown Fox Jumps Over The Lazy Dog Again And Again"
+    short = "Which river flows through the old town"
+    docs = [f"he wrote {sums} and left", f"present were {names} today", f"a book called {title} by nobody", "he asked Which river flows through the old town and left", "he asked Whose river flows through the old town and left", "he wrote 13 + 31 = 44 and 18 + 26 = 44 and 19 + 20 = 39 but 1 + 2 = 3"]
+    assert _leaks(spark, docs, [sums, names, title, short]) == {(0, 0), (1, 1), (2, 2), (3, 3)}
