@@ -11,8 +11,8 @@ Partitions are split into blocks of about BLOCK_ROWS rows by a hash of the id, s
 task. Queries are compared with whole blocks on the original vectors in double precision, each block gives its k best,
 and the k best of all blocks are ranked.
 
-Cases: vectors that are null, zero, or hold null or non-finite components, or have another length than the sample's
-first, take no part; null ids take no part; rows that repeat an id are one candidate (its nearest vector) and one query
+Cases: vectors that are null, zero, or hold null or non-finite components, or have another length than the
+most frequent one, take no part; null ids take no part; rows that repeat an id are one candidate (its nearest vector) and one query
 (the nearest of any of them); ties go to the smaller id; fewer than k candidates are all given; an empty table gives
 an empty result; other columns are not looked at.
 """
@@ -139,11 +139,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS, rows_a_partition: int = ROWS_A_PARTITION, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) for the queries, the rows whose id is divisible by every."""
     rows = cut(_clean(vectors, id_col, vector_col), "vectors")
-    n = rows.count()
+    # the most frequent length over all rows, the smaller one of equals
+    sizes = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
+    width = sizes[0]["width"] if sizes else 0
+    rows = rows.filter(F.size("v") == width)
+    n = sum(r["count"] for r in sizes)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
     lists = sample.column("v").to_pylist()
-    width = len(lists[0]) if lists else 0
-    x = np.array([v for v in lists if len(v) == width]).reshape(-1, width) if width else np.zeros((0, 1))
+    x = np.array(lists).reshape(-1, width) if width else np.zeros((0, 1))
     wanted = min(max(1, n // rows_a_partition), max(1, len(x) // 32))
     parts = 1 << (wanted.bit_length() - 1)
     router = fit_router(x, parts)
@@ -154,7 +157,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 100, id_col: s
                 ranked = router.ranked(_matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(ranked[:, : router.probes].astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
 
-    placed = rows.filter(F.size("v") == width).mapInArrow(place, "vec_id long, v array<double>, parts array<int>")
+    placed = rows.mapInArrow(place, "vec_id long, v array<double>, parts array<int>")
     homes = placed.select("vec_id", "v", F.col("parts")[0].alias("part"))
     # one row for each partition, of which there are at most sample_rows / 32
     blocks = {r["part"]: max(1, ceil(r["n"] / block_rows)) for r in homes.groupBy("part").agg(F.count("*").alias("n")).collect()}
@@ -170,14 +173,14 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 100, id_col: s
             q, v = _matrix(queries.column("v")), _matrix(own.column("v"))
             order = np.argsort(ids, kind="stable")
             ids, v = ids[order], v[order]
+            ids, starts = np.unique(ids, return_index=True)
             for i, one in zip(q_ids, q, strict=True):
-                d = np.sqrt(((v - one) ** 2).sum(axis=1))
+                # the least distance of each id, before any is left out
+                d = np.minimum.reduceat(np.sqrt(((v - one) ** 2).sum(axis=1)), starts)
                 d[ids == i] = np.inf
                 near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
                 near = near[np.argsort(d[near], kind="stable")]
-                near = near[np.isfinite(d[near])]
-                _, first = np.unique(ids[near], return_index=True)
-                near = near[np.sort(first)][:k]
+                near = near[np.isfinite(d[near])][:k]
                 out.append((np.full(len(near), i), ids[near], d[near]))
         parts_ = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(parts_[0], pa.int64()), pa.array(parts_[1], pa.int64()), pa.array(parts_[2], pa.float64())], names=["query_id", "vec_id", "score"])

@@ -2,7 +2,7 @@
 
 import random
 
-from framegauge.llm import decontam, toxicity
+from framegauge.llm import ann, decontam, toxicity
 
 
 def test_clean_counts_do_not_depend_on_partitions(spark):
@@ -72,3 +72,19 @@ def test_items_without_literal_windows_and_embedded_short_items(spark):
     short = "Which river flows through the old town"
     docs = [f"he wrote {sums} and left", f"present were {names} today", f"a book called {title} by nobody", "he asked Which river flows through the old town and left", "he asked Whose river flows through the old town and left", "he wrote 13 + 31 = 44 and 18 + 26 = 44 and 19 + 20 = 39 but 1 + 2 = 3"]
     assert _leaks(spark, docs, [sums, names, title, short]) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
+def test_repeated_ids_do_not_use_up_places(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(30)]
+    want = sorted(range(1, 30), key=lambda i: (sum((a - b) ** 2 for a, b in zip(rows[i][1], rows[0][1], strict=True)), i))[:10]
+    odd = [(100 + i, [1.0, 2.0]) for i in range(20)]
+    for repeated in (rows * 2, rows + [rows[want[0]]] * 12):
+        found = ann.nearest(spark.createDataFrame(repeated + odd, "vec_id long, embedding array<double>")).filter("query_id = 0").orderBy("rank").collect()
+        assert [(r["rank"], r.vec_id) for r in found] == list(enumerate(want, 1))
+
+
+def test_one_odd_vector_does_not_drop_the_table(spark):
+    for odd in range(1000, 1008):
+        rows = [(i, [float(i), 1.0]) for i in range(5)] + [(odd, [1.0, 2.0, 3.0])]
+        assert ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 0").count() == 4
