@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .text import batches
 
-LEARN_ROWS, MOST_TERMS = 10_000, 2_000
+LEARN_ROWS = 20_000
 #: Words and automaton states that a task keeps before it starts anew.
 MOST_KNOWN, MOST_STATES = 500_000, 50_000
 #: Lengths of the stems that learning looks at, and the log probability by chance that a term must stay under.
@@ -211,7 +211,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label_col: str, most_rows:
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, bool]:
-    """Terms from rows(label, text): word -> False, stem -> True; at most MOST_TERMS of them."""
+    """Terms from rows(label, text): word -> False, stem -> True; the bound on the rows bounds them."""
     found = {w: True for w in INSULTS}
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
@@ -222,12 +222,15 @@ def learn_lexicon(rows: DataFrame) -> dict[str, bool]:
     good = counted.filter((F.col("toxic") - 8 * F.col("clean")) * chance < CHANCE)
     order = [F.desc("toxic"), F.desc(F.length("term")), F.asc("term")]
     chosen: dict[str, int] = {}
-    for r in good.orderBy(*order).limit(MOST_TERMS).collect():
+    below: dict[str, int] = {}  # most toxic texts of any chosen term that begins so
+    for r in good.orderBy(*order).collect():
         term, n = r["term"], r["toxic"]
         word = term.rstrip(" ")
-        if any(word[:k] in chosen for k in STEMS if k < len(term)) or any(c.startswith(word) and n < 1.1 * m for c, m in chosen.items()):
+        if any(word[:k] in chosen for k in STEMS if k < len(term)) or n < 1.1 * below.get(word, 0):
             continue
         chosen[term] = n
+        for k in range(1, len(term) + 1):
+            below[term[:k]] = max(n, below.get(term[:k], 0))
     for term in chosen:
         found[term.rstrip(" ")] = not term.endswith(" ") or found.get(term.rstrip(" "), False)
     return found

@@ -88,3 +88,11 @@ def test_one_odd_vector_does_not_drop_the_table(spark):
     for odd in range(1000, 1008):
         rows = [(i, [float(i), 1.0]) for i in range(5)] + [(odd, [1.0, 2.0, 3.0])]
         assert ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 0").count() == 4
+
+
+def test_large_lexicons_are_kept_whole(spark):
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(2500)})
+    rows = [(1, " ".join(words))] * 6 + [(0, "nothing here")] * 200
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, text string"))
+    assert toxicity.LEARN_ROWS >= 20_000 and all(w in found or any(w[:k] in found for k in toxicity.STEMS) for w in words)
