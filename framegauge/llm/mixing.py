@@ -8,13 +8,16 @@ for each level (children in order of capacity over weight fill up first).
 
 A leaf with a budget of T tokens gives T // supply whole epochs and, of one more epoch, the prefix of rows whose
 running sum of tokens stays within the rest; an epoch's order is that of md5(seed:epoch:doc_id). Running sums are made
-for each leaf and first three digits of the digest and joined to the sums of the groups before, so a source that holds
-a third of all rows is no hot task.
+for each leaf and first digits of the digest (three, more from GROUP_ROWS rows a group on) and joined to the sums of
+the groups before, so a source that holds a third of all rows is no hot task.
 
 Cases: null domain, language or source count as the value `unknown`; null and empty texts have no tokens and go with
 any prefix that is not empty; leaves without weight get none; rows that share an id and a leaf go together; an empty
 table gives an empty result; columns of the input other than those named are carried along, and those named like the
 result's are replaced.
+
+A leaf's rows are never brought together: budgets reach the rows by a broadcast, up to BROADCAST_LEAVES leaves by
+count; beyond that they are copied SALTS times, and rows are joined by leaf and salt.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ from pyspark.sql import functions as F
 
 from .store import cut
 
-BLANK = "[ \\x09-\\x0D]+"
+BROADCAST_LEAVES, SALTS, GROUP_ROWS = 200_000, 64, 50_000
+WORD = "[^ \\x09-\\x0D]++"
 
 
 def token_count(text: Column) -> Column:
     """Number of words of a text; null and blank texts have none."""
-    inner = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{BLANK}|{BLANK}$", "")
-    return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, BLANK))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _pour(children: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
@@ -64,6 +67,15 @@ def leaf_budgets(supply: DataFrame, weights: DataFrame, levels: Sequence[str], s
     return out.select(*levels, "tokens", F.floor(F.col("budget") + 1e-6).cast("long").alias("budget"))
 
 
+def _with_leaf(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of rows with a table of one row for each leaf, without dealing rows by leaf."""
+    if small.count() <= BROADCAST_LEAVES:
+        return rows.join(F.broadcast(small), list(keys))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(small.select("*", salts), [*keys, "_salt"]).drop("_salt")
+
+
 def mix_sources(docs: DataFrame, weights: DataFrame, levels: Sequence[str] = ("domain", "lang", "source"), share: float = 0.6, most_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The chosen rows of docs with n_tokens and copies (how often the mix has the row).
 
@@ -79,7 +91,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame, levels: Sequence[str] = ("d
     budgets = budgets.select(*levels, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest"))
 
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
-    rows = slim.join(budgets, list(levels)).withColumn("digest", digest).withColumn("part", F.substring("digest", 1, 3))
+    size = slim.count()
+    digits = next(d for d in range(3, 17) if size <= GROUP_ROWS * 16**d)
+    rows = _with_leaf(slim, cut(budgets, "budgets"), levels).withColumn("digest", digest).withColumn("part", F.substring("digest", 1, digits))
     parts = rows.groupBy(*levels, "part").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy(*levels).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*levels, "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("start"))
