@@ -9,9 +9,11 @@ with probability 3e-6); the full sets of all others are compared.
 
 Equal sets are one class, represented by the smallest id. Classes that share a bucket are compared with one pivot of
 the bucket first; once they are known to be connected they need no further comparison. What is left, pairs of
-different components in one bucket, is compared pair by pair, so no link between components is lost and no group of
+different components in one bucket, is compared by sketches, so no link between components is lost and no group of
 copies is expanded into all its pairs. There, shingles that no other text in question has bound how similar a text can
-be to any other; pairs that can't reach the threshold for that reason are left out.
+be to any other: texts that can't reach the threshold with any are left out before (a family of texts that share a
+template and fill it in each in its own way), pairs that can't in the join. A bucket of over BLOCK_ROWS texts is cut
+into blocks, and each two of its blocks are a group of the join of their own, so no task gets a whole large bucket.
 
 Cases: null, empty and blank texts have an empty set and link with nothing; under five words make one shingle; rows
 that repeat an id are one node and stay as rows; a null id gets a null component and is kept; other columns are not
@@ -35,7 +37,7 @@ NUM, DEN = 75, 100
 #: Most bits in which the odd sketches of two documents to be compared may differ: the count expected at similarity
 #: 0.675, which is 4.5 standard deviations of the estimate below 0.75.
 MOST_BITS = int(np.ceil(BITS / 2 * (1 - np.exp(-2 * 2 * SAMPLES * (1 - 0.675) / BITS))))
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS, BLOCK_ROWS = 2, 512
 _C = 0x9E3779B97F4A7C15
 _rng = np.random.Generator(np.random.PCG64(9))
 _A = _rng.integers(0, 2**63, size=SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,17 +195,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = relabel(found if k else found.union(repeated))
 
     rows = live.join(labels, "rep")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rows = cut(rows.join(mixed, "key"), "mixed")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    rows = cut(rows.join(mixed.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "key"), "mixed")
     alone = _alone(sets.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     rows = rows.join(signs, "rep").join(alone, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    rows = cut(rows.drop("alone"), "mixed")
+    rows = cut(rows.filter(F.col("common") * DEN >= F.col("n_shingles") * NUM).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).drop("alone"), "mixed")
     # a pair that shares several buckets is made in the first one only
     first = F.expr("forall(slice(zip_with(x.bands, y.bands, (p, q) -> p = q), 1, x.band), same -> not same)")
     both = F.least("x.common", "y.common")
     can = both * DEN >= (F.col("x.n_shingles") + F.col("y.n_shingles") - both) * NUM
-    cross = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & can & sketches_agree() & first)
-    labels = relabel(confirmed(cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()))
+    # the pair of blocks (block, other) has the texts of the one on the left and those of the other on the right
+    left = rows.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).alias("x")
+    right = rows.withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("other")))).alias("y")
+    same_blocks = F.expr("x.key = y.key and x.block = y.block and x.other = y.other")
+    differ = F.expr("x.comp < y.comp or (x.comp > y.comp and x.block <> x.other)")
+    cross = left.join(right, same_blocks & differ & can & sketches_agree() & first)
+    labels = relabel(confirmed(cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()))
 
     least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
     labels = labels.join(least, "comp").select("rep", "component_id")
