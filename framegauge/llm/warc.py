@@ -6,13 +6,16 @@ are never read. Of equal payloads of 1000 bytes at least, that with the largest
 revisits of it; a revisit holds the HTTP headers only.
 
 Reading: an archive is cut into byte ranges, and a task owns the records that start inside its range. It looks for the
-gzip magic from the range's start and takes a place for a member only if the bytes there decode to a WARC header
-(magic bytes occur inside compressed data, too). From an accepted member it goes on to the next where that one ends,
+gzip magic from the range's start and takes a place for a member only if the bytes there decode to a WARC header (magic
+bytes occur inside compressed data, too): the version, a type, a record id and a length, which the unpacked member must
+have. From an accepted member it goes on to the next where that one ends,
 and reads past its range's end only to finish the last record it owns.
 
 Cases: null payloads are empty; a null url is left out of the record and comes back null; rows that repeat are records
 of their own (two rows with the largest id are both responses); a null page id is always a response; damaged bytes
-between members are skipped; an empty table gives archives without records or none, and no rows.
+between members, and members that are no such record, are skipped; a revisit without a digest or HTTP length has null
+there; very long payloads are held by a task one at a time; other columns are not looked at; an empty table gives
+archives without records or none, and no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ MAGIC, END = b"\x1f\x8b\x08", b"\r\n"
 # Fixed values of the format.
 VERSION, DATE = b"WARC/1.1", b"2000-01-01T00:00:00Z"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_CHUNK, _PROBE = 1 << 20, 1 << 14
+NEEDED = ("warc-type", "warc-record-id", "content-length")
+#: Bytes read at once, bytes read to look for a header, and the most that a header may have.
+_CHUNK, _PROBE, _HEADER = 1 << 20, 1 << 14, 1 << 16
 
 
 def _filesystem(path: str):
@@ -73,18 +78,34 @@ def _page(urn: str | None) -> int | None:
     return int(tail) if tail.lstrip("-").isdigit() else None
 
 
+def decode_header(data: bytes) -> dict[str, str] | None:
+    """Fields of the record header at the start of data; None if there is none with all that a record needs."""
+    if not data.startswith(VERSION[:5]) or END + END not in data[: _HEADER + 4]:
+        return None
+    fields = _headers(data[: data.index(END + END)])
+    return fields if all(fields.get(c) for c in NEEDED) and fields["content-length"].isdecimal() else None
+
+
 def decode_record(data: bytes) -> tuple:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of an unpacked record."""
-    head, _, rest = data.partition(END + END)
-    fields = _headers(head)
-    block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(END + END)
-    kind = fields.get("warc-type")
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of an unpacked record with a whole header."""
+    fields = decode_header(data)
+    start = data.index(END + END) + 4
+    http, _, payload = data[start : start + int(fields["content-length"])].partition(END + END)
+    kind = fields["warc-type"]
     if kind == "revisit":
-        size, digest = int(_headers(http)["content-length"]), base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex()
+        length, _, sha1 = _headers(http).get("content-length", ""), *fields.get("warc-payload-digest", "").partition(":")[1:]
+        size, digest = int(length) if length.isdecimal() else None, _hex(sha1)
     else:
         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-    return _page(fields.get("warc-record-id")), fields.get("warc-target-uri"), size, digest, kind, _page(fields.get("warc-refers-to"))
+    return _page(fields["warc-record-id"]), fields.get("warc-target-uri"), size, digest, kind, _page(fields.get("warc-refers-to"))
+
+
+def _hex(sha1: str) -> str | None:
+    """Hexadecimal form of a base-32 digest."""
+    try:
+        return base64.b32decode(sha1).hex() or None
+    except ValueError:
+        return None
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -119,7 +140,7 @@ def read_range(path: str, start: int, end: int) -> Iterator[bytes]:
         size, at = f.size(), start
         while at < min(end, size):
             member = _member(f, at, size)
-            if member:
+            if member and is_record(member[0]):
                 data, at = member
                 yield data
                 continue
@@ -133,7 +154,7 @@ def read_range(path: str, start: int, end: int) -> Iterator[bytes]:
 
 
 def _member(f, at: int, size: int) -> tuple[bytes, int] | None:
-    """The member at this place, unpacked, and where it ends; None if none is there that decodes to a record."""
+    """The member at this place, unpacked, and where it ends; None if none is there that begins as a record."""
     first = f.read_at(min(_PROBE, size - at), at)
     if not first.startswith(MAGIC):
         return None
@@ -152,6 +173,12 @@ def _member(f, at: int, size: int) -> tuple[bytes, int] | None:
     return (b"".join(data), look - len(unpacker.unused_data)) if unpacker.eof else None
 
 
+def is_record(data: bytes) -> bool:
+    """Whether an unpacked member has a header with all that a record needs, and as many bytes as that says."""
+    fields = decode_header(data)
+    return fields is not None and len(data) >= data.index(END + END) + 4 + int(fields["content-length"])
+
+
 def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """archives: path and bytes. Gives page_id, url, payload_bytes, payload_digest, record_type and refers_to."""
     ranges = archives.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
