@@ -8,7 +8,7 @@ for each level (children in order of capacity over weight fill up first).
 
 A leaf with a budget of T tokens gives T // supply whole epochs and, of one more epoch, the prefix of rows whose
 running sum of tokens stays within the rest; an epoch's order is that of md5(seed:epoch:doc_id). Running sums are made
-for each leaf and first digits of the digest (three, more from GROUP_ROWS rows a group on) and joined to the sums of
+for each leaf and first digits of the digest (two, more from GROUP_ROWS rows a group on) and joined to the sums of
 the groups before, so a source that holds a third of all rows is no hot task.
 
 Cases: null domain, language or source count as the value `unknown`; null and empty texts have no tokens and go with
@@ -92,7 +92,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, levels: Sequence[str] = ("d
 
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
     size = slim.count()
-    digits = next(d for d in range(3, 17) if size <= GROUP_ROWS * 16**d)
+    digits = next(d for d in range(2, 17) if size <= GROUP_ROWS * 16**d)
     rows = _with_leaf(slim, cut(budgets, "budgets"), levels).withColumn("digest", digest).withColumn("part", F.substring("digest", 1, digits))
     parts = rows.groupBy(*levels, "part").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy(*levels).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
