@@ -7,14 +7,19 @@ neighbours are spread over the partitions. Every vector of the table is put into
 to its `probes` likeliest ones. probes is the least number at which that part of the sample which was kept from the
 classifier finds RECALL of its true neighbours; where vectors have no structure it comes close to all.
 
+A sample of s vectors can teach s / 32 partitions. A table that needs more gets two levels: each partition's own sample
+(of about SAMPLE_ROWS rows again) is cut and learned in the same way, by a task for each partition, and a query goes to
+the likeliest inner partitions of its likeliest outer ones. So partitions keep to ROWS_A_PARTITION rows up to
+(SAMPLE_ROWS / 32) ** 2 of them, and what a query is compared with does not grow with the table.
+
 Partitions are split into blocks of about BLOCK_ROWS rows by a hash of the id, so that one common vector is no hot
 task. Queries are compared with whole blocks on the original vectors in double precision, each block gives its k best,
 and the k best of all blocks are ranked.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, or have another length than the
 most frequent one, take no part; null ids take no part; rows that repeat an id are one candidate (its nearest vector) and one query
-(the nearest of any of them); ties go to the smaller id; fewer than k candidates are all given; an empty table gives
-an empty result; other columns are not looked at.
+(the nearest of any of them); ties go to the smaller id, and distances beyond the largest double are ties; fewer than k
+candidates are all given; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -91,6 +96,29 @@ class Router:
         return np.argsort(-(x @ self.weights + self.bias), axis=1, kind="stable")
 
 
+def _parts_for(n: int, sampled: int, rows_a_partition: int) -> int:
+    """Number of partitions, a power of two, for n rows of which so many were sampled."""
+    wanted = min(max(1, n // rows_a_partition), max(1, sampled // 32))
+    return 1 << (wanted.bit_length() - 1)
+
+
+def _inner_routers(homes: DataFrame, counts: dict[int, int], width: int, sample_rows: int, rows_a_partition: int, recall: float) -> dict[int, Router]:
+    """A router inside each outer partition, fitted by a task for each on a sample of its rows.
+
+    homes: vec_id, v and part. What comes back is one matrix of at most width x sample_rows / 32 for each partition.
+    """
+    shares = F.get(F.lit([min(1.0, sample_rows / max(1, counts.get(p, 1))) for p in range(max(counts) + 1)]), F.col("part"))
+    sample = homes.filter(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < shares * (1 << 30))
+
+    def fit(table: pa.Table) -> pa.Table:
+        part, x = table.column("part")[0].as_py(), _matrix(table.column("v"))
+        router = fit_router(x, _parts_for(counts[part], len(x), rows_a_partition), recall=recall)
+        return pa.table({"part": pa.array([part], pa.int32()), "probes": pa.array([router.probes], pa.int32()), "weights": [router.weights.ravel().tolist()], "bias": [router.bias.tolist()]})
+
+    found = sample.groupBy("part").applyInArrow(fit, "part int, probes int, weights array<double>, bias array<double>").collect()
+    return {r["part"]: Router(np.array(r["weights"]).reshape(width, -1), np.array(r["bias"]), r["probes"]) for r in found}
+
+
 def fit_classifier(x: np.ndarray, target: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Softmax regression on soft targets by gradient descent with momentum."""
     w, b = np.zeros((x.shape[1], target.shape[1])), np.zeros(target.shape[1])
@@ -147,45 +175,69 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 100, id_col: s
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
     lists = sample.column("v").to_pylist()
     x = np.array(lists).reshape(-1, width) if width else np.zeros((0, 1))
-    wanted = min(max(1, n // rows_a_partition), max(1, len(x) // 32))
-    parts = 1 << (wanted.bit_length() - 1)
-    router = fit_router(x, parts)
+    parts = _parts_for(n, len(x), rows_a_partition)
+    two_levels = n // parts >= 2 * rows_a_partition and parts > 1
+    recall = RECALL**0.5 if two_levels else RECALL
+    router, inner = fit_router(x, parts, recall=recall), {}
+    if two_levels:
+
+        def home(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                if batch.num_rows:
+                    best = router.ranked(_matrix(batch.column(1)))[:, 0].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best)], names=["vec_id", "v", "part"])
+
+        outer = rows.mapInArrow(home, "vec_id long, v array<double>, part int")
+        counts = {r["part"]: r["n"] for r in outer.groupBy("part").agg(F.count("*").alias("n")).collect()}
+        inner = _inner_routers(outer, counts, width, sample_rows, rows_a_partition, recall)
+    step = max([1, *(len(r.bias) for r in inner.values())])
+
+    def places(v: np.ndarray) -> list[list[int]]:
+        """Partitions of each row, likeliest first: outer ones times step, plus the inner one."""
+        ranked = router.ranked(v)[:, : router.probes]
+        out: list[list[int]] = [[] for _ in range(len(v))]
+        for k in range(ranked.shape[1]):
+            for p in np.unique(ranked[:, k]):
+                at = np.flatnonzero(ranked[:, k] == p)
+                own = inner[p].ranked(v[at])[:, : inner[p].probes] if p in inner else np.zeros((len(at), 1), np.int64)
+                for i, found in zip(at, (p * step + own).tolist(), strict=True):
+                    out[i] += found
+        return out
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
-                ranked = router.ranked(_matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(ranked[:, : router.probes].astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places(_matrix(batch.column(1))), pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
 
     placed = rows.mapInArrow(place, "vec_id long, v array<double>, parts array<int>")
     homes = placed.select("vec_id", "v", F.col("parts")[0].alias("part"))
-    # one row for each partition, of which there are at most sample_rows / 32
-    blocks = {r["part"]: max(1, ceil(r["n"] / block_rows)) for r in homes.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    split = F.coalesce(F.get(F.lit([blocks.get(p, 1) for p in range(parts)]), F.col("part")), F.lit(1))
-    homes = homes.withColumn("block", F.pmod(F.xxhash64("vec_id"), split).cast("int"))
+    # one row for each partition, of which there are at most (sample_rows / 32) ** 2
+    sizes = cut(homes.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "blocks")
+    homes = homes.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
     asked = placed.filter(F.col("vec_id") % every == 0).select("vec_id", "v", F.explode("parts").alias("part"))
-    asked = asked.select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), split - 1)).alias("block"))
+    asked = asked.join(F.broadcast(sizes), "part").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"), F.col("part").alias("q_part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"))
 
     def compare(queries: pa.Table, own: pa.Table) -> pa.Table:
-        q_ids, ids = queries.column("vec_id").to_numpy(), own.column("vec_id").to_numpy()
+        q_ids, ids = queries.column("q_id").to_numpy(), own.column("vec_id").to_numpy()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(q_ids) and len(ids):
-            q, v = _matrix(queries.column("v")), _matrix(own.column("v"))
+            q, v = _matrix(queries.column("q")), _matrix(own.column("v"))
             order = np.argsort(ids, kind="stable")
             ids, v = ids[order], v[order]
             ids, starts = np.unique(ids, return_index=True)
             for i, one in zip(q_ids, q, strict=True):
                 # the least distance of each id, before any is left out
                 d = np.minimum.reduceat(np.sqrt(((v - one) ** 2).sum(axis=1)), starts)
-                d[ids == i] = np.inf
-                near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                near = near[np.argsort(d[near], kind="stable")]
-                near = near[np.isfinite(d[near])][:k]
-                out.append((np.full(len(near), i), ids[near], d[near]))
+                others = np.flatnonzero(ids != i)
+                d = d[others]
+                if len(d):
+                    near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                    near = near[np.argsort(d[near], kind="stable")][:k]
+                    out.append((np.full(len(near), i), ids[others[near]], d[near]))
         parts_ = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(parts_[0], pa.int64()), pa.array(parts_[1], pa.int64()), pa.array(parts_[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("part", "block").cogroup(homes.groupBy("part", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = asked.groupBy("q_part", "q_block").cogroup(homes.groupBy("part", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

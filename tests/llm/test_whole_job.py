@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from framegauge.llm import ann, decontam, toxicity
 
 
@@ -96,3 +98,25 @@ def test_large_lexicons_are_kept_whole(spark):
     rows = [(1, " ".join(words))] * 6 + [(0, "nothing here")] * 200
     found = toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, text string"))
     assert toxicity.LEARN_ROWS >= 20_000 and all(w in found or any(w[:k] in found for k in toxicity.STEMS) for w in words)
+
+
+def test_distances_beyond_doubles_are_candidates(spark):
+    rows = [(0, [1e200, 0.0]), (1, [-1e300, 1.0]), (2, [-1e300, 2.0]), (3, [1e200, 1.0])]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [3, 1, 2] and found[0].score == 1.0 and found[1].score == float("inf")
+
+
+def test_two_levels_of_partitions_equal_brute_force(spark):
+    rng = np.random.Generator(np.random.PCG64(4))
+    centres = rng.standard_normal((60, 8)) * 6
+    x = centres[rng.integers(0, 60, 6000)] + rng.standard_normal((6000, 8))
+    frame = spark.createDataFrame([(i, v.tolist(), i) for i, v in enumerate(x)], "vec_id long, embedding array<double>, part int")
+    got, hits = {}, 0
+    for r in ann.nearest(frame, sample_rows=256, rows_a_partition=64, block_rows=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sorted(got) == list(range(0, 6000, 100)) and {len(v) for v in got.values()} == {10}
+    for q, found in got.items():
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(found & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(got)
