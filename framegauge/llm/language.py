@@ -6,9 +6,11 @@ one's by one, and the third one's. A text's hypervector is the sum of its bound
 the sum of its learning texts' hypervectors, each at length 1, less the mean of all prototypes (what all languages
 share). The prediction is the prototype of greatest cosine.
 
-What reaches the driver is a sum for each language and dimension. Cases: null text, or one without a letter, gives
+What reaches the driver is a sum for each language and dimension; a column of over MOST_LANGUAGES values is refused
+with an error, since it holds no languages. Cases: null text, or one without a letter, gives
 `und` and score 0; ties go to the first language in order; learning leaves out null languages and texts without
-letters; with nothing learned all is `und`; null ids are allowed and held out never; other columns are not looked at.
+letters; with nothing learned all is `und`; very long texts are read whole; rows that repeat are learned and predicted
+each; null ids are allowed and held out never; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .text import batches
 
 DIMENSIONS, SEED = 512, 8
+#: Prototypes are brought to the driver and sent to every task; more languages than this are refused.
+MOST_LANGUAGES = 10_000
 #: Texts whose hypervectors are summed in one matrix product.
 ROWS = 256
 _STEP = 1 << 20
@@ -119,6 +123,9 @@ def _bundle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, one row each."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    n = rows.select("lang").distinct().count()
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has {n} values, more than {MOST_LANGUAGES}: no languages")
     found = rows.mapInArrow(_bundle, "lang string, d int, x double").groupBy("lang", "d").agg(F.sum("x").alias("x")).collect()
     langs = sorted({r["lang"] for r in found})
     sums = np.zeros((len(langs), DIMENSIONS))
