@@ -5,15 +5,17 @@ starts anywhere else, in this document or another.
 
 1. Every window picks an anchor: the 10-word phrase of least hash inside it. Equal windows pick the same phrase, so
    only windows around phrases that occur twice can recur (about one phrase in thirteen words is ever looked at).
-2. Windows around such phrases are confirmed: a 128-bit hash of all 35 words must occur at two places at least.
+2. Windows around such phrases are confirmed: a 96-bit hash of all 35 words must occur at two places at least.
 3. Recurring windows that follow each other at exactly the same places form one passage. Its words are taken from the
    document with the smallest id that holds it.
 4. Each shard of documents (about SHARD_BYTES of text) gets the passages whose rarest anchor it holds, compiles them
    (as sequences of word numbers) into one Aho-Corasick automaton, and streams its documents through it. Every
-   occurrence found has its words removed; the match is on words, not on hashes.
+   occurrence found has its words removed; the match is on words, not on hashes. Where even the rarest anchor stands
+   at over HOT_ANCHOR places, very many shards have it and very many passages may; such a passage goes to the shards
+   that hold its own first window, so never to more of them than it occurs in.
 
-Texts are dealt into shards by their hash, once for all steps. Equal texts meet in a shard and are looked at once, with
-their number as weight; only texts that hold over a thousandth of all rows (so under a thousand of them) are dealt
+Texts are dealt into shards by their hash, once for all steps. Equal texts (told apart by 96 bits of hash) meet in a
+shard and are looked at once, with their number as weight; only texts that hold over a thousandth of all rows (so under a thousand of them) are dealt
 over all shards. A shard adds up equal windows of its own before they are shuffled, so a passage in very many
 documents is one row for each shard.
 
@@ -29,7 +31,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import Slice, batches, mix, ngram_hashes, slices
@@ -41,6 +43,8 @@ PIECE = 256
 PLACE_BITS = (1 << 40) - 1
 #: Texts with over COPIES_AT_LEAST copies and over 1 / HOT_TEXTS of all rows are dealt over all shards.
 HOT_TEXTS, COPIES_AT_LEAST = 1000, 100
+#: Places from which on an anchor no longer says which shards get a passage.
+HOT_ANCHOR = 10_000
 _C1, _C2, _C3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
@@ -55,30 +59,39 @@ def _anchors(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, at, grams[at].view(np.int64)
 
 
-def _distinct(docs: pa.Table) -> tuple[pa.Table, dict[int, int]]:
-    """One row for each text of a shard, and how often each is there."""
-    keys = docs.column("key").to_numpy()
-    _, first, weight = np.unique(keys, return_index=True, return_counts=True)
-    return docs.take(pa.array(first)), dict(zip(keys[first].tolist(), weight.tolist(), strict=True))
+def _distinct(docs: pa.Table) -> pa.Table:
+    """One row for each text of a shard, with how often it is there as `weight`."""
+    key, check = docs.column("key").to_numpy(), docs.column("check").to_numpy()
+    order = np.lexsort((check, key))
+    key, check = key[order], check[order]
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1]))))
+    return docs.take(pa.array(order[first])).append_column("weight", pa.array(np.diff(np.append(first, len(order)))))
 
 
-def _parts(docs: pa.Table) -> Iterator[tuple[Slice, np.ndarray]]:
-    """Slices of a shard's texts with their keys."""
+def _parts(docs: pa.Table) -> Iterator[tuple[Slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of a shard's distinct texts with their keys, checks and weights."""
     for batch in batches(docs.to_batches()):
-        keys = batch.column("key").to_numpy()
+        columns = [batch.column(c).to_numpy() for c in ("key", "check", "weight")]
         for s in slices(batch.column("text")):
-            yield s, keys[s.rows.start : s.rows.stop]
+            yield s, *(c[s.rows.start : s.rows.stop] for c in columns)
+
+
+def _window_hashes(words: np.ndarray, starts: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of hash of the windows that start at these places of a row of word hashes."""
+    h1 = mix(ngram_hashes(words, WINDOW, _C2)[starts]).view(np.int64)
+    h2 = mix(ngram_hashes(mix(words + np.uint64(_C2)), WINDOW, _C3)[starts]) >> np.uint64(32)
+    return h1, h2.astype(np.uint32).view(np.int32)
 
 
 def _find_anchors(docs: pa.Table) -> pa.Table:
     """Each anchor of a shard once, and at how many places it stands there."""
-    docs, weight = _distinct(docs)
+    docs = _distinct(docs)
     anchors, times = [], []
-    for s, keys in _parts(docs):
+    for s, _, _, weight in _parts(docs):
         _, at, anchor = _anchors(s)
         at, first = np.unique(at, return_index=True)
         anchors.append(anchor[first])
-        times.append(np.array([weight[k] for k in keys.tolist()], np.int64)[s.doc[at]])
+        times.append(weight[s.doc[at]])
     anchor, times = np.concatenate(anchors), np.concatenate(times)
     order = np.argsort(anchor)
     anchor, times = anchor[order], times[order]
@@ -87,15 +100,17 @@ def _find_anchors(docs: pa.Table) -> pa.Table:
     return pa.table([pa.array(shard), pa.array(anchor[first]), pa.array(np.add.reduceat(times, first) if len(first) else times)], names=["shard", "anchor", "times"])
 
 
-def _by_key(table: pa.Table, columns: list[str]) -> dict[int, list[np.ndarray]]:
-    """The columns' values for each key."""
+def _by_text(table: pa.Table, columns: list[str]) -> dict[tuple[int, int], list[np.ndarray]]:
+    """The columns' values for each key and check."""
     if not table.num_rows:
         return {}
-    key = table.column("key").to_numpy()
-    order = np.argsort(key, kind="stable")
-    cuts = np.flatnonzero(np.diff(key[order])) + 1
+    key, check = table.column("key").to_numpy(), table.column("check").to_numpy()
+    order = np.lexsort((check, key))
+    key, check = key[order], check[order]
+    cuts = np.flatnonzero((key[1:] != key[:-1]) | (check[1:] != check[:-1])) + 1
     parts = [np.split(table.column(c).to_numpy()[order], cuts) for c in columns]
-    return {int(k): list(x) for k, *x in zip(key[order][np.append(0, cuts)], *parts, strict=True)}
+    heads = np.append(0, cuts)
+    return {(k, c): list(x) for k, c, *x in zip(key[heads].tolist(), check[heads].tolist(), *parts, strict=True)}
 
 
 def _rotated(x: np.ndarray, k: int) -> np.ndarray:
@@ -120,31 +135,20 @@ def _here(key: np.ndarray, pos: np.ndarray) -> np.ndarray:
 def _windows(docs: pa.Table, cand: pa.Table) -> pa.Table:
     """A row for each distinct window around the shard's repeated anchors; here and before are sums over its places in
     the shard, null where there is one place only."""
-    names = ["shard", "h1", "h2", "key", "pos", "n", "times", "here", "before"]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["shard", "h1", "h2", "key", "check", "pos", "n", "times", "here", "before"]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     if not (docs.num_rows and cand.num_rows):
         return pa.table([pa.array([], t) for t in types], names=names)
-    docs, weight = _distinct(docs)
-    repeated, n_of = cand.column("anchor").to_numpy(), cand.column("n").to_numpy()
-    order = np.argsort(repeated)
-    repeated, n_of = repeated[order], n_of[order]
     out = []
-    for s, keys in _parts(docs):
-        starts, _, anchor = _anchors(s)
-        place = np.minimum(np.searchsorted(repeated, anchor), len(repeated) - 1)
-        hit = np.flatnonzero(repeated[place] == anchor)
-        if len(hit):
-            starts, n = starts[hit], n_of[place[hit]]
-            h1 = mix(ngram_hashes(s.hashes, WINDOW, _C2)[starts]).view(np.int64)
-            h2 = (mix(ngram_hashes(mix(s.hashes + np.uint64(_C2)), WINDOW, _C3)[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            doc = s.doc[starts]
-            times = np.array([weight[k] for k in keys.tolist()], np.int64)[doc]
-            out.append((h1, h2, keys[doc], (starts - s.first[doc]).astype(np.int32), n, times))
+    for s, keys, checks, weight, starts, n in _around(docs, cand):
+        h1, h2 = _window_hashes(s.hashes, starts)
+        doc = s.doc[starts]
+        out.append((h1, h2, keys[doc], checks[doc], (starts - s.first[doc]).astype(np.int32), n, weight[doc]))
     if not out:
         return pa.table([pa.array([], t) for t in types], names=names)
-    h1, h2, key, pos, n, times = (np.concatenate(c) for c in zip(*out, strict=True))
-    order = np.lexsort((pos, key, h2, h1))
-    h1, h2, key, pos, n, times = (c[order] for c in (h1, h2, key, pos, n, times))
+    h1, h2, key, check, pos, n, times = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.lexsort((pos, check, key, h2, h1))
+    h1, h2, key, check, pos, n, times = (c[order] for c in (h1, h2, key, check, pos, n, times))
     first = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
     alone = np.diff(np.append(first, len(h1))) == 1
     times, here, before = (np.add.reduceat(c, first) for c in (times, _here(key, pos), _here(key, pos - 1)))
@@ -153,35 +157,74 @@ def _windows(docs: pa.Table, cand: pa.Table) -> pa.Table:
     order = np.lexsort((pos[first], key[first]))
     first, alone = first[order], alone[order]
     shard = np.full(len(first), docs.column("shard")[0].as_py(), np.int32)
-    columns = [shard, h1[first], h2[first], key[first], pos[first], n[order], times[order]]
+    columns = [shard, h1[first], h2[first], key[first], check[first], pos[first], n[order], times[order]]
     return pa.table([*map(pa.array, columns), pa.array(here[order], mask=alone), pa.array(before[order], mask=alone)], names=names)
 
 
-def _passages(docs: pa.Table, recurring: pa.Table) -> pa.Table:
-    anchors, pieces = [], []
-    found = _by_key(recurring, ["pos", "n", "times", "here", "before"])
+def _around(docs: pa.Table, cand: pa.Table) -> Iterator[tuple[Slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of a shard with the windows around its repeated anchors: keys, checks and weights of the texts, first words
+    of the windows, and at how many places their anchors stand."""
+    repeated, n_of = cand.column("anchor").to_numpy(), cand.column("n").to_numpy()
+    order = np.argsort(repeated)
+    repeated, n_of = repeated[order], n_of[order]
+    for s, keys, checks, weight in _parts(_distinct(docs)):
+        starts, _, anchor = _anchors(s)
+        place = np.minimum(np.searchsorted(repeated, anchor), len(repeated) - 1)
+        hit = np.flatnonzero(repeated[place] == anchor)
+        if len(hit):
+            yield s, keys, checks, weight, starts[hit], n_of[place[hit]]
+
+
+def _hot_windows(docs: pa.Table, cand: pa.Table, hot_anchor: int) -> pa.Table:
+    """The distinct windows of a shard whose anchors stand at over hot_anchor places."""
+    hot = cand.filter(pa.array(cand.column("n").to_numpy() > hot_anchor, pa.bool_()))
+    found = np.zeros(0, [("k1", np.int64), ("k2", np.int32)])
+    if docs.num_rows and hot.num_rows:
+        for s, _, _, _, starts, _ in _around(docs, hot):
+            new = np.zeros(len(starts), found.dtype)
+            new["k1"], new["k2"] = _window_hashes(s.hashes, starts)
+            found = np.unique(np.concatenate((found, new)))
+    shard = np.full(len(found), docs.column("shard")[0].as_py() if docs.num_rows else 0, np.int32)
+    return pa.table({"shard": pa.array(shard), "k1": pa.array(found["k1"].copy()), "k2": pa.array(found["k2"].copy())})
+
+
+def _passages(docs: pa.Table, recurring: pa.Table, hot_anchor: int) -> pa.Table:
+    """Passages with what names the shards that get them: their rarest anchor and 0, or the hash of their first window."""
+    k1s, k2s, pieces = [], [], []
+    found = _by_text(recurring, ["pos", "n", "times", "here", "before"])
     if found:
-        docs, _ = _distinct(docs.filter(pa.array([k in found for k in docs.column("key").to_pylist()], pa.bool_())))
-        for s, keys in _parts(docs):
+        texts = zip(docs.column("key").to_pylist(), docs.column("check").to_pylist(), strict=True)
+        docs = _distinct(docs.filter(pa.array([t in found for t in texts], pa.bool_())))
+        for s, keys, checks, _ in _parts(docs):
             first_words, _, anchor = _anchors(s)
             anchor_of = np.zeros(len(s.hashes), np.int64)
             anchor_of[first_words] = anchor
-            for i, k in enumerate(keys.tolist()):
-                pos, n, times, here, before = found[k]
+            for i, text in enumerate(zip(keys.tolist(), checks.tolist(), strict=True)):
+                pos, n, times, here, before = found[text]
                 order = np.argsort(pos)
                 pos, n, times, here, before = (x[order] for x in (pos, n, times, here, before))
                 new = (np.diff(pos) != 1) | (times[1:] != times[:-1]) | (before[1:] != here[:-1])
                 cuts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(pos)]))
                 words = s.words(i)
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    rare = int(anchor_of[s.first[i] + pos[a + n[a:b].argmin()]])
+                    rarest = a + n[a:b].argmin()
+                    named = int(anchor_of[s.first[i] + pos[rarest]]), 0
                     start, end = int(pos[a]), int(pos[b - 1]) + WINDOW
                     while start < end:
                         stop = start + PIECE if end - start - PIECE >= WINDOW else end
-                        anchors.append(rare)
+                        if n[rarest] > hot_anchor:
+                            at = s.first[i] + start
+                            named = tuple(int(h[0]) for h in _window_hashes(s.hashes[at : at + WINDOW], slice(None)))
+                        k1s.append(named[0])
+                        k2s.append(named[1])
                         pieces.append(b" ".join(words[start:stop]))
                         start = stop
-    return pa.table({"anchor": pa.array(anchors, pa.int64()), "piece": pa.array(pieces, pa.binary())})
+    return pa.table({"k1": pa.array(k1s, pa.int64()), "k2": pa.array(k2s, pa.int32()), "piece": pa.array(pieces, pa.binary())})
+
+
+def text_key(text: Column) -> Column:
+    """What deals texts into shards; F.hash tells those with one key apart."""
+    return F.xxhash64(text)
 
 
 def _remover(names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -195,8 +238,9 @@ def _remover(names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
             automaton.add_word(ids, len(ids))
         automaton.make_automaton()
         number, n_words, n_removed, kept_text = vocabulary.get, [], [], []
-        done: dict[int, tuple[int, int, str]] = {}
-        for key, text in zip(docs.column("key").to_pylist(), docs.column("text").to_pylist(), strict=True):
+        done: dict[tuple[int, int], tuple[int, int, str]] = {}
+        for *names_of_text, text in zip(*(docs.column(c).to_pylist() for c in ("key", "check", "text")), strict=True):
+            key = tuple(names_of_text)
             if key in done:
                 for column, value in zip((n_words, n_removed, kept_text), done[key], strict=True):
                     column.append(value)
@@ -220,7 +264,7 @@ def _remover(names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return remove
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """The rows of docs without text_col, with n_words, n_removed and kept_text (kept words joined by one space)."""
     others = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept_text")]
     docs = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
@@ -228,7 +272,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", shard_bytes: int = S
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, ceil(size / shard_bytes))
     # equal texts have equal keys; the few texts with very many copies are dealt over all shards
-    docs = docs.withColumn("key", F.xxhash64("text"))
+    docs = docs.withColumns({"key": text_key(F.col("text")), "check": F.hash("text")})
     counts = docs.groupBy("key").agg(F.count("*").alias("copies"))
     most = counts.agg((F.sum("copies") / HOT_TEXTS).alias("most"))
     hot = [r["key"] for r in counts.join(F.broadcast(most), F.col("copies") > F.greatest("most", F.lit(COPIES_AT_LEAST))).select("key").collect()]
@@ -241,17 +285,19 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", shard_bytes: int = S
     cand = anchors.repartition("anchor").withColumn("n", F.sum("times").over(Window.partitionBy("anchor"))).filter("n > 1")
     cand = cand.select("shard", "anchor", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))
 
-    windows = by_shard.cogroup(cand.groupBy("shard")).applyInArrow(_windows, "shard int, h1 long, h2 int, key long, pos int, n int, times long, here long, before long")
+    windows = by_shard.cogroup(cand.groupBy("shard")).applyInArrow(_windows, "shard int, h1 long, h2 int, key long, check int, pos int, n int, times long, here long, before long")
     # shards have added up their own; equal rows of different shards meet once
     windows = windows.repartition("h1", "h2")
     place = lambda pos: F.xxhash64("key", pos.cast("long")).bitwiseAND(PLACE_BITS)
     recurring = windows.groupBy("h1", "h2").agg(
-        F.sum("times").alias("times"), F.min(F.struct("key", "pos", "shard")).alias("at"), F.min("n").alias("n"),
+        F.sum("times").alias("times"), F.min(F.struct("key", "check", "pos", "shard")).alias("at"), F.min("n").alias("n"),
         F.try_sum(F.coalesce("here", place(F.col("pos")))).alias("here"), F.try_sum(F.coalesce("before", place(F.col("pos") - 1))).alias("before"),
     ).filter("times > 1")
-    recurring = recurring.select("at.shard", "at.key", "at.pos", "n", "times", F.coalesce("here", F.lit(-1)).alias("here"), F.coalesce("before", F.lit(-2)).alias("before"))
-    passages = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(_passages, "anchor long, piece binary")
-    patterns = cand.join(passages, "anchor").select("shard", "piece")
+    recurring = recurring.select("at.shard", "at.key", "at.check", "at.pos", "n", "times", F.coalesce("here", F.lit(-1)).alias("here"), F.coalesce("before", F.lit(-2)).alias("before"))
+    passages = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(lambda d, r: _passages(d, r, hot_anchor), "k1 long, k2 int, piece binary")
+    holders = cand.filter(F.col("n") <= hot_anchor).select("shard", F.col("anchor").alias("k1"), F.lit(0).alias("k2"))
+    holders = holders.union(by_shard.cogroup(cand.groupBy("shard")).applyInArrow(lambda d, c: _hot_windows(d, c, hot_anchor), "shard int, k1 long, k2 int"))
+    patterns = holders.join(passages, ["k1", "k2"]).select("shard", "piece")
 
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in carried), "n_words long, n_removed long, kept_text string"])
