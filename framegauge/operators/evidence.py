@@ -22,10 +22,34 @@ def pairing(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 def binding_check(bindings: DataFrame, files: DataFrame, label: str) -> DataFrame:
     """bindings(id, path, digest) against files(path, actual): path_escape, missing or mismatch, each with the label."""
     rows = bindings.join(files, "path", "left")
-    reason = first_reason((F.col("path").contains(".."), f"path_escape_{label}"), (F.col("actual").isNull(), f"missing_{label}"), (F.col("actual") != F.col("digest"), f"mismatch_{label}"))
+    reason = first_reason((escapes(F.col("path")), f"path_escape_{label}"), (F.col("actual").isNull(), f"missing_{label}"), (F.col("actual") != F.col("digest"), f"mismatch_{label}"))
     return rows.select("id", reason.alias("reason"))
 
 
+def evidence_bindings(bundles: DataFrame, files: DataFrame, labels: Sequence[str], needed: Sequence[str]) -> DataFrame:
+    """First broken binding of each bundle, in the order of labels: missing_binding_<l>, or binding_check's reasons; null if none.
+
+    bundles: bundle_id and, for each label l, <l>_path and <l>_sha; files: path, actual. needed labels must be bound.
+    """
+    items = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(x).alias("label"), F.col(f"{x}_path").alias("path"), F.col(f"{x}_sha").alias("digest")) for i, x in enumerate(labels)))
+    rows = bundles.select("bundle_id", F.explode(items).alias("b")).select("bundle_id", "b.*").join(files, "path", "left")
+    bound = F.col("path").isNotNull() & F.col("digest").isNotNull()
+    code = first_reason(
+        (~bound & F.col("label").isin(*needed), "missing_binding"), (bound & escapes(F.col("path")), "path_escape"), (bound & F.col("actual").isNull(), "missing"), (bound & (F.col("actual") != F.col("digest")), "mismatch"))
+    bad = rows.withColumn("code", code).filter("code is not null").groupBy("bundle_id").agg(F.min(F.struct("ord", F.concat_ws("_", "code", "label").alias("reason"))).alias("f"))
+    return bundles.select("bundle_id").join(bad, "bundle_id", "left").select("bundle_id", "f.reason")
+
+
+def allow_listed(bundles: DataFrame, allowed: DataFrame, keys: Sequence[str] = ("specification_id", "provider_sha256")) -> DataFrame:
+    """The bundles whose keys the legacy list has."""
+    return bundles.join(allowed.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def escapes(path: Column) -> Column:
+    """Whether a path leaves its root: an absolute path, or one with `..` as a segment."""
+    return path.startswith("/") | path.rlike("(^|[/\\\\])\\.\\.([/\\\\]|$)")
+
+
 def linked(rows: DataFrame, links: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
     """rows with `reason`: the first of the links (column, table, its key, code) that leads nowhere."""
     flags = []

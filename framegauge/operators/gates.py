@@ -90,10 +90,16 @@ def metric_table(silhouette: DataFrame, drift: DataFrame) -> DataFrame:
 
 
 def gate_outcomes(metrics: DataFrame, strips: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Outcome of every gate that applies to a strip's class; profiles(motion_class, gate, status, budget, hard_fail)."""
-    live = F.broadcast(profiles.filter("status <> 'INAPPLICABLE'"))
-    rows = metrics.join(strips.select("strip_id", "motion_class"), "strip_id").join(live, ["motion_class", "gate"])
-    return rows.select("strip_id", "motion_class", "gate", canonical("metric").alias("metric"), "status", "budget", "hard_fail", tristate("metric", "status", "budget", "hard_fail").alias("outcome"))
+    """Outcome of every gate that applies to a strip's class; profiles(motion_class, gate, status, budget, hard_fail).
+
+    Gates of INAPPLICABLE profiles have no row. A gate without a profile, with an unknown status or without a budget
+    fails closed: outcome FAIL, and the reason in reason_code.
+    """
+    rows = metrics.join(strips.select("strip_id", "motion_class"), "strip_id").join(F.broadcast(profiles), ["motion_class", "gate"], "left")
+    rows = rows.filter("status is null or status <> 'INAPPLICABLE'")
+    reason = F.when(F.col("status").isNull(), "missing_profile").when(~F.col("status").isin("SEPARATED", "UNSEPARATED"), "unknown_status").when(F.col("budget").isNull(), "missing_budget")
+    outcome = F.when(reason.isNotNull(), "FAIL").otherwise(tristate("metric", "status", "budget", "hard_fail"))
+    return rows.select("strip_id", "motion_class", "gate", canonical("metric").alias("metric"), "status", "budget", "hard_fail", outcome.alias("outcome"), reason.alias("reason_code"))
 
 
 def strip_verdicts(outcomes: DataFrame) -> DataFrame:

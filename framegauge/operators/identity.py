@@ -1,33 +1,11 @@
-"""Registration of a rectangle of a canonical frame with an attempt, and landmark search."""
+"""Search of a single landmark."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def registered(canonical: DataFrame, attempt: DataFrame, box: tuple[int, int, int, int], offsets: list[tuple[int, int]]) -> DataFrame:
-    """Each place of the box (x0, y0, x1, y1, ends included) at each offset: whether occupancy differs there.
-
-    canonical and attempt: (strip_id, x, y, rgb); places outside of a frame are empty.
-    """
-    x0, y0, x1, y1 = box
-    strips = canonical.select("strip_id").union(attempt.select("strip_id")).distinct()
-    places = strips.select("strip_id", F.explode(F.sequence(F.lit(x0), F.lit(x1))).alias("x")).select("*", F.explode(F.sequence(F.lit(y0), F.lit(y1))).alias("y"))
-    moves = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets))
-    rows = places.select("*", F.explode(moves).alias("m")).select("strip_id", "x", "y", "m.dx", "m.dy")
-    rows = rows.join(canonical.select("strip_id", "x", "y", F.col("rgb").alias("p")), ["strip_id", "x", "y"], "left")
-    there = attempt.select("strip_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("rgb").alias("q"))
-    rows = rows.withColumns({"ax": F.col("x") + F.col("dx"), "ay": F.col("y") + F.col("dy")}).join(there, ["strip_id", "ax", "ay"], "left")
-    return rows.select("strip_id", "dx", "dy", "x", "y", (F.col("p").isNull() != F.col("q").isNull()).alias("differs"))
-
-
-def best_offset(scores: DataFrame) -> DataFrame:
-    """The offset with the fewest differences; ties go to the nearer one, then in order of dy and dx."""
-    order = Window.partitionBy("strip_id").orderBy("differs", F.abs("dx") + F.abs("dy"), "dy", "dx")
-    return scores.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
-
-
 def landmark(cells: DataFrame, x: int, y: int, most: int) -> DataFrame:
     """The cell nearest to (x, y) within `most` in the larger coordinate, ties by y and x; strips without one are absent."""
     d = F.greatest(F.abs(F.col("x") - x), F.abs(F.col("y") - y))

@@ -90,6 +90,55 @@ def thin(rows: DataFrame, key: str, at: str, ident: str, gap: float = 60.0) -> D
     return sorted_rows.select(key, F.explode(F.aggregate("all", start, step)["kept"]).alias(ident))
 
 
+LEDGER_VIEW = ("attempt_id", "predecessor_attempt_id", "outcome", "rejection_reason", "prompt_sha256", "raw_sha256", "selected")
+
+
+def attestation(bundles: DataFrame, committed: DataFrame, store: DataFrame, allowed: DataFrame, view: Sequence[str] = LEDGER_VIEW) -> DataFrame:
+    """State of each bundle: cell-author, legacy, attested, attempt_not_registered or attempt_ledger_not_attested.
+
+    bundles: bundle_id, specification_id, provider_sha256, attempt_id, cell_authored; committed: bundle_id, ord and the
+    view's fields (the ledger in the bundle); store: specification_id, ord and the view's fields but `selected`; allowed:
+    specification_id, provider_sha256. The store's rows up to the bundle's attempt, that one selected, must equal the
+    committed rows in order.
+    """
+    fields = [f for f in view if f != "selected"]
+    lists = committed.groupBy("bundle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*view).alias("row")))), lambda x: x["row"]).alias("own"))
+    rows = bundles.join(store, "specification_id").withColumns({"mine": store["attempt_id"] == bundles["attempt_id"]}).select("bundle_id", "ord", "mine", *(store[f] for f in fields))
+    rows = rows.withColumn("upto", F.min(F.when(F.col("mine"), F.col("ord"))).over(Window.partitionBy("bundle_id"))).filter(F.col("ord") <= F.col("upto")).withColumn("selected", F.col("ord") == F.col("upto"))
+    projected = rows.groupBy("bundle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*view).alias("row")))), lambda x: x["row"]).alias("wanted"))
+    legacy = allowed.select("specification_id", "provider_sha256", F.lit(True).alias("legacy")).distinct()
+    out = bundles.join(legacy, ["specification_id", "provider_sha256"], "left").join(lists, "bundle_id", "left").join(projected, "bundle_id", "left")
+    state = (
+        F.when(F.col("cell_authored"), "cell-author").when(F.col("legacy"), "legacy").when(F.col("wanted").isNull(), "attempt_not_registered")
+        .when(F.col("own").eqNullSafe(F.col("wanted")), "attested").otherwise("attempt_ledger_not_attested")
+    )
+    return out.select("bundle_id", state.alias("state"))
+
+
+def reset_slices(promotions: DataFrame, slices: DataFrame, promotion: str, status: str) -> DataFrame:
+    """promotions(id, status) as they stood when one promotion got its status: later slices pending, its own slice set.
+
+    slices: id and slice (a number); promotions without a slice, and earlier slices, stay as they are. A promotion
+    without a slice changes itself only.
+    """
+    at = slices.filter(F.col("id") == promotion).agg(F.max("slice").alias("at"))
+    rows = promotions.join(F.broadcast(slices), "id", "left").crossJoin(F.broadcast(at))
+    new = (
+        F.when(F.col("at").isNull(), F.when(F.col("id") == promotion, F.lit(status)).otherwise(F.col("status")))
+        .when(F.col("slice") > F.col("at"), "PENDING_VERIFICATION").when(F.col("slice") == F.col("at"), F.lit(status)).otherwise(F.col("status"))
+    )
+    return rows.select("id", new.alias("status"))
+
+
+def offline_summary(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """What a session gained while away, from the two snapshots (advance, ingots, ore, bagOre, heapOre)."""
+    names = ("advance", "ingots", "ore", "bagOre", "heapOre")
+    both = before.select(key, *(F.col(c).alias(f"b_{c}") for c in names)).join(after.select(key, *names), key)
+    gained = {c: F.col(c) - F.col(f"b_{c}") for c in names}
+    produced = gained["ore"] + gained["bagOre"] + gained["heapOre"] + gained["ingots"]
+    return both.select(key, gained["advance"].alias("advance_gained"), gained["ingots"].alias("ore_smelted"), produced.alias("ore_produced"), F.col("ore").alias("ore_backlog"))
+
+
 def append_once(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Rows of the batch whose key the ledger has not yet; a key that repeats in the batch enters once, with its first row."""
     first = Window.partitionBy(key).orderBy(*(F.col(c) for c in batch.columns if c != key))

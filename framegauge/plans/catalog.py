@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_evidence, q_frames, q_grid, q_ledger, q_scalars, q_streams
+from . import q_evidence, q_frames, q_grid, q_identity, q_ledger, q_records, q_review, q_scalars, q_streams
 
-MODULES = (q_frames, q_scalars, q_grid, q_ledger, q_evidence, q_streams)
+MODULES = (q_frames, q_scalars, q_grid, q_identity, q_ledger, q_evidence, q_records, q_review, q_streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,51 +18,12 @@ def src_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pairing(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), ["doc_id"])
 
 
-def src_json_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by the tag in their properties; unknown tags go to the rejects."""
-    e = _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int").alias("p"))
-    return e.select("event_id", F.col("p.k").alias("k"), F.when(F.col("p.k").isNull() | (F.col("p.k") >= 60), "unknown_schema").alias("reason"))
 
 
-def src_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Specifications from an array for each user; ids that repeat are marked."""
-    m = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct((F.col("event_id") % 500).alias("id"), F.col("event_type").alias("gate"))).alias("specifications"))
-    return m.select("user_id", F.explode("specifications").alias("s")).groupBy("user_id", "s.id").agg(F.count("*").alias("n")).withColumn("duplicate", F.col("n") > 1)
 
 
-def src_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles from a map of maps of text; budgets that are no numbers become null."""
-    text = F.when(F.col("p_size") % 5 == 0, "none").otherwise(F.col("p_size").cast("string"))
-    m = _t(spark, sf_dir, "part").filter("p_partkey < 500").select("p_partkey", F.create_map(F.col("p_type"), F.create_map(F.lit("budget"), text)).alias("m"))
-    rows = m.select("p_partkey", F.explode("m").alias("motion_class", "gates")).select("p_partkey", "motion_class", F.explode("gates").alias("gate", "value"))
-    return rows.select("p_partkey", "motion_class", "gate", F.col("value").try_cast("double").alias("budget"))
 
 
-def src_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates of each order's measurement map, one row each."""
-    m = _t(spark, sf_dir, "lineitem").filter("l_linenumber < 4").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_discount").alias("v"))
-    m = m.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("gate"), F.col("l_linenumber")), F.col("v")))).alias("gates"))
-    return m.select("l_orderkey", F.explode("gates").alias("gate", "metric"))
-
-
-def src_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "documents").withColumn("sha", F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.sha2("text", 256)))
-    return rows.filter("sha is not null and sha <> ''").select("doc_id", "sha", "source")
-
-
-def src_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Permitted offsets of each part's lock: a product of two ranges, for unordered boxes a reason."""
-    p = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 3).alias("dx"), (F.col("p_size") % 2).alias("dy"), (F.col("p_size") % 7 == 0).alias("inverted"))
-    rows = p.select("*", F.explode(F.sequence(-F.col("dx"), F.col("dx"))).alias("x")).select("*", F.explode(F.sequence(-F.col("dy"), F.col("dy"))).alias("y"))
-    return rows.select("p_partkey", "x", "y", F.when(F.col("inverted"), "inverted_rectangle").alias("reason"))
-
-
-def src_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of nested packs with their place; unknown kinds get a reason."""
-    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("entries"))
-    rows = c.select("conv_id", F.posexplode("entries").alias("place", "kind"))
-    return rows.select("conv_id", "place", "kind", F.when(~F.col("kind").isin("user", "assistant"), "unknown_kind").alias("reason"))
-
 
 def join_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
@@ -81,31 +42,12 @@ def join_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.linked(rows, links).filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def join_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = _t(spark, sf_dir, "nation").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey"))
-    return _t(spark, sf_dir, "customer").join(F.broadcast(allowed), "c_nationkey", "left_semi").select("c_custkey")
-
 
 def join_registered_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.col("o_custkey").cast("string"), 256).alias("digest"), "o_orderstatus")
     return E.last_with_digest(rows, "digest", "o_orderkey").filter("registered and o_orderstatus <> 'F'").select("o_orderkey", "digest")
 
 
-def join_attestation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each customer's orders, as an ordered list, equal those of the store, which lacks every 13th."""
-    o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    lists = lambda df, n: df.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias(n))
-    both = lists(o, "own").join(lists(o.filter("o_orderkey % 13 <> 0"), "store"), "o_custkey", "left")
-    state = F.when(F.col("store").isNull(), "attempt_not_registered").when(F.col("own") == F.col("store"), "attested").otherwise("attempt_ledger_not_attested")
-    return both.select("o_custkey", state.alias("state"))
-
-
-def join_evidence_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First of three bindings, in order, that is missing or wrong."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.sha2("source", 256).alias("src"), F.sha2("lang", 256).alias("lng"))
-    b = d.select("doc_id", F.expr("stack(3, 0, 'provider', if(doc_id % 6 = 0, null, sha), sha, 1, 'provenance', if(doc_id % 10 = 0, lng, src), src, 2, 'reference', lng, if(doc_id % 15 = 0, null, lng)) as (ord, label, claimed, actual)"))
-    bad = b.filter(~(F.col("claimed") == F.col("actual")) | F.col("claimed").isNull() | F.col("actual").isNull())
-    return bad.groupBy("doc_id").agg(F.min(F.struct("ord", "label")).alias("m")).select("doc_id", F.col("m.label").alias("first_bad"))
 
 
 def join_bundle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,12 +63,6 @@ def join_projection_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.projection_mismatches(p, other, ["p_partkey"], ["p_brand", "p_size"])
 
 
-def join_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Budget of each brand from its active controls; brands without one are blocked."""
-    part = _t(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    m = _t(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.max("l_discount").alias("good"), F.max(F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49), F.col("l_tax"))).alias("control"))
-    return m.select("p_brand", "good", "control", F.when(F.col("control").isNull(), "blocked").alias("reason"))
-
 
 def join_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders")
@@ -134,42 +70,21 @@ def join_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.divergence(o, second, "o_orderkey", "o_orderstatus")
 
 
-def join_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line flags of orders as tripped gates; every tenth order has no result yet."""
+def contract_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Line flags of orders as tripped gates, of which every tenth order has none yet; and what is expected."""
     li = _t(spark, sf_dir, "lineitem").filter("l_orderkey % 10 <> 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.when(F.col("l_tax") > 0.07, F.col("l_returnflag"))).alias("tripped"))
     wanted = F.when(F.col("o_orderstatus") == "O", F.array().cast("array<string>")).when(F.col("o_orderstatus") == "F", F.array(F.lit("A|N"))).otherwise(F.array(F.lit("R"), F.lit("A|N")))
     ex = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "PASS").otherwise("REVIEW").alias("expect"), wanted.alias("wanted"))
-    return E.contract(li, ex)
-
+    return li, ex
 
-def agg_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_contract(spark, sf_dir).agg(F.count_if(F.col("state") != "pending").alias("scored"), F.count_if(F.col("state") == "pending").alias("pending"), F.count_if(F.col("state") == "regression").alias("regressions"))
-
-
-def join_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Right edges of a strip's frames that equal the left edge of another frame."""
-    c = T.cells(spark, sf_dir)
-    edge = lambda x, n: c.filter(F.col("x") == x).groupBy("strip_id", F.col("frame").alias(n)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "rgb"))), lambda e: e["y"]), ",").alias("edge"))
-    return edge(7, "a").join(edge(0, "b"), ["strip_id", "edge"]).filter("a <> b").select("strip_id", "a", "b", "edge")
 
+def join_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.contract(*contract_tables(spark, sf_dir))
 
-def join_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strips that may be packed: passed, right size, and their class's timing."""
-    s = T.strips(spark, sf_dir).withColumn("passed", F.col("strip_id") % 4 != 0)
-    timing = spark.createDataFrame([("idle", 200), ("walk", 100), ("swing", 80)], "motion_class string, ms int")
-    rows = s.join(F.broadcast(timing), "motion_class", "left")
-    return rows.select("strip_id", E.first_reason((~F.col("passed"), "not_passed"), (F.col("n") != 4, "wrong_count"), (F.col("ms").isNull(), "no_policy")).alias("reason"))
 
 
-def join_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review packets: an order with its customer and lines, and the digest of all of it."""
-    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
-    rows = _t(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.select("o_orderkey", E.self_digest(F.struct("c_name", "lines", "o_orderkey", "o_orderstatus")).alias("packet_sha256"), F.size("lines").alias("n"))
 
 
-def fn_self_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "supplier").select("s_suppkey", E.self_digest(F.struct("s_name", "s_nationkey", "s_suppkey")).alias("digest"))
 
 
 def fn_config_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,103 +107,30 @@ def agg_polish_quorum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.question_quorum(a, ["click", "view"])
 
 
-def agg_blind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second turns that repeat the first five letters of the turn before: leaks."""
-    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    first = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.substring("text", 1, 5).alias("said"))
-    return c.join(first, ["conv_id", "turn"]).filter(F.contains("text", "said")).select("conv_id", "turn")
-
 
 def agg_worst_good(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_discount").alias("metric"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample"))
     return E.worst_good(li, ["l_returnflag", "l_linestatus"], "metric", "sample")
 
 
-def agg_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of line items under a new budget, where they change."""
-    from ..functions.scalars import canonical
-
-    v = (F.col("l_partkey") * 37 % 1009).cast("double") / 1009
-    old, new = canonical(v) <= 0.5, canonical(v) <= 0.45
-    return _t(spark, sf_dir, "lineitem").filter(old != new).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", canonical(v).alias("metric"))
 
 
-def agg_adversarial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each class and mutation: strips whose frame 2 the mutation changes, all strips, and the verdict."""
-    c, s = T.cells(spark, sf_dir), T.strips(spark, sf_dir)
-    m = grid.mutate(c, 8, 8).filter("frame = 2").groupBy("strip_id", "mutation").agg(F.sum(F.col("x") * 101 + F.col("y") * 7919 + F.shiftright("rgb", 16)).alias("p"), F.count("*").alias("n"))
-    plain = c.filter("frame = 2").groupBy("strip_id").agg(F.sum(F.col("x") * 101 + F.col("y") * 7919 + F.shiftright("rgb", 16)).alias("q"), F.count("*").alias("k"))
-    rows = m.join(plain, "strip_id").join(s.select("strip_id", "motion_class"), "strip_id")
-    out = rows.groupBy("motion_class", "mutation").agg(F.count_if((F.col("p") != F.col("q")) | (F.col("n") != F.col("k"))).alias("caught"), F.count("*").alias("n"))
-    return out.withColumn("verdict", F.when(F.col("caught") == F.col("n"), "ok").otherwise("GAP"))
 
 
-def agg_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many strips flag a frame that was moved by two to four cells, by frame and magnitude."""
-    c, f = T.cells(spark, sf_dir), T.frames(spark, sf_dir)
-    moved = c.select("*", F.explode(F.sequence(F.lit(2), F.lit(4))).alias("magnitude"))
-    moved = moved.withColumn("x", F.when(F.col("frame") == 1, F.col("x") + F.col("magnitude")).otherwise(F.col("x"))).filter("x < 8")
-    key = F.col("strip_id") * 10 + F.col("magnitude")
-    cells = moved.withColumn("strip_id", key).drop("magnitude")
-    frames = f.select("*", F.explode(F.sequence(F.lit(2), F.lit(4))).alias("magnitude")).withColumn("strip_id", key).drop("magnitude")
-    strips = pairs.anchors(cells, frames, T.classes(spark))
-    best = pairs.best_shift(pairs.shift_scores(pairs.adjacent(strips), pairs.masks(cells, frames), 4, 4))
-    return pairs.displacement_flags(strips, best).groupBy("frame", (F.col("strip_id") % 10).alias("magnitude")).agg(F.count("*").alias("flags"))
-
-
-def agg_identity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First failing check of each user's events, in the order of types then ids."""
-    e = _t(spark, sf_dir, "events").filter("value > 200").groupBy("user_id").agg(F.min(F.struct("event_type", "event_id")).alias("m"), F.count("*").alias("failures"))
-    return e.select("user_id", "m.event_type", "m.event_id", "failures")
-
-
-def agg_coherence_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All strict gates at once: same colours in frames 0 and 1, under 28 per cent changed, same cells on the lowest row."""
-    c = T.cells(spark, sf_dir)
-    a, b = c.filter("frame = 0").drop("frame"), c.filter("frame = 1").drop("frame")
-    both = a.select("strip_id", "x", "y", F.col("rgb").alias("p")).join(b.select("strip_id", "x", "y", F.col("rgb").alias("q")), ["strip_id", "x", "y"], "full_outer")
-    rows = both.groupBy("strip_id").agg(F.count_if(~F.col("p").eqNullSafe(F.col("q"))).alias("changed"), F.count("*").alias("n"), F.count_if((F.col("y") == 7) & (F.col("p").isNull() != F.col("q").isNull())).alias("moved"),
-                                         F.array_sort(F.collect_set("p")).alias("ps"), F.array_sort(F.collect_set("q")).alias("qs"))
-    return rows.select("strip_id", "changed", "n", "moved", (F.col("ps") == F.col("qs")).alias("palette"), ((F.col("ps") == F.col("qs")) & (F.col("changed") <= F.col("n") * 0.28) & (F.col("moved") == 0)).alias("pass"))
-
 
 C = f"WITH {T.CELLS}"
-LI = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey"
-MUT = """, m AS (SELECT strip_id, sum(x * 101 + y * 7919 + least(255, rgb // 65536 + 110)) AS p, count(*) AS n, 'recolour' AS mutation FROM cells WHERE frame = 2 GROUP BY 1 UNION ALL SELECT strip_id, sum(x * 101 + (y - 3) * 7919 + rgb // 65536), count(*), 'hop' FROM cells WHERE frame = 2 AND y >= 3 GROUP BY 1
-UNION ALL SELECT strip_id, sum((7 - x) * 101 + y * 7919 + rgb // 65536), count(*), 'mirror' FROM cells WHERE frame = 2 GROUP BY 1 UNION ALL SELECT strip_id, sum((x + 3) * 101 + y * 7919 + rgb // 65536), count(*), 'slide' FROM cells WHERE frame = 2 AND x < 5 GROUP BY 1
-UNION ALL SELECT strip_id, sum(x * 101 + y * 7919 + rgb // 65536), count(*), 'hold' FROM cells WHERE frame = 1 GROUP BY 1), q AS (SELECT strip_id, sum(x * 101 + y * 7919 + rgb // 65536) AS q, count(*) AS k FROM cells WHERE frame = 2 GROUP BY 1)"""
 SQL = {
     "src_pairing": "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_sidecar' WHEN d.doc_id IS NULL THEN 'missing_raw' END AS reason FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)",
-    "src_json_tagged": "SELECT event_id, CAST(props ->> '$.k' AS INT) AS k, CASE WHEN (props ->> '$.k') IS NULL OR CAST(props ->> '$.k' AS INT) >= 60 THEN 'unknown_schema' END AS reason FROM events",
-    "src_manifest": "SELECT user_id, event_id % 500 AS id, count(*) AS n, count(*) > 1 AS duplicate FROM events GROUP BY ALL",
-    "src_profiles": "SELECT p_partkey, p_type AS motion_class, 'budget' AS gate, CASE WHEN p_size % 5 <> 0 THEN p_size::DOUBLE END AS budget FROM part WHERE p_partkey < 500",
-    "src_measurements": "SELECT l_orderkey, 'gate' || l_linenumber AS gate, max(l_discount) AS metric FROM lineitem WHERE l_linenumber < 4 GROUP BY ALL",
-    "src_provenance": "SELECT doc_id, sha256(text) AS sha, source FROM documents WHERE doc_id % 9 <> 0",
-    "src_locks": "SELECT p_partkey, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CASE WHEN p_size % 7 = 0 THEN 'inverted_rectangle' END AS reason FROM part, range(-2, 3) t(x), range(-1, 2) u(y) WHERE abs(x) <= p_size % 3 AND abs(y) <= p_size % 2",
-    "src_pack": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS INT) AS place, role AS kind, CASE WHEN role NOT IN ('user','assistant') THEN 'unknown_kind' END AS reason FROM conversations",
     "join_binding": "SELECT doc_id AS id, CASE WHEN doc_id % 17 = 0 THEN 'path_escape_raw' WHEN doc_id % 11 = 0 THEN 'missing_raw' WHEN doc_id % 7 = 0 THEN 'mismatch_raw' END AS reason FROM documents",
     "join_integrity": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN o_orderkey IS NULL THEN 'broken_order' WHEN c_custkey IS NULL THEN 'broken_customer' WHEN p_partkey IS NULL THEN 'broken_part' WHEN s_suppkey IS NULL THEN 'broken_supplier' END AS reason FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 40 <> 5) ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 3) ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 50 <> 7) ON l_partkey = p_partkey LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 20 <> 1) ON l_suppkey = s_suppkey) WHERE reason IS NOT NULL GROUP BY 1",
-    "join_allowlist": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
     "join_registered_attempt": "SELECT o_orderkey, sha256(CAST(o_custkey AS VARCHAR)) AS digest FROM orders o WHERE o_orderstatus <> 'F' AND o_orderkey = (SELECT max(o_orderkey) FROM orders p WHERE p.o_custkey = o.o_custkey)",
-    "join_attestation": "SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderkey % 13 <> 0) = 0 THEN 'attempt_not_registered' WHEN count(*) FILTER (o_orderkey % 13 = 0) = 0 THEN 'attested' ELSE 'attempt_ledger_not_attested' END AS state FROM orders GROUP BY 1",
-    "join_evidence_bindings": "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'provider' WHEN doc_id % 10 = 0 THEN 'provenance' ELSE 'reference' END AS first_bad FROM documents WHERE doc_id % 6 = 0 OR doc_id % 10 = 0 OR doc_id % 15 = 0",
     "join_bundle_replay": C + " SELECT strip_id, frame, side, count(*) AS n FROM cells, (VALUES ('stored'), ('derived')) v(side) WHERE strip_id % 50 = 7 AND x = 3 GROUP BY ALL",
     "join_projection_eq": "SELECT p_partkey, f AS field FROM part, (VALUES ('p_brand'), ('p_size')) v(f) WHERE p_partkey % 31 = 4 OR (p_partkey % 9 = 0 AND f = 'p_size')",
-    "join_controls": "SELECT p_brand, max(l_discount) AS good, max(l_tax) FILTER (l_returnflag = 'R' AND l_quantity > 49) AS control, CASE WHEN max(l_tax) FILTER (l_returnflag = 'R' AND l_quantity > 49) IS NULL THEN 'blocked' END AS reason FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
     "join_divergence": "SELECT o_orderkey, o_orderstatus AS first, 'P' AS second FROM orders WHERE o_orderkey % 19 = 0 AND o_orderstatus <> 'P'",
     "join_contract": "SELECT o_orderkey AS id, state FROM (SELECT o_orderkey, CASE WHEN n IS NULL THEN 'pending' WHEN o_orderstatus = 'O' AND len(t) = 0 THEN 'agrees' WHEN o_orderstatus = 'F' AND (list_contains(t, 'A') OR list_contains(t, 'N')) THEN 'agrees' WHEN o_orderstatus = 'P' AND list_contains(t, 'R') AND (list_contains(t, 'A') OR list_contains(t, 'N')) THEN 'agrees' ELSE 'regression' END AS state FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, coalesce(list(DISTINCT l_returnflag) FILTER (l_tax > 0.07), []) AS t FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1) ON l_orderkey = o_orderkey)",
-    "join_edges": C + " , g AS (SELECT strip_id, frame, x, string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) AS edge FROM cells WHERE x IN (0, 7) GROUP BY ALL) SELECT a.strip_id, a.frame AS a, b.frame AS b, a.edge FROM g a JOIN g b ON a.strip_id = b.strip_id AND a.edge = b.edge WHERE a.x = 7 AND b.x = 0 AND a.frame <> b.frame",
-    "join_pack": C + " SELECT strip_id, CASE WHEN strip_id % 4 = 0 THEN 'not_passed' WHEN n <> 4 THEN 'wrong_count' WHEN motion_class NOT IN ('idle','walk','swing') THEN 'no_policy' END AS reason FROM strips",
     "fn_config_digest": "SELECT p_type, substr(sha256(string_agg(p_brand, ',' ORDER BY p_brand)), 1, 16) AS digest FROM (SELECT DISTINCT p_type, p_brand FROM part) GROUP BY 1",
     "agg_quorum": "SELECT id, CASE WHEN reason IS NULL THEN 'ACTIVE' ELSE 'INVALIDATED' END AS status, reason FROM (SELECT event_id % 3000 AS id, CASE WHEN count(DISTINCT user_id % 3) < 2 THEN 'too_few_reviewers' WHEN count(DISTINCT event_id % 29 = 0) > 1 THEN 'packet_mismatch' WHEN bool_or(event_type = 'error') THEN 'not_approved' END AS reason FROM events GROUP BY 1)",
     "agg_polish_quorum": "SELECT id, needed, missing, open, CASE WHEN missing > 0 THEN 'INCOMPLETE' WHEN reviewers < needed THEN 'WAITING' WHEN open > 0 THEN 'UNRESOLVED' ELSE 'PASS' END AS status FROM (SELECT event_id % 2000 AS id, CASE WHEN count(*) FILTER (value > 150) > 0 THEN 2 ELSE 1 END AS needed, CAST(2 - count(DISTINCT event_type) FILTER (event_type IN ('click','view')) AS INT) AS missing, count(*) FILTER (value > 150) AS open, count(DISTINCT user_id % 4) AS reviewers FROM events GROUP BY 1)",
-    "agg_blind": "SELECT c.conv_id, c.turn FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 WHERE contains(c.text, substr(p.text, 1, 5))",
     "agg_worst_good": "SELECT l_returnflag, l_linestatus, max(l_discount) AS worst, min(l_orderkey * 10 + l_linenumber) FILTER (l_discount = top) AS binding, min(l_discount) AS floor FROM (SELECT *, max(l_discount) OVER (PARTITION BY l_returnflag, l_linestatus) AS top FROM lineitem) GROUP BY 1, 2",
-    "agg_rescore": LI + ", m AS metric FROM (SELECT *, ceil(CAST(CAST(l_partkey * 37 % 1009 AS DOUBLE) / 1009 AS DECIMAL(20,16)) * 10000)::DOUBLE / 10000 AS m FROM lineitem) WHERE m > 0.45 AND m <= 0.5",
-    "agg_adversarial": C + MUT + " SELECT motion_class, mutation, count(*) FILTER (p <> q OR m.n <> k) AS caught, count(*) AS n, CASE WHEN count(*) FILTER (p <> q OR m.n <> k) = count(*) THEN 'ok' ELSE 'GAP' END AS verdict FROM m JOIN q USING (strip_id) JOIN strips USING (strip_id) GROUP BY 1, 2",
-    "agg_identity_report": "SELECT user_id, arg_min(event_type, event_type || lpad(CAST(event_id AS VARCHAR), 12, '0')) AS event_type, arg_min(event_id, event_type || lpad(CAST(event_id AS VARCHAR), 12, '0')) AS event_id, count(*) AS failures FROM events WHERE value > 200 GROUP BY 1",
-    "agg_coherence_legacy": C + """ , a AS (SELECT * FROM cells WHERE frame = 0), b AS (SELECT * FROM cells WHERE frame = 1), f AS (SELECT strip_id, count(*) FILTER (a.rgb IS DISTINCT FROM b.rgb) AS changed, count(*) AS n, count(*) FILTER (y = 7 AND (a.rgb IS NULL) <> (b.rgb IS NULL)) AS moved,
-list_sort(list(DISTINCT a.rgb) FILTER (a.rgb IS NOT NULL)) AS ps, list_sort(list(DISTINCT b.rgb) FILTER (b.rgb IS NOT NULL)) AS qs FROM a FULL JOIN b USING (strip_id, x, y) GROUP BY 1) SELECT strip_id, changed, n, moved, ps = qs AS palette, ps = qs AND changed <= n * 0.28 AND moved = 0 AS pass FROM f""",
 }
-SQL["agg_corpus"] = f"SELECT count(*) FILTER (state <> 'pending') AS scored, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'regression') AS regressions FROM ({SQL['join_contract']})"
-QUERIES = {n: globals()[n] for n in [*SQL, "join_packet", "fn_self_digest", "agg_coverage"]}
+QUERIES = {n: globals()[n] for n in SQL}

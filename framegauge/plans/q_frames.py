@@ -124,13 +124,18 @@ def agg_tv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(metrics: DataFrame, strips: DataFrame) -> DataFrame:
-    """Profile rows from the cohort itself: budget and hard_fail are the lower and upper tercile of each class and gate."""
+    """Profile rows from the cohort itself: budget and hard_fail are the lower and upper tercile of each class and gate.
+
+    One pair has no profile, and one no budget, so that both fail closed.
+    """
     rows = metrics.join(strips.select("strip_id", "motion_class"), "strip_id").groupBy("motion_class", "gate")
     budgets = rows.agg(F.expr("percentile_disc(0.33) within group (order by metric)").alias("budget"), F.expr("percentile_disc(0.66) within group (order by metric)").alias("hard_fail"))
     status = F.when(F.col("gate") == "min_pair_cohort_pass", "UNSEPARATED").otherwise("SEPARATED")
     from ..functions.scalars import canonical
 
-    return budgets.select("motion_class", "gate", status.alias("status"), canonical("budget").alias("budget"), canonical("hard_fail").alias("hard_fail"))
+    of = F.concat_ws("/", "motion_class", "gate")
+    budget = F.when(of != "swing/palette_drift_pass", canonical("budget"))
+    return budgets.filter(of != "blob_idle/loop_closure_pass").select("motion_class", "gate", status.alias("status"), budget.alias("budget"), canonical("hard_fail").alias("hard_fail"))
 
 
 def agg_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,10 +205,10 @@ sil AS (SELECT a.strip_id, x.adjacent_max, x.loop, y.max_pair, y.min_pair, z.orp
   LEFT JOIN (SELECT strip_id, max(near) AS orphan_max FROM (SELECT strip_id, a, min(frac) AS near FROM sa_best WHERE r = 1 GROUP BY ALL) GROUP BY 1) z USING (strip_id)),
 metrics AS (SELECT * FROM (SELECT strip_id, 'silhouette_budget' AS gate, adjacent_max AS metric FROM sil UNION ALL SELECT strip_id, 'loop_closure_pass', loop FROM sil
   UNION ALL SELECT strip_id, 'min_pair_cohort_pass', min_pair FROM sil UNION ALL SELECT strip_id, 'palette_drift_pass', max(distance / whole) FROM tvs GROUP BY 1) WHERE metric IS NOT NULL),
-profiles AS (SELECT motion_class, gate, CASE WHEN gate = 'min_pair_cohort_pass' THEN 'UNSEPARATED' ELSE 'SEPARATED' END AS status, ceil(CAST(b AS DECIMAL(20,16)) * 10000)::DOUBLE / 10000 AS budget,
-  ceil(CAST(h AS DECIMAL(20,16)) * 10000)::DOUBLE / 10000 AS hard_fail FROM (SELECT motion_class, gate, quantile_disc(metric, 0.33) AS b, quantile_disc(metric, 0.66) AS h FROM metrics JOIN strips USING (strip_id) GROUP BY ALL)),
-outcomes AS (SELECT strip_id, motion_class, gate, m AS metric, status, budget, hard_fail, CASE WHEN m <= budget THEN 'PASS' WHEN status = 'SEPARATED' AND m >= hard_fail THEN 'FAIL' ELSE 'REVIEW' END AS outcome
-  FROM (SELECT *, ceil(CAST(metric AS DECIMAL(20,16)) * 10000)::DOUBLE / 10000 AS m FROM metrics) JOIN strips USING (strip_id) JOIN profiles USING (motion_class, gate)),
+profiles AS (SELECT motion_class, gate, CASE WHEN gate = 'min_pair_cohort_pass' THEN 'UNSEPARATED' ELSE 'SEPARATED' END AS status, CASE WHEN motion_class <> 'swing' OR gate <> 'palette_drift_pass' THEN ceil(CAST(b AS DECIMAL(20,16)) * 10000)::DOUBLE / 10000 END AS budget,
+  ceil(CAST(h AS DECIMAL(20,16)) * 10000)::DOUBLE / 10000 AS hard_fail FROM (SELECT motion_class, gate, quantile_disc(metric, 0.33) AS b, quantile_disc(metric, 0.66) AS h FROM metrics JOIN strips USING (strip_id) WHERE motion_class <> 'blob_idle' OR gate <> 'loop_closure_pass' GROUP BY ALL)),
+outcomes AS (SELECT strip_id, motion_class, gate, m AS metric, status, budget, hard_fail, CASE WHEN status IS NULL OR budget IS NULL THEN 'FAIL' WHEN m <= budget THEN 'PASS' WHEN status = 'SEPARATED' AND m >= hard_fail THEN 'FAIL' ELSE 'REVIEW' END AS outcome, CASE WHEN status IS NULL THEN 'missing_profile' WHEN budget IS NULL THEN 'missing_budget' END AS reason_code
+  FROM (SELECT *, ceil(CAST(metric AS DECIMAL(20,16)) * 10000)::DOUBLE / 10000 AS m FROM metrics) JOIN strips USING (strip_id) LEFT JOIN profiles USING (motion_class, gate)),
 verdicts AS (SELECT strip_id, count(*) FILTER (outcome = 'FAIL') AS fails, count(*) FILTER (outcome = 'REVIEW') AS reviews, count(*) FILTER (outcome = 'REVIEW' AND status = 'UNSEPARATED') AS soft FROM outcomes GROUP BY 1),
 runs AS (SELECT strip_id AS run_id, gate, ['silhouette_budget','min_pair_cohort_pass','palette_drift_pass'][strip_id % 3 + 1] AS target_gate,
   CASE WHEN strip_id % 11 = 0 AND gate = 'palette_drift_pass' THEN 'undecidable' WHEN outcome = 'PASS' THEN 'pass' ELSE 'fail' END AS outcome, metric, budget FROM outcomes),

@@ -61,7 +61,7 @@ def grid_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_rot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.orientations(T.cells(spark, sf_dir).filter("frame = 0"), 8, 8).groupBy("strip_id", "turn", "mirror").agg(F.sum(F.col("tx") * 31 + F.col("ty") * 7 + F.col("x") * F.col("ty")).alias("fingerprint"))
+    return grid.orientations(T.cells(spark, sf_dir), 8, 8).groupBy("strip_id", "frame", "turn", "mirror").agg(F.sum(F.col("tx") * 31 + F.col("ty") * 7 + F.col("x") * F.col("ty")).alias("fingerprint"))
 
 
 def grid_mutate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def grid_mutate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.runs(T.cells(spark, sf_dir).filter("y < 2"), 8)
+    return grid.runs(T.cells(spark, sf_dir), 8)
 
 
 def grid_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,21 +162,8 @@ def join_palette_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("strip_id", F.when(F.col("alpha") > 0, "alpha_mismatch").when(F.col("colour") > 0, "palette_violation").alias("reason"))
 
 
-def join_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of a 4 x 4 rectangle of frame 0 against frame 1 at each permitted offset."""
-    a, b = _draft_polished(spark, sf_dir)
-    return identity.registered(a, b, (2, 2, 5, 5), [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]).groupBy("strip_id", "dx", "dy").agg(F.count("*").alias("n"), F.count_if("differs").alias("differs"))
-
-
-def agg_identity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best offset of each strip: fewest differing cells, then the nearer offset, then in order."""
-    return identity.best_offset(join_registered(spark, sf_dir))
 
 
-def agg_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = agg_identity_search(spark, sf_dir)
-    return best.select("strip_id", F.when(F.col("differs") * 2 <= F.col("n"), "PASS").otherwise("FAIL").alias("result"), "differs")
-
 
 def join_landmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest frame-1 cell of a high red level within two cells of (3, 3)."""
@@ -185,23 +172,10 @@ def join_landmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.strips(spark, sf_dir).select("strip_id").join(found, "strip_id", "left").select("strip_id", "x", "y", "distance", F.when(F.col("distance").isNull(), "FAIL").otherwise("PASS").alias("result"))
 
 
-def agg_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of exactly keyed pixels of each image against its predecessor's."""
-    share = T.pixels(spark, sf_dir).groupBy("image_id").agg(F.count_if((F.col("r") == 255) & (F.col("g") == 0) & (F.col("b") == 255)).alias("exact"), F.count("*").alias("n"))
-    before = share.select((F.col("image_id") + 1).alias("image_id"), F.col("exact").alias("was"))
-    return share.join(before, "image_id").select("image_id", "exact", "was", ((F.col("exact") >= F.col("n") * 0.05) & (F.col("was") <= F.col("n") * 0.01)).alias("wiped"))
-
-
-def agg_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the upper and lower half as two overlapping parts: cells in none or in both."""
-    c = T.cells(spark, sf_dir).filter("frame = 0")
-    parts = c.filter("y < 5").select("strip_id", "x", "y", F.lit("upper").alias("part")).union(c.filter("y > 3 and x < 7").select("strip_id", "x", "y", F.lit("lower").alias("part")))
-    owned = c.join(parts, ["strip_id", "x", "y"], "left").groupBy("strip_id", "x", "y").agg(F.count("part").alias("owners"))
-    return owned.groupBy("strip_id").agg(F.count_if(F.col("owners") == 0).alias("orphans"), F.count_if(F.col("owners") > 1).alias("shared"))
 
 
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.components(T.cells(spark, sf_dir).filter("frame = 0"))
+    return grid.components(T.cells(spark, sf_dir))
 
 
 def agg_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,9 +192,6 @@ PAL = "(VALUES " + ",".join(f"({i},{i * 48 * 65536 + 60 * 256 + 30})" for i in r
 D2 = "(rgb // 65536 - entry // 65536) ** 2 + (rgb // 256 % 256 - entry // 256 % 256) ** 2 + (rgb % 256 - entry % 256) ** 2"
 NEAR = f", near AS (SELECT rgb, arg_min(entry, d * 100 + ord) AS entry, CAST(min(d) AS BIGINT) AS distance FROM (SELECT rgb, entry, ord, {D2} AS d FROM (SELECT DISTINCT rgb FROM cells) c, {PAL}) GROUP BY 1)"
 BOX = P + ", box AS (SELECT image_id, min(x) FILTER (NOT keyed) AS min_x, max(x) FILTER (NOT keyed) AS max_x, min(y) FILTER (NOT keyed) AS min_y, max(y) FILTER (NOT keyed) AS max_y, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_ FROM k GROUP BY 1)"
-REG = AB + """, rect AS (SELECT strip_id, CAST(xx AS INT) AS x, CAST(yy AS INT) AS y FROM strips, range(2, 6) t(xx), range(2, 6) u(yy)), offs AS (SELECT CAST(i AS INT) AS dx, CAST(j AS INT) AS dy FROM range(-1, 2) t(i), range(-1, 2) u(j)),
-reg AS (SELECT r.strip_id, dx, dy, count(*) AS n, count(*) FILTER ((a.rgb IS NULL) <> (b.rgb IS NULL)) AS differs FROM rect r CROSS JOIN offs LEFT JOIN a ON a.strip_id = r.strip_id AND a.x = r.x AND a.y = r.y LEFT JOIN b ON b.strip_id = r.strip_id AND b.x = r.x + dx AND b.y = r.y + dy GROUP BY ALL),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strip_id ORDER BY differs, abs(dx) + abs(dy), dy, dx) AS rn FROM reg) WHERE rn = 1)"""
 SQL = {
     "src_pixels": P + " SELECT image_id, count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a FROM pixels GROUP BY 1",
     "fn_key_mask": P + " SELECT image_id, count(*) FILTER (keyed) AS keyed, count(*) FILTER (NOT keyed) AS foreground, CASE WHEN count(*) FILTER (NOT keyed) = 0 THEN 'empty_foreground' END AS reason FROM k GROUP BY 1",
@@ -232,11 +203,11 @@ SQL = {
     "grid_slice": C + " SELECT strip_id, frame AS sheet, CAST(x // 4 AS INT) AS frame, CAST(x % 4 AS INT) AS x, y, rgb FROM cells WHERE x % 4 < 3",
     "grid_canon": C + " SELECT * FROM (SELECT strip_id, frame, x, CAST(y - least(greatest(max(y) OVER (PARTITION BY strip_id, frame) - 4, 0), 3) AS INT) AS y, rgb FROM cells) WHERE x < 6 AND y >= 0 AND y < 5",
     "grid_embed": C + " SELECT c.strip_id, c.frame, x + CASE WHEN motion_class = 'swing' THEN 1 ELSE 0 END AS x, y, rgb FROM cells c JOIN frames f USING (strip_id, frame)",
-    "grid_rot": C + " , m AS (SELECT strip_id, x, y, mirror, CAST(turn AS INT) AS turn, CASE WHEN mirror THEN 7 - x ELSE x END AS q FROM cells, (VALUES (false), (true)) v(mirror), range(4) t(turn) WHERE frame = 0), o AS (SELECT *, CASE turn WHEN 0 THEN q WHEN 1 THEN 7 - y WHEN 2 THEN 7 - q ELSE y END AS tx, CASE turn WHEN 0 THEN y WHEN 1 THEN q WHEN 2 THEN 7 - y ELSE 7 - q END AS ty FROM m) SELECT strip_id, turn, mirror, CAST(sum(tx * 31 + ty * 7 + x * ty) AS BIGINT) AS fingerprint FROM o GROUP BY ALL",
+    "grid_rot": C + " , m AS (SELECT strip_id, frame, x, y, mirror, CAST(turn AS INT) AS turn, CASE WHEN mirror THEN 7 - x ELSE x END AS q FROM cells, (VALUES (false), (true)) v(mirror), range(4) t(turn)), o AS (SELECT *, CASE turn WHEN 0 THEN q WHEN 1 THEN 7 - y WHEN 2 THEN 7 - q ELSE y END AS tx, CASE turn WHEN 0 THEN y WHEN 1 THEN q WHEN 2 THEN 7 - y ELSE 7 - q END AS ty FROM m) SELECT strip_id, frame, turn, mirror, CAST(sum(tx * 31 + ty * 7 + x * ty) AS BIGINT) AS fingerprint FROM o GROUP BY ALL",
     "grid_mutate": C + """ SELECT strip_id, frame, x, y, CASE WHEN m = 'recolour' AND frame = 2 THEN least(255, rgb // 65536 + 110) * 65536 + (rgb // 256 % 256) // 3 * 256 + (rgb % 256) // 3 ELSE rgb END AS rgb, m AS mutation FROM cells, (VALUES ('recolour'), ('none')) v(m) WHERE m = 'recolour'
 UNION ALL SELECT strip_id, frame, x, CASE WHEN frame = 2 THEN y - 3 ELSE y END, rgb, 'hop' FROM cells WHERE frame <> 2 OR y >= 3 UNION ALL SELECT strip_id, frame, CASE WHEN frame = 2 THEN 7 - x ELSE x END, y, rgb, 'mirror' FROM cells
 UNION ALL SELECT strip_id, frame, CASE WHEN frame = 2 THEN x + 3 ELSE x END, y, rgb, 'slide' FROM cells WHERE frame <> 2 OR x < 5 UNION ALL SELECT strip_id, frame, x, y, rgb, 'hold' FROM cells WHERE frame <> 2 UNION ALL SELECT strip_id, 2, x, y, rgb, 'hold' FROM cells WHERE frame = 1""",
-    "grid_runs": C + " , f AS (SELECT DISTINCT strip_id, frame FROM cells WHERE y < 2), d AS (SELECT f.*, CAST(i AS INT) AS x, EXISTS (SELECT 1 FROM cells c WHERE c.strip_id = f.strip_id AND c.frame = f.frame AND c.x = i AND c.y < 2) AS full_ FROM f, range(8) t(i)), g AS (SELECT *, x - row_number() OVER (PARTITION BY strip_id, frame, full_ ORDER BY x) AS isl FROM d) SELECT strip_id, frame, full_ AS \"full\", min(x) AS first, max(x) AS last FROM g GROUP BY strip_id, frame, full_, isl",
+    "grid_runs": C + " , f AS (SELECT DISTINCT strip_id, frame FROM cells), d AS (SELECT f.*, CAST(i AS INT) AS x, EXISTS (SELECT 1 FROM cells c WHERE c.strip_id = f.strip_id AND c.frame = f.frame AND c.x = i) AS full_ FROM f, range(8) t(i)), g AS (SELECT *, x - row_number() OVER (PARTITION BY strip_id, frame, full_ ORDER BY x) AS isl FROM d) SELECT strip_id, frame, full_ AS \"full\", min(x) AS first, max(x) AS last FROM g GROUP BY strip_id, frame, full_, isl",
     "grid_load": C + " SELECT f.strip_id, f.frame, CAST(i AS INT) AS x, count(c.x) AS load FROM frames f CROSS JOIN range(8) t(i) LEFT JOIN cells c ON c.strip_id = f.strip_id AND c.frame = f.frame AND c.x = i GROUP BY ALL",
     "grid_mask": C + " SELECT c.strip_id, c.frame, c.x, c.y, CAST(coalesce(sum(CASE WHEN n.y = c.y - 1 THEN 1 WHEN n.x = c.x + 1 THEN 2 WHEN n.y = c.y + 1 THEN 4 WHEN n.x = c.x - 1 THEN 8 END), 0) AS BIGINT) AS mask, CAST((c.x + 3 * c.y) % 3 AS INT) AS variant FROM cells c LEFT JOIN cells n ON n.strip_id = c.strip_id AND n.frame = c.frame AND abs(n.x - c.x) + abs(n.y - c.y) = 1 GROUP BY ALL",
     "src_palette": C + " SELECT DISTINCT '#' || lpad(upper(to_hex(rgb)), 6, '0') AS hex, rgb, true AS valid FROM cells",
@@ -249,13 +220,8 @@ UNION ALL SELECT strip_id, frame, CASE WHEN frame = 2 THEN x + 3 ELSE x END, y,
     "join_ledger_replay": AB + " , w AS (SELECT strip_id, x, y FROM a FULL JOIN b USING (strip_id, x, y) WHERE a.rgb IS DISTINCT FROM b.rgb AND (strip_id + x * 3 + y) % 9 = 0) SELECT strip_id, CAST(min(y * 8 + x) // 8 AS INT) AS y, CAST(min(y * 8 + x) % 8 AS INT) AS x, count(*) AS n FROM w GROUP BY 1",
     "join_ledger_check": AB + " SELECT b.strip_id, b.x, b.y, CASE WHEN (b.strip_id + b.x) % 5 = 0 THEN 'no_op' ELSE 'from_mismatch' END AS reason FROM b LEFT JOIN a USING (strip_id, x, y) WHERE (b.strip_id + b.x) % 5 = 0 OR a.rgb IS NOT NULL",
     "join_palette_member": AB + " , f AS (SELECT strip_id, count(*) FILTER (a.rgb IS NULL OR b.rgb IS NULL) AS al, count(*) FILTER (b.rgb IS NOT NULL AND b.rgb NOT IN (SELECT rgb FROM a q WHERE q.strip_id = strip_id)) AS co FROM a FULL JOIN b USING (strip_id, x, y) GROUP BY 1) SELECT strip_id, CASE WHEN al > 0 THEN 'alpha_mismatch' WHEN co > 0 THEN 'palette_violation' END AS reason FROM f",
-    "join_registered": REG + " SELECT * FROM reg",
-    "agg_identity_search": REG + " SELECT strip_id, dx, dy, n, differs FROM best",
-    "agg_identity": REG + " SELECT strip_id, CASE WHEN differs * 2 <= n THEN 'PASS' ELSE 'FAIL' END AS result, differs FROM best",
     "join_landmark": AB + " , l AS (SELECT strip_id, x, y, greatest(abs(x - 3), abs(y - 3)) AS d, row_number() OVER (PARTITION BY strip_id ORDER BY greatest(abs(x - 3), abs(y - 3)), y, x) AS rn FROM b WHERE rgb // 65536 >= 128 AND greatest(abs(x - 3), abs(y - 3)) <= 2) SELECT s.strip_id, x, y, d AS distance, CASE WHEN d IS NULL THEN 'FAIL' ELSE 'PASS' END AS result FROM strips s LEFT JOIN l ON l.strip_id = s.strip_id AND rn = 1",
-    "agg_continuity": P + " , s AS (SELECT image_id, count(*) FILTER (r = 255 AND g = 0 AND b = 255) AS exact, count(*) AS n FROM pixels GROUP BY 1) SELECT s.image_id, s.exact, p.exact AS was, s.exact >= s.n * 0.05 AND p.exact <= s.n * 0.01 AS wiped FROM s JOIN s p ON p.image_id = s.image_id - 1",
-    "agg_parts": C + " SELECT strip_id, count(*) FILTER (y >= 5 AND x >= 7) AS orphans, count(*) FILTER (y = 4 AND x < 7) AS shared FROM cells WHERE frame = 0 GROUP BY 1",
-    "grid_components": C.replace("WITH ", "WITH RECURSIVE ", 1) + " , f AS (SELECT strip_id, frame, x, y, CAST(y * 1048576 + x AS BIGINT) AS id FROM cells WHERE frame = 0), r AS (SELECT strip_id, x, y, id FROM f UNION SELECT f.strip_id, f.x, f.y, r.id FROM r JOIN f ON f.strip_id = r.strip_id AND abs(f.x - r.x) + abs(f.y - r.y) = 1) SELECT strip_id, 0 AS frame, x, y, min(id) AS component FROM r GROUP BY strip_id, x, y",
+    "grid_components": C.replace("WITH ", "WITH RECURSIVE ", 1) + " , f AS (SELECT strip_id, frame, x, y, CAST(y * 1048576 + x AS BIGINT) AS id FROM cells), r AS (SELECT strip_id, frame, x, y, id FROM f UNION SELECT f.strip_id, f.frame, f.x, f.y, r.id FROM r JOIN f ON f.strip_id = r.strip_id AND f.frame = r.frame AND abs(f.x - r.x) + abs(f.y - r.y) = 1) SELECT strip_id, frame, x, y, min(id) AS component FROM r GROUP BY ALL",
     "agg_fingerprint": C + " , t AS (SELECT strip_id, frame, sha256(string_agg(y || '/' || x || '/' || rgb, ',' ORDER BY y, x, rgb)) AS h FROM cells GROUP BY ALL) SELECT strip_id, sha256(string_agg(h, ':' ORDER BY frame)) AS fingerprint FROM t GROUP BY 1",
 }
 QUERIES = {n: globals()[n] for n in [*SQL, "agg_leader", "grid_pitch"]}

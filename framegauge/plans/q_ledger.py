@@ -75,11 +75,6 @@ def agg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.percentiles(T.table(spark, sf_dir, "events"), "event_type", "value")
 
 
-def agg_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each user gained between the first and the last event."""
-    rows = _events(spark, sf_dir).groupBy("user_id").agg(F.min_by("value", "ordinal").alias("before"), F.max_by("value", "ordinal").alias("after"), F.max("ordinal").alias("events"))
-    return rows.select("user_id", (F.col("after") - F.col("before")).alias("gained"), (F.col("events") - 1).alias("between"), (F.col("after") > 100).alias("backlog"))
-
 
 def join_asof_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame of a user's clip at each event: four frames of 120, 80, 100 and 60 ms that loop for even users."""
@@ -105,7 +100,7 @@ def sort_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sort_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed orders by class and key, with their place in each class."""
-    o = T.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_totalprice < 20000")
+    o = T.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
     return o.select("o_orderpriority", "o_orderkey", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")).alias("place"))
 
 
@@ -130,12 +125,6 @@ def set_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", (F.col("n") - F.size("s")).alias("repeats"), F.size(holes).alias("holes"))
 
 
-def set_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status after slice 3 was set: later slices pending again, it itself active, earlier ones as they were."""
-    slice_ = F.col("p_size") % 6
-    status = F.when(slice_ > 3, "PENDING_VERIFICATION").when(slice_ == 3, "ACTIVE").otherwise(F.col("p_type"))
-    return T.table(spark, sf_dir, "part").select("p_partkey", status.alias("status"))
-
 
 def snk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
@@ -143,11 +132,6 @@ def snk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.status_update(rows, updates, "o_orderkey")
 
 
-def src_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids that occur twice among events, where an id is the user and the second of the event."""
-    ident = F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMddHHmm"))
-    return T.table(spark, sf_dir, "events").groupBy(ident.alias("attempt_id")).agg(F.count("*").alias("n")).filter("n > 1")
-
 
 EV = "WITH ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal FROM events) "
 AT = """WITH t AS (SELECT conv_id, turn, role, conv_id || '-' || turn AS attempt_id, turn + 1 + CASE WHEN conv_id % 7 = 0 AND turn >= 2 THEN 1 ELSE 0 END AS ordinal,
@@ -166,18 +150,15 @@ WHEN count(*) FILTER (state = 'selected') <> 1 THEN 'not_one_selected' WHEN bool
     "win_rolling": "SELECT event_id, quantile_disc(value, 0.5) OVER w AS p50, quantile_disc(value, 0.95) OVER w AS p95, max(value) OVER w AS top FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)",
     "win_cum": EV + "SELECT event_id, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ordinal) AS BIGINT) AS ends FROM ev",
     "agg_percentile": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS top FROM events GROUP BY 1",
-    "agg_offline": EV + "SELECT user_id, arg_max(value, ordinal) - arg_min(value, ordinal) AS gained, max(ordinal) - 1 AS between, arg_max(value, ordinal) > 100 AS backlog FROM ev GROUP BY 1",
     "join_asof_frame": "SELECT event_id, CASE WHEN a < 120 THEN 0 WHEN a < 200 THEN 1 WHEN a < 300 THEN 2 ELSE 3 END AS frame FROM (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN CAST(floor(value * 10) AS INT) % 360 ELSE least(CAST(floor(value * 10) AS INT), 359) END AS a FROM events)",
     "top_fragile": f"""WITH g AS (SELECT l_partkey, max(l_discount + (l_partkey % 7)::DOUBLE / 1000) AS good, max(l_discount) + 0.02 + (max(l_partkey) % 11)::DOUBLE / 500 AS control FROM lineitem GROUP BY 1),
 b AS (SELECT *, ceil(CAST(good + (control - good) * 0.5 AS DECIMAL(20,16)) * 10000)::DOUBLE / 10000 AS budget FROM g WHERE control > good)
 SELECT l_partkey, CAST(floor((budget - good) * 100000 + 0.5) AS BIGINT) AS headroom FROM b WHERE budget >= good AND budget < control ORDER BY headroom, l_partkey LIMIT 5""",
     "sort_events": "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY floor(value), event_id) AS place FROM events",
-    "sort_failures": "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 20000",
+    "sort_failures": "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'",
     "set_palette_union": f"WITH {T.CELLS} SELECT DISTINCT strip_id, rgb FROM cells WHERE frame < 2 UNION SELECT DISTINCT s.strip_id, c.rgb FROM strips s, cells c WHERE c.rgb // 65536 % 64 = 0",
     "set_diff": "SELECT doc_id, 'missing' AS kind FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "set_unique": "SELECT l_orderkey, count(*) - count(DISTINCT l_linenumber) AS repeats, CAST(max(l_linenumber) - count(DISTINCT l_linenumber) AS INT) AS holes FROM lineitem GROUP BY 1",
-    "set_slices": "SELECT p_partkey, CASE WHEN p_size % 6 > 3 THEN 'PENDING_VERIFICATION' WHEN p_size % 6 = 3 THEN 'ACTIVE' ELSE p_type END AS status FROM part",
     "snk_status": "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 6) THEN 'INVALIDATED' ELSE o_orderstatus END AS status FROM orders",
-    "src_attempts": "SELECT user_id || '-' || strftime(ts, '%Y%m%d%H%M') AS attempt_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1",
 }
 QUERIES = {n: globals()[n] for n in [*SQL, "win_thin"]}

@@ -124,30 +124,8 @@ def fn_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "events").select("event_id", S.damage_bucket(F.col("value") / 300).alias("state"))
 
 
-def fn_msg_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of a known type whose properties have a number under 50 as their version."""
-    e = T.table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    return e.filter(F.col("event_type").isin("click", "view", "purchase") & (F.col("k") < 50)).select("event_id", "event_type", "k")
 
 
-def fn_record_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First rule that an order breaks."""
-    rules = [(F.length(F.trim("o_orderpriority")) == 0, "empty_priority"), (~F.col("o_orderstatus").isin("O", "F"), "unknown_status"), (F.col("o_totalprice") < 5000, "price_too_low"), (F.year("o_orderdate") < 1995, "too_old")]
-    return T.table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(*(F.when(r, F.lit(c)) for r, c in rules)).alias("reason"))
-
-
-def fn_upcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of versions 1 to 6: older ones have the price under an alias or not at all, and a missing number rejects."""
-    o = T.table(spark, sf_dir, "orders").withColumn("version", (F.col("o_orderkey") % 7).cast("int"))
-    price = F.when(F.col("version") >= 3, F.col("o_totalprice")).when(F.col("version").between(1, 2), F.col("o_totalprice") / 2)
-    count = F.when(F.col("version") >= 5, F.col("o_custkey")).otherwise(F.lit(0))
-    return o.filter(price.isNotNull()).select("o_orderkey", F.lit(6).alias("version"), price.alias("price"), count.cast("long").alias("count"))
-
-
-def fn_second_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, b, h = F.col("v"), F.col("u"), F.col("u") + 0.25
-    tests = [(v >= (b + h) / 2, "metric_at_or_beyond_midpoint"), (F.col("l_linenumber") >= 5, "multiple_gates_in_review"), (F.col("l_returnflag") == "N", "first_verdict_uncertain"), (F.col("l_tax") > 0.07, "caveat_reliance")]
-    return _lines(spark, sf_dir).select(*_key(), F.concat_ws(",", *(F.when(t, F.lit(n)) for t, n in tests)).alias("triggers"))
 
 
 def fn_question(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,10 +185,6 @@ SQL = {
     "fn_offline": "SELECT event_id, away, away >= 60000 AS summary FROM (SELECT event_id, CASE WHEN event_id % 10 < 2 THEN 0::DOUBLE ELSE greatest(0, least(300000 - value * 1000, 28800000)) END AS away FROM events)",
     "fn_trip": "SELECT event_id, CASE WHEN l = 0 THEN NULL WHEN l > u + 2000 THEN 'out' WHEN l > 2000 THEN 'unload' ELSE 'back' END AS leg, CASE WHEN l <> 0 THEN 1 - l / (u + 4000) END AS progress FROM (SELECT event_id, CAST(event_id % 9 AS DOUBLE) * 1000 AS l, 4000::DOUBLE / (user_id % 4 * 0.5 + 1) AS u FROM events)",
     "fn_bucket": "SELECT event_id, CASE WHEN x < 0 OR x > 1 THEN NULL WHEN x < 0.25 THEN 'intact' WHEN x < 0.5 THEN 'chipped' WHEN x < 0.75 THEN 'cracked' ELSE 'crumbling' END AS state FROM (SELECT event_id, value / 300 AS x FROM events)",
-    "fn_msg_valid": "SELECT event_id, event_type, CAST(props ->> '$.k' AS INT) AS k FROM events WHERE event_type IN ('click','view','purchase') AND CAST(props ->> '$.k' AS INT) < 50",
-    "fn_record_valid": "SELECT o_orderkey, CASE WHEN length(trim(o_orderpriority)) = 0 THEN 'empty_priority' WHEN o_orderstatus NOT IN ('O','F') THEN 'unknown_status' WHEN o_totalprice < 5000 THEN 'price_too_low' WHEN year(o_orderdate) < 1995 THEN 'too_old' END AS reason FROM orders",
-    "fn_upcast": "SELECT o_orderkey, 6 AS version, CASE WHEN o_orderkey % 7 >= 3 THEN o_totalprice ELSE o_totalprice / 2 END AS price, CASE WHEN o_orderkey % 7 >= 5 THEN o_custkey ELSE 0 END AS count FROM orders WHERE o_orderkey % 7 > 0",
-    "fn_second_review": L + "concat_ws(',', CASE WHEN v >= (u + (u + 0.25)) / 2 THEN 'metric_at_or_beyond_midpoint' END, CASE WHEN l_linenumber >= 5 THEN 'multiple_gates_in_review' END, CASE WHEN l_returnflag = 'N' THEN 'first_verdict_uncertain' END, CASE WHEN l_tax > 0.07 THEN 'caveat_reliance' END) AS triggers FROM l",
     "fn_question": f"SELECT event_id, e.gate, question, panel FROM (SELECT event_id, [{Q}][user_id % 6 + 1] AS gate FROM events) e LEFT JOIN (VALUES {QUESTION_ROWS}) q(gate, question, panel) ON q.gate = e.gate",
     "fn_brief": f"WITH {T.CELLS} SELECT strip_id, 'outline,colour' || CASE motion_class WHEN 'walk' THEN ',stride' WHEN 'swing' THEN ',arc,contact' ELSE '' END AS questions FROM strips",
     "src_path_map": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'corpus/strip-coherence/' || page_id WHEN 1 THEN 'corpus/strip-coherence' WHEN 2 THEN 'prototype/strip-coherence-x/' || page_id ELSE 'other/prototype/strip-coherence/' || page_id END AS path FROM pages",

@@ -9,9 +9,9 @@ from ..functions import scalars
 from ..operators import ledger
 from ..sources import files
 from ..sources import testdata as T
+from ..sources.shared import folder
 from ..streaming import streams as S
 from .q_ledger import SQL as LEDGER_SQL
-from .q_scalars import SQL as SCALAR_SQL
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = S._folder(spark, "report")
+    path = folder(spark, "report")
     files.write_report(_reports(spark, sf_dir), path)
     return spark.read.parquet(path).groupBy("outcome").agg(F.count("*").alias("n"))
 
@@ -79,7 +79,7 @@ def snk_release(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> str:
-    path = S._folder(spark, "reviews")
+    path = folder(spark, "reviews")
     la = T.table(spark, sf_dir, "labels").select(F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("string")).alias("review_id"), F.when(F.col("doc_id") % 5 == 0, "other").otherwise("review/1").alias("schema"), "quality")
     la.write.partitionBy("quality").json(path)
     return path
@@ -100,7 +100,7 @@ def src_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "st_bus": SCALAR_SQL["fn_msg_valid"],
+    "st_bus": "SELECT event_id, event_type, CAST(props ->> '$.k' AS INT) AS k FROM events WHERE event_type IN ('click','view','purchase') AND CAST(props ->> '$.k' AS INT) < 50",
     "st_late": "SELECT event_id, value * 10 AS at_ms FROM events WHERE value * 10 >= 550",
     "st_change": LEDGER_SQL["win_change"],
     "st_rolling": LEDGER_SQL["win_rolling"],

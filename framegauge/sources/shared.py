@@ -1,14 +1,23 @@
-"""The folder for checkpoints."""
+"""The folder that driver and executors share, for checkpoints and intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only where none is set (tests) make a local one."""
+    """Use the folder named in spark.checkpoint.dir; on a local master where none is set (tests), make one."""
     if not spark.sparkContext.getCheckpointDir():
         there = spark.conf.get("spark.checkpoint.dir", None)
+        if not there and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(there or tempfile.mkdtemp(prefix="spark-"))
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

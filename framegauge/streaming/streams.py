@@ -5,7 +5,6 @@ Keyed state is one small record for a key: the last value, a ring of 120 samples
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from math import ceil
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ledger import append_once
-from ..sources.shared import ensure_checkpoint_dir
+from ..sources.shared import folder
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -23,20 +22,15 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there now into a Parquet folder and read that."""
-    spark, out = stream.sparkSession, _folder(stream.sparkSession, name)
-    stream.writeStream.format("parquet").option("checkpointLocation", _folder(spark, "progress")).trigger(availableNow=True).start(out).awaitTermination()
+    spark, out = stream.sparkSession, folder(stream.sparkSession, name)
+    stream.writeStream.format("parquet").option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def drain_batches(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", _folder(stream.sparkSession, "progress")).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", folder(stream.sparkSession, "progress")).trigger(availableNow=True).start().awaitTermination()
 
 
 def valid_messages(stream: DataFrame, types: list[str], below: int) -> DataFrame:
@@ -101,7 +95,7 @@ def thinned(stream: DataFrame, gap: float) -> DataFrame:
 
 def ingest_once(stream: DataFrame, key: str) -> DataFrame:
     """Append each key once to a ledger table; keys are unbounded, so they are looked up in the table and not in state."""
-    spark, out = stream.sparkSession, _folder(stream.sparkSession, "ledger")
+    spark, out = stream.sparkSession, folder(stream.sparkSession, "ledger")
     schema = stream.schema
 
     def each(batch: DataFrame, _: int) -> None:
@@ -115,6 +109,6 @@ def ingest_once(stream: DataFrame, key: str) -> DataFrame:
 
 def score_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run batch operators on each micro-batch and append what they give."""
-    spark, out = stream.sparkSession, _folder(stream.sparkSession, "outcomes")
+    spark, out = stream.sparkSession, folder(stream.sparkSession, "outcomes")
     drain_batches(stream, lambda batch, _: score(batch).write.mode("append").parquet(out))
     return spark.read.parquet(out)
