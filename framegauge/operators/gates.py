@@ -53,7 +53,7 @@ def silhouettes(strips: DataFrame, rows: DataFrame) -> DataFrame:
 def static_silhouette(strips: DataFrame, rows: DataFrame) -> DataFrame:
     """Largest share of unchanged occupancy between neighbours (1 for two empty frames), never around the end."""
     pairs = adjacent(strips, F.lit(False)).withColumn("anchor", F.lit(1 << 30))
-    scores = shift_scores(pairs, rows, 0)
+    scores = best_shift(shift_scores(pairs, rows, 0))
     still = F.when(F.col("union") == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.col("changed") / F.col("union"))
     return scores.groupBy("strip_id").agg(F.max(still).alias("static"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def _w(key: str | Sequence[str], order: Sequence[str]):
     keys = [key] if isinstance(key, str) else list(key)
@@ -60,34 +63,81 @@ def changes(rows: DataFrame, key: str, order: Sequence[str], fields: Sequence[st
     return marked.filter(F.col("_first") | ~F.col("_before").eqNullSafe(now)).drop("_before", "_first")
 
 
-def rolling_stats(rows: DataFrame, key: str, order: Sequence[str], value: str, size: int = 120) -> DataFrame:
-    """Nearest-rank p50 and p95 and the maximum of the last `size` values, and the step from the row before."""
-    w = _w(key, order).rowsBetween(-(size - 1), 0)
-    ring = F.array_sort(F.collect_list(value).over(w))
+def placed(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """rows with `place`, the row's number (from 1) within its key in this order; order must tell rows of a key apart.
+
+    Rows are dealt by range of key and order, so a key of any size is spread over tasks: a place is the number inside
+    the range plus the counts of the key's earlier ranges. Only keys that span ranges have such counts, one a range.
+    """
+    ranges = rows.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id())
+    ranges = cut(ranges, "ranges")  # written, so that ranges stay what they are
+    counts = ranges.groupBy("_range", key).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_range", F.col(key).alias("_key"), before.alias("_before")).filter("_before is not null")
+    inside = F.row_number().over(Window.partitionBy("_range", key).orderBy(*order))
+    numbered = ranges.withColumn("_in", inside).join(F.broadcast(offsets), (ranges["_range"] == offsets["_range"]) & ranges[key].eqNullSafe(offsets["_key"]), "left").drop(offsets["_range"])
+    return numbered.withColumn("place", (F.col("_in") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_range", "_in", "_before", "_key")
+
+
+def rolling_stats(rows: DataFrame, key: str, order: Sequence[str], value: str, size: int = 120, at: str | None = None, chunk: int = 4096) -> DataFrame:
+    """Nearest-rank p50 and p95 and the maximum of the last `size` values, and with at the step from the row before.
+
+    A key's rows are cut into chunks of so many, each with the size - 1 rows before it (one at least), so that no task
+    gets a whole key.
+    """
+    lead = max(size - 1, 1)
+    rows = placed(rows, key, order)
+    own = F.expr(f"(place - 1) div {chunk}")
+    # the last rows of a chunk also lead the next one
+    both = F.when((F.col("place") - 1) % chunk >= chunk - lead, F.array(own, own + 1)).otherwise(F.array(own)) if lead < chunk else F.sequence(own, F.expr(f"(place - 1 + {lead}) div {chunk}"))
+    spread = rows.withColumn("_own", own).withColumn("_chunk", F.explode(both))
+    w = Window.partitionBy(key, "_chunk").orderBy("place")
+    marked = spread.withColumn("_ring", F.array_sort(F.collect_list(value).over(w.rowsBetween(-(size - 1), 0))))
+    if at:
+        marked = marked.withColumn("step", F.col(at) - F.lag(at).over(w))
     rank = lambda p: F.get(F.col("_ring"), (F.ceil(F.size("_ring") * p) - 1).cast("int"))
-    marked = rows.withColumn("_ring", ring)
-    return marked.withColumns({"p50": rank(0.5), "p95": rank(0.95), "top": F.array_max("_ring")}).drop("_ring")
+    marked = marked.filter(F.col("_chunk") == F.col("_own"))
+    return marked.withColumns({"p50": rank(0.5), "p95": rank(0.95), "top": F.array_max("_ring")}).drop("_ring", "_own", "_chunk", "place")
 
 
 def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Nearest-rank p50 and p95 and the maximum for each key."""
-    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
-    return rows.groupBy(key).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("top"))
+    """Nearest-rank p50 and p95 and the maximum for each key, by places, so that no key's values meet in one buffer.
+
+    Equal values are counted first; null values are left out.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
+    ranges = cut(counts.repartitionByRange(key, value).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy("_range", key).agg(F.sum("_c").alias("_n"))
+    upto = Window.partitionBy(key).orderBy("_range")
+    offsets = sums.select("_range", key, (F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(key)).alias("_all"))
+    inside = F.sum("_c").over(Window.partitionBy("_range", key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ends = ranges.withColumn("_end", inside).join(offsets, ["_range", key]).withColumn("_end", F.col("_end") + F.col("_before"))
+    # a value has the ranks up to its end
+    at = lambda p: F.min(F.when(F.col("_end") >= F.ceil(F.col("_all") * p), F.col(value)))
+    return ends.groupBy(key).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("top"))
 
 
 def thin(rows: DataFrame, key: str, at: str, ident: str, gap: float = 60.0) -> DataFrame:
-    """Rows at least `gap` after the last kept row of their key, in order: a fold over each key's times.
+    """Rows at least `gap` after the last kept row of their key, in order of at and ident.
 
-    Which rows are kept depends on all rows before, so a key's times stand in one array; keys must be of session size.
+    Which rows are kept depends on all rows before, so a key's rows pass through one task, sorted (which spills) and
+    batch by batch; what is held is the last kept time. Rows with a null time are left out.
     """
-    sorted_rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(ident).alias("id")))).alias("all"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(state: Column, x: Column) -> Column:
-        keep = state["last"].isNull() | (x["at"] - state["last"] >= gap)
-        return F.struct(F.when(keep, x["at"]).otherwise(state["last"]).alias("last"), F.when(keep, F.concat(state["kept"], F.array(x["id"].cast("bigint")))).otherwise(state["kept"]).alias("kept"))
-
-    return sorted_rows.select(key, F.explode(F.aggregate("all", start, step)["kept"]).alias(ident))
+    own = rows.select(F.col(key).alias("k"), F.col(at).cast("double").alias("at"), F.col(ident).alias("i")).filter("at is not null")
+    types = dict(own.dtypes)
+
+    def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), 0.0
+        for batch in it:
+            keys, times, keep, i = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], 0
+            for i, (k, t) in enumerate(zip(keys, times, strict=True)):
+                if k != now or t - last >= gap:
+                    keep.append(i)
+                    now, last = k, t
+            yield batch.take(pa.array(keep, pa.int64())).select([0, 2])
+
+    kept = own.repartition("k").sortWithinPartitions("k", "at", "i").mapInArrow(fold, f"k {types['k']}, i {types['i']}")
+    return kept.select(F.col("k").alias(key), F.col("i").alias(ident))
 
 
 LEDGER_VIEW = ("attempt_id", "predecessor_attempt_id", "outcome", "rejection_reason", "prompt_sha256", "raw_sha256", "selected")

@@ -1,16 +1,43 @@
-"""Frame pairs compared under bounded shifts, on row masks (one bigint for each row of a frame)."""
+"""Frame pairs compared under bounded shifts, on bit masks of frame rows.
+
+A frame row is cut into blocks of 32 cells. A block's word has its cells and MARGIN more on both sides, so that a shift
+of a whole row is a shift of each word, however wide the frame is. All frames of a strip stand in one row, and a pair is
+scored at every shift in place: one shuffle by strip, whatever the number of shifts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BLOCK, MARGIN = 32, 15
+
 
 def masks(cells: DataFrame, frames: DataFrame) -> DataFrame:
-    """(strip_id, frame, y, m, w): one row for each row of each frame, bit x of m set where a cell is occupied."""
-    own = cells.groupBy("strip_id", "frame", "y").agg(F.bit_or(F.expr("shiftleft(1L, x)")).alias("m"))
-    rows = frames.select("strip_id", "frame", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
-    return rows.join(own, ["strip_id", "frame", "y"], "left").select("strip_id", "frame", "y", F.coalesce("m", F.lit(0).cast("long")).alias("m"), "w")
+    """(strip_id, words): for each frame of a strip its w, h and the words of its rows, one after the other.
+
+    A row of a frame has ceil(w / 32) + 1 words; bit 15 of word k is the cell at x = 32 k.
+    """
+    x = F.col("x")
+    block = F.explode(F.sequence(F.greatest(F.floor((x - MARGIN + 1) / BLOCK), F.lit(0)), F.floor((x + MARGIN) / BLOCK))).alias("block")
+    bits = cells.select("strip_id", "frame", "y", "x", block).select("strip_id", "frame", F.col("y").cast("int").alias("y"), F.col("block").cast("int").alias("block"), _left(F.lit(1).cast("long"), (x - F.col("block") * BLOCK + MARGIN).cast("int")).alias("m"), F.lit(None).cast("int").alias("w"), F.lit(None).cast("int").alias("h"))
+    empty = frames.select("strip_id", "frame", F.lit(0).alias("y"), F.lit(0).alias("block"), F.lit(0).cast("long").alias("m"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))
+    rows = bits.union(empty).repartition("strip_id").groupBy("strip_id", "frame", "y", "block").agg(F.bit_or("m").alias("m"), F.max("w").alias("w"), F.max("h").alias("h"))
+    lists = rows.groupBy("strip_id", "frame").agg(F.max("w").alias("w"), F.max("h").alias("h"), F.collect_list(F.struct("y", "block", "m")).alias("l")).filter("w is not null")
+    stride = F.ceil(F.col("w") / BLOCK).cast("int") + 1
+    known = F.map_from_entries(F.transform("l", lambda e: F.struct(e["y"] * F.col("stride") + e["block"], e["m"])))
+    lists = lists.withColumn("stride", stride).withColumn("k", known)
+    words = F.transform(F.sequence(F.lit(0), F.col("h") * F.col("stride") - 1), lambda i: F.coalesce(F.try_element_at(F.col("k"), i), F.lit(0).cast("long")))
+    each = lists.select("strip_id", "frame", F.struct("w", "h", "stride", words.alias("words")).alias("f"))
+    return each.groupBy("strip_id").agg(F.map_from_entries(F.collect_list(F.struct("frame", "f"))).alias("words"))
+
+
+def _left(x: Column, n: Column) -> Column:
+    return F.call_function("shiftleft", x, n)
+
+
+def _right(x: Column, n: Column) -> Column:
+    return F.call_function("shiftright", x, n)
 
 
 def baselines(cells: DataFrame, frames: DataFrame) -> DataFrame:
@@ -43,40 +70,53 @@ def all_pairs(strips: DataFrame, both_ways: bool = False) -> DataFrame:
 
 
 def shift_scores(pairs: DataFrame, rows: DataFrame, span_x: int, span_y: int = 0) -> DataFrame:
-    """changed and union of each (strip_id, a, b) at each shift (dx, dy) of b; pairs carries the anchor.
+    """strip_id, a, b and scores: frac, dy, dx, changed and union of each pair at each shift (dx, dy) of b, best first.
 
-    What is shifted in from outside a frame is empty, and what falls outside of it doesn't count.
+    pairs carries the anchor: rows of a at and below it do not count. What is shifted in from outside a frame is empty,
+    and what falls outside of it doesn't count; frac is changed / union, 0 where nothing is occupied. Ties go to the
+    first in the order of dy, then dx. rows are those of masks().
     """
-    left = pairs.select("strip_id", "a", "b", "anchor").join(rows.withColumnsRenamed({"frame": "a", "m": "ma"}), ["strip_id", "a"]).filter("y < anchor")
-    left = left.select("*", F.explode(F.sequence(F.lit(-span_x), F.lit(span_x))).alias("dx"), F.lit(0).alias("dy"))
-    if span_y:
-        left = left.withColumn("dy", F.explode(F.sequence(F.lit(-span_y), F.lit(span_y))))
-    left = left.withColumn("yb", F.col("y") + F.col("dy"))
-    right = rows.select("strip_id", F.col("frame").alias("b"), F.col("y").alias("yb"), F.col("m").alias("mb"))
-    both = left.join(right, ["strip_id", "b", "yb"], "left").withColumn("mb", F.coalesce("mb", F.lit(0).cast("long")))
-    moved = F.expr("case when dx >= 0 then shiftright(mb, dx) else shiftleft(mb, -dx) & (shiftleft(1L, w) - 1) end")
-    both = both.withColumn("mb", moved)
-    return both.groupBy("strip_id", "a", "b", "dx", "dy").agg(
-        F.sum(F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")))).alias("changed"), F.sum(F.bit_count(F.col("ma").bitwiseOR(F.col("mb")))).alias("union"),
-    )
-
-
-def fraction() -> Column:
-    """changed / union, 0 where nothing is occupied."""
-    return F.when(F.col("union") == 0, F.lit(0.0)).otherwise(F.col("changed") / F.col("union"))
+    if span_x > MARGIN:
+        raise ValueError(f"shifts of more than {MARGIN} columns are not covered by the words")
+    both = pairs.select("strip_id", "a", "b", "anchor").join(rows, "strip_id").filter("map_contains_key(words, a) and map_contains_key(words, b)")
+    one = F.lit(1).cast("long")
+
+    def places(p: Column) -> Column:
+        """Places of a that count: its word, the bits inside the frame, its row and its block."""
+        row, block = lambda k: (k / p["stride"]).cast("int"), lambda k: k % p["stride"]
+        counts = F.filter(F.sequence(F.lit(0), p["h"] * p["stride"] - 1), lambda k: (block(k) < p["stride"] - 1) & (row(k) < F.col("anchor")))
+        word = lambda k: _right(F.get(p["words"], k), F.lit(MARGIN)).bitwiseAND((1 << BLOCK) - 1)
+        return F.transform(counts, lambda k: F.struct(word(k).alias("m"), (_left(one, F.least(F.lit(BLOCK), p["w"] - block(k) * BLOCK)) - 1).alias("inside"), row(k).alias("y"), block(k).alias("block")))
+
+    def score(own: Column, q: Column, dy: Column, dx: Column) -> Column:
+        def add(s: Column, c: Column) -> Column:
+            y = c["y"] + dy
+            word = F.when((y >= 0) & (y < q["h"]) & (c["block"] < q["stride"]), F.get(q["words"], y * q["stride"] + c["block"]))
+            m = _right(F.coalesce(word, F.lit(0).cast("long")), dx + MARGIN).bitwiseAND(c["inside"])
+            return F.struct((s["changed"] + F.bit_count(c["m"].bitwiseXOR(m))).alias("changed"), (s["union"] + F.bit_count(c["m"].bitwiseOR(m))).alias("union"))
+
+        def ranked(t: Column) -> Column:
+            frac = F.when(t["union"] == 0, F.lit(0.0)).otherwise(t["changed"] / t["union"])
+            return F.struct(frac.alias("frac"), dy.alias("dy"), dx.alias("dx"), t["changed"].cast("long").alias("changed"), t["union"].cast("long").alias("union"))
+
+        return F.aggregate(own, F.struct(F.lit(0).alias("changed"), F.lit(0).alias("union")), add, ranked)
+
+    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-span_y, span_y + 1) for dx in range(-span_x, span_x + 1)))
+    # arrays of one element bind what all shifts share, so that it is made once for a pair
+    frames = F.struct(F.element_at("words", F.col("a")).alias("p"), F.element_at("words", F.col("b")).alias("q"))
+    shared = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    scores = shared(frames, lambda z: shared(places(z["p"]), lambda own: F.transform(steps, lambda t: score(own, z["q"], t["dy"], t["dx"]))))
+    return both.select("strip_id", "a", "b", F.array_sort(scores).alias("scores"))
 
 
 def best_shift(scores: DataFrame) -> DataFrame:
-    """The shift of least fraction for each pair; ties go to the first in the order of dy, then dx."""
-    order = Window.partitionBy("strip_id", "a", "b").orderBy("frac", "dy", "dx")
-    return scores.withColumn("frac", fraction()).withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    """The shift of least fraction for each pair: strip_id, a, b, frac, dy, dx, changed, union."""
+    return scores.select("strip_id", "a", "b", F.get("scores", F.lit(0)).alias("s")).select("strip_id", "a", "b", "s.*")
 
 
 def sharpness(scores: DataFrame) -> DataFrame:
     """(strip_id, a, b, best, second, margin): the two least fractions of each pair and their difference."""
-    order = Window.partitionBy("strip_id", "a", "b").orderBy("frac", "dy", "dx")
-    ranked = scores.withColumn("frac", fraction()).withColumn("r", F.row_number().over(order)).filter("r <= 2")
-    two = ranked.groupBy("strip_id", "a", "b").agg(F.min(F.when(F.col("r") == 1, F.col("frac"))).alias("best"), F.min(F.when(F.col("r") == 2, F.col("frac"))).alias("second"))
+    two = scores.select("strip_id", "a", "b", F.get("scores", F.lit(0))["frac"].alias("best"), F.get("scores", F.lit(1))["frac"].alias("second"))
     return two.withColumn("margin", F.col("second") - F.col("best"))
 
 

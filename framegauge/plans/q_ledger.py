@@ -56,7 +56,8 @@ def win_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.rolling_stats(_events(spark, sf_dir), "event_type", ["ts", "event_id"], "value").select("event_id", "p50", "p95", "top")
+    e = T.table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return ledger.rolling_stats(e, "event_type", ["ts", "event_id"], "value", 120, "us").select("event_id", "p50", "p95", "top", "step")
 
 
 def win_cum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,13 +96,13 @@ def top_fragile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sort_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each type in order of their whole value, ties by id."""
     e = T.table(spark, sf_dir, "events").withColumn("at", F.floor("value").cast("long"))
-    return e.select("event_id", "event_type", F.row_number().over(Window.partitionBy("event_type").orderBy("at", "event_id")).alias("place"))
+    return ledger.placed(e.select("event_id", "event_type", "at"), "event_type", ["at", "event_id"]).drop("at")
 
 
 def sort_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed orders by class and key, with their place in each class."""
     o = T.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
-    return o.select("o_orderpriority", "o_orderkey", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")).alias("place"))
+    return ledger.placed(o.select("o_orderpriority", "o_orderkey"), "o_orderpriority", ["o_orderkey"])
 
 
 def set_palette_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +148,7 @@ SELECT user_id, last AS code, CASE WHEN last IS NULL THEN 0 ELSE top - coalesce(
 WHEN count(*) FILTER (state = 'selected') <> 1 THEN 'not_one_selected' WHEN bool_or(state = 'selected' AND NOT islast) THEN 'selected_not_last' END AS reason FROM t GROUP BY 1""",
     "win_project": EV + "SELECT ev.user_id, ordinal, event_id, ordinal = upto AS selected FROM ev JOIN (SELECT user_id, max(ordinal) AS upto FROM ev WHERE event_type = 'purchase' GROUP BY 1) USING (user_id) WHERE ordinal <= upto",
     "win_change": EV + "SELECT event_id, user_id, event_type, high FROM (SELECT *, value > 100 AS high, lag(event_type || (value > 100)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM ev) WHERE b IS NULL OR b <> event_type || high",
-    "win_rolling": "SELECT event_id, quantile_disc(value, 0.5) OVER w AS p50, quantile_disc(value, 0.95) OVER w AS p95, max(value) OVER w AS top FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)",
+    "win_rolling": "SELECT event_id, quantile_disc(value, 0.5) OVER w AS p50, quantile_disc(value, 0.95) OVER w AS p95, max(value) OVER w AS top, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)",
     "win_cum": EV + "SELECT event_id, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ordinal) AS BIGINT) AS ends FROM ev",
     "agg_percentile": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS top FROM events GROUP BY 1",
     "join_asof_frame": "SELECT event_id, CASE WHEN a < 120 THEN 0 WHEN a < 200 THEN 1 WHEN a < 300 THEN 2 ELSE 3 END AS frame FROM (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN CAST(floor(value * 10) AS INT) % 360 ELSE least(CAST(floor(value * 10) AS INT), 359) END AS a FROM events)",

@@ -23,8 +23,9 @@ def st_bus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stream(spark, sf_dir).select("event_id", (F.col("value") * 10).alias("at_ms"))
-    return S.drain(S.late_cut(rows, "at_ms", 800.0), "late")
+    """Events as offsets in catch-up windows of 400, 800 or 1200 ms."""
+    rows = _stream(spark, sf_dir).select("event_id", (F.col("value") * 10).alias("at_ms"), ((F.col("user_id") % 3 + 1) * 400).cast("double").alias("window_ms"))
+    return S.drain(S.late_cut(rows, "at_ms", "window_ms"), "late")
 
 
 def st_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +48,14 @@ def st_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome of each event's value under fixed budgets, batch by batch."""
+    """Outcome of each event under fixed budgets, batch by batch, into a ledger; users escalate at three failures in a row."""
 
     def score(batch: DataFrame) -> DataFrame:
-        return batch.select("event_id", scalars.tristate(F.col("value") / 1000, F.lit("SEPARATED"), F.lit(0.1), F.lit(0.2)).alias("outcome"))
+        return batch.select("event_id", "user_id", "ts", scalars.tristate(F.col("value") / 1000, F.lit("SEPARATED"), F.lit(0.1), F.lit(0.2)).alias("outcome"))
 
-    return S.score_batches(_stream(spark, sf_dir), score)
+    scored = S.score_batches(_stream(spark, sf_dir), score).withColumn("code", F.when(F.col("outcome") == "FAIL", F.col("outcome")))
+    streaks = ledger.trailing_streak(scored, "user_id", ["ts", "event_id"], "code").select("user_id", "streak", "escalate")
+    return scored.join(streaks, "user_id").select("event_id", "outcome", "streak", "escalate")
 
 
 def snk_append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +104,12 @@ def src_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "st_bus": "SELECT event_id, event_type, CAST(props ->> '$.k' AS INT) AS k FROM events WHERE event_type IN ('click','view','purchase') AND CAST(props ->> '$.k' AS INT) < 50",
-    "st_late": "SELECT event_id, value * 10 AS at_ms FROM events WHERE value * 10 >= 550",
+    "st_late": "SELECT event_id, value * 10 AS at_ms, CAST((user_id % 3 + 1) * 400 AS DOUBLE) AS window_ms FROM events WHERE user_id % 3 = 0 OR value * 10 >= (user_id % 3 + 1) * 400 - 250",
     "st_change": LEDGER_SQL["win_change"],
-    "st_rolling": LEDGER_SQL["win_rolling"],
+    "st_rolling": f"SELECT event_id, p50, p95, top FROM ({LEDGER_SQL['win_rolling']})",
     "st_append": "SELECT user_id || '-' || strftime(ts, '%Y%m%d%H') AS attempt_id, min(event_id) AS event_id FROM events GROUP BY 1",
-    "st_outcomes": "SELECT event_id, CASE WHEN m <= 0.1 THEN 'PASS' WHEN m >= 0.2 THEN 'FAIL' ELSE 'REVIEW' END AS outcome FROM (SELECT event_id, ceil(CAST(value / 1000 AS DECIMAL(20,16)) * 10000)::DOUBLE / 10000 AS m FROM events)",
+    "st_outcomes": """WITH o AS (SELECT *, CASE WHEN m <= 0.1 THEN 'PASS' WHEN m >= 0.2 THEN 'FAIL' ELSE 'REVIEW' END AS outcome FROM (SELECT *, ceil(CAST(value / 1000 AS DECIMAL(20,16)) * 10000)::DOUBLE / 10000 AS m FROM events)),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM o), s AS (SELECT user_id, max(i) - coalesce(max(i) FILTER (outcome <> 'FAIL'), 0) AS streak FROM n GROUP BY 1) SELECT event_id, outcome, streak, streak >= 3 AS escalate FROM o JOIN s USING (user_id)""",
     "snk_append_once": "SELECT event_id % 4000 AS id, min(event_id) AS event_id FROM events WHERE event_id % 4000 % 3 <> 0 GROUP BY 1",
     "snk_report": "SELECT CASE o_orderstatus WHEN 'O' THEN 'PASS' WHEN 'F' THEN 'FAIL' ELSE 'REVIEW' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
     "snk_release": "SELECT o_orderkey, CASE WHEN o_orderkey % 20 = 0 THEN 'release_conflict' END AS reason FROM orders WHERE o_orderstatus = 'O'",

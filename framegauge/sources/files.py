@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """path below root and SHA-256 of every file."""
+    """path below root and SHA-256 of every file at any depth; Spark's readers pass over empty files, so those have no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_replace("path", "^.*/(?=[^/]+$)", "").alias("path"), F.sha2("content", 256).alias("sha256"))
+    base = root.split("://", 1)[-1].split(":", 1)[-1].rstrip("/") + "/"
+    return files.select(F.substring_index("path", base, -1).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def tagged_documents(spark: SparkSession, root: str, schema: str, known: list[str], glob: str = "*.json") -> DataFrame:

@@ -1,10 +1,14 @@
 """Streams: validated messages, change suppression, append-once ingest, late cut-off, rolling statistics and thinning.
 
-Keyed state is one small record for a key: the last value, a ring of 120 samples, or the last kept time.
+Keyed state is one small record for a key: the last value, a ring of 120 samples, or the last kept time. Rows of a key
+may come in any order within a micro-batch, so they are sorted there: a key's rows of one micro-batch must fit into a
+task's memory, which stream_of's files_a_batch bounds.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Callable, Iterator
 from math import ceil
 
@@ -17,9 +21,9 @@ from ..operators.ledger import append_once
 from ..sources.shared import folder
 
 
-def stream_of(spark: SparkSession, path: str) -> DataFrame:
+def stream_of(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame:
     """A stream over a Parquet table; as a pattern, since a stream's plain path must be a folder and not one file."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
@@ -38,9 +42,12 @@ def valid_messages(stream: DataFrame, types: list[str], below: int) -> DataFrame
     return rows.filter(F.col("event_type").isin(*types) & (F.col("k") < below))
 
 
-def late_cut(stream: DataFrame, at: str, window_ms: float, most_ms: float = 500.0, keep_ms: float = 250.0) -> DataFrame:
-    """After a catch-up of over most_ms only the last keep_ms of it count."""
-    return stream.filter(F.col(at) >= window_ms - keep_ms) if window_ms > most_ms else stream
+def late_cut(stream: DataFrame, at: str, window: str, most_ms: float = 500.0, keep_ms: float = 250.0) -> DataFrame:
+    """stream(at: ms since its catch-up window began, window: that window's length in ms) without what is too late.
+
+    In a window of over most_ms only the last keep_ms count; shorter ones count whole.
+    """
+    return stream.filter((F.col(window) <= most_ms) | (F.col(at) >= F.col(window) - keep_ms))
 
 
 def changed_only(stream: DataFrame) -> DataFrame:
@@ -65,13 +72,15 @@ def rolling(stream: DataFrame, size: int = 120) -> DataFrame:
     """stream(event_type, ts, event_id, value): nearest-rank p50, p95 and maximum of the key's last `size` values."""
 
     def emit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = list(state.get[0]) if state.exists else []
-        out = []
+        ring = deque(state.get[0] if state.exists else [])
+        s, out = sorted(ring), []
         for r in pd.concat(list(parts)).sort_values(["ts", "event_id"]).itertuples(index=False):
-            ring = [*ring, float(r.value)][-size:]
-            s = sorted(ring)
+            if len(ring) == size:
+                del s[bisect_left(s, ring.popleft())]
+            ring.append(float(r.value))
+            insort(s, ring[-1])
             out.append((r.event_id, s[ceil(0.5 * len(s)) - 1], s[ceil(0.95 * len(s)) - 1], s[-1]))
-        state.update((ring,))
+        state.update((list(ring),))
         yield pd.DataFrame(out, columns=["event_id", "p50", "p95", "top"])
 
     return stream.groupBy("event_type").applyInPandasWithState(emit, "event_id long, p50 double, p95 double, top double", "ring array<double>", "append", GroupStateTimeout.NoTimeout)
@@ -108,7 +117,19 @@ def ingest_once(stream: DataFrame, key: str) -> DataFrame:
 
 
 def score_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run batch operators on each micro-batch and append what they give."""
+    """Run batch operators on each micro-batch; what they give comes with the batch's number as `batch`.
+
+    Each batch has a folder of its own that is overwritten, so a batch that is run again after a failure counts once.
+    """
     spark, out = stream.sparkSession, folder(stream.sparkSession, "outcomes")
-    drain_batches(stream, lambda batch, _: score(batch).write.mode("append").parquet(out))
+    schemas = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        scored = score(batch)
+        schemas.append(scored.schema)
+        scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    drain_batches(stream, each)
+    if not schemas:
+        return score(spark.createDataFrame([], stream.schema)).withColumn("batch", F.lit(0))
     return spark.read.parquet(out)
