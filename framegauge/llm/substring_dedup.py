@@ -175,17 +175,20 @@ def _around(docs: pa.Table, cand: pa.Table) -> Iterator[tuple[Slice, np.ndarray,
             yield s, keys, checks, weight, starts[hit], n_of[place[hit]]
 
 
-def _hot_windows(docs: pa.Table, cand: pa.Table, hot_anchor: int) -> pa.Table:
-    """The distinct windows of a shard whose anchors stand at over hot_anchor places."""
-    hot = cand.filter(pa.array(cand.column("n").to_numpy() > hot_anchor, pa.bool_()))
+def _holders(docs: pa.Table, cand: pa.Table, hot_anchor: int) -> pa.Table:
+    """What a shard holds: its repeated anchors (with 0) that stand at up to hot_anchor places, and around the others the
+    hashes of the distinct windows."""
+    hot = cand.column("n").to_numpy() > hot_anchor
     found = np.zeros(0, [("k1", np.int64), ("k2", np.int32)])
-    if docs.num_rows and hot.num_rows:
-        for s, _, _, _, starts, _ in _around(docs, hot):
+    if docs.num_rows and hot.any():
+        for s, _, _, _, starts, _ in _around(docs, cand.filter(pa.array(hot))):
             new = np.zeros(len(starts), found.dtype)
             new["k1"], new["k2"] = _window_hashes(s.hashes, starts)
             found = np.unique(np.concatenate((found, new)))
-    shard = np.full(len(found), docs.column("shard")[0].as_py() if docs.num_rows else 0, np.int32)
-    return pa.table({"shard": pa.array(shard), "k1": pa.array(found["k1"].copy()), "k2": pa.array(found["k2"].copy())})
+    k1 = np.concatenate((cand.column("anchor").to_numpy()[~hot], found["k1"]))
+    k2 = np.concatenate((np.zeros(len(k1) - len(found), np.int32), found["k2"]))
+    shard = np.full(len(k1), cand.column("shard")[0].as_py() if len(k1) else 0, np.int32)
+    return pa.table({"shard": pa.array(shard), "k1": pa.array(k1), "k2": pa.array(k2)})
 
 
 def _passages(docs: pa.Table, recurring: pa.Table, hot_anchor: int) -> pa.Table:
@@ -295,8 +298,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", shard_bytes: int = S
     ).filter("times > 1")
     recurring = recurring.select("at.shard", "at.key", "at.check", "at.pos", "n", "times", F.coalesce("here", F.lit(-1)).alias("here"), F.coalesce("before", F.lit(-2)).alias("before"))
     passages = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(lambda d, r: _passages(d, r, hot_anchor), "k1 long, k2 int, piece binary")
-    holders = cand.filter(F.col("n") <= hot_anchor).select("shard", F.col("anchor").alias("k1"), F.lit(0).alias("k2"))
-    holders = holders.union(by_shard.cogroup(cand.groupBy("shard")).applyInArrow(lambda d, c: _hot_windows(d, c, hot_anchor), "shard int, k1 long, k2 int"))
+    holders = by_shard.cogroup(cand.groupBy("shard")).applyInArrow(lambda d, c: _holders(d, c, hot_anchor), "shard int, k1 long, k2 int")
     patterns = holders.join(passages, ["k1", "k2"]).select("shard", "piece")
 
     types = dict(docs.dtypes)
