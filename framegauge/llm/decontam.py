@@ -112,21 +112,21 @@ def _forms(items: DataFrame) -> DataFrame:
 
 
 def _candidates(found: DataFrame, sizes: DataFrame) -> DataFrame:
-    """doc_key, form_key, picks: which windows of the form are found at which offsets, at least SHARE of its windows.
+    """doc_key, form_key, windows, pick, picks: which windows of the form stand at which offsets, at least SHARE of them.
 
     Offsets no more than WIDTH from the next belong together, since a word put in or left out shifts what follows. A
     window found at several of them counts where most others are; an offset that has enough alone is judged alone, too.
+    A text that repeats an item has a row for each time, so nothing grows with the square of that.
     """
-    each = found.groupBy("doc_key", "form_key", "offset").agg(F.collect_set("item_pos").alias("at"))
+    each = found.groupBy("doc_key", "form_key", "offset").agg(F.collect_set("item_pos").alias("at")).withColumn("n", F.size("at"))
     by_offset = Window.partitionBy("doc_key", "form_key").orderBy("offset")
     each = each.withColumn("gap", F.col("offset") - F.lag("offset").over(by_offset))
     each = each.withColumn("place", F.count(F.when(F.col("gap") > WIDTH, 1)).over(by_offset))
-    spans = each.groupBy("doc_key", "form_key", "place").agg(F.sort_array(F.collect_list(F.struct(F.size("at").alias("n"), "offset", "at")), asc=False).alias("spans"))
-    spans = spans.withColumn("all", F.array_sort(F.array_distinct(F.flatten("spans.at")))).join(sizes, "form_key").filter(F.size("all") >= F.col("windows") * SHARE)
-    pick = lambda p, s: F.struct(p.alias("pos"), s["offset"].alias("offset"))
-    mixed = F.transform("all", lambda p: pick(p, F.filter("spans", lambda s: F.array_contains(s["at"], p))[0]))
-    single = F.transform(F.filter("spans", lambda s: s["n"] >= F.col("windows") * SHARE), lambda s: F.transform(F.array_sort(s["at"]), lambda p: pick(p, s)))
-    return spans.select("doc_key", "form_key", "windows", F.explode(F.array_distinct(F.concat(F.array(mixed), single))).alias("picks"))
+    best = each.select("doc_key", "form_key", "place", "n", "offset", F.explode("at").alias("pos")).groupBy("doc_key", "form_key", "place", "pos").agg(F.max(F.struct("n", "offset")).alias("m"))
+    pick = lambda pos, offset: F.struct(pos.alias("pos"), offset.alias("offset"))
+    mixed = best.groupBy("doc_key", "form_key", F.concat(F.lit("p"), F.col("place")).alias("pick")).agg(F.collect_list(pick(F.col("pos"), F.col("m.offset"))).alias("picks"))
+    single = each.select("doc_key", "form_key", F.concat(F.lit("o"), F.col("offset")).alias("pick"), F.transform("at", lambda p: pick(p, F.col("offset"))).alias("picks"))
+    return mixed.union(single).join(sizes, "form_key").filter(F.size("picks") >= F.col("windows") * SHARE)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -151,17 +151,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, hits long, windows int, slots int, changed int, doc_key long")
     likely = cut(_candidates(found, forms.select("form_key", F.size("strong").alias("windows"))), "likely")
 
-    keys = likely.select("doc_key").distinct()
-    texts = docs.join(keys, "doc_key", "left_semi").dropDuplicates(["doc_key"]).select("doc_key", "doc_id", raw_tokens(F.col("text")).alias("doc_tokens"))
-    pairs = likely.join(texts, "doc_key").join(forms.drop("hashes", "strong"), "form_key")
-    # only what matched windows cover is filled in
-    covered = F.flatten(F.transform("picks", lambda c: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct((c["pos"] + k).alias("i"), (c["pos"] + k + c["offset"]).alias("j")))))
-    places = F.filter(F.array_distinct(covered), lambda p: _slot(F.get(F.col("tokens"), p["i"])))
+    named = docs.join(likely.select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    theirs = named.select("doc_key", F.posexplode(raw_tokens(F.col("text"))).alias("j", "theirs"))
+    item_words = forms.select("form_key", "kind", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("item_tokens").alias("mine"))).alias("i", "w"))
+    item_words = item_words.select("form_key", "kind", "i", "w.mine", _slot(F.col("w.token")).alias("slot")).filter((F.col("slot")) | ((F.col("kind") == INSIDE) & (F.col("i") == 0)))
+    # only what matched windows cover is filled in, slot by slot
+    covered = likely.select("doc_key", "form_key", "pick", F.explode("picks").alias("c")).join(forms.select("form_key", "width"), "form_key")
+    covered = covered.select("doc_key", "form_key", "pick", "c", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("k")).select("doc_key", "form_key", "pick", (F.col("c.pos") + F.col("k")).alias("i"), (F.col("c.pos") + F.col("c.offset") + F.col("k")).alias("j")).distinct()
+    filled = covered.join(item_words, ["form_key", "i"]).join(theirs, ["doc_key", "j"], "left")
     # inside a sentence the item's first word is a slot, but must be that very word
-    first = lambda p: (p["i"] != 0) | F.array_contains(F.split(F.get(F.col("doc_tokens"), p["j"]), JOINT), F.split(F.get(F.col("item_tokens"), p["i"]), JOINT)[0])
-    pairs = pairs.filter((F.col("kind") != INSIDE) | F.forall(covered, first))
-    filled = F.transform(places, lambda p: F.struct(F.get(F.col("item_tokens"), p["i"]).alias("mine"), F.get(F.col("doc_tokens"), p["j"]).alias("theirs")))
-    pairs = pairs.withColumn("filled", F.array_distinct(filled)).withColumn("slots", F.size(F.array_distinct(F.col("filled.mine"))))
-    pairs = pairs.filter(F.size("filled") == F.col("slots")).withColumn("changed", F.size(F.filter("filled", lambda p: p["mine"] != p["theirs"]))).withColumn("hits", F.size("picks").cast("long"))
-    best = pairs.groupBy("doc_key", "item_key").agg(F.max(F.struct("hits", "windows", "slots", "changed", "doc_id", "item_id")).alias("b"))
+    first = F.array_contains(F.split("theirs", JOINT), F.split("mine", JOINT)[0])
+    pair = F.struct("mine", "theirs")
+    judged = filled.groupBy("doc_key", "form_key", "pick").agg(
+        F.count_distinct(F.when(F.col("slot"), F.col("mine"))).alias("slots"), F.count_distinct(F.when(F.col("slot"), pair)).alias("values"),
+        F.count_distinct(F.when(F.col("slot") & ~F.col("mine").eqNullSafe(F.col("theirs")), pair)).alias("changed"),
+        F.bool_or((F.col("kind") == INSIDE) & (F.col("i") == 0) & ~F.coalesce(first, F.lit(False))).alias("other"),
+    )
+    pairs = likely.select("doc_key", "form_key", "pick", "windows", F.size("picks").cast("long").alias("hits")).join(judged, ["doc_key", "form_key", "pick"], "left")
+    pairs = pairs.filter("slots is null or (slots = values and not other)").join(forms.select("form_key", "item_key", "item_id"), "form_key").join(named.select("doc_key", "doc_id"), "doc_key")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("int").alias(c)
+    best = pairs.groupBy("doc_key", "item_key").agg(F.max(F.struct("hits", "windows", none("slots"), none("changed"), "doc_id", "item_id")).alias("b"))
     return best.select("b.doc_id", "b.item_id", "b.hits", "b.windows", "b.slots", "b.changed", "doc_key").distinct()
