@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import keyed, luma, rgb_distance
+from ..functions.scalars import delta_e, keyed, luma, rgb_distance
 from ..sources.shared import ensure_checkpoint_dir
 
 
@@ -148,6 +148,13 @@ def nearest_entry(colours: DataFrame, palette: DataFrame) -> DataFrame:
     return best.select("rgb", "m.ord", "m.entry", F.col("m.d").alias("distance"))
 
 
+def min_delta(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and least: the least CIE76 difference between two colours of a key; keys of one colour have no row."""
+    colours = cells.select(*keys, "rgb").distinct()
+    both = colours.join(colours.withColumnRenamed("rgb", "other"), keys).filter("rgb < other")
+    return both.groupBy(*keys).agg(F.min(delta_e("rgb", "other")).alias("least"))
+
+
 def quantise(cells: DataFrame, palette: DataFrame) -> DataFrame:
     return cells.join(nearest_entry(cells, palette), "rgb").drop("rgb", "ord", "distance").withColumnRenamed("entry", "rgb")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grid, identity
 from ..sources import testdata as T
+from .q_scalars import _lab_sql
 
 K = ["strip_id", "frame", "x", "y"]
 
@@ -103,12 +104,9 @@ def agg_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_min_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least squared distance between two colours of a strip."""
-    from ..functions.scalars import rgb_distance
-
-    c = T.cells(spark, sf_dir).select("strip_id", "rgb").distinct()
-    pairs = c.join(c.withColumnRenamed("rgb", "other"), "strip_id").filter("rgb < other")
-    return pairs.groupBy("strip_id").agg(F.min(rgb_distance("rgb", "other")).alias("least"))
+    """Least colour difference (CIE76, in whole thousandths) between two colours of a strip."""
+    least = grid.min_delta(T.cells(spark, sf_dir), ["strip_id"])
+    return least.select("strip_id", F.floor(F.col("least") * 1000 + 0.0005).cast("long").alias("least"))
 
 
 def _draft_polished(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +211,7 @@ UNION ALL SELECT strip_id, frame, CASE WHEN frame = 2 THEN x + 3 ELSE x END, y,
     "src_palette": C + " SELECT DISTINCT '#' || lpad(upper(to_hex(rgb)), 6, '0') AS hex, rgb, true AS valid FROM cells",
     "join_nearest": C + NEAR + " SELECT rgb, entry, distance FROM near",
     "join_quantize": C + NEAR + " SELECT strip_id, frame, x, y, entry AS rgb FROM cells JOIN near USING (rgb)",
-    "agg_min_delta": C + " , d AS (SELECT DISTINCT strip_id, rgb FROM cells) SELECT a.strip_id, CAST(min((a.rgb // 65536 - b.rgb // 65536) ** 2) AS BIGINT) AS least FROM d a JOIN d b ON a.strip_id = b.strip_id AND a.rgb < b.rgb GROUP BY 1",
+    "agg_min_delta": C + " , d AS (SELECT DISTINCT strip_id, rgb FROM cells), l AS (SELECT rgb, " + ", ".join(f"{e} AS {n}" for e, n in zip(_lab_sql("rgb"), ("l", "a", "b"), strict=True)) + " FROM (SELECT DISTINCT rgb FROM d)) SELECT a.strip_id, CAST(floor(min(sqrt(pow(p.l - q.l, 2) + pow(p.a - q.a, 2) + pow(p.b - q.b, 2))) * 1000 + 0.0005) AS BIGINT) AS least FROM d a JOIN d b ON a.strip_id = b.strip_id AND a.rgb < b.rgb JOIN l p ON p.rgb = a.rgb JOIN l q ON q.rgb = b.rgb GROUP BY 1",
     "join_celldiff": AB + " SELECT strip_id, count(*) FILTER (a.rgb IS DISTINCT FROM b.rgb) AS changed, count(*) AS \"union\" FROM a FULL JOIN b USING (strip_id, x, y) GROUP BY 1",
     "join_visible_delta": AB + " SELECT s.strip_id, count(b.rgb) FILTER (a.rgb <> b.rgb) AS n FROM strips s LEFT JOIN a ON a.strip_id = s.strip_id LEFT JOIN b ON b.strip_id = a.strip_id AND b.x = a.x AND b.y = a.y GROUP BY 1",
     "join_ledger_build": AB + " SELECT strip_id, x, y, a.rgb AS from_rgb, b.rgb AS to_rgb FROM a FULL JOIN b USING (strip_id, x, y) WHERE a.rgb IS DISTINCT FROM b.rgb",
