@@ -22,7 +22,9 @@ def masks(cells: DataFrame, frames: DataFrame) -> DataFrame:
     block = F.explode(F.sequence(F.greatest(F.floor((x - MARGIN + 1) / BLOCK), F.lit(0)), F.floor((x + MARGIN) / BLOCK))).alias("block")
     bits = cells.select("strip_id", "frame", "y", "x", block).select("strip_id", "frame", F.col("y").cast("int").alias("y"), F.col("block").cast("int").alias("block"), _left(F.lit(1).cast("long"), (x - F.col("block") * BLOCK + MARGIN).cast("int")).alias("m"), F.lit(None).cast("int").alias("w"), F.lit(None).cast("int").alias("h"))
     empty = frames.select("strip_id", "frame", F.lit(0).alias("y"), F.lit(0).alias("block"), F.lit(0).cast("long").alias("m"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))
-    rows = bits.union(empty).repartition("strip_id").groupBy("strip_id", "frame", "y", "block").agg(F.bit_or("m").alias("m"), F.max("w").alias("w"), F.max("h").alias("h"))
+    # by number, since a strip's words are few bytes but its pairs much work: such partitions are not merged at run time
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bits.union(empty).repartition(tasks, "strip_id").groupBy("strip_id", "frame", "y", "block").agg(F.bit_or("m").alias("m"), F.max("w").alias("w"), F.max("h").alias("h"))
     lists = rows.groupBy("strip_id", "frame").agg(F.max("w").alias("w"), F.max("h").alias("h"), F.collect_list(F.struct("y", "block", "m")).alias("l")).filter("w is not null")
     stride = F.ceil(F.col("w") / BLOCK).cast("int") + 1
     known = F.map_from_entries(F.transform("l", lambda e: F.struct(e["y"] * F.col("stride") + e["block"], e["m"])))
@@ -110,8 +112,10 @@ def shift_scores(pairs: DataFrame, rows: DataFrame, span_x: int, span_y: int = 0
 
 
 def best_shift(scores: DataFrame) -> DataFrame:
-    """The shift of least fraction for each pair: strip_id, a, b, frac, dy, dx, changed, union."""
-    return scores.select("strip_id", "a", "b", F.get("scores", F.lit(0)).alias("s")).select("strip_id", "a", "b", "s.*")
+    """The shift of least fraction for each pair: strip_id, a, b, frac, dy, dx, changed, union, and margin (how much less
+    it is than the second least one, null with one shift)."""
+    margin = F.get("scores", F.lit(1))["frac"] - F.get("scores", F.lit(0))["frac"]
+    return scores.select("strip_id", "a", "b", F.get("scores", F.lit(0)).alias("s"), margin.alias("margin")).select("strip_id", "a", "b", "s.*", "margin")
 
 
 def sharpness(scores: DataFrame) -> DataFrame:
@@ -125,12 +129,26 @@ def antisymmetric(in_dx: str, in_dy: str, out_dx: str, out_dy: str, tolerance: i
     return F.greatest(F.abs(F.col(in_dx) + F.col(out_dx)), F.abs(F.col(in_dy) + F.col(out_dy))) <= tolerance
 
 
+def displacement(strips: DataFrame, best: DataFrame, least: int = 2, tolerance: int = 1) -> DataFrame:
+    """One row for each strip with pairs: strip_id, margin (the least of its pairs) and flags, an array of frame, in_dx,
+    in_dy, out_dx, out_dy: frames moved out and back; all frames of looping strips, inner ones of others, from 3 frames.
+    """
+    rows = best.groupBy("strip_id").agg(F.min("margin").alias("margin"), F.collect_list(F.struct("a", "b", "dx", "dy")).alias("moves")).join(strips.select("strip_id", "n", "loops"), "strip_id")
+    last = F.when(F.col("loops"), F.col("n") - 1).otherwise(F.col("n") - 2)
+    frames = F.when(F.col("n") >= 3, F.sequence(F.when(F.col("loops"), 0).otherwise(1), last))
+
+    def move(k: Column) -> Column:
+        into = F.get(F.filter("moves", lambda m: (m["b"] == k) & (m["a"] == F.pmod(k - 1, F.col("n")))), F.lit(0))
+        out = F.get(F.filter("moves", lambda m: (m["a"] == k) & (m["b"] == F.pmod(k + 1, F.col("n")))), F.lit(0))
+        return F.struct(k.cast("int").alias("frame"), into["dx"].alias("in_dx"), into["dy"].alias("in_dy"), out["dx"].alias("out_dx"), out["dy"].alias("out_dy"))
+
+    far = lambda m: F.greatest(F.abs(m["in_dx"]), F.abs(m["in_dy"])) >= least
+    back = lambda m: F.greatest(F.abs(m["in_dx"] + m["out_dx"]), F.abs(m["in_dy"] + m["out_dy"])) <= tolerance
+    flags = F.filter(F.transform(frames, move), lambda m: m["in_dx"].isNotNull() & m["out_dx"].isNotNull() & far(m) & back(m))
+    kind = "array<struct<frame:int,in_dx:int,in_dy:int,out_dx:int,out_dy:int>>"
+    return rows.select("strip_id", "margin", F.coalesce(flags.cast(kind), F.array().cast(kind)).alias("flags"))
+
+
 def displacement_flags(strips: DataFrame, best: DataFrame, least: int = 2, tolerance: int = 1) -> DataFrame:
-    """(strip_id, frame): frames moved out and back; all frames of looping strips, inner ones of others, from 3 frames."""
-    k = strips.filter("n >= 3").select("strip_id", "n", "loops", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    k = k.filter("loops or (k > 0 and k < n - 1)").select("strip_id", "k", F.expr("cast(pmod(k - 1, n) as int)").alias("p"), F.expr("cast(pmod(k + 1, n) as int)").alias("q"))
-    into = best.select("strip_id", F.col("a").alias("p"), F.col("b").alias("k"), F.col("dx").alias("in_dx"), F.col("dy").alias("in_dy"))
-    out = best.select("strip_id", F.col("a").alias("k"), F.col("b").alias("q"), F.col("dx").alias("out_dx"), F.col("dy").alias("out_dy"))
-    rows = k.join(into, ["strip_id", "p", "k"]).join(out, ["strip_id", "k", "q"])
-    moved = (F.greatest(F.abs("in_dx"), F.abs("in_dy")) >= least) & antisymmetric("in_dx", "in_dy", "out_dx", "out_dy", tolerance)
-    return rows.filter(moved).select("strip_id", F.col("k").alias("frame"), "in_dx", "in_dy", "out_dx", "out_dy")
+    """(strip_id, frame, in_dx, in_dy, out_dx, out_dy): the flags of displacement, one row each."""
+    return displacement(strips, best, least, tolerance).select("strip_id", F.explode("flags").alias("f")).select("strip_id", "f.*")

@@ -86,12 +86,10 @@ def agg_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every strip is scanned here as if its class had a floor of 0.015, since few random strips are sharp."""
     t = Frames(spark, sf_dir)
-    scores = pairs.shift_scores(pairs.adjacent(t.strips), t.masks, 4, 4)
-    flags = pairs.displacement_flags(t.strips, pairs.best_shift(scores)).groupBy("strip_id").agg(F.count("*").alias("flags"))
-    margins = pairs.sharpness(scores).groupBy("strip_id").agg(F.min("margin").alias("margin"))
-    rows = t.strips.select("strip_id").join(margins, "strip_id").join(flags, "strip_id", "left")
-    state = F.when(F.col("margin") < 0.015, "undecidable").when(F.col("flags") > 0, "fail").otherwise("pass")
-    return rows.select("strip_id", F.coalesce("flags", F.lit(0)).alias("flags"), state.alias("displacement"))
+    best = pairs.best_shift(pairs.shift_scores(pairs.adjacent(t.strips), t.masks, 4, 4))
+    rows = pairs.displacement(t.strips, best)
+    state = F.when(F.col("margin") < 0.015, "undecidable").when(F.size("flags") > 0, "fail").otherwise("pass")
+    return rows.select("strip_id", F.size("flags").cast("long").alias("flags"), state.alias("displacement"))
 
 
 def agg_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
