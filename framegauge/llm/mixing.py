@@ -82,10 +82,11 @@ def mix_sources(docs: DataFrame, weights: DataFrame, levels: Sequence[str] = ("d
     weights has levels and w_<level> columns, the weight of each node among its siblings; share is the mix's size in
     tokens over all tokens of docs.
     """
-    docs = docs.drop("n_tokens", "copies")
+    names = [c for c in docs.columns if c not in ("n_tokens", "copies")]
     leaf = {f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in levels}
-    counted = docs.withColumns(leaf).withColumn("n_tokens", token_count(F.col(text_col)))
-    slim = counted.groupBy(F.col(id_col).alias("_id"), *leaf).agg(F.sum("n_tokens").alias("size"))
+    carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(names)]
+    counted = docs.select(*carried, F.col(id_col).alias("_id"), *(e.alias(c) for c, e in leaf.items()), token_count(F.col(text_col)).alias("n_tokens"))
+    slim = counted.groupBy("_id", *leaf).agg(F.sum("n_tokens").alias("size"))
     slim = cut(slim.withColumnsRenamed(dict(zip(leaf, levels, strict=True))), "tokens")
     budgets = leaf_budgets(slim.groupBy(*levels).agg(F.sum("size").alias("tokens")), weights, levels, share, most_epochs).filter("budget > 0 and tokens > 0")
     budgets = budgets.select(*levels, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest"))
@@ -102,5 +103,5 @@ def mix_sources(docs: DataFrame, weights: DataFrame, levels: Sequence[str] = ("d
     picked = rows.join(parts, [*levels, "part"]).withColumn("more", ((reach <= F.col("rest")) & (F.col("rest") > 0)).cast("int"))
     picked = picked.select("_id", *levels, (F.col("whole") + F.col("more")).cast("int").alias("copies")).filter("copies > 0")
     picked = picked.withColumnsRenamed({c: f"_{c}" for c in levels})
-    out = counted.withColumn("_id", F.col(id_col)).alias("d").join(picked.alias("p"), F.expr(" and ".join(f"d.{c} <=> p.{c}" for c in ("_id", *leaf))))
-    return out.select(*(F.col(f"d.{c}") for c in docs.columns), "n_tokens", "copies")
+    out = counted.alias("d").join(picked.alias("p"), F.expr(" and ".join(f"d.{c} <=> p.{c}" for c in ("_id", *leaf))))
+    return out.select(*(F.col(f"d.c{i}").alias(c) for i, c in enumerate(names)), "n_tokens", "copies")
