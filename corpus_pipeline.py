@@ -30,7 +30,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One document of each group of near duplicates, that with the smallest id."""
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept, docs.doc_id == kept["_kept"], "left_semi")
-    named = named.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_nth = 1").drop("_nth")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    named = named.select(F.struct("*").alias("row"), nth.alias("nth")).filter("nth = 1").select("row.*")
     return named.unionByName(docs.filter("doc_id is null"))
 
 
@@ -49,8 +50,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: its documents with n_tokens and copies."""
-    docs = docs.withColumn("domain", domain())
-    return mix_sources(docs, mixing_weights(docs)).drop("domain")
+    name = "domain"
+    while name in docs.columns:
+        name += "_"
+    weights = mixing_weights(docs).withColumnsRenamed({"domain": name, "w_domain": f"w_{name}"})
+    return mix_sources(docs.withColumn(name, domain()), weights, (name, "lang", "source")).drop(name)
 
 
 STAGES = [("quality", quality), ("near duplicates", near_duplicate), ("repeated passages", repeated_passages), ("decontamination", decontamination), ("mixing", mixing)]
