@@ -172,7 +172,7 @@ def reset_slices(promotions: DataFrame, slices: DataFrame, promotion: str, statu
     without a slice changes itself only.
     """
     at = slices.filter(F.col("id") == promotion).agg(F.max("slice").alias("at"))
-    rows = promotions.join(F.broadcast(slices), "id", "left").crossJoin(F.broadcast(at))
+    rows = promotions.join(slices, "id", "left").crossJoin(F.broadcast(at))
     new = (
         F.when(F.col("at").isNull(), F.when(F.col("id") == promotion, F.lit(status)).otherwise(F.col("status")))
         .when(F.col("slice") > F.col("at"), "PENDING_VERIFICATION").when(F.col("slice") == F.col("at"), F.lit(status)).otherwise(F.col("status"))
