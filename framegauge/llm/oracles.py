@@ -57,4 +57,49 @@ e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.d
 c AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT c.doc_id, e.y FROM c JOIN e ON e.x = c.r)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(r) AS component_id, d.doc_id = min(r) AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id) GROUP BY d.doc_id, n"""
 
-ORACLES = {"op1_main_text": OP1, "op2_warc": OP2, "op3_mixing": OP3, "op4_repeated_passages": OP4, "op9_near_duplicates": OP9}
+_FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+#: Quotient of two whole numbers, rounded down.
+_DOWN = "CAST(({0} - (({0} % {1}) + {1}) % {1}) // {1} AS BIGINT)"
+#: Exact squared distance of two lists of whole numbers below 2^20.
+_SQUARED = "CAST(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[]) + list_inner_product({1}::DOUBLE[], {1}::DOUBLE[]) - 2 * list_inner_product({0}::DOUBLE[], {1}::DOUBLE[]) AS BIGINT)"
+
+
+def _code_round(i: int) -> str:
+    return f"""a{i} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM (SELECT x.vec_id, p, e, {_SQUARED.format("x.v", "b.v")} AS d FROM x JOIN b{i} b USING (p)) GROUP BY ALL)"""
+
+
+def _entry_round(i: int) -> str:
+    return f"""b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN (SELECT p, e, list(f ORDER BY i) AS v FROM (SELECT p, e, i, {_DOWN.format("sum(v[i])", "count(*)")} AS f FROM a{i} JOIN x USING (vec_id, p), range(1, 17) t(i) GROUP BY ALL) GROUP BY ALL) m USING (p, e))"""
+
+
+OP11 = f"""WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(1024 * y::DOUBLE) AS BIGINT)) AS v FROM embeddings WHERE {_FINE}),
+x AS MATERIALIZED (SELECT vec_id, p, v[p * 16 + 1 : p * 16 + 16] AS v FROM k, range(4) t(p)),
+b0 AS MATERIALIZED (SELECT p, e, v FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT 256) JOIN x USING (vec_id)),
+{", ".join(f"{_code_round(i)}, {_entry_round(i)}" for i in range(4))}, {_code_round(4)},
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h"""
+
+
+def _centroid_round(i: int) -> str:
+    return f"""a{i} AS MATERIALIZED (SELECT vec_id, arg_min(c, d * 40 + c) AS c, min(d) AS d FROM (SELECT x.vec_id, c, {_SQUARED.format("x.v", "b.v")} AS d FROM x, b{i} b) GROUP BY ALL)"""
+
+
+def _mean_round(i: int) -> str:
+    return f"""b{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN (SELECT c, list(f ORDER BY i) AS v FROM (SELECT c, i, {_DOWN.format("sum(v[i])", "count(*)")} AS f FROM a{i} JOIN x USING (vec_id), range(1, 65) t(i) GROUP BY ALL) GROUP BY ALL) m USING (c))"""
+
+
+OP12 = f"""WITH x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda y: CAST(floor(256 * y::DOUBLE) AS BIGINT)) AS v FROM embeddings WHERE {_FINE} AND len(embedding) = 64),
+b0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM x ORDER BY h LIMIT 40)),
+{", ".join(f"{_centroid_round(i)}, {_mean_round(i)}" for i in range(5))}, {_centroid_round(5)}
+SELECT vec_id, CAST(a5.c AS INT) AS cluster, d AS distance, sum(d) OVER (PARTITION BY a5.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM a5 JOIN b5 USING (c)"""
+
+OP13 = """WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, s: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, n)) AS crc),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+e AS (SELECT doc_id, octet_length(b) + 8 AS size, list_transform(regexp_extract_all(hex(b), '..'), lambda y: CAST('0x' || y AS BIGINT)) AS l FROM d),
+s AS (SELECT doc_id, size, xor(list_reduce(l, lambda a, y: xor(crc[xor(a, y) % 256 + 1], a >> 8), 4294967295), 4294967295) AS text_crc32 FROM e, t),
+c AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM s),
+h AS (SELECT *, CAST((2 * upto - size) * 24 // (2 * total) AS INT) AS shard FROM c)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM h"""
+
+ORACLES = {"op1_main_text": OP1, "op2_warc": OP2, "op3_mixing": OP3, "op4_repeated_passages": OP4, "op9_near_duplicates": OP9, "op11_vector_codes": OP11, "op12_centroids": OP12, "op13_sharding": OP13}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .centroids import cluster
 from .decontam import contaminated
 from .html_extract import extract_pages
 from .language import learn_profiles, predict_language
@@ -15,9 +16,11 @@ from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .oracles import ORACLES
 from .quality import fit_discriminant, score_quality, text_counts
+from .sharding import contiguous_shards, with_sizes
 from .store import cut
 from .substring_dedup import remove_repeats
 from .toxicity import learn_toxicity, score_toxicity
+from .vector_codes import compress
 from .warc import archive_round_trip
 
 
@@ -97,8 +100,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards in the order of doc_id, by the law of bytes."""
+    docs = with_sizes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return contiguous_shards(docs, ("doc_id", "size", "text_crc32")).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_warc, op3_mixing, op4_repeated_passages, op5_nearest, op6_decontamination, op7_quality, op8_language, op9_near_duplicates, op10_toxicity)}
+    return {f.__name__: f for f in (op1_main_text, op2_warc, op3_mixing, op4_repeated_passages, op5_nearest, op6_decontamination, op7_quality, op8_language, op9_near_duplicates, op10_toxicity, op11_vector_codes, op12_centroids, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
