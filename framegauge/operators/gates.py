@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import canonical, tristate
 from .pairs import adjacent, all_pairs, best_shift, shift_scores
 
 # Gates in reporting order, and what each failure asks for next.
@@ -81,45 +80,15 @@ def palette_drift(strips: DataFrame, hists: DataFrame) -> DataFrame:
     return grouped.withColumn("tv", F.col("distance") / F.col("whole"))
 
 
-def metric_table(silhouette: DataFrame, drift: DataFrame) -> DataFrame:
-    """Long (strip_id, gate, metric) of the continuous gates."""
-    worst = drift.groupBy("strip_id").agg(F.max("tv").alias("drift"))
-    wide = silhouette.join(worst, "strip_id", "left")
-    long = wide.select("strip_id", F.expr("stack(4, 'silhouette_budget', adjacent_max, 'loop_closure_pass', loop, 'min_pair_cohort_pass', min_pair, 'palette_drift_pass', drift) as (gate, metric)"))
-    return long.filter("metric is not null")
-
-
-def gate_outcomes(metrics: DataFrame, strips: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Outcome of every gate that applies to a strip's class; profiles(motion_class, gate, status, budget, hard_fail).
-
-    Gates of INAPPLICABLE profiles have no row. A gate without a profile, with an unknown status or without a budget
-    fails closed: outcome FAIL, and the reason in reason_code.
-    """
-    rows = metrics.join(strips.select("strip_id", "motion_class"), "strip_id").join(F.broadcast(profiles), ["motion_class", "gate"], "left")
-    rows = rows.filter("status is null or status <> 'INAPPLICABLE'")
-    reason = F.when(F.col("status").isNull(), "missing_profile").when(~F.col("status").isin("SEPARATED", "UNSEPARATED"), "unknown_status").when(F.col("budget").isNull(), "missing_budget")
-    outcome = F.when(reason.isNotNull(), "FAIL").otherwise(tristate("metric", "status", "budget", "hard_fail"))
-    return rows.select("strip_id", "motion_class", "gate", canonical("metric").alias("metric"), "status", "budget", "hard_fail", outcome.alias("outcome"), reason.alias("reason_code"))
-
-
-def strip_verdicts(outcomes: DataFrame) -> DataFrame:
-    """FAIL over REVIEW over PASS, and PASS where every REVIEW comes from an UNSEPARATED gate and nothing fails."""
-    rows = outcomes.groupBy("strip_id").agg(
-        F.count_if(F.col("outcome") == "FAIL").alias("fails"), F.count_if(F.col("outcome") == "REVIEW").alias("reviews"),
-        F.count_if((F.col("outcome") == "REVIEW") & (F.col("status") == "UNSEPARATED")).alias("soft"),
-    )
-    plain = F.when(F.col("fails") > 0, "FAIL").when(F.col("reviews") > 0, "REVIEW").otherwise("PASS")
-    lenient = F.when(F.col("fails") > 0, "FAIL").when(F.col("reviews") > F.col("soft"), "REVIEW").otherwise("PASS")
-    return rows.select("strip_id", "fails", "reviews", plain.alias("outcome"), lenient.alias("lenient_outcome"))
-
-
 def isolation(gate_rows: DataFrame) -> DataFrame:
-    """gate_rows(run_id, gate, target_gate, outcome pass/fail/undecidable): verdict, blockers and number of caveats."""
+    """gate_rows(run_id, gate, target_gate, outcome pass/fail/undecidable, metric, budget): verdict, blockers, number of
+    caveats, and of a failure its code, gate, and that gate's metric_now and budget_now."""
     target, failed = F.col("gate") == F.col("target_gate"), F.col("outcome") == "fail"
+    value = [F.col(c).cast("double").alias(c) if c in gate_rows.columns else F.lit(None).cast("double").alias(c) for c in ("metric", "budget")]
     rows = gate_rows.groupBy("run_id", "target_gate").agg(
-        F.max(F.when(target, F.col("outcome"))).alias("target"), F.count_if(~target & failed).alias("others"),
+        F.max(F.when(target, F.col("outcome"))).alias("target"), F.max(F.when(target, F.struct(*value))).alias("own"), F.count_if(~target & failed).alias("others"),
         F.array_sort(F.collect_list(F.when(~target & failed, F.col("gate")))).alias("collateral"), F.count_if(~target & (F.col("outcome") == "undecidable")).alias("caveats"),
-        F.min(F.when(~target & failed, F.struct(gate_ordinal("gate").alias("o"), "gate"))).alias("first"),
+        F.min(F.when(~target & failed, F.struct(gate_ordinal("gate").alias("o"), "gate", *value))).alias("first"),
     )
     verdict = F.when(F.col("target") == "undecidable", "INDETERMINATE").when((F.col("target") == "fail") & (F.col("others") == 0), "ISOLATED").otherwise("NOT_ISOLATED")
     code = (
@@ -127,13 +96,16 @@ def isolation(gate_rows: DataFrame) -> DataFrame:
         .when(F.col("target") == "pass", "TARGET_DEFECT_TOO_WEAK").otherwise("COLLATERAL_GATE_FAILED")
     )
     gate = F.when(code == "COLLATERAL_GATE_FAILED", F.col("first.gate")).when(code.isNotNull(), F.col("target_gate"))
-    return rows.select("run_id", "target_gate", verdict.alias("isolation"), F.array_join("collateral", ",").alias("blockers"), "caveats", code.alias("code"), gate.alias("failed_gate"))
+    return rows.select("run_id", "target_gate", verdict.alias("isolation"), F.array_join("collateral", ",").alias("blockers"), "caveats", code.alias("code"), gate.alias("failed_gate"),
+                       *(F.when(code == "COLLATERAL_GATE_FAILED", F.col(f"first.{c}")).when(code.isNotNull(), F.col(f"own.{c}")).alias(f"{c}_now") for c in ("metric", "budget")))
 
 
 def retry_actions(failures: DataFrame) -> DataFrame:
-    """Adds intent and direction to rows with `code`."""
+    """Adds intent, direction, must_exceed (of a target that is too weak) and must_fall_below (of a collateral gate) to
+    rows with code and budget_now."""
     pairs = [x for k, v in RETRY_INTENT.items() for x in (F.lit(k), F.lit(v))]
-    direction = F.when(F.col("code") == "TARGET_DEFECT_TOO_WEAK", "increase").when(F.col("code") == "COLLATERAL_GATE_FAILED", "decrease")
-    return failures.withColumn("intent", F.element_at(F.create_map(*pairs), F.col("code"))).withColumn("direction", direction)
-
-
+    weak, collateral = F.col("code") == "TARGET_DEFECT_TOO_WEAK", F.col("code") == "COLLATERAL_GATE_FAILED"
+    return failures.withColumns({
+        "intent": F.element_at(F.create_map(*pairs), F.col("code")), "direction": F.when(weak, "increase").when(collateral, "decrease"),
+        "must_exceed": F.when(weak, F.col("budget_now")), "must_fall_below": F.when(collateral, F.col("budget_now")),
+    })

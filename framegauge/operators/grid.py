@@ -159,12 +159,13 @@ def quantise(cells: DataFrame, palette: DataFrame) -> DataFrame:
     return cells.join(nearest_entry(cells, palette), "rgb").drop("rgb", "ord", "distance").withColumnRenamed("entry", "rgb")
 
 
-def shared_palette(cells: DataFrame, merge: int = 32, most: int = 16) -> DataFrame:
-    """Leader clustering of each strip's colours: frequent ones lead (ties by first appearance), near ones join the first
-    leader within the distance, and the leaders with most cells make the palette, in that order."""
-    first = F.min(F.struct("frame", "y", "x"))
-    counts = cells.groupBy("strip_id", "rgb").agg(F.count("*").alias("n"), first.alias("at"))
-    lists = counts.groupBy("strip_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "at", "rgb"))).alias("all"))
+def palettes(colours: DataFrame, merge: int = 32, most: int = 16) -> DataFrame:
+    """colours(strip_id, rgb, n, at). One row a strip: colours (how many), clusters, and palette, an array of rgb and cells.
+
+    Leader clustering: frequent colours lead (ties by least `at`, their first place), near ones join the first leader
+    within the distance, and the leaders with most cells make the palette, ties by the lower colour.
+    """
+    lists = colours.groupBy("strip_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "at", "rgb"))).alias("all"))
     start = F.array().cast("array<struct<leader:int,n:bigint>>")
 
     def add(state: Column, c: Column) -> Column:
@@ -173,8 +174,15 @@ def shared_palette(cells: DataFrame, merge: int = 32, most: int = 16) -> DataFra
         joined = F.transform(state, lambda s: F.struct(s["leader"].alias("leader"), F.when(s["leader"] == lead, s["n"] - c["minus"]).otherwise(s["n"]).alias("n")))
         return F.when(F.size(near) > 0, joined).otherwise(F.concat(state, F.array(F.struct(c["rgb"].alias("leader"), (-c["minus"]).alias("n")))))
 
-    ranked = F.array_sort(F.transform(F.aggregate("all", start, add), lambda s: F.struct((-s["n"]).alias("minus"), s["leader"].alias("leader"))))
-    return lists.select("strip_id", F.posexplode(F.slice(ranked, 1, most)).alias("ord", "c")).select("strip_id", "ord", F.col("c.leader").alias("rgb"), (-F.col("c.minus")).alias("cells"))
+    ranked = F.array_sort(F.transform(F.aggregate("all", start, add), lambda s: F.struct((-s["n"]).alias("minus"), s["leader"].alias("rgb"))))
+    lists = lists.select("strip_id", F.size("all").alias("colours"), ranked.alias("ranked"))
+    return lists.select("strip_id", "colours", F.size("ranked").alias("clusters"), F.expr(f"transform(slice(ranked, 1, {most}), c -> struct(c.rgb as rgb, -c.minus as cells))").alias("palette"))
+
+
+def shared_palette(cells: DataFrame, merge: int = 32, most: int = 16) -> DataFrame:
+    """The palette of each strip's cells (palettes) as rows: strip_id, ord, rgb and cells."""
+    colours = cells.groupBy("strip_id", "rgb").agg(F.count("*").alias("n"), F.min(F.struct("frame", "y", "x")).alias("at"))
+    return palettes(colours, merge, most).select("strip_id", F.posexplode("palette").alias("ord", "c")).select("strip_id", "ord", "c.rgb", "c.cells")
 
 
 def cell_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

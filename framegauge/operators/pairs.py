@@ -72,43 +72,42 @@ def all_pairs(strips: DataFrame, both_ways: bool = False) -> DataFrame:
 
 
 def shift_scores(pairs: DataFrame, rows: DataFrame, span_x: int, span_y: int = 0) -> DataFrame:
-    """strip_id, a, b and scores: frac, dy, dx, changed and union of each pair at each shift (dx, dy) of b, best first.
+    """strip_id, a, b, anchor and scores: frac, dy, dx, changed and union of each pair at each shift (dx, dy) of b, best first.
 
-    pairs carries the anchor: rows of a at and below it do not count. What is shifted in from outside a frame is empty,
+    pairs carries the anchor: rows of a at and below it do not count, nor do those that b has not. What is shifted in from outside a frame is empty,
     and what falls outside of it doesn't count; frac is changed / union, 0 where nothing is occupied. Ties go to the
     first in the order of dy, then dx. rows are those of masks().
     """
     if span_x > MARGIN:
         raise ValueError(f"shifts of more than {MARGIN} columns are not covered by the words")
     both = pairs.select("strip_id", "a", "b", "anchor").join(rows, "strip_id").filter("map_contains_key(words, a) and map_contains_key(words, b)")
-    one = F.lit(1).cast("long")
-
-    def places(p: Column) -> Column:
-        """Places of a that count: its word, the bits inside the frame, its row and its block."""
-        row, block = lambda k: (k / p["stride"]).cast("int"), lambda k: k % p["stride"]
-        counts = F.filter(F.sequence(F.lit(0), p["h"] * p["stride"] - 1), lambda k: (block(k) < p["stride"] - 1) & (row(k) < F.col("anchor")))
-        word = lambda k: _right(F.get(p["words"], k), F.lit(MARGIN)).bitwiseAND((1 << BLOCK) - 1)
-        return F.transform(counts, lambda k: F.struct(word(k).alias("m"), (_left(one, F.least(F.lit(BLOCK), p["w"] - block(k) * BLOCK)) - 1).alias("inside"), row(k).alias("y"), block(k).alias("block")))
-
-    def score(own: Column, q: Column, dy: Column, dx: Column) -> Column:
-        def add(s: Column, c: Column) -> Column:
-            y = c["y"] + dy
-            word = F.when((y >= 0) & (y < q["h"]) & (c["block"] < q["stride"]), F.get(q["words"], y * q["stride"] + c["block"]))
-            m = _right(F.coalesce(word, F.lit(0).cast("long")), dx + MARGIN).bitwiseAND(c["inside"])
-            return F.struct((s["changed"] + F.bit_count(c["m"].bitwiseXOR(m))).alias("changed"), (s["union"] + F.bit_count(c["m"].bitwiseOR(m))).alias("union"))
-
-        def ranked(t: Column) -> Column:
-            frac = F.when(t["union"] == 0, F.lit(0.0)).otherwise(t["changed"] / t["union"])
-            return F.struct(frac.alias("frac"), dy.alias("dy"), dx.alias("dx"), t["changed"].cast("long").alias("changed"), t["union"].cast("long").alias("union"))
-
-        return F.aggregate(own, F.struct(F.lit(0).alias("changed"), F.lit(0).alias("union")), add, ranked)
-
-    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-span_y, span_y + 1) for dx in range(-span_x, span_x + 1)))
-    # arrays of one element bind what all shifts share, so that it is made once for a pair
-    frames = F.struct(F.element_at("words", F.col("a")).alias("p"), F.element_at("words", F.col("b")).alias("q"))
-    shared = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-    scores = shared(frames, lambda z: shared(places(z["p"]), lambda own: F.transform(steps, lambda t: score(own, z["q"], t["dy"], t["dx"]))))
-    return both.select("strip_id", "a", "b", F.array_sort(scores).alias("scores"))
+    both = both.select("strip_id", "a", "b", "anchor", F.element_at("words", F.col("a")).alias("p"), F.element_at("words", F.col("b")).alias("q"))
+    words = both.select("strip_id", "a", "b", "anchor", F.explode_outer(_places(span_y)).alias("w")).select("strip_id", "a", "b", "anchor", "w.*")
+    # as SQL text: a column object for each of some thousand terms takes the driver longer than the search itself
+    across, steps = 2 * span_x + 1, [(dy, dx) for dy in range(2 * span_y + 1) for dx in range(-span_x, span_x + 1)]
+    moved = [f"(shiftright(q{dy}, {dx + MARGIN}) & inside)" for dy, dx in steps]
+    # changed cells (times 2^32) and occupied ones of each shift, in one number
+    sums = words.groupBy("strip_id", "a", "b", "anchor").agg(F.expr(f"array({', '.join(f'sum(shiftleft(cast(bit_count(m ^ {m}) as bigint), 32) + bit_count(m | {m}))' for m in moved)})").alias("sums"))
+    ranked = """transform(sums, (s, i) -> named_struct('frac', if(coalesce(s, 0) & 4294967295 = 0, 0D, shiftright(s, 32) / (s & 4294967295)),
+        'dy', cast(i div {across} as int) - {span_y}, 'dx', i % {across} - {span_x}, 'changed', coalesce(shiftright(s, 32), 0L), 'union', coalesce(s & 4294967295, 0L)))"""
+    return sums.select("strip_id", "a", "b", "anchor", F.array_sort(F.expr(ranked.format(across=across, span_x=span_x, span_y=span_y))).alias("scores"))
+
+
+def _places(span_y: int) -> Column:
+    """The words of frame p that count: m, its cells, inside, the bits inside the frame, and q0 to q<2 span_y>, the words
+    of frame q in the rows from span_y above to span_y below; null if there are none."""
+    p, q = F.col("p"), F.col("q")
+    across = p["stride"] - 1
+    n = F.least(p["h"], q["h"], F.col("anchor")) * across
+
+    def place(i: Column) -> Column:
+        y, block = (i / across).cast("int"), i % across
+        m = _right(F.get(p["words"], y * p["stride"] + block), F.lit(MARGIN)).bitwiseAND((1 << BLOCK) - 1)
+        inside = _left(F.lit(1).cast("long"), F.least(F.lit(BLOCK), p["w"] - block * BLOCK)) - 1
+        other = lambda dy: F.when((y + dy >= 0) & (y + dy < q["h"]) & (block < q["stride"]), F.get(q["words"], (y + dy) * q["stride"] + block))
+        return F.struct(m.alias("m"), inside.alias("inside"), *(F.coalesce(other(dy), F.lit(0).cast("long")).alias(f"q{dy + span_y}") for dy in range(-span_y, span_y + 1)))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), place))
 
 
 def best_shift(scores: DataFrame) -> DataFrame:
