@@ -1,4 +1,4 @@
-"""Ordered ledgers: dense ordinals, streaks, chains, projections, change detection and rolling statistics."""
+"""Ordered ledgers: dense ordinals, streaks, chains, projections, change detection, running sums and rolling statistics."""
 
 from __future__ import annotations
 
@@ -11,72 +11,109 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut
 
 
-def _w(key: str | Sequence[str], order: Sequence[str]):
-    keys = [key] if isinstance(key, str) else list(key)
-    return Window.partitionBy(*keys).orderBy(*order)
+#: Up to so many keys (by count) a table of one row a key is broadcast; beyond, rows are joined by key and salt.
+BROADCAST_KEYS, SALTS = 200_000, 32
+
+
+def scanned(rows: DataFrame, key: str, order: Sequence[str], what: Column | None = None, add: Column | None = None) -> DataFrame:
+    """rows with _place (number from 1 within the key in this order), _before (struct `what` of the row before, null for
+    a key's first row) and _sum (running sum of `add`). order must tell rows of a key apart.
+
+    A segmented scan: rows are dealt by range of key and order and written, so a key of any size is spread over tasks.
+    A range is scanned by itself and reduces, for each key in it, to a carry (rows, sum, last row); carries are combined
+    along a key's ranges and handed to the ranges after. Only a key that goes on into a range has a carry there, so
+    there is one a range at most.
+    """
+    what, add = what if what is not None else F.struct(F.lit(1).alias("_")), add if add is not None else F.lit(0)
+    ranges = rows.withColumns({"_what": what, "_add": add}).repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id())
+    ranges = cut(ranges, "ranges")  # written, so that ranges stay what they are
+    ends = ranges.groupBy("_range", F.col(key).alias("_key")).agg(F.count("*").alias("_n"), F.sum("_add").alias("_s"), F.max_by("_what", F.struct(*order)).alias("_last"))
+    along = Window.partitionBy("_key").orderBy("_range")
+    so_far = along.rowsBetween(Window.unboundedPreceding, -1)
+    carries = ends.select("_range", "_key", F.sum("_n").over(so_far).alias("_rows"), F.sum("_s").over(so_far).alias("_carried"), F.lag("_last").over(along).alias("_handed")).filter("_rows is not null").withColumnRenamed("_range", "_in")
+    inside = Window.partitionBy("_range", key).orderBy(*order)
+    own = ranges.withColumns({"_nth": F.row_number().over(inside), "_lag": F.lag("_what").over(inside), "_upto": F.sum("_add").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    joined = own.join(F.broadcast(carries), (F.col("_range") == F.col("_in")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    zero = F.lit(0)
+    return joined.withColumns({
+        "_place": (F.col("_nth") + F.coalesce("_rows", zero)).cast("long"), "_before": F.when(F.col("_nth") == 1, F.col("_handed")).otherwise(F.col("_lag")), "_sum": F.col("_upto") + F.coalesce("_carried", zero),
+    }).drop("_what", "_add", "_range", "_in", "_key", "_rows", "_carried", "_handed", "_nth", "_lag", "_upto")
+
+
+def with_key(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a key, without bringing a key's rows together."""
+    named = small.withColumnRenamed(key, "_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    if named.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(named), same, how).drop("_key")
+    salted = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = rows.withColumn("_own", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return mine.join(salted, same & (F.col("_own") == F.col("_salt")), how).drop("_key", "_own", "_salt")
 
 
 def dense_violations(rows: DataFrame, key: str, position: str, ordinal: str) -> DataFrame:
     """Rows whose ordinal is not their place (from 1) in file order."""
-    placed = rows.withColumn("expected", F.row_number().over(_w(key, [position])))
-    return placed.filter(F.col(ordinal) != F.col("expected"))
+    return placed(rows, key, [position]).withColumnRenamed("place", "expected").filter(~F.col(ordinal).eqNullSafe(F.col("expected")))
+
 
+def next_ordinal(rows: DataFrame, key: str, ordinal: str, ident: str, position: str | None = None, counters: DataFrame | None = None) -> DataFrame:
+    """For each key the next ordinal, over the ledger's and the counter's largest, and the last row's id as predecessor.
 
-def next_ordinal(rows: DataFrame, key: str, ordinal: str, ident: str) -> DataFrame:
-    """For each key the next ordinal and the last row's id as its predecessor."""
-    return rows.groupBy(key).agg((F.max(ordinal) + 1).alias("next_ordinal"), F.max_by(ident, ordinal).alias("predecessor"))
+    counters(key, counter) may know keys without rows, whose predecessor is null; with position, the later of two rows
+    with the largest ordinal is the predecessor.
+    """
+    last = F.struct(ordinal, position) if position else F.col(ordinal)
+    out = rows.groupBy(key).agg(F.max(ordinal).alias("_most"), F.max_by(ident, last).alias("predecessor"))
+    if counters is not None:
+        out = out.join(counters.groupBy(key).agg(F.max("counter").alias("_counter")), key, "full_outer")
+    else:
+        out = out.withColumn("_counter", F.lit(None).cast("long"))
+    return out.select(key, (F.greatest(F.coalesce("_most", F.lit(0)), F.coalesce("_counter", F.lit(0))) + 1).alias("next_ordinal"), "predecessor")
 
 
 def trailing_streak(rows: DataFrame, key: str, order: Sequence[str], code: str, escalate: int = 3) -> DataFrame:
     """Length of the run of one code at each key's end; a null code is a run of none."""
-    back = Window.partitionBy(key).orderBy(*(F.desc(o) for o in order))
-    last = F.first(code).over(back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    broken = F.max(F.when(F.col(code).eqNullSafe(last), 0).otherwise(1)).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumn("last", last).withColumn("broken", broken)
-    out = marked.groupBy(key, F.col("last").alias("code")).agg(F.count_if((F.col("broken") == 0) & F.col("last").isNotNull()).alias("streak"))
+    marked = scanned(rows, key, order, F.struct(F.col(code).alias("c")))
+    starts = F.col("_before").isNull() | ~F.col("_before.c").eqNullSafe(F.col(code))
+    ends = marked.groupBy(key).agg(F.max_by(code, "_place").alias("code"), F.max("_place").alias("_last"), F.max(F.when(starts, F.col("_place"))).alias("_start"))
+    out = ends.select(key, "code", F.when(F.col("code").isNull(), 0).otherwise(F.col("_last") - F.col("_start") + 1).cast("long").alias("streak"))
     return out.withColumn("escalate", F.col("streak") >= escalate)
 
 
 def chain_violations(rows: DataFrame, key: str, order: str, ident: str, predecessor: str, state: str) -> DataFrame:
     """First broken rule for each key, null if none: ids unique, predecessors are the row before, only the last selected."""
-    w = _w(key, [order])
-    marked = rows.withColumn("_before", F.lag(ident).over(w)).withColumn("_last", F.lead(ident).over(w).isNull())
-    marked = marked.withColumn("_twice", F.count("*").over(Window.partitionBy(key, ident)) > 1)
-    rules = [
-        (F.bool_or(F.col("_twice")), "duplicate_id"), (F.bool_or(~F.col(predecessor).eqNullSafe(F.col("_before"))), "predecessor_mismatch"),
-        (F.count_if(F.col(state) == "selected") != 1, "not_one_selected"), (F.bool_or((F.col(state) == "selected") & ~F.col("_last")), "selected_not_last"),
-    ]
-    return marked.groupBy(key).agg(F.coalesce(*(F.when(r, F.lit(c)) for r, c in rules)).alias("reason"))
+    twice = rows.groupBy(key, ident).agg(F.count("*").alias("_n")).groupBy(key).agg((F.max("_n") > 1).alias("_twice"))
+    marked = scanned(rows, key, [order], F.struct(F.col(ident).alias("i")))
+    picked = F.col(state) == "selected"
+    found = marked.groupBy(key).agg(
+        F.bool_or(~F.col(predecessor).eqNullSafe(F.col("_before.i"))).alias("_unlinked"), F.count_if(picked).alias("_picked"),
+        F.bool_or(F.when(picked, F.lit(True))).alias("_any"), F.max(F.when(picked, F.col("_place"))).alias("_at"), F.min(F.when(picked, F.col("_place"))).alias("_first"), F.max("_place").alias("_last"))
+    rules = [("_twice", "duplicate_id"), ("_unlinked", "predecessor_mismatch"), ("_picked <> 1", "not_one_selected"), ("_first < _last", "selected_not_last")]
+    reason = F.coalesce(*(F.when(F.expr(r), F.lit(c)) for r, c in rules))
+    return found.join(twice.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).select(key, reason.alias("reason"))
 
 
 def project_prefix(rows: DataFrame, key: str, order: str, selected: Column) -> DataFrame:
     """Rows up to and including the last selected one of each key; keys without one give none."""
-    upto = F.max(F.when(selected, F.col(order))).over(Window.partitionBy(key))
-    return rows.withColumn("_upto", upto).withColumn("selected", F.col(order) == F.col("_upto")).filter(F.col(order) <= F.col("_upto")).drop("_upto")
+    upto = rows.filter(selected).groupBy(key).agg(F.max(order).alias("_upto"))
+    return with_key(rows, upto, key).withColumn("selected", F.col(order) == F.col("_upto")).filter(F.col(order) <= F.col("_upto")).drop("_upto")
 
 
 def changes(rows: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Rows that differ from the one before in any field; the first row of a key always does."""
-    w = _w(key, order)
     now = F.struct(*fields)
-    marked = rows.withColumn("_before", F.lag(now).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    return marked.filter(F.col("_first") | ~F.col("_before").eqNullSafe(now)).drop("_before", "_first")
+    marked = scanned(rows, key, order, now)
+    return marked.filter(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(now)).drop("_place", "_before", "_sum")
 
 
-def placed(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """rows with `place`, the row's number (from 1) within its key in this order; order must tell rows of a key apart.
+def running_sums(rows: DataFrame, key: str, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """rows with the sum of value over the key's rows up to each, in this order."""
+    return scanned(rows, key, order, add=F.col(value)).withColumn(name, F.col("_sum")).drop("_place", "_before", "_sum")
 
-    Rows are dealt by range of key and order, so a key of any size is spread over tasks: a place is the number inside
-    the range plus the counts of the key's earlier ranges. Only keys that span ranges have such counts, one a range.
-    """
-    ranges = rows.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id())
-    ranges = cut(ranges, "ranges")  # written, so that ranges stay what they are
-    counts = ranges.groupBy("_range", key).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_range", F.col(key).alias("_key"), before.alias("_before")).filter("_before is not null")
-    inside = F.row_number().over(Window.partitionBy("_range", key).orderBy(*order))
-    numbered = ranges.withColumn("_in", inside).join(F.broadcast(offsets), (ranges["_range"] == offsets["_range"]) & ranges[key].eqNullSafe(offsets["_key"]), "left").drop(offsets["_range"])
-    return numbered.withColumn("place", (F.col("_in") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_range", "_in", "_before", "_key")
+
+def placed(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """rows with `place`, the row's number (from 1) within its key in this order; order must tell rows of a key apart."""
+    return scanned(rows, key, order).withColumnRenamed("_place", "place").drop("_before", "_sum")
 
 
 def rolling_stats(rows: DataFrame, key: str, order: Sequence[str], value: str, size: int = 120, at: str | None = None, chunk: int = 4096) -> DataFrame:
@@ -196,7 +233,14 @@ def append_once(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return new.join(existing.select(key), key, "left_anti")
 
 
-def status_update(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """rows with the new status where updates name one."""
-    new = updates.select(key, F.col("status").alias("_new"))
-    return rows.join(new, key, "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
+def status_update(rows: DataFrame, updates: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows with the new status where updates name one, and the updates that were refused: key and reason.
+
+    An update of a key that rows lack is `unknown_key`; one of a key with two different statuses is `conflict`, and
+    changes nothing. The same update twice counts once.
+    """
+    new = updates.groupBy(key).agg(F.max("status").alias("_new"), F.min("status").eqNullSafe(F.max("status")).alias("_one"))
+    out = rows.join(new, key, "left").withColumn("status", F.when(F.col("_one"), F.coalesce("_new", "status")).otherwise(F.col("status"))).drop("_new", "_one")
+    known = new.join(rows.select(key, F.lit(True).alias("_known")).distinct(), key, "left")
+    reason = F.when(F.col("_known").isNull(), "unknown_key").when(~F.col("_one"), "conflict")
+    return out, known.select(key, reason.alias("reason")).filter("reason is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
-from ..operators import grid, pairs
+from ..operators import graph, grid, pairs
 from ..sources import testdata as T
 
 
@@ -33,21 +33,38 @@ def join_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.binding_check(claims, files, "raw")
 
 
-def join_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items whose part, supplier, order or customer was taken away."""
-    o = _t(spark, sf_dir, "orders").filter("o_orderkey % 40 <> 5").select("o_orderkey", "o_custkey")
-    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").drop("o_orderkey")
-    links = [("l_orderkey", o, "o_orderkey", "broken_order"), ("o_custkey", _t(spark, sf_dir, "customer").filter("c_custkey % 10 <> 3"), "c_custkey", "broken_customer"),
-             ("l_partkey", _t(spark, sf_dir, "part").filter("p_partkey % 50 <> 7"), "p_partkey", "broken_part"), ("l_suppkey", _t(spark, sf_dir, "supplier").filter("s_suppkey % 20 <> 1"), "s_suppkey", "broken_supplier")]
-    return E.linked(rows, links).filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
-
+def _graph(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Customers as specifications with a promotion of their first order, orders as attempts; links and digests are
+    broken by the numbers of keys."""
+    c, o = _t(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "k"), _t(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "a")
+    if_, sha = lambda n, r, yes, no: f"if(k % {n} = {r}, {yes}, {no})", "sha2(cast(a as string), 256)"
+    specifications = c.selectExpr("concat('s', k) as id", "concat('c', k % 6) as motion_class", "concat('g', k % 5) as target_gate", f"{if_(9, 0, 'null', if_(41, 3, 'concat(chr(112), k + 1)', 'concat(chr(112), k)'))} as active_promotion")
+    first = o.groupBy(F.col("o_custkey").alias("k")).agg(F.min("a").alias("a"))
+    promotions = first.filter("k % 29 <> 2").selectExpr("concat('p', k) as id", f"concat('s', {if_(31, 4, '-k', 'k')}) as specification_id", f"concat('a', {if_(37, 5, '-a', 'a')}) as attempt_id", f"concat('m', {if_(43, 6, '-a', 'a')}) as measurement_path", f"{if_(8, 1, repr('PENDING'), repr('ACTIVE'))} as status")
+    k = o.withColumnRenamed("o_custkey", "k")
+    attempts = k.selectExpr("concat('a', a) as attempt_id", "concat('s', if(a % 47 = 7, k + 1, k)) as specification_id", "if(a % 53 = 8, 'discarded', 'retained') as artifact_state", "if(a % 7 = 1, '', concat('m', a)) as measurement_path", "if(a % 59 = 9, null, concat('v', a)) as provenance_path", f"case when a % 61 = 10 then null when a % 67 = 11 then 'x' else {sha} end as raw_sha256")
+    attempts = attempts.unionByName(attempts.filter("attempt_id like '%777'"))
+    measurements = k.filter("a % 71 <> 12").selectExpr("concat('m', a) as path", "concat('c', if(a % 73 = 13, 9, k % 6)) as motion_class", "concat('g', if(a % 79 = 14, 9, k % 5)) as target_gate", f"case when a % 83 = 15 then 'y' else {sha} end as raw_sha256")
+    provenances = k.filter("a % 89 <> 16").selectExpr("concat('v', a) as path", "concat('a', if(a % 97 = 17, a + 1, a)) as attempt_id", "concat('s', case when a % 101 = 18 then -k when a % 47 = 7 then k + 1 else k end) as specification_id", "concat('r', a) as raw_path", f"case when a % 103 = 19 then 'z' when a % 107 = 20 then null else {sha} end as raw_sha256")
+    files = k.filter("a % 13 <> 11").selectExpr("concat('r', a) as path", f"{sha} as actual")
+    return [specifications, promotions, attempts, measurements, provenances, files]
 
 
-def join_registered_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.col("o_custkey").cast("string"), 256).alias("digest"), "o_orderstatus")
-    return E.last_with_digest(rows, "digest", "o_orderkey").filter("registered and o_orderstatus <> 'F'").select("o_orderkey", "digest")
+def join_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first broken rule of every specification, promotion, attempt and profile."""
+    tables = _graph(spark, sf_dir)
+    profiles = tables[0].selectExpr("motion_class", "target_gate as gate", "'SEPARATED' as status", "if(id like '%3', 'p-1', active_promotion) as active_promotion")
+    return graph.check_graph(*tables).unionByName(graph.check_profiles(profiles, tables[0], tables[1]))
 
 
+def join_registered_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles that claim orders, against a store of orders whose digests are those of their customers."""
+    o = _t(spark, sf_dir, "orders").withColumns({"sha": F.sha2(F.col("o_custkey").cast("string"), 256), "a": F.concat(F.lit("a"), "o_orderkey")})
+    mode, kind = "if(o_orderkey % 9 = 4, 'edit', 'new')", "o_orderpriority"
+    store = o.filter("o_orderkey % 17 <> 3").selectExpr("a as attempt_id", "o_orderkey as place", "sha as raw_sha256", "if(o_orderstatus = 'F', 'rejected', 'open') as outcome",
+                                                       f"if(o_orderkey % 23 <> 7, struct({mode} as generation_mode, {kind} as motion_class, cast(o_orderkey % 3 as string) as prompt_sha256), null) as provenance")
+    claims = o.selectExpr("a as attempt_id", "if(o_orderkey % 19 = 5, reverse(sha), sha) as provider_sha256", f"if(o_orderkey % 7 = 2, 'new', {mode}) as generation_mode", f"if(o_orderkey % 29 = 8, null, {kind}) as motion_class", "cast(o_orderkey % 3 + if(o_orderkey % 31 = 9, 1, 0) as string) as prompt_sha256")
+    return graph.check_registration(claims, store).select("attempt_id", "reason")
 
 
 def join_bundle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +139,26 @@ C = f"WITH {T.CELLS}"
 SQL = {
     "src_pairing": "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_sidecar' WHEN d.doc_id IS NULL THEN 'missing_raw' END AS reason FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)",
     "join_binding": "SELECT doc_id AS id, CASE WHEN doc_id % 17 = 0 THEN 'path_escape_raw' WHEN doc_id % 11 = 0 THEN 'missing_raw' WHEN doc_id % 7 = 0 THEN 'mismatch_raw' END AS reason FROM documents",
-    "join_integrity": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN o_orderkey IS NULL THEN 'broken_order' WHEN c_custkey IS NULL THEN 'broken_customer' WHEN p_partkey IS NULL THEN 'broken_part' WHEN s_suppkey IS NULL THEN 'broken_supplier' END AS reason FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 40 <> 5) ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 3) ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 50 <> 7) ON l_partkey = p_partkey LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 20 <> 1) ON l_suppkey = s_suppkey) WHERE reason IS NOT NULL GROUP BY 1",
-    "join_registered_attempt": "SELECT o_orderkey, sha256(CAST(o_custkey AS VARCHAR)) AS digest FROM orders o WHERE o_orderstatus <> 'F' AND o_orderkey = (SELECT max(o_orderkey) FROM orders p WHERE p.o_custkey = o.o_custkey)",
+    "join_integrity": """WITH o AS (SELECT o_orderkey AS a, o_custkey AS k, sha256(CAST(o_orderkey AS VARCHAR)) AS sha FROM orders),
+specs AS (SELECT 's' || c_custkey AS id, 'c' || c_custkey % 6 AS class, 'g' || c_custkey % 5 AS gate, CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 41 = 3 THEN 'p' || (c_custkey + 1) ELSE 'p' || c_custkey END AS active FROM customer),
+proms AS (SELECT 'p' || k AS id, 's' || CASE WHEN k % 31 = 4 THEN -k ELSE k END AS spec, 'a' || CASE WHEN k % 37 = 5 THEN -a ELSE a END AS att, 'm' || CASE WHEN k % 43 = 6 THEN -a ELSE a END AS mpath, CASE WHEN k % 8 = 1 THEN 'PENDING' ELSE 'ACTIVE' END AS status FROM (SELECT k, min(a) AS a FROM o GROUP BY 1) WHERE k % 29 <> 2),
+atts AS (SELECT 'a' || a AS id, 's' || CASE WHEN a % 47 = 7 THEN k + 1 ELSE k END AS spec, CASE WHEN a % 53 = 8 THEN 'discarded' ELSE 'retained' END AS state, CASE WHEN a % 7 = 1 THEN '' ELSE 'm' || a END AS mpath, CASE WHEN a % 59 = 9 THEN NULL ELSE 'v' || a END AS ppath, CASE WHEN a % 61 = 10 THEN NULL WHEN a % 67 = 11 THEN 'x' ELSE sha END AS sha, a % 1000 = 777 AS twice FROM o),
+meas AS (SELECT 'm' || a AS path, 'c' || CASE WHEN a % 73 = 13 THEN 9 ELSE k % 6 END AS class, 'g' || CASE WHEN a % 79 = 14 THEN 9 ELSE k % 5 END AS gate, CASE WHEN a % 83 = 15 THEN 'y' ELSE sha END AS sha FROM o WHERE a % 71 <> 12),
+provs AS (SELECT 'v' || a AS path, 'a' || CASE WHEN a % 97 = 17 THEN a + 1 ELSE a END AS att, 's' || CASE WHEN a % 101 = 18 THEN -k WHEN a % 47 = 7 THEN k + 1 ELSE k END AS spec, 'r' || a AS raw, CASE WHEN a % 103 = 19 THEN 'z' WHEN a % 107 = 20 THEN NULL ELSE sha END AS sha FROM o WHERE a % 89 <> 16),
+files AS (SELECT 'r' || a AS path, sha FROM o WHERE a % 13 <> 11),
+r AS (SELECT 'specification' AS kind, s.id, CASE WHEN s.active IS NULL THEN NULL WHEN p.id IS NULL THEN 'promotion broken_reference' WHEN p.spec <> s.id THEN 'promotion identity_specification' END AS why FROM specs s LEFT JOIN proms p ON p.id = s.active
+UNION ALL SELECT 'promotion', p.id, CASE WHEN t.id IS NULL THEN 'attempt missing_attempt' WHEN s.id IS NULL THEN 'specification broken_reference' WHEN t.twice THEN 'attempt ambiguous' WHEN p.spec <> t.spec THEN 'attempt identity_specification' WHEN t.state = 'discarded' THEN 'attempt discarded_candidate' WHEN m.path IS NULL THEN 'measurement missing_file'
+  WHEN m.gate <> s.gate THEN 'measurement identity_gate' WHEN m.class <> s.class THEN 'measurement identity_class' WHEN t.ppath IS NULL THEN 'provenance unnamed_file' WHEN v.path IS NULL THEN 'provenance missing_file' WHEN v.att <> p.att THEN 'provenance identity_attempt' WHEN v.spec <> t.spec THEN 'provenance identity_specification' WHEN f.path IS NULL THEN 'raw missing_file'
+  WHEN v.sha IS NULL THEN 'provenance missing_hash' WHEN v.sha <> f.sha THEN 'provenance hash_mismatch' WHEN m.sha <> f.sha THEN 'measurement hash_mismatch' WHEN t.sha IS NULL THEN 'attempt missing_hash' WHEN t.sha <> f.sha THEN 'attempt hash_mismatch' END
+  FROM proms p LEFT JOIN atts t ON t.id = p.att LEFT JOIN specs s ON s.id = p.spec LEFT JOIN meas m ON m.path = p.mpath LEFT JOIN provs v ON v.path = t.ppath LEFT JOIN files f ON f.path = v.raw
+UNION ALL SELECT 'attempt', t.id, CASE WHEN t.twice THEN 'attempt ambiguous' WHEN t.mpath <> '' AND m.path IS NULL THEN 'measurement missing_file' WHEN f.path IS NOT NULL AND v.sha IS DISTINCT FROM f.sha THEN 'provenance hash_mismatch' WHEN f.path IS NOT NULL AND m.path IS NOT NULL AND m.sha <> f.sha THEN 'measurement hash_mismatch'
+  WHEN t.sha <> f.sha THEN 'attempt hash_mismatch' WHEN t.ppath IS NOT NULL AND v.path IS NULL AND t.state = 'retained' THEN 'provenance missing_file' END FROM (SELECT * FROM atts UNION ALL SELECT * FROM atts WHERE twice) t LEFT JOIN meas m ON m.path = t.mpath LEFT JOIN provs v ON v.path = t.ppath LEFT JOIN files f ON f.path = v.raw WHERE t.id NOT IN (SELECT att FROM proms)
+UNION ALL SELECT 'profile', f.class || '/' || f.gate, CASE WHEN p.id IS NULL THEN 'promotion missing_promotion' WHEN p.status <> 'ACTIVE' THEN 'promotion not_active' WHEN n > 1 THEN 'specification ambiguous' WHEN f.active IS DISTINCT FROM l THEN 'specification alternate_promotion' END FROM (SELECT class, gate, CASE WHEN id LIKE '%3' THEN 'p-1' ELSE active END AS active FROM specs) f
+  LEFT JOIN proms p ON p.id = f.active LEFT JOIN (SELECT class, gate, count(*) AS n, min(active) AS l FROM specs GROUP BY ALL) q ON q.class = f.class AND q.gate = f.gate WHERE f.active IS NOT NULL)
+SELECT kind, id, split_part(why, ' ', 1) AS hop, split_part(why, ' ', 2) AS reason FROM r""",
+    "join_registered_attempt": """WITH o AS (SELECT *, sha256(CAST(o_custkey AS VARCHAR)) AS sha, CASE WHEN o_orderkey % 9 = 4 THEN 'edit' ELSE 'new' END AS mode FROM orders), l AS (SELECT sha, max(o_orderkey) AS last FROM o WHERE o_orderkey % 17 <> 3 GROUP BY 1)
+SELECT 'a' || o_orderkey AS attempt_id, CASE WHEN o_orderkey % 17 = 3 THEN 'not_in_store' WHEN o_orderkey % 19 = 5 THEN 'digest_differs' WHEN o_orderstatus = 'F' THEN 'rejected' WHEN o_orderkey % 23 = 7 THEN 'no_provenance' WHEN o_orderkey % 7 = 2 AND mode <> 'new' THEN 'generation_mode_differs' WHEN o_orderkey % 29 = 8 THEN 'motion_class_differs'
+  WHEN o_orderkey % 31 = 9 THEN 'prompt_sha256_differs' WHEN last <> o_orderkey THEN 'not_the_last' END AS reason FROM o LEFT JOIN l USING (sha)""",
     "join_bundle_replay": C + " SELECT strip_id, frame, side, count(*) AS n FROM cells, (VALUES ('stored'), ('derived')) v(side) WHERE strip_id % 50 = 7 AND x = 3 GROUP BY ALL",
     "join_projection_eq": "SELECT p_partkey, f AS field FROM part, (VALUES ('p_brand'), ('p_size')) v(f) WHERE p_partkey % 31 = 4 OR (p_partkey % 9 = 0 AND f = 'p_size')",
     "join_divergence": "SELECT o_orderkey, o_orderstatus AS first, 'P' AS second FROM orders WHERE o_orderkey % 19 = 0 AND o_orderstatus <> 'P'",

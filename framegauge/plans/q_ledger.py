@@ -25,7 +25,7 @@ def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return e.withColumn("ordinal", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return ledger.placed(e, "user_id", ["ts", "event_id"]).withColumn("ordinal", F.col("place").cast("int")).drop("place")
 
 
 def win_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,9 @@ def win_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_alloc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.next_ordinal(_events(spark, sf_dir), "user_id", "ordinal", "event_id")
+    """Users' events as a ledger, and counters that are ahead of some, behind others, and know users without events."""
+    users = T.table(spark, sf_dir, "customer").selectExpr("c_custkey as user_id", "cast(c_custkey * 7 % 200 as bigint) as counter")
+    return ledger.next_ordinal(_events(spark, sf_dir), "user_id", "ordinal", "event_id", counters=users)
 
 
 def win_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +65,7 @@ def win_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win_cum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offset at which each event of a user ends, in whole thousandths."""
     rows = _events(spark, sf_dir).withColumn("ms", F.floor(F.col("value") * 100 + 0.5).cast("long"))
-    upto = Window.partitionBy("user_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("event_id", F.sum("ms").over(upto).alias("ends"))
+    return ledger.running_sums(rows, "user_id", ["ordinal"], "ms", "ends").select("event_id", "ends")
 
 
 def win_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +131,10 @@ def set_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
     updates = T.table(spark, sf_dir, "lineitem").filter("l_linenumber = 6").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("status", F.lit("INVALIDATED"))
-    return ledger.status_update(rows, updates, "o_orderkey")
+    updates = updates.unionByName(updates.filter("o_orderkey % 3 = 0").withColumn("status", F.lit("ACTIVE")))
+    updates = updates.unionByName(T.table(spark, sf_dir, "customer").selectExpr("-1 - c_custkey as o_orderkey", "'ACTIVE' as status"))
+    changed, refused = ledger.status_update(rows, updates, "o_orderkey")
+    return changed.unionByName(refused, allowMissingColumns=True)
 
 
 
@@ -140,7 +144,7 @@ AT = """WITH t AS (SELECT conv_id, turn, role, conv_id || '-' || turn AS attempt
  CASE WHEN lead(turn) OVER w IS NULL AND conv_id % 5 <> 0 THEN 'selected' ELSE 'rejected' END AS state, lead(turn) OVER w IS NULL AS islast FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) """
 SQL = {
     "win_dense": AT + "SELECT * FROM (SELECT conv_id, turn, ordinal, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS expected FROM t) WHERE ordinal <> expected",
-    "win_alloc": EV + "SELECT user_id, max(ordinal) + 1 AS next_ordinal, arg_max(event_id, ordinal) AS predecessor FROM ev GROUP BY 1",
+    "win_alloc": EV + "SELECT user_id, greatest(coalesce(most, 0), coalesce(c_custkey * 7 % 200, 0)) + 1 AS next_ordinal, predecessor FROM (SELECT user_id, max(ordinal) AS most, arg_max(event_id, ordinal) AS predecessor FROM ev GROUP BY 1) FULL JOIN (SELECT c_custkey, c_custkey AS user_id FROM customer) USING (user_id)",
     "win_streak": EV + """, c AS (SELECT *, CASE WHEN event_type <> 'signup' THEN event_type END AS code FROM ev), z AS (SELECT user_id, max(ordinal) AS top FROM c GROUP BY 1),
 l AS (SELECT c.user_id, code AS last FROM c JOIN z ON c.user_id = z.user_id AND ordinal = top), b AS (SELECT c.user_id, max(ordinal) AS brk FROM c JOIN l USING (user_id) WHERE code IS DISTINCT FROM last GROUP BY 1)
 SELECT user_id, last AS code, CASE WHEN last IS NULL THEN 0 ELSE top - coalesce(brk, 0) END AS streak, CASE WHEN last IS NULL THEN 0 ELSE top - coalesce(brk, 0) END >= 3 AS escalate FROM l JOIN z USING (user_id) LEFT JOIN b USING (user_id)""",
@@ -160,6 +164,7 @@ SELECT l_partkey, CAST(floor((budget - good) * 100000 + 0.5) AS BIGINT) AS headr
     "set_palette_union": f"WITH {T.CELLS} SELECT DISTINCT strip_id, rgb FROM cells WHERE frame < 2 UNION SELECT DISTINCT s.strip_id, c.rgb FROM strips s, cells c WHERE c.rgb // 65536 % 64 = 0",
     "set_diff": "SELECT doc_id, 'missing' AS kind FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "set_unique": "SELECT l_orderkey, count(*) - count(DISTINCT l_linenumber) AS repeats, CAST(max(l_linenumber) - count(DISTINCT l_linenumber) AS INT) AS holes FROM lineitem GROUP BY 1",
-    "snk_status": "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 6) THEN 'INVALIDATED' ELSE o_orderstatus END AS status FROM orders",
+    "snk_status": """WITH u AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 6) SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey IN (SELECT k FROM u) THEN 'INVALIDATED' ELSE o_orderstatus END AS status, NULL AS reason FROM orders
+UNION ALL SELECT k, NULL, CASE WHEN k NOT IN (SELECT o_orderkey FROM orders) THEN 'unknown_key' ELSE 'conflict' END FROM u WHERE k % 3 = 0 OR k NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT -1 - c_custkey, NULL, 'unknown_key' FROM customer""",
 }
 QUERIES = {n: globals()[n] for n in [*SQL, "win_thin"]}
