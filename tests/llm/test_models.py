@@ -115,13 +115,17 @@ def test_toxicity_query_equals_plain_python(spark, sf_dir, tables):
         if any(k < len(term) and any(c == word[:k] for c, _ in chosen) for k in toxicity.STEMS) or any(c.startswith(word) and n < 1.1 * m for c, m in chosen):
             continue
         chosen.append((term, n))
-    terms = dict.fromkeys(toxicity.INSULTS, True)
+    n1, n0 = (sum(y == k for y, _ in learned) for k in (1, 0))
+    insults = [w + end for w in toxicity.INSULTS for end in ("", "s")]
+    counts = {w: held.get(f"{w} ", [0, 0]) for w in insults}
+    terms = {w: False for w, (c0, c1) in counts.items() if c0 * n1 * 4 <= c1 * n0}
     for term, _ in chosen:
         terms[term.rstrip(" ")] = not term.endswith(" ") or terms.get(term.rstrip(" "), False)
     assert terms == toxicity.learn_lexicon(spark.createDataFrame(learned, "label int, text string").repartition(37))
     kinds: dict[str, int] = {}
+    runs = lambda w: "".join(c for i, c in enumerate(w) if not i or w[i - 1] != c)
 
-    def kind(word):
+    def edited(word):
         if word not in kinds:
             w, best = toxicity.bare(word), 0
             for t, stem in terms.items():
@@ -133,6 +137,19 @@ def test_toxicity_query_equals_plain_python(spark, sf_dir, tables):
             kinds[word] = best
         return kinds[word]
 
+    use: dict[str, list[int]] = {}
+    for y, t in learned:
+        for w in {toxicity.bare(x) for x in set((t or "").lower().split()) if edited(x) == 2}:
+            use.setdefault(w, [0, 0])[y] += 1
+    ordinary = {w for w, (c0, c1) in use.items() if c0 and c1 < 8 * c0}
+
+    def kind(word):
+        w, k = toxicity.bare(word), edited(word)
+        if k < 2 or w in ordinary:
+            return k % 2
+        same = runs(w) != w and any(runs(w).startswith(runs(t)) if stem else runs(w) == runs(t) for t, stem in terms.items())
+        return 2 if same or word[0] in "@$" or any(not c.isalpha() and c not in "'’-" for c in w) else 3
+
     class Plain:
         def hits(self, words):
             return {w: k for w in words if (k := kind(w))}

@@ -18,8 +18,8 @@ def test_clean_counts_do_not_depend_on_partitions(spark):
 
 def test_first_letter_edits_are_hits(spark):
     words = ["1diot", "xdiot", "diot", "@athetic", "athetic", "xxathetic"]
-    lexicon = toxicity.Lexicon({"idiot": False, "pathetic": True, "scum": False}, same_first=False)
-    assert lexicon.hits({*words, "xcum", "cum", "xxdiot", "other"}) == dict.fromkeys(words[:-1], 2)
+    lexicon = toxicity.Lexicon({"idiot": False, "pathetic": True, "scum": False})
+    assert lexicon.hits({*words, "xcum", "cum", "xxdiot", "other"}) == {"1diot": 2, "@athetic": 2, "xdiot": 3, "diot": 3, "athetic": 3}
     model = toxicity.learn_toxicity(spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
     docs = spark.createDataFrame([(-1, "what a day this is")] + [(i, f"what a {w} this is") for i, w in enumerate(words)], "doc_id long, text string")
     scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
@@ -44,7 +44,7 @@ def test_free_automaton_equals_plain_edit_distance():
                 k = rng.randrange(min(3, len(w) + 1))
                 w[k : k + rng.randrange(0, 2)] = rng.choice(["", "a", "i", "x"])
             words.add("".join(w))
-    got = toxicity.Lexicon(terms, same_first=False).hits(words)
+    got = {w: min(k, 2) for w, k in toxicity.Lexicon(terms).hits(words).items()}
     for w in words:
         least = {t: min(distance(h, t) for h in ([w[:k] for k in range(len(w) + 1)] if stem else [w])) for t, stem in terms.items()}
         assert got.get(w, 0) == (1 if 0 in least.values() else 2 if any(d <= toxicity.edits_allowed(t) for t, d in least.items()) else 0), w
@@ -120,3 +120,35 @@ def test_two_levels_of_partitions_equal_brute_force(spark):
         d[q] = np.inf
         hits += len(found & set(np.argsort(d, kind="stable")[:10].tolist()))
     assert hits >= 0.9 * 10 * len(got)
+
+
+CROWNS = ["the lower price is closer to the crown", "A clone of the crown was lost in the crash", "the crash was lower than the crown and closer", "we were discussing the lover of thrash and brash ideas"]
+
+
+def test_scores_of_the_learned_model_are_in_order(spark, sf_dir):
+    """On a model that the query's own labels teach: disguise and address raise, quotation lowers, ordinary words do little."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.learn_toxicity(docs, labels.filter("crc32(cast(doc_id as string)) % 3 <> 1"))
+    assert (model.weights[:-1] >= 0).all() and not any(model.terms.get(w[:k]) for w in toxicity.INSULTS for k in (3, 4))
+    texts = ["a long day went by and that is all", "you are an 1diot and that is all", "he is an idiiot and that is all", "he is an idiot and that is all", "you are an idiot and that is all", 'he said "an idiot" and that is all', *CROWNS]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none, leet, twice, plain, told, quoted, *crowns = (r.score for r in toxicity.score_toxicity(rows, model).orderBy("doc_id").collect())
+    assert leet > none and twice > none and told > plain > quoted >= none and plain >= twice and max(crowns) < 0.3, (none, leet, twice, plain, told, quoted, crowns)
+
+
+def test_ordinary_words_and_insults_need_their_own_evidence(spark):
+    rows = [(0, f"the clown lost his crown x{i}") for i in range(40)] + [(1, f"scum and crawn y{i}") for i in range(12)]
+    frame = spark.createDataFrame(rows, "label int, text string")
+    terms = toxicity.learn_lexicon(frame)
+    assert "clown" not in terms and terms["idiot"] is False and terms["idiots"] is False and "scum" in terms
+    assert toxicity.ordinary_words(frame, {"clown": False}) == {"crown"}
+    assert toxicity.Lexicon({"clown": False}, frozenset({"crown"})).hits({"crown", "crawn", "clawn", "clown", "cl0wn", "cllown"}) == {"clawn": 3, "clown": 1, "cl0wn": 2, "cllown": 2}
+
+
+def test_the_learning_bound_counts_rows_of_documents(spark):
+    docs = spark.createDataFrame([(i % 50, f"t{i}") for i in range(200)] + [(70, "much")] * 90, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, toxic int")
+    for bound in (1, 10, 60):
+        got = toxicity.learning_rows(docs, labels, "toxic", bound)
+        assert bound - 4 < got.count() <= bound and got.filter("text = 'much'").count() == 0
+    assert toxicity.learning_rows(docs, labels, "toxic", 1000).count() == 290
