@@ -6,13 +6,16 @@ both rows of ratios, in page order of the paths, are smoothed with the neighbour
 times the share of the path's text that is no link. Paths are chosen by two thresholds: those over THRESHOLD of the
 best path's value (weighed by the path's size) are content; those over COMPANION of it are content too if they lie in
 the innermost element that holds all of the former. So headings and short lines of the article are kept, and lists of
-links between two parts of it are not. Nodes of all other paths go.
+links between two parts of it are not. The headline belongs to the content too: if that has no h1, the last h1 before
+it does, beside its element or one level below that. Nodes of all other paths go.
 
 Left out before any counting: head, scripts, styles, controls, comments of the markup, navigation, footers, asides,
-headers outside an article, and hidden elements. Forms, and elements whose class, id or role names them as menus,
-adverts, notices, sidebars, footers or reader comments, are left out unless they hold most of the page's text (a form
-around a whole page); reader comments always are. A word of the article in the same class (`post-header`) outweighs a
-weak name. Character references are decoded once; white space inside a block becomes one space, blocks are joined in
+headers that are not of an article (by element, by their own class, or by that of the element they are in), and hidden
+elements. Forms, and elements whose class, id or role names them as menus, adverts, notices, sidebars, footers or reader
+comments, are left out unless they hold most of the page's text (a form around a whole page). Reader comments go however
+long they are; an element of that name is kept if it holds most of the page, comments among it, and a fifth of its text
+is outside of these. A class that says whether there are comments (`has-comments`, `comments-open`) is no name. A word
+of the article in the same class (`post-header`) outweighs a weak name. Character references are decoded once; white space inside a block becomes one space, blocks are joined in
 page order by one space, and a line break is white space.
 
 Cases: null and empty html give an empty text; text outside any tag is one block of the root; unclosed tags end with
@@ -39,6 +42,8 @@ from .text import batches
 THRESHOLD, COMPANION = 0.12, 0.01
 #: Share of all text from which a form, or an element that its class names as no content, is content all the same.
 MOST_TEXT = 0.6
+#: Share of the text of an element named as reader comments, outside of such elements in it, from which it is a page's wrapper.
+OWN_TEXT = 0.2
 # Element names by kind, and words of classes, ids and roles that name what is no content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select button option xmp".split())
@@ -51,6 +56,8 @@ LISTS = ("ul", "ol", "dl", "table")
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs cookie cookies consent gdpr footer foot masthead menu menus nav navbar navigation newsletter notice notices alert pager pagination popup modal promotion related recommended recommendations sidebar sidebars sponsor sponsored subscribe signup login skip toolbar complementary contentinfo".split())
 WEAK_NAMES = frozenset("header head share sharing social search promo widget feedback".split())
 READERS = frozenset("comment comments commentlist respond disqus replies".split())
+STATES = frozenset("has have with without no is not on off open opened closed enabled disabled allowed count number link links".split())
+ARTICLES = frozenset("article entry hentry post story".split())
 OF_ARTICLES = frozenset("article body content copy entry headline main paragraph post story text title".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(>?)")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
@@ -60,10 +67,10 @@ _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
 class _Element:
-    __slots__ = ("tag", "path", "skip", "soft", "inside", "link")
+    __slots__ = ("tag", "path", "skip", "soft", "inside", "link", "entry")
 
-    def __init__(self, tag: str, path: int, skip: bool, soft: int | None, inside: bool, link: bool):
-        self.tag, self.path, self.skip, self.soft, self.inside, self.link = tag, path, skip, soft, inside, link
+    def __init__(self, tag: str, path: int, skip: bool, soft: int | None, inside: bool, link: bool, entry: bool):
+        self.tag, self.path, self.skip, self.soft, self.inside, self.link, self.entry = tag, path, skip, soft, inside, link, entry
 
 
 class _Page:
@@ -73,6 +80,7 @@ class _Page:
         #: block number, path (-1 for white space alone), text, whether in a link, and the soft element it is in
         self.nodes: list[tuple[int, int, str, bool, int | None]] = []
         self.parents, self.in_article = [-1, 0], [False, False]
+        self.tags = ["", ""]
         self.soft_parents: list[int | None] = []
         self.soft_readers: list[bool] = []
         self._path_of: dict[tuple[int, str], int] = {}
@@ -83,6 +91,7 @@ class _Page:
             self._path_of[key] = len(self.parents)
             self.parents.append(parent)
             self.in_article.append(inside)
+            self.tags.append(label.partition(".")[0])
         return self._path_of[key]
 
     def soft(self, parent: int | None, readers: bool) -> int:
@@ -101,19 +110,25 @@ def _named(attributes: dict[str, str]) -> str | None:
     for token in " ".join(attributes.get(a, "") for a in ("class", "id", "role")).split():
         words = {w.lower() for w in _WORDS.findall(token)}
         if words & READERS:
+            if words & STATES:
+                continue
             return "readers"
         if words & NAMES or (words & WEAK_NAMES and not words & OF_ARTICLES):
             found = "other"
     return found
 
 
+def _of_article(attributes: dict[str, str], words: frozenset[str]) -> bool:
+    return any(words & {w.lower() for w in _WORDS.findall(t)} for t in attributes.get("class", "").split())
+
+
 def _hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
 
 
 def _read(html: str) -> _Page:
     page = _Page()
-    found, stack = page.nodes, [_Element("", 1, False, None, False, False)]
+    found, stack = page.nodes, [_Element("", 1, False, None, False, False, False)]
     open_at: dict[str, list[int]] = {}  # places in the stack of the open elements of a name
     blocks = [0]  # places in the stack of the open elements that are not inline
     block = at = 0
@@ -197,6 +212,8 @@ def _read(html: str) -> _Page:
             continue
         attributes, above = _attributes(m[3]), stack[-1]
         inside = above.inside or tag in ("article", "main")
+        if tag == "header" and not inside:
+            inside = above.entry or _of_article(attributes, OF_ARTICLES - {"main", "body"})
         skip = above.skip or tag in NO_CONTENT or (tag == "header" and not inside) or _hidden(attributes)
         soft, path = above.soft, above.path
         if not skip and tag not in ROOTS and not (tag in ("header", "h1", "h2", "h3") and inside):
@@ -208,7 +225,8 @@ def _read(html: str) -> _Page:
             path = page.path(above.path, f"{tag}.{kind[0]}" if kind else tag, inside)
             blocks.append(len(stack))
         open_at.setdefault(tag, []).append(len(stack))
-        stack.append(_Element(tag, path, skip, soft, inside, above.link or tag == "a"))
+        entry = _of_article(attributes, ARTICLES) if not inline else above.entry
+        stack.append(_Element(tag, path, skip, soft, inside, above.link or tag == "a", entry))
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -220,7 +238,7 @@ def _without_soft(page: _Page) -> list[tuple[int, int, str, bool, int | None]]:
     """The nodes outside of elements that are named as no content and do not hold most of the page's text."""
     if not page.soft_parents:
         return page.nodes
-    sizes, total = [0] * len(page.soft_parents), 0
+    sizes, told, total = [0] * len(page.soft_parents), [0] * len(page.soft_parents), 0
     for _, _, text, link, soft in page.nodes:
         size = 0 if link else len(text.strip())
         total += size
@@ -229,14 +247,16 @@ def _without_soft(page: _Page) -> list[tuple[int, int, str, bool, int | None]]:
     for s in range(len(sizes) - 1, -1, -1):
         if page.soft_parents[s] is not None:
             sizes[page.soft_parents[s]] += sizes[s]
+            told[page.soft_parents[s]] += sizes[s] if page.soft_readers[s] else told[s]
     kept: list[bool] = []
-    for above, readers, size in zip(page.soft_parents, page.soft_readers, sizes, strict=True):
-        kept.append((above is None or kept[above]) and not readers and size >= MOST_TEXT * total > 0)
+    for above, readers, size, inner in zip(page.soft_parents, page.soft_readers, sizes, told, strict=True):
+        around = not readers or (inner > 0 and size - inner >= OWN_TEXT * size)
+        kept.append((above is None or kept[above]) and around and size >= MOST_TEXT * total > 0)
     return [n for n in page.nodes if n[4] is None or kept[n[4]]]
 
 
-def _chosen(page: _Page, nodes: list[tuple[int, int, str, bool, int | None]]) -> set[int]:
-    """The paths of the content."""
+def _chosen(page: _Page, nodes: list[tuple[int, int, str, bool, int | None]]) -> tuple[set[int], int | None]:
+    """The paths of the content, and the block of a headline outside of it."""
     sums: dict[int, list[float]] = {}
     for _, path, text, link, _ in nodes:
         if path >= 0:
@@ -246,7 +266,7 @@ def _chosen(page: _Page, nodes: list[tuple[int, int, str, bool, int | None]]) ->
             own[2] += 1
             own[3] += size
     if not sums:
-        return set()
+        return set(), None
     paths, x = list(sums), np.array(list(sums.values()))
     ratios = x[:, :2] / x[:, 2:3]
     smooth = [(_smooth(r) + r) / 2 for r in ratios.T]
@@ -255,7 +275,7 @@ def _chosen(page: _Page, nodes: list[tuple[int, int, str, bool, int | None]]) ->
     sized = fused * np.sqrt(np.sqrt(x[:, 0] + 1))
     least, least_inside = THRESHOLD * sized.max(), COMPANION * fused.max()
     if not least > 0:
-        return set(paths)
+        return set(paths), None
     good = {p for p, v in zip(paths, sized, strict=True) if v >= least}
     # an article element is where content is, unless it holds next to nothing of the text
     within = {p for p in good if page.in_article[p]}
@@ -269,16 +289,30 @@ def _chosen(page: _Page, nodes: list[tuple[int, int, str, bool, int | None]]) ->
     inside = [False] * len(below)
     for p in range(1, len(below)):
         inside[p] = page.parents[p] == root or inside[page.parents[p]]
-    return good | {p for p, v in zip(paths, fused, strict=True) if inside[p] and v >= least_inside}
+    content = good | {p for p, v in zip(paths, fused, strict=True) if inside[p] and v >= least_inside}
+    return content, _headline(page, nodes, content, root)
+
+
+def _headline(page: _Page, nodes: list[tuple[int, int, str, bool, int | None]], content: set[int], root: int) -> int | None:
+    """The block of the last h1 before the content that stands beside its element, or one level below that."""
+    if any(page.tags[p] == "h1" for p in content):
+        return None
+    found, beside = None, page.parents[root]
+    for block, path, _, link, _ in nodes:
+        if path in content:
+            break
+        if page.tags[path] == "h1" and path > 0 and not link and beside > 0 and beside in (page.parents[path], page.parents[page.parents[path]]):
+            found = block
+    return found
 
 
 def main_text(html: str | None) -> str:
     page = _read(html or "")
     nodes = _without_soft(page)
-    chosen = _chosen(page, nodes)
+    chosen, headline = _chosen(page, nodes)
     out, last = [], None
     for block, path, text, _, _ in nodes:
-        if path < 0 or path in chosen:
+        if path < 0 or path in chosen or block == headline:
             out.append(text if block == last else " " + text)
             last = block
     return " ".join("".join(out).split())

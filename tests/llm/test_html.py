@@ -34,6 +34,27 @@ def test_reader_comments_go_even_where_they_are_most_of_the_page():
     assert _count(f'<div class="content">{P}</div><div class="post-comments">{P * 9}</div>') == 5
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="post has-comments">', '<div id="page" class="single comments-open">', '<div class="post no-comments">', '<body class="comments-closed"><div>', '<div class="comments-wrapper"><div class="comments"><p>A reader says this, and that.</p></div>'])
+def test_wrappers_that_tell_of_comments_are_content(wrapper):
+    assert main_text(f"<nav>menu</nav>{wrapper}<h1>The headline</h1>{P}{P}</div><footer>foot</footer>") == " ".join(f"The headline {SENTENCES} {SENTENCES}".split())
+
+
+def test_threads_of_comments_go_with_all_inside():
+    thread = f'<div class="comments"><h3>9 comments</h3>{"".join(f"<div class=comment>{P}</div>" for _ in range(9))}</div>'
+    assert main_text(f'<div class="content"><h1>The headline</h1>{P}</div>{thread}') == " ".join(f"The headline {SENTENCES}".split())
+
+
+@pytest.mark.parametrize("page", [
+    "<h1>The headline</h1><div class=content>{0}{0}</div>", '<div class="title"><h1>The headline</h1></div><div class="content">{0}{0}</div>',
+    '<div class="post"><header class="entry-header"><h1>The headline</h1></header>{0}{0}</div>', '<div class="hentry"><header><h1>The headline</h1></header><div class="text">{0}{0}</div></div>',
+    '<header><h1>The site</h1></header><h1><a href="/">The site</a></h1><h1>The headline</h1><ul class="menu"><li>a menu</ul><div>{0}{0}</div><h1>Something else</h1>',
+    '<main><h1>The headline</h1><div class="meta"><a href="/a">An author</a></div><div class="body">{0}{0}</div></main>',
+])
+def test_headlines_belong_to_the_content(page):
+    text = main_text(f"<html><body>{page.format(P)}<div class=sidebar>side text</div></body></html>")
+    assert text == " ".join(f"The headline {SENTENCES} {SENTENCES}".split())
+
+
 def test_damaged_markup_does_not_leak():
     assert main_text(f"<a href=it's>x</a>{P}") == "x " + SENTENCES.strip() or main_text(f"<a href=it's>x</a>{P}") == SENTENCES.strip()
     assert "it's" not in main_text(f"<a href=it's>x</a>{P}") and main_text("<p>x</p><b") == "x"
