@@ -69,6 +69,9 @@ def src_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("p_partkey") % 17 == 0, "").otherwise("SEPARATED")
     gate = F.concat(F.lit('{"status": "'), status, F.lit('", "budget": '), budget, F.lit(', "hard_fail": '), hard, F.when(F.col("p_partkey") % 23 == 0, F.lit(', "control_attempt": ""')).otherwise(F.lit("")), F.lit("}"))
     line = F.concat(F.lit(f'{{"schema": "{records.PROFILE_TAGS[0]}", "profiles": {{"c'), F.col("p_partkey"), F.lit('": {"gates": {"silhouette": '), gate, F.lit(', "loop": '), gate, F.lit("}}}}"))
+    key = F.col("p_partkey")
+    line = F.when(key % 31 == 1, F.substring(line, 1, 60)).when(key % 31 == 2, F.replace(line, F.lit("index/0"), F.lit("index/9"))).when(key % 31 == 3, '{"schema": "acceptance-profile-index/0", "profiles": {}}').otherwise(line)
+    line = F.when(key % 31 == 4, F.concat(F.lit('{"schema": "acceptance-profile-index/0", "profiles": {"c'), key, F.lit('": {"gates": {}}}}'))).otherwise(line)
     return records.profiles(spark, _lines(_t(spark, sf_dir, "part"), line, "profiles")).select("motion_class", "gate", "budget", "hard_fail", "reason")
 
 
@@ -167,7 +170,8 @@ a AS (SELECT *, CASE WHEN NOT bad AND turn <> 5 THEN id END AS attempt_id FROM l
 SELECT attempt_id, CASE WHEN bad THEN 0 ELSE turn END AS ordinal, """ + _rules(("bad", "unreadable"), ("conv_id % 13 = 0", "unknown_schema"), ("conv_id % 17 = 0", "missing_schema"), ("attempt_id IS NULL", "missing_attempt_id"), ("n > 1", "duplicate_attempt_id"), ("turn % 7 = 3", "missing_specification_id"), ("(conv_id + turn) % 23 = 0", "empty_measurement_path"), ("conv_id % 29 = 0", "missing_recorded_at")) + " AS reason FROM t",
     "src_manifest": """WITH e AS (SELECT *, user_id || '-' || strftime(ts, '%Y%m%d%H') AS file FROM events), s AS (SELECT *, CASE WHEN event_id % 97 <> 0 THEN file || '/' || event_id % 3 END AS sid, CASE WHEN event_id % 89 = 0 THEN '' ELSE file || '/' || event_id % 5 END AS pid FROM e),
 c AS (SELECT *, count(sid) OVER (PARTITION BY file, sid) AS sn, count(*) OVER (PARTITION BY file, pid) AS pn FROM s) SELECT 'specification' AS kind, sid AS id, """ + _rules(("sid IS NULL", "missing_id"), ("sn > 1", "duplicate_id"), ("event_id % 31 = 0", "missing_motion_class"), ("event_id % 41 = 0", "empty_active_promotion")) + " AS reason FROM c UNION ALL SELECT 'promotion', pid, " + _rules(("pid = ''", "missing_id"), ("pn > 1", "duplicate_id"), ("event_id % 37 = 0", "missing_status")) + " FROM c",
-    "src_profiles": "SELECT 'c' || p_partkey AS motion_class, g AS gate, CASE WHEN p_size % 5 <> 0 THEN p_size::DOUBLE / 64 END AS budget, CASE WHEN p_size % 3 <> 0 AND p_size % 7 <> 0 THEN (p_size + 1)::DOUBLE END AS hard_fail, " + _rules(("p_partkey % 17 = 0", "missing_status"), ("p_partkey % 23 = 0", "empty_control_attempt")) + " AS reason FROM part, (VALUES ('silhouette'), ('loop')) v(g)",
+    "src_profiles": "SELECT 'c' || p_partkey AS motion_class, g AS gate, CASE WHEN p_size % 5 <> 0 THEN p_size::DOUBLE / 64 END AS budget, CASE WHEN p_size % 3 <> 0 AND p_size % 7 <> 0 THEN (p_size + 1)::DOUBLE END AS hard_fail, " + _rules(("p_partkey % 31 = 2", "unknown_schema"), ("p_partkey % 17 = 0", "missing_status"), ("p_partkey % 23 = 0", "empty_control_attempt")) + """ AS reason FROM part, (VALUES ('silhouette'), ('loop')) v(g) WHERE p_partkey % 31 NOT IN (1, 3, 4)
+UNION ALL SELECT CASE WHEN p_partkey % 31 = 4 THEN 'c' || p_partkey END, NULL, NULL, NULL, CASE p_partkey % 31 WHEN 1 THEN 'unreadable' WHEN 3 THEN 'no_profiles' ELSE 'no_gates' END FROM part WHERE p_partkey % 31 IN (1, 3, 4)""",
     "src_measurements": """WITH g AS (SELECT l_orderkey, 'gate' || l_linenumber AS gate, max(l_discount) AS metric FROM lineitem GROUP BY ALL) SELECT CASE WHEN o_orderkey % 13 <> 0 THEN 'sha' || o_orderkey END AS raw_sha256, gate, metric, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS INT) AS caveats, """ + _rules(("o_orderkey % 19 = 0", "unknown_schema"), ("o_orderkey % 13 = 0", "missing_raw_sha256"), ("o_orderkey % 17 = 0", "missing_motion_class")) + " AS reason FROM orders LEFT JOIN g ON l_orderkey = o_orderkey",
     "src_provenance": "SELECT 'a' || doc_id AS attempt_id, CASE WHEN doc_id % 11 <> 0 THEN 'raw/' || doc_id END AS raw_path, CASE WHEN doc_id % 9 = 0 THEN '' ELSE sha256(text) END AS raw_sha256, " + _rules(("doc_id % 9 = 0", "missing_raw_sha256"), ("doc_id % 7 = 0", "missing_specification_id"), ("doc_id % 11 = 0", "missing_raw_path")) + " AS reason FROM documents",
     "src_locks": """WITH p AS (SELECT p_partkey AS k, p_size AS s, 'c' || p_partkey AS motion_class FROM part) SELECT motion_class, 'lock' AS kind, 'head' AS id, 2 AS n, 1 AS dx, CAST(s AS INT) AS dy, """ + _rules(("k % 7 = 0", "inverted_rectangle")) + """ AS reason FROM p

@@ -1,5 +1,6 @@
 """Evidence records from JSON files. Nothing is dropped: a record that breaks a rule keeps its row, with the first broken
-rule as `reason`; rows of good records have a null reason.
+rule as `reason`; rows of good records have a null reason. A document of many entries that can't be read, is of an
+unknown schema or has no entries gives one row without an entry, with that reason.
 
 Each scan takes a path (file, folder or glob; folders at any depth) and the schema tags that it knows. A document may be
 one line of a file (lines=True, blank lines are skipped) or a whole file.
@@ -54,6 +55,11 @@ def _checked(rows: DataFrame, *rules: tuple[Column, str]) -> DataFrame:
     return rows.withColumn("reason", F.coalesce("reason", first_reason(*rules)))
 
 
+def _entries(docs: DataFrame, kind: str, field: str) -> DataFrame:
+    """docs, those that have no entries in an array or map and no reason yet with reason no_<kind>."""
+    return docs.withColumn("reason", F.coalesce("reason", F.when(F.coalesce(F.size(F.col(field)), F.lit(0)) < 1, f"no_{kind}")))
+
+
 def _with_repeats(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds `_twice`: whether the row's key stands in more than one row; null keys never do."""
     twice = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys, F.lit(True).alias("_twice"))
@@ -73,7 +79,7 @@ def manifest(spark: SparkSession, path: str, known: Sequence[str] = MANIFEST_TAG
     docs = documents(spark, path, f"schema string, specifications array<{_struct(SPECIFICATION)}>, promotions array<{_struct(PROMOTION)}>", known, lines=True)
 
     def entries(field: str, rules: list[tuple[Column, str]]) -> DataFrame:
-        rows = docs.select("document", "reason", F.explode(field).alias("e")).select("document", "reason", "e.*")
+        rows = _entries(docs, field, field).select("document", "reason", F.explode_outer(field).alias("e")).select("document", "reason", "e.*")
         return _checked(_with_repeats(rows, ["document", "id"]), (F.coalesce("id", F.lit("")) == "", "missing_id"), (F.col("_twice"), "duplicate_id"), *rules).drop("_twice")
 
     specifications = entries("specifications", [*required("motion_class", "target_gate"), *optional("active_promotion")])
@@ -88,7 +94,8 @@ def _number(v: Column) -> Column:
 def profiles(spark: SparkSession, path: str, known: Sequence[str] = PROFILE_TAGS) -> DataFrame:
     """Acceptance profiles: class -> gates -> entry, one row for each class and gate; budgets that are no numbers are null."""
     docs = documents(spark, path, f"schema string, profiles map<string, struct<gates: map<string, {_struct(PROFILE)}>>>", known, lines=True)
-    rows = docs.select("reason", F.explode("profiles").alias("motion_class", "p")).select("reason", "motion_class", F.explode("p.gates").alias("gate", "e"))
+    rows = _entries(docs, "profiles", "profiles").select("reason", F.explode_outer("profiles").alias("motion_class", "p"))
+    rows = _entries(rows, "gates", "p.gates").select("reason", "motion_class", F.explode_outer("p.gates").alias("gate", "e"))
     rows = rows.select("motion_class", "gate", "e.*", "reason").withColumns({c: _number(F.col(c)) for c in ("budget", "hard_fail")})
     return _checked(rows, *required("status"), *optional("active_promotion", "control_attempt", "evidence_attempt"))
 
@@ -121,12 +128,15 @@ LOCKS = (
 def lock_specs(spark: SparkSession, path: str, known: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Locks with their rectangle, offsets and thresholds in declared order; landmarks; relational limits of two locks.
 
+    A document that can't be used, or a class without locks, has its row and reason among the locks; a class may be
+    without landmarks and limits.
+
     offsets is the list as declared, or the product of permitted_dx and permitted_dy (dx slower than dy).
     """
-    docs = documents(spark, path, LOCKS, known, lines=True).select("reason", F.explode("motion_classes").alias("motion_class", "m"))
+    docs = _entries(documents(spark, path, LOCKS, known, lines=True), "classes", "motion_classes").select("reason", F.explode_outer("motion_classes").alias("motion_class", "m"))
     head = ["reason", "motion_class"]
     pair = lambda dx, dy: F.struct(dx.alias("dx"), dy.alias("dy"))
-    rows = docs.select(*head, F.posexplode("m.locks").alias("ord", "l"))
+    rows = _entries(docs, "locks", "m.locks").select(*head, F.posexplode_outer("m.locks").alias("ord", "l"))
     product = F.flatten(F.transform("l.permitted_dx", lambda x: F.transform("l.permitted_dy", lambda y: pair(x, y))))
     offsets = F.coalesce(F.transform("l.permitted_offsets", lambda o: pair(o[0], o[1])), product)
     locks = rows.select(*head, "ord", "l.id", "l.rectangle.*", offsets.alias("offsets"), "l.comparison", F.col("l.max_occupancy_difference").alias("most_occupancy"), F.col("l.max_palette_role_distance").alias("most_roles"))
