@@ -38,7 +38,9 @@ def st_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stream(spark, sf_dir).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "event_id")
+    """Users as sessions, event types as clips; sign-ups turn a session off (even ids) and on again."""
+    control = F.when(F.col("event_type") == "signup", F.col("event_id") % 2 == 1)
+    rows = _stream(spark, sf_dir).select(F.col("user_id").cast("long").alias("session"), F.col("event_type").alias("clip"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").cast("long").alias("event_id"), control.alias("enabled"))
     return S.drain(S.thinned(rows, 7200.0), "thin")
 
 
@@ -48,14 +50,13 @@ def st_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome of each event under fixed budgets, batch by batch, into a ledger; users escalate at three failures in a row."""
-
-    def score(batch: DataFrame) -> DataFrame:
-        return batch.select("event_id", "user_id", "ts", scalars.tristate(F.col("value") / 1000, F.lit("SEPARATED"), F.lit(0.1), F.lit(0.2)).alias("outcome"))
-
-    scored = S.score_batches(_stream(spark, sf_dir), score).withColumn("code", F.when(F.col("outcome") == "FAIL", F.col("outcome")))
-    streaks = ledger.trailing_streak(scored, "user_id", ["ts", "event_id"], "code").select("user_id", "streak", "escalate")
-    return scored.join(streaks, "user_id").select("event_id", "outcome", "streak", "escalate")
+    """Outcome of each event under fixed budgets, with its user's run of failures, recorded batch by batch."""
+    outcome = scalars.tristate(F.col("value") / 1000, F.lit("SEPARATED"), F.lit(0.1), F.lit(0.2))
+    rows = _stream(spark, sf_dir).select(F.col("user_id").cast("long").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("long").alias("event_id"), outcome.alias("outcome"))
+    rows = rows.withColumn("code", F.when(F.col("outcome") == "FAIL", F.col("outcome")))
+    out = folder(spark, "outcomes")
+    S.record_batches(S.escalated(rows), out, folder(spark, "progress"))
+    return spark.read.parquet(out).select("event_id", "outcome", "streak", "escalate")
 
 
 def snk_append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +110,7 @@ SQL = {
     "st_rolling": f"SELECT event_id, p50, p95, top FROM ({LEDGER_SQL['win_rolling']})",
     "st_append": "SELECT user_id || '-' || strftime(ts, '%Y%m%d%H') AS attempt_id, min(event_id) AS event_id FROM events GROUP BY 1",
     "st_outcomes": """WITH o AS (SELECT *, CASE WHEN m <= 0.1 THEN 'PASS' WHEN m >= 0.2 THEN 'FAIL' ELSE 'REVIEW' END AS outcome FROM (SELECT *, ceil(CAST(value / 1000 AS DECIMAL(20,16)) * 10000)::DOUBLE / 10000 AS m FROM events)),
-n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM o), s AS (SELECT user_id, max(i) - coalesce(max(i) FILTER (outcome <> 'FAIL'), 0) AS streak FROM n GROUP BY 1) SELECT event_id, outcome, streak, streak >= 3 AS escalate FROM o JOIN s USING (user_id)""",
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM o), s AS (SELECT event_id, outcome, i - coalesce(max(i) FILTER (outcome <> 'FAIL') OVER (PARTITION BY user_id ORDER BY i), 0) AS streak FROM n) SELECT event_id, outcome, streak, streak >= 3 AS escalate FROM s""",
     "snk_append_once": "SELECT event_id % 4000 AS id, min(event_id) AS event_id FROM events WHERE event_id % 4000 % 3 <> 0 GROUP BY 1",
     "snk_report": "SELECT CASE o_orderstatus WHEN 'O' THEN 'PASS' WHEN 'F' THEN 'FAIL' ELSE 'REVIEW' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
     "snk_release": "SELECT o_orderkey, CASE WHEN o_orderkey % 20 = 0 THEN 'release_conflict' END AS reason FROM orders WHERE o_orderstatus = 'O'",

@@ -1,6 +1,7 @@
-"""Streams: validated messages, change suppression, append-once ingest, late cut-off, rolling statistics and thinning.
+"""Streams: validated messages, change suppression, append-once ingest, late cut-off, rolling statistics, thinning and
+escalation.
 
-Keyed state is one small record for a key: the last value, a ring of 120 samples, or the last kept time. Rows of a key
+Keyed state is one small record for a key: the last value, a ring of 120 samples, the last kept times, or a run. Rows of a key
 may come in any order within a micro-batch, so they are sorted there: a key's rows of one micro-batch must fit into a
 task's memory, which stream_of's files_a_batch bounds.
 """
@@ -13,9 +14,10 @@ from collections.abc import Callable, Iterator
 from math import ceil
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ledger import append_once
 from ..sources.shared import folder
@@ -86,20 +88,89 @@ def rolling(stream: DataFrame, size: int = 120) -> DataFrame:
     return stream.groupBy("event_type").applyInPandasWithState(emit, "event_id long, p50 double, p95 double, top double", "ring array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+class _Thinning(StatefulProcessor):
+    """State of a session: whether it is on, and the last kept time of each clip, forgotten when it is turned off."""
+
+    def __init__(self, gap: float):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.on = handle.getValueState("on", "on boolean")
+        self.last = handle.getMapState("last", "clip string", "at double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        on = self.on.get()[0] if self.on.exists() else True
+        # kept in memory for this batch; written back once a clip
+        last: dict[str, float] = {k[0]: v[0] for k, v in self.last.iterator()} if self.last.exists() else {}
+        for r in sorted(rows, key=lambda r: (r.at, r.event_id)):
+            if r.enabled is not None:
+                on = r.enabled
+                if not on:
+                    last.clear()
+            elif on and (r.clip not in last or r.at - last[r.clip] >= self.gap):
+                last[r.clip] = r.at
+                yield Row(session=key[0], clip=r.clip, event_id=r.event_id)
+        self.on.update((on,))
+        self.last.clear()
+        for clip, at in last.items():
+            self.last.updateValue((clip,), (at,))
+
+    def close(self) -> None:
+        pass
+
+
 def thinned(stream: DataFrame, gap: float) -> DataFrame:
-    """stream(user_id, at, event_id): rows at least gap after the key's last kept one."""
+    """stream(session, clip, at, event_id, enabled): events at least gap after the last kept one of their session's clip.
+
+    Rows with enabled are controls: a session that is turned off drops its events and forgets what it kept; null is an
+    event. State is a record for each session and clip.
+    """
+    keyed_state(stream.sparkSession)
+    return stream.groupBy("session").transformWithState(_Thinning(gap), "session long, clip string, event_id long", "Append", "None")
+
+
+class _Escalation(StatefulProcessor):
+    """State of a key: its last code and how often in a row it came."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "code string, streak long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        code, streak = self.run.get() if self.run.exists() else (None, 0)
+        for r in sorted(rows, key=lambda r: (r.at, r.event_id)):
+            streak = 0 if r.code is None else streak + 1 if r.code == code else 1
+            code = r.code
+            yield Row(key=key[0], event_id=r.event_id, outcome=r.outcome, streak=streak, escalate=streak >= self.most)
+        self.run.update((code, streak))
+
+    def close(self) -> None:
+        pass
 
-    def emit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        kept = []
-        for r in pd.concat(list(parts)).sort_values(["at", "event_id"]).itertuples(index=False):
-            if last is None or r.at - last >= gap:
-                kept.append((key[0], r.event_id))
-                last = float(r.at)
-        state.update((last,))
-        yield pd.DataFrame(kept, columns=["user_id", "event_id"])
 
-    return stream.groupBy("user_id").applyInPandasWithState(emit, "user_id long, event_id long", "last double", "append", GroupStateTimeout.NoTimeout)
+def escalated(stream: DataFrame, most: int = 3) -> DataFrame:
+    """stream(key, at, event_id, outcome, code): each row with the length of its key's run of one code up to it, and
+    whether that is `most` or more; a null code ends a run. The run is state: the ledger is never read again."""
+    keyed_state(stream.sparkSession)
+    return stream.groupBy("key").transformWithState(_Escalation(most), "key long, event_id long, outcome string, streak long, escalate boolean", "Append", "None")
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Typed state needs the RocksDB store; a session that names another one keeps it."""
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def record_batches(stream: DataFrame, out: str, progress: str) -> None:
+    """Append a stream to the ledger at out, a folder for each micro-batch that is overwritten if the batch runs again:
+    with the same progress folder a run goes on where the last one stopped, and no row counts twice."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
 def ingest_once(stream: DataFrame, key: str) -> DataFrame:
@@ -114,22 +185,3 @@ def ingest_once(stream: DataFrame, key: str) -> DataFrame:
     spark.createDataFrame([], schema).write.parquet(out)
     drain_batches(stream, each)
     return spark.read.schema(schema).parquet(out)
-
-
-def score_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run batch operators on each micro-batch; what they give comes with the batch's number as `batch`.
-
-    Each batch has a folder of its own that is overwritten, so a batch that is run again after a failure counts once.
-    """
-    spark, out = stream.sparkSession, folder(stream.sparkSession, "outcomes")
-    schemas = []
-
-    def each(batch: DataFrame, number: int) -> None:
-        scored = score(batch)
-        schemas.append(scored.schema)
-        scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    drain_batches(stream, each)
-    if not schemas:
-        return score(spark.createDataFrame([], stream.schema)).withColumn("batch", F.lit(0))
-    return spark.read.parquet(out)
