@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grid, identity
+from ..operators import deltas, grid, identity
 from ..sources import testdata as T
 from .q_scalars import _lab_sql
 
@@ -127,9 +127,37 @@ def join_visible_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.strips(spark, sf_dir).select("strip_id").join(n, "strip_id", "left").select("strip_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Frames 0 and 2 of each strip as bases, 1 and 3 as targets; some strips map them crosswise, some are refused."""
+    c, f = T.cells(spark, sf_dir).withColumnRenamed("strip_id", "ledger_id"), T.frames(spark, sf_dir).withColumnRenamed("strip_id", "ledger_id")
+    half = F.expr("cast(frame div 2 as int)")
+    ledgers = f.select("ledger_id").distinct().withColumn("mapping", F.expr("case when ledger_id % 17 = 1 then array(0) when ledger_id % 17 = 2 then array(0, 2) when ledger_id % 3 = 0 then array(1, 0) else array(0, 1) end"))
+    part = lambda t, odd, name: t.filter(F.col("frame") % 2 == odd).withColumn(name, half).select("ledger_id", name, *(x for x in t.columns if x in ("x", "y", "rgb", "w", "h")))
+    return ledgers, part(f, 0, "base"), part(c, 0, "base"), part(f, 1, "frame"), part(c, 1, "frame")
+
+
 def join_ledger_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _draft_polished(spark, sf_dir)
-    return grid.cell_diff(a, b, ["strip_id", "x", "y"])
+    built, refused = deltas.build_ledgers(*_ledgers(spark, sf_dir))
+    text = {c: F.array_join(c, ",") for c in ("before", "after")}
+    return built.withColumns(text).unionByName(refused, allowMissingColumns=True)
+
+
+def join_ledger_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledgers as built, with one fault in most of them, by the number of the strip."""
+    ledgers, bases, base_cells, targets, target_cells = _ledgers(spark, sf_dir)
+    built, _ = deltas.build_ledgers(ledgers, bases, base_cells, targets, target_cells)
+    k, first, second = F.col("ledger_id") % 13, F.col("place") == 0, F.col("place") == 1
+    put = lambda c, i, v: F.transform(c, lambda e, j: F.when(j == i, F.lit(v)).otherwise(e))
+    rows = built.withColumns({
+        "place": F.when((k == 1) & first, 1).when((k == 1) & second, 0).otherwise(F.col("place")), "frame": F.when((k == 3) & second, 9).otherwise(F.col("frame")), "x": F.when((k == 4) & first, 8).otherwise(F.col("x")),
+        "after": F.when((k == 5) & second, F.col("before")).when((k == 6) & first, put("after", 3, 128)).otherwise(F.col("after")), "before": F.when((k == 7) & second, put("before", 1, 65)).otherwise(F.col("before")),
+    })
+    rows = rows.unionByName(rows.filter((k == 2) & first).withColumn("place", F.lit(10000).cast("long")))
+    digests = deltas.frame_digests(bases, base_cells, "base").groupBy("ledger_id").agg(F.array_sort(F.collect_list(F.struct("base", "sha256")))["sha256"].alias("digests"))
+    said = ledgers.join(digests, "ledger_id").withColumns({
+        "schema": F.when(k == 8, "other/1").otherwise(F.lit(deltas.SCHEMA)), "target_count": F.when(k == 9, 3).otherwise(F.lit(2)), "digests": F.when(k == 10, F.reverse("digests")).when(k == 11, F.array(F.lit("x"))).otherwise(F.col("digests")),
+    })
+    return deltas.check_ledgers(said, bases, base_cells, rows)
 
 
 def join_ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,16 +169,6 @@ def join_ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong.groupBy("strip_id").agg(F.min(F.struct("y", "x")).alias("m"), F.count("*").alias("n")).select("strip_id", "m.y", "m.x", "n")
 
 
-def join_ledger_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First fault of each ledger row: no change, a `from` that the base lacks, or an order that goes back."""
-    a, b = _draft_polished(spark, sf_dir)
-    keys = ["strip_id", "x", "y"]
-    ledger = b.withColumnRenamed("rgb", "to_rgb").withColumn("from_rgb", F.when((F.col("strip_id") + F.col("x")) % 5 == 0, F.col("to_rgb")).otherwise(F.lit(None).cast("int")))
-    rows = ledger.join(a.withColumnRenamed("rgb", "base"), keys, "left")
-    reason = F.when(F.col("from_rgb").eqNullSafe(F.col("to_rgb")), "no_op").when(~F.col("from_rgb").eqNullSafe(F.col("base")), "from_mismatch")
-    return rows.select(*keys, reason.alias("reason")).filter("reason is not null")
-
-
 def join_palette_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occupancy first, then colours: polished cells must be where the draft's are and of the strip's first-frame colours."""
     a, b = _draft_polished(spark, sf_dir)
@@ -190,6 +208,11 @@ PAL = "(VALUES " + ",".join(f"({i},{i * 48 * 65536 + 60 * 256 + 30})" for i in r
 D2 = "(rgb // 65536 - entry // 65536) ** 2 + (rgb // 256 % 256 - entry // 256 % 256) ** 2 + (rgb % 256 - entry % 256) ** 2"
 NEAR = f", near AS (SELECT rgb, arg_min(entry, d * 100 + ord) AS entry, CAST(min(d) AS BIGINT) AS distance FROM (SELECT rgb, entry, ord, {D2} AS d FROM (SELECT DISTINCT rgb FROM cells) c, {PAL}) GROUP BY 1)"
 BOX = P + ", box AS (SELECT image_id, min(x) FILTER (NOT keyed) AS min_x, max(x) FILTER (NOT keyed) AS max_x, min(y) FILTER (NOT keyed) AS min_y, max(y) FILTER (NOT keyed) AS max_y, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_ FROM k GROUP BY 1)"
+DELTAS = f"""WITH {T.CELLS}, mapped AS (SELECT strip_id, f AS frame, CASE WHEN strip_id % 3 = 0 THEN 1 - f ELSE f END AS base FROM strips, range(2) t(f) WHERE strip_id % 17 NOT IN (1, 2)),
+old AS (SELECT m.strip_id, m.frame, x, y, rgb AS p FROM mapped m JOIN cells c ON c.strip_id = m.strip_id AND c.frame = m.base * 2), new AS (SELECT c.strip_id, CAST(frame // 2 AS INT) AS frame, x, y, rgb AS q FROM cells c WHERE frame % 2 = 1 AND strip_id % 17 NOT IN (1, 2)),
+delta AS (SELECT strip_id AS ledger_id, row_number() OVER (PARTITION BY strip_id ORDER BY frame, y, x) - 1 AS place, CAST(frame AS INT) AS frame, x, y, CASE WHEN p IS NULL THEN '0,0,0,0' ELSE (p >> 16) || ',' || ((p >> 8) & 255) || ',' || (p & 255) || ',255' END AS p,
+  CASE WHEN q IS NULL THEN '0,0,0,0' ELSE (q >> 16) || ',' || ((q >> 8) & 255) || ',' || (q & 255) || ',255' END AS q FROM old FULL JOIN new USING (strip_id, frame, x, y) WHERE p IS DISTINCT FROM q)
+"""
 SQL = {
     "src_pixels": P + " SELECT image_id, count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a FROM pixels GROUP BY 1",
     "fn_key_mask": P + " SELECT image_id, count(*) FILTER (keyed) AS keyed, count(*) FILTER (NOT keyed) AS foreground, CASE WHEN count(*) FILTER (NOT keyed) = 0 THEN 'empty_foreground' END AS reason FROM k GROUP BY 1",
@@ -214,9 +237,14 @@ UNION ALL SELECT strip_id, frame, CASE WHEN frame = 2 THEN x + 3 ELSE x END, y,
     "agg_min_delta": C + " , d AS (SELECT DISTINCT strip_id, rgb FROM cells), l AS (SELECT rgb, " + ", ".join(f"{e} AS {n}" for e, n in zip(_lab_sql("rgb"), ("l", "a", "b"), strict=True)) + " FROM (SELECT DISTINCT rgb FROM d)) SELECT a.strip_id, CAST(floor(min(sqrt(pow(p.l - q.l, 2) + pow(p.a - q.a, 2) + pow(p.b - q.b, 2))) * 1000 + 0.0005) AS BIGINT) AS least FROM d a JOIN d b ON a.strip_id = b.strip_id AND a.rgb < b.rgb JOIN l p ON p.rgb = a.rgb JOIN l q ON q.rgb = b.rgb GROUP BY 1",
     "join_celldiff": AB + " SELECT strip_id, count(*) FILTER (a.rgb IS DISTINCT FROM b.rgb) AS changed, count(*) AS \"union\" FROM a FULL JOIN b USING (strip_id, x, y) GROUP BY 1",
     "join_visible_delta": AB + " SELECT s.strip_id, count(b.rgb) FILTER (a.rgb <> b.rgb) AS n FROM strips s LEFT JOIN a ON a.strip_id = s.strip_id LEFT JOIN b ON b.strip_id = a.strip_id AND b.x = a.x AND b.y = a.y GROUP BY 1",
-    "join_ledger_build": AB + " SELECT strip_id, x, y, a.rgb AS from_rgb, b.rgb AS to_rgb FROM a FULL JOIN b USING (strip_id, x, y) WHERE a.rgb IS DISTINCT FROM b.rgb",
+    "join_ledger_build": DELTAS + """SELECT ledger_id, place, frame, x, y, p AS before, q AS after, NULL AS reason FROM delta UNION ALL SELECT strip_id, NULL, NULL, NULL, NULL, NULL, NULL, CASE strip_id % 17 WHEN 1 THEN 'invalid_cell_delta_ledger_target_count' ELSE 'invalid_cell_delta_ledger_mapping' END FROM strips WHERE strip_id % 17 IN (1, 2)""",
     "join_ledger_replay": AB + " , w AS (SELECT strip_id, x, y FROM a FULL JOIN b USING (strip_id, x, y) WHERE a.rgb IS DISTINCT FROM b.rgb AND (strip_id + x * 3 + y) % 9 = 0) SELECT strip_id, CAST(min(y * 8 + x) // 8 AS INT) AS y, CAST(min(y * 8 + x) % 8 AS INT) AS x, count(*) AS n FROM w GROUP BY 1",
-    "join_ledger_check": AB + " SELECT b.strip_id, b.x, b.y, CASE WHEN (b.strip_id + b.x) % 5 = 0 THEN 'no_op' ELSE 'from_mismatch' END AS reason FROM b LEFT JOIN a USING (strip_id, x, y) WHERE (b.strip_id + b.x) % 5 = 0 OR a.rgb IS NOT NULL",
+    "join_ledger_check": DELTAS + """, o AS (SELECT ledger_id, min(place) FILTER (place = 0) AS z, arg_min(frame, place) FILTER (place = 0) AS f0, arg_min(x, place) FILTER (place = 0) AS x0, arg_min(y, place) FILTER (place = 0) AS y0, arg_min(frame, place) FILTER (place = 1) AS f1, arg_min(x, place) FILTER (place = 1) AS x1, arg_min(y, place) FILTER (place = 1) AS y1 FROM delta GROUP BY 1)
+SELECT strip_id AS ledger_id, CASE WHEN k = 8 THEN 'invalid_cell_delta_ledger_schema' WHEN k = 11 THEN 'invalid_cell_delta_ledger_digest' WHEN k = 10 THEN 'base_frame_hash_mismatch' WHEN k = 9 OR s = 1 THEN 'invalid_cell_delta_ledger_target_count' WHEN s = 2 THEN 'invalid_cell_delta_ledger_mapping'
+  WHEN k = 1 THEN 'invalid_cell_delta_ledger_order' WHEN k = 2 THEN 'invalid_cell_delta_ledger_duplicate' WHEN k IN (3, 4) THEN 'invalid_cell_delta_ledger_bounds' WHEN k = 5 THEN 'invalid_cell_delta_ledger_noop' WHEN k = 6 THEN 'invalid_cell_delta_ledger_alpha' WHEN k = 7 THEN 'invalid_cell_delta_ledger_from' END AS reason,
+  CASE WHEN s IN (1, 2) THEN NULL WHEN k IN (1, 3, 5, 7) THEN 1 WHEN k = 2 THEN 10000 WHEN k IN (4, 6) THEN 0 END AS place, CASE WHEN s IN (1, 2) THEN NULL WHEN k IN (1, 2, 4, 6) THEN f0 WHEN k IN (5, 7) THEN f1 WHEN k = 3 THEN 9 END AS frame,
+  CASE WHEN s IN (1, 2) THEN NULL WHEN k IN (1, 2, 6) THEN x0 WHEN k IN (3, 5, 7) THEN x1 WHEN k = 4 THEN 8 END AS x, CASE WHEN s IN (1, 2) THEN NULL WHEN k IN (1, 2, 4, 6) THEN y0 WHEN k IN (3, 5, 7) THEN y1 END AS y
+FROM (SELECT strip_id, strip_id % 13 AS k, strip_id % 17 AS s FROM strips) LEFT JOIN o ON ledger_id = strip_id""",
     "join_palette_member": AB + " , f AS (SELECT strip_id, count(*) FILTER (a.rgb IS NULL OR b.rgb IS NULL) AS al, count(*) FILTER (b.rgb IS NOT NULL AND b.rgb NOT IN (SELECT rgb FROM a q WHERE q.strip_id = strip_id)) AS co FROM a FULL JOIN b USING (strip_id, x, y) GROUP BY 1) SELECT strip_id, CASE WHEN al > 0 THEN 'alpha_mismatch' WHEN co > 0 THEN 'palette_violation' END AS reason FROM f",
     "join_landmark": AB + " , l AS (SELECT strip_id, x, y, greatest(abs(x - 3), abs(y - 3)) AS d, row_number() OVER (PARTITION BY strip_id ORDER BY greatest(abs(x - 3), abs(y - 3)), y, x) AS rn FROM b WHERE rgb // 65536 >= 128 AND greatest(abs(x - 3), abs(y - 3)) <= 2) SELECT s.strip_id, x, y, d AS distance, CASE WHEN d IS NULL THEN 'FAIL' ELSE 'PASS' END AS result FROM strips s LEFT JOIN l ON l.strip_id = s.strip_id AND rn = 1",
     "grid_components": C.replace("WITH ", "WITH RECURSIVE ", 1) + " , f AS (SELECT strip_id, frame, x, y, CAST(y * 1048576 + x AS BIGINT) AS id FROM cells), r AS (SELECT strip_id, frame, x, y, id FROM f UNION SELECT f.strip_id, f.frame, f.x, f.y, r.id FROM r JOIN f ON f.strip_id = r.strip_id AND f.frame = r.frame AND abs(f.x - r.x) + abs(f.y - r.y) = 1) SELECT strip_id, frame, x, y, min(id) AS component FROM r GROUP BY ALL",
