@@ -142,10 +142,20 @@ def components(cells: DataFrame) -> DataFrame:
 
 
 def nearest_entry(colours: DataFrame, palette: DataFrame) -> DataFrame:
-    """(rgb, ord, entry): the palette entry of least squared distance for each distinct colour, ties by palette order."""
-    pairs = colours.select("rgb").distinct().crossJoin(F.broadcast(palette.select("ord", F.col("rgb").alias("entry"))))
-    best = pairs.groupBy("rgb").agg(F.min(F.struct(rgb_distance("rgb", "entry").alias("d"), "ord", luma("entry").alias("l"), "entry")).alias("m"))
-    return best.select("rgb", "m.ord", "m.entry", F.col("m.d").alias("distance"))
+    """(rgb, ord, entry, role, distance): the palette entry of least squared distance for each distinct colour, ties by
+    palette order; palette has ord, rgb and role. The role proposes an assignment, it is none."""
+    pairs = colours.select("rgb").distinct().crossJoin(F.broadcast(palette.select("ord", "role", F.col("rgb").alias("entry"))))
+    best = pairs.groupBy("rgb").agg(F.min(F.struct(rgb_distance("rgb", "entry").alias("d"), "ord", "entry", "role")).alias("m"))
+    return best.select("rgb", "m.ord", "m.entry", "m.role", F.col("m.d").alias("distance"))
+
+
+def nearest_in_role(colours: DataFrame, palette: DataFrame) -> DataFrame:
+    """(rgb, role, entry): the nearest entry of a role for each distinct colour and role, null for a role that the palette
+    lacks. Ties go to the lower luminance, then to palette order, so that quantising twice changes nothing."""
+    entries = palette.select(F.col("role").alias("_role"), "ord", F.col("rgb").alias("entry"))
+    pairs = colours.select("rgb", "role").distinct().join(F.broadcast(entries), F.col("role") == F.col("_role"), "left")
+    best = pairs.groupBy("rgb", "role").agg(F.min(F.when(F.col("entry").isNotNull(), F.struct(rgb_distance("rgb", "entry").alias("d"), luma("entry").alias("l"), "ord", "entry"))).alias("m"))
+    return best.select("rgb", "role", "m.entry")
 
 
 def min_delta(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,7 +166,16 @@ def min_delta(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantise(cells: DataFrame, palette: DataFrame) -> DataFrame:
-    return cells.join(nearest_entry(cells, palette), "rgb").drop("rgb", "ord", "distance").withColumnRenamed("entry", "rgb")
+    return cells.join(nearest_entry(cells, palette), "rgb").drop("rgb", "ord", "distance", "role").withColumnRenamed("entry", "rgb")
+
+
+def quantise_in_roles(cells: DataFrame, palette: DataFrame) -> DataFrame:
+    """cells(..., rgb, role) with rgb the nearest colour of the cell's role, and reason: missing_role or unknown_role, whose
+    cells have no colour. palette(ord, role, rgb) is a parameter's size."""
+    near = nearest_in_role(cells.filter("role is not null"), palette).withColumnsRenamed({"rgb": "_rgb", "role": "_role"})
+    rows = cells.join(near, (F.col("rgb") == F.col("_rgb")) & (F.col("role") == F.col("_role")), "left")
+    reason = F.when(F.col("role").isNull(), "missing_role").when(F.col("entry").isNull(), "unknown_role")
+    return rows.select(*(c for c in cells.columns if c != "rgb"), F.col("entry").alias("rgb"), reason.alias("reason"))
 
 
 def palettes(colours: DataFrame, merge: int = 32, most: int = 16) -> DataFrame:

@@ -18,13 +18,6 @@ def src_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pairing(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), ["doc_id"])
 
 
-
-
-
-
-
-
-
 def join_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
     path = F.concat(F.when(F.col("doc_id") % 17 == 0, "../").otherwise("raw/"), F.col("doc_id"))
@@ -80,7 +73,6 @@ def join_projection_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.projection_mismatches(p, other, ["p_partkey"], ["p_brand", "p_size"])
 
 
-
 def join_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders")
     second = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 19 == 0, "P").otherwise(F.col("o_orderstatus")))
@@ -99,11 +91,6 @@ def join_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.contract(*contract_tables(spark, sf_dir))
 
 
-
-
-
-
-
 def fn_config_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 digits over the sorted brands of each type."""
     p = _t(spark, sf_dir, "part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("b"))
@@ -124,17 +111,11 @@ def agg_polish_quorum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.question_quorum(a, ["click", "view"])
 
 
-
 def agg_worst_good(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_discount").alias("metric"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample"))
     return E.worst_good(li, ["l_returnflag", "l_linestatus"], "metric", "sample")
 
 
-
-
-
-
-
 C = f"WITH {T.CELLS}"
 SQL = {
     "src_pairing": "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_sidecar' WHEN d.doc_id IS NULL THEN 'missing_raw' END AS reason FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)",

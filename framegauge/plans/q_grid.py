@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import deltas, grid, identity
+from ..sources import records
 from ..sources import testdata as T
+from ..sources.shared import folder
 from .q_scalars import _lab_sql
 
 K = ["strip_id", "frame", "x", "y"]
@@ -82,21 +84,35 @@ def grid_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def palette(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, f"role{i % 3}", i * 48 * 65536 + 60 * 256 + 30) for i in range(6)], "ord int, role string, rgb int")
+    """Two colours to each of three roles, the brighter one first."""
+    return spark.createDataFrame([(i, f"role{i % 3}", (5 - i) * 32 * 65536 + 60 * 256 + 30) for i in range(6)], "ord int, role string, rgb int")
 
 
 def src_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours of the tables as ordered entries of roles, from their hexadecimal text."""
-    rows = T.cells(spark, sf_dir).select("rgb").distinct().select(F.concat(F.lit("#"), F.lpad(F.hex("rgb"), 6, "0")).alias("hex"))
-    return rows.select("hex", F.conv(F.substring("hex", 2, 6), 16, 10).cast("int").alias("rgb"), F.col("hex").rlike("^#[0-9A-F]{6}$").alias("valid"))
+    """A palette document for each strip: its colours by frame as roles, some of them wrong."""
+    k = F.col("strip_id")
+    c = T.cells(spark, sf_dir).select("strip_id", "frame", F.concat(F.lit("#"), F.lpad(F.hex("rgb"), 6, "0")).alias("hex"))
+    roles = c.groupBy("strip_id", "frame").agg(F.array_sort(F.collect_set("hex")).alias("colors"))
+    colors = F.when((k % 11 == 1) & (F.col("frame") == 2), F.array().cast("array<string>")).when((k % 11 == 2) & (F.col("frame") == 1), F.transform("colors", lambda x, i: F.when(i == 0, F.lower(F.substring(x, 2, 6))).otherwise(x))).otherwise(F.col("colors"))
+    name = F.when((k % 11 == 3) & (F.col("frame") == 3), "role0").when((k % 11 == 4) & (F.col("frame") == 0), "").otherwise(F.concat(F.lit("role"), "frame"))
+    groups = roles.select("strip_id", "frame", F.struct(name.alias("id"), colors.alias("colors")).alias("g")).groupBy("strip_id").agg(F.array_sort(F.collect_list(F.struct("frame", "g")))["g"].alias("role_groups"))
+    groups = groups.withColumn("role_groups", F.when(k % 11 != 5, F.col("role_groups")))
+    line = F.to_json(F.struct(F.concat(F.lit("p"), "strip_id").alias("palette_id"), "role_groups"))
+    path = folder(spark, "palettes")
+    groups.select(F.when(k % 11 == 6, F.concat(F.lit("{"), line)).otherwise(line)).write.text(path)
+    rows = records.master_palettes(spark, path)
+    # a document that can't be read goes by the name of its file
+    return rows.withColumn("palette_id", F.when(~F.col("reason").eqNullSafe("unreadable"), F.col("palette_id")))
 
 
 def join_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.nearest_entry(T.cells(spark, sf_dir), palette(spark)).select("rgb", "entry", "distance")
+    return grid.nearest_entry(T.cells(spark, sf_dir), palette(spark)).select("rgb", "entry", "role", "distance")
 
 
 def join_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.quantise(T.cells(spark, sf_dir), palette(spark)).select(*K, "rgb")
+    """Cells in roles by their place; some have none, and some one that the palette lacks."""
+    cells = T.cells(spark, sf_dir).withColumn("role", F.expr("case when (x + y * 3 + strip_id) % 13 = 0 then null when (x + y) % 7 = 0 then 'role9' else concat('role', (x + y) % 3) end"))
+    return grid.quantise_in_roles(cells, palette(spark)).select(*K, "role", "rgb", "reason")
 
 
 def agg_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,9 +194,6 @@ def join_palette_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("strip_id", F.when(F.col("alpha") > 0, "alpha_mismatch").when(F.col("colour") > 0, "palette_violation").alias("reason"))
 
 
-
-
-
 def join_landmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest frame-1 cell of a high red level within two cells of (3, 3)."""
     _, b = _draft_polished(spark, sf_dir)
@@ -188,8 +201,6 @@ def join_landmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.strips(spark, sf_dir).select("strip_id").join(found, "strip_id", "left").select("strip_id", "x", "y", "distance", F.when(F.col("distance").isNull(), "FAIL").otherwise("PASS").alias("result"))
 
 
-
-
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.components(T.cells(spark, sf_dir))
 
@@ -204,10 +215,9 @@ def agg_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 C, P = f"WITH {T.CELLS}", f"WITH {T.PIXELS}, k AS (SELECT *, a < 128 OR (abs(r - 255) <= 40 AND abs(g) <= 40 AND abs(b - 255) <= 40) AS keyed FROM pixels)"
 AB = C + ", a AS (SELECT strip_id, x, y, rgb FROM cells WHERE frame = 0), b AS (SELECT strip_id, x, y, rgb FROM cells WHERE frame = 1)"
-PAL = "(VALUES " + ",".join(f"({i},{i * 48 * 65536 + 60 * 256 + 30})" for i in range(6)) + ") p(ord, entry)"
-D2 = "(rgb // 65536 - entry // 65536) ** 2 + (rgb // 256 % 256 - entry // 256 % 256) ** 2 + (rgb % 256 - entry % 256) ** 2"
-NEAR = f", near AS (SELECT rgb, arg_min(entry, d * 100 + ord) AS entry, CAST(min(d) AS BIGINT) AS distance FROM (SELECT rgb, entry, ord, {D2} AS d FROM (SELECT DISTINCT rgb FROM cells) c, {PAL}) GROUP BY 1)"
 BOX = P + ", box AS (SELECT image_id, min(x) FILTER (NOT keyed) AS min_x, max(x) FILTER (NOT keyed) AS max_x, min(y) FILTER (NOT keyed) AS min_y, max(y) FILTER (NOT keyed) AS max_y, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_ FROM k GROUP BY 1)"
+_ROLES = ", ".join(f"({i}, 'role{i % 3}', {(5 - i) * 32 * 65536 + 60 * 256 + 30})" for i in range(6))
+_DIST = "((rgb >> 16) - (entry >> 16)) ** 2 + (((rgb >> 8) & 255) - ((entry >> 8) & 255)) ** 2 + ((rgb & 255) - (entry & 255)) ** 2"
 DELTAS = f"""WITH {T.CELLS}, mapped AS (SELECT strip_id, f AS frame, CASE WHEN strip_id % 3 = 0 THEN 1 - f ELSE f END AS base FROM strips, range(2) t(f) WHERE strip_id % 17 NOT IN (1, 2)),
 old AS (SELECT m.strip_id, m.frame, x, y, rgb AS p FROM mapped m JOIN cells c ON c.strip_id = m.strip_id AND c.frame = m.base * 2), new AS (SELECT c.strip_id, CAST(frame // 2 AS INT) AS frame, x, y, rgb AS q FROM cells c WHERE frame % 2 = 1 AND strip_id % 17 NOT IN (1, 2)),
 delta AS (SELECT strip_id AS ledger_id, row_number() OVER (PARTITION BY strip_id ORDER BY frame, y, x) - 1 AS place, CAST(frame AS INT) AS frame, x, y, CASE WHEN p IS NULL THEN '0,0,0,0' ELSE (p >> 16) || ',' || ((p >> 8) & 255) || ',' || (p & 255) || ',255' END AS p,
@@ -231,9 +241,16 @@ UNION ALL SELECT strip_id, frame, CASE WHEN frame = 2 THEN x + 3 ELSE x END, y,
     "grid_runs": C + " , f AS (SELECT DISTINCT strip_id, frame FROM cells), d AS (SELECT f.*, CAST(i AS INT) AS x, EXISTS (SELECT 1 FROM cells c WHERE c.strip_id = f.strip_id AND c.frame = f.frame AND c.x = i) AS full_ FROM f, range(8) t(i)), g AS (SELECT *, x - row_number() OVER (PARTITION BY strip_id, frame, full_ ORDER BY x) AS isl FROM d) SELECT strip_id, frame, full_ AS \"full\", min(x) AS first, max(x) AS last FROM g GROUP BY strip_id, frame, full_, isl",
     "grid_load": C + " SELECT f.strip_id, f.frame, CAST(i AS INT) AS x, count(c.x) AS load FROM frames f CROSS JOIN range(8) t(i) LEFT JOIN cells c ON c.strip_id = f.strip_id AND c.frame = f.frame AND c.x = i GROUP BY ALL",
     "grid_mask": C + " SELECT c.strip_id, c.frame, c.x, c.y, CAST(coalesce(sum(CASE WHEN n.y = c.y - 1 THEN 1 WHEN n.x = c.x + 1 THEN 2 WHEN n.y = c.y + 1 THEN 4 WHEN n.x = c.x - 1 THEN 8 END), 0) AS BIGINT) AS mask, CAST((c.x + 3 * c.y) % 3 AS INT) AS variant FROM cells c LEFT JOIN cells n ON n.strip_id = c.strip_id AND n.frame = c.frame AND abs(n.x - c.x) + abs(n.y - c.y) = 1 GROUP BY ALL",
-    "src_palette": C + " SELECT DISTINCT '#' || lpad(upper(to_hex(rgb)), 6, '0') AS hex, rgb, true AS valid FROM cells",
-    "join_nearest": C + NEAR + " SELECT rgb, entry, distance FROM near",
-    "join_quantize": C + NEAR + " SELECT strip_id, frame, x, y, entry AS rgb FROM cells JOIN near USING (rgb)",
+    "src_palette": C + """, h AS (SELECT DISTINCT strip_id, frame, '#' || lpad(upper(to_hex(rgb)), 6, '0') AS hex, rgb FROM cells), n AS (SELECT *, row_number() OVER (PARTITION BY strip_id, frame ORDER BY hex) AS i FROM h),
+b AS (SELECT strip_id, frame, CASE WHEN strip_id % 11 = 1 AND frame = 2 THEN NULL ELSE i END AS i, CASE WHEN strip_id % 11 = 1 AND frame = 2 THEN NULL WHEN strip_id % 11 = 2 AND frame = 1 AND i = 1 THEN lower(substr(hex, 2)) ELSE hex END AS hex, CASE WHEN (strip_id % 11 = 1 AND frame = 2) OR (strip_id % 11 = 2 AND frame = 1 AND i = 1) THEN NULL ELSE rgb END AS rgb,
+  CASE WHEN strip_id % 11 = 3 AND frame = 3 THEN 'role0' WHEN strip_id % 11 = 4 AND frame = 0 THEN '' ELSE 'role' || frame END AS role, CASE WHEN strip_id % 11 = 4 AND frame = 0 THEN 'missing_role' WHEN strip_id % 11 = 3 AND frame = 3 THEN 'duplicate_role' WHEN strip_id % 11 = 1 AND frame = 2 THEN 'no_colors' WHEN strip_id % 11 = 2 AND frame = 1 AND i = 1 THEN 'bad_color' END AS reason FROM n WHERE strip_id % 11 NOT IN (5, 6)),
+d AS (SELECT DISTINCT * FROM b)
+SELECT 'p' || strip_id AS palette_id, CAST(row_number() OVER (PARTITION BY strip_id ORDER BY frame, i) - 1 AS INT) AS ord, role, hex, rgb, reason, count(reason) OVER (PARTITION BY strip_id) = 0 AS usable FROM d
+UNION ALL SELECT CASE WHEN strip_id % 11 = 5 THEN 'p' || strip_id END, 0, NULL, NULL, NULL, CASE WHEN strip_id % 11 = 5 THEN 'no_role_groups' ELSE 'unreadable' END, false FROM strips WHERE strip_id % 11 IN (5, 6)""",
+    "join_nearest": C + f""", p AS (SELECT * FROM (VALUES {_ROLES}) p(ord, role, entry)) SELECT rgb, arg_min(entry, d * 10 + ord) AS entry, arg_min(role, d * 10 + ord) AS role, min(d) AS distance FROM (SELECT DISTINCT rgb, ord, role, entry, {_DIST} AS d FROM cells, p) GROUP BY 1""",
+    "join_quantize": C + f""", p AS (SELECT * FROM (VALUES {_ROLES}) p(ord, role, entry)), c AS (SELECT *, CASE WHEN (x + y * 3 + strip_id) % 13 = 0 THEN NULL WHEN (x + y) % 7 = 0 THEN 'role9' ELSE 'role' || (x + y) % 3 END AS role FROM cells),
+q AS (SELECT rgb, role, arg_min(entry, d * 1000000 + l) AS new FROM (SELECT DISTINCT cells.rgb, role, entry, {_DIST} AS d, 0.299 * (entry >> 16) + 0.587 * ((entry >> 8) & 255) + 0.114 * (entry & 255) AS l FROM cells, p) GROUP BY 1, 2)
+SELECT strip_id, frame, x, y, c.role, new AS rgb, CASE WHEN c.role IS NULL THEN 'missing_role' WHEN new IS NULL THEN 'unknown_role' END AS reason FROM c LEFT JOIN q ON q.rgb = c.rgb AND q.role = c.role""",
     "agg_min_delta": C + " , d AS (SELECT DISTINCT strip_id, rgb FROM cells), l AS (SELECT rgb, " + ", ".join(f"{e} AS {n}" for e, n in zip(_lab_sql("rgb"), ("l", "a", "b"), strict=True)) + " FROM (SELECT DISTINCT rgb FROM d)) SELECT a.strip_id, CAST(floor(min(sqrt(pow(p.l - q.l, 2) + pow(p.a - q.a, 2) + pow(p.b - q.b, 2))) * 1000 + 0.0005) AS BIGINT) AS least FROM d a JOIN d b ON a.strip_id = b.strip_id AND a.rgb < b.rgb JOIN l p ON p.rgb = a.rgb JOIN l q ON q.rgb = b.rgb GROUP BY 1",
     "join_celldiff": AB + " SELECT strip_id, count(*) FILTER (a.rgb IS DISTINCT FROM b.rgb) AS changed, count(*) AS \"union\" FROM a FULL JOIN b USING (strip_id, x, y) GROUP BY 1",
     "join_visible_delta": AB + " SELECT s.strip_id, count(b.rgb) FILTER (a.rgb <> b.rgb) AS n FROM strips s LEFT JOIN a ON a.strip_id = s.strip_id LEFT JOIN b ON b.strip_id = a.strip_id AND b.x = a.x AND b.y = a.y GROUP BY 1",

@@ -124,10 +124,6 @@ def fn_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "events").select("event_id", S.damage_bucket(F.col("value") / 300).alias("state"))
 
 
-
-
-
-
 def fn_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = spark.createDataFrame([(g, q, p) for g, (q, p) in gates.GATE_QUESTION.items()], "gate string, question string, panel string")
     names = list(gates.GATE_QUESTION) + ["dimension_parity"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.evidence import first_reason
@@ -31,13 +31,14 @@ def _struct(fields: str) -> str:
     return "struct<" + ", ".join(f.replace(" ", ": ", 1) for f in fields.split(", ")) + ">"
 
 
-def documents(spark: SparkSession, path: str, schema: str, known: Sequence[str], lines: bool = False, glob: str = "*") -> DataFrame:
+def documents(spark: SparkSession, path: str, schema: str, known: Sequence[str] | None, lines: bool = False, glob: str = "*") -> DataFrame:
     """The fields of schema for each document, its file's stem, a hash of its text as `document`, and a reason: unreadable,
-    missing_schema or unknown_schema."""
+    missing_schema or unknown_schema (documents without tags have known = None)."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", not lines).text(path)
     rows = text.select(F.regexp_extract("_metadata.file_path", "([^/]+?)(?:\\.[^./]+)?$", 1).alias("stem"), "value").filter(F.trim("value") != "")
     rows = rows.withColumn("d", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
-    reason = first_reason((F.col("_bad").isNotNull(), "unreadable"), (F.col("schema").isNull(), "missing_schema"), (~F.col("schema").isin(*known), "unknown_schema"))
+    tags = [] if known is None else [(F.col("schema").isNull(), "missing_schema"), (~F.col("schema").isin(*known), "unknown_schema")]
+    reason = first_reason((F.col("_bad").isNotNull(), "unreadable"), *tags)
     return rows.select("stem", F.xxhash64("value").alias("document"), "d.*").withColumn("reason", reason).drop("_bad")
 
 
@@ -157,6 +158,27 @@ def lock_specs(spark: SparkSession, path: str, known: Sequence[str]) -> tuple[Da
     return locks, marks, limits
 
 
+def master_palettes(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Palettes as entries in order: palette_id, ord (over the whole palette), role, hex, rgb and reason; usable tells
+    whether no entry of the palette has a reason.
+
+    Reasons: unreadable, no_role_groups, missing_role, duplicate_role (every row of the later group), no_colors and
+    bad_color (not # and six hexadecimal digits).
+    """
+    docs = _entries(documents(spark, path, "palette_id string, role_groups array<struct<id: string, colors: array<string>>>", None, lines), "role_groups", "role_groups")
+    groups = docs.select(F.coalesce("palette_id", "stem").alias("palette_id"), "document", "reason", F.col("role_groups.id").alias("_ids"), F.posexplode_outer("role_groups").alias("group", "g"))
+    role = F.col("g.id")
+    again = F.array_contains(F.slice("_ids", 1, F.col("group")), role)
+    rules = first_reason(((F.coalesce(role, F.lit("")) == "") & F.col("group").isNotNull(), "missing_role"), (F.coalesce(again, F.lit(False)), "duplicate_role"), (F.col("group").isNotNull() & (F.coalesce(F.size("g.colors"), F.lit(0)) < 1), "no_colors"))
+    rows = groups.withColumn("reason", F.coalesce("reason", rules)).select("palette_id", "document", "group", role.alias("role"), "reason", F.posexplode_outer("g.colors").alias("place", "hex"))
+    fine = F.coalesce(F.col("hex").rlike("^#[0-9A-Fa-f]{6}$"), F.lit(False))
+    rows = _checked(rows, (F.col("place").isNotNull() & ~fine, "bad_color")).withColumn("rgb", F.when(fine, F.conv(F.substring("hex", 2, 6), 16, 10).cast("int")))
+    # a palette is one document, of some hundred entries at most
+    own = Window.partitionBy("palette_id", "document")
+    rows = rows.withColumns({"ord": (F.row_number().over(own.orderBy("group", "place")) - 1).cast("int"), "usable": F.count("reason").over(own) == 0})
+    return rows.select("palette_id", "ord", "role", "hex", "rgb", "reason", "usable")
+
+
 def pack_entries(packs: DataFrame, keys: DataFrame) -> DataFrame:
     """Entries of asset packs with their place and a reason.
 
