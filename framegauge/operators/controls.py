@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_constant, canonical_json
 from ..functions.scalars import alpha_budget, canonical
 from .evidence import contract, first_reason
 from .gates import isolation
@@ -159,3 +160,25 @@ def coherence_strict(cells: DataFrame, frames: DataFrame, most: float = 0.28) ->
         every = every & F.col(c)
     return out.withColumn("pass", every)
 
+
+
+def config_digests(profiles: DataFrame, promotions: DataFrame, measurements: DataFrame, policy: dict) -> DataFrame:
+    """config_id, digest (16 digits) and reason of each gate configuration: its profiles, what its ACTIVE promotions rest
+    on, and the numeric policy, as canonical JSON.
+
+    profiles: config_id, motion_class, gate, status, budget, hard_fail, active_promotion; promotions: config_id, id,
+    specification_id, attempt_id, measurement_path, status; measurements: path, raw_sha256. An active promotion without
+    its measurement is missing_measurement, and a class with a gate twice duplicate_gate; both have no digest.
+    """
+    gates = profiles.select("config_id", "motion_class", "gate", F.struct("status", "budget", "hard_fail", "active_promotion").alias("p"))
+    twice = gates.groupBy("config_id", "motion_class", "gate").agg(F.count("*").alias("n"), F.min("p").alias("p"))
+    classes = twice.groupBy("config_id", "motion_class").agg(F.map_from_entries(F.collect_list(F.struct("gate", "p"))).alias("gates"), F.max("n").alias("n"))
+    configs = classes.groupBy("config_id").agg(F.map_from_entries(F.collect_list(F.struct("motion_class", "gates"))).alias("acceptance_profiles"), F.max("n").alias("n"))
+    active = promotions.filter("status = 'ACTIVE'").join(measurements.select(F.col("path").alias("measurement_path"), F.col("raw_sha256").alias("measurement_raw_sha256"), F.lit(True).alias("there")), "measurement_path", "left")
+    rows = F.array_sort(F.collect_list(F.struct("id", "specification_id", "attempt_id", "measurement_raw_sha256")))
+    active = active.groupBy("config_id").agg(rows.alias("active_promotions"), F.bool_or(F.col("there").isNull()).alias("missing"))
+    both = configs.join(active, "config_id", "left").withColumn("active_promotions", F.coalesce("active_promotions", F.expr("cast(array() as array<struct<id:string,specification_id:string,attempt_id:string,measurement_raw_sha256:string>>)")))
+    part = lambda c: canonical_json(F.col(c), both.schema[c].dataType)
+    text = F.concat(F.lit('{"acceptance_profiles":'), part("acceptance_profiles"), F.lit(',"active_promotions":'), part("active_promotions"), F.lit(',"numeric_policy":'), canonical_constant(policy), F.lit("}"))
+    reason = F.when(F.col("n") > 1, "duplicate_gate").when(F.col("missing"), "missing_measurement")
+    return both.select("config_id", F.when(reason.isNull(), F.substring(F.sha2(text, 256), 1, 16)).alias("digest"), reason.alias("reason"))

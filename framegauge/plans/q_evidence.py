@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
-from ..operators import graph, grid, pairs
+from ..operators import controls, graph, grid, pairs
 from ..sources import testdata as T
 
 
@@ -91,10 +91,17 @@ def join_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.contract(*contract_tables(spark, sf_dir))
 
 
+POLICY = {"rounding": "ceiling", "places": 4, "epsilon": 0, "comparison": "metric <= budget"}
+
+
 def fn_config_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """16 digits over the sorted brands of each type."""
-    p = _t(spark, sf_dir, "part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("b"))
-    return p.select("p_type", F.substring(F.sha2("b", 256), 1, 16).alias("digest"))
+    """Part types as configurations: brands as classes, parts as gates and as promotions with their measurements."""
+    p, k = _t(spark, sf_dir, "part").withColumnRenamed("p_type", "config_id"), F.col("p_partkey")
+    profiles = p.select("config_id", F.col("p_brand").alias("motion_class"), F.concat(F.lit("gé"), k).alias("gate"), F.when(k % 3 == 0, "UNSEPARATED").otherwise("SEPARATED").alias("status"),
+                        F.when(k % 5 != 0, k * 37 % 64 / 64).alias("budget"), F.when(k % 3 != 0, k * 11 % 32 / 16 + 0.0005).alias("hard_fail"), F.when(k % 2 == 0, F.concat(F.lit("p"), k)).alias("active_promotion"))
+    promotions = p.select("config_id", F.concat(F.lit("p"), k).alias("id"), F.concat(F.lit('s"'), k).alias("specification_id"), F.concat(F.lit("a\\"), k).alias("attempt_id"), F.concat(F.lit("m"), k).alias("measurement_path"), F.when(k % 2 == 0, "ACTIVE").otherwise("INVALIDATED").alias("status"))
+    measurements = p.filter("p_partkey % 1000 <> 998").select(F.concat(F.lit("m"), k).alias("path"), F.sha2(k.cast("string"), 256).alias("raw_sha256"))
+    return controls.config_digests(profiles, promotions, measurements, POLICY)
 
 
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +151,11 @@ SELECT 'a' || o_orderkey AS attempt_id, CASE WHEN o_orderkey % 17 = 3 THEN 'not_
     "join_projection_eq": "SELECT p_partkey, f AS field FROM part, (VALUES ('p_brand'), ('p_size')) v(f) WHERE p_partkey % 31 = 4 OR (p_partkey % 9 = 0 AND f = 'p_size')",
     "join_divergence": "SELECT o_orderkey, o_orderstatus AS first, 'P' AS second FROM orders WHERE o_orderkey % 19 = 0 AND o_orderstatus <> 'P'",
     "join_contract": "SELECT o_orderkey AS id, state FROM (SELECT o_orderkey, CASE WHEN n IS NULL THEN 'pending' WHEN o_orderstatus = 'O' AND len(t) = 0 THEN 'agrees' WHEN o_orderstatus = 'F' AND (list_contains(t, 'A') OR list_contains(t, 'N')) THEN 'agrees' WHEN o_orderstatus = 'P' AND list_contains(t, 'R') AND (list_contains(t, 'A') OR list_contains(t, 'N')) THEN 'agrees' ELSE 'regression' END AS state FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, coalesce(list(DISTINCT l_returnflag) FILTER (l_tax > 0.07), []) AS t FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1) ON l_orderkey = o_orderkey)",
-    "fn_config_digest": "SELECT p_type, substr(sha256(string_agg(p_brand, ',' ORDER BY p_brand)), 1, 16) AS digest FROM (SELECT DISTINCT p_type, p_brand FROM part) GROUP BY 1",
+    "fn_config_digest": r"""WITH g AS (SELECT p_type, p_brand, p_partkey AS k, '"g\u00e9' || p_partkey || '":{"active_promotion":' || CASE WHEN p_partkey % 2 = 0 THEN '"p' || p_partkey || '"' ELSE 'null' END || ',"budget":' || CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey * 37 % 64 / 64.0::DOUBLE AS VARCHAR) ELSE 'null' END
+  || ',"hard_fail":' || CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_partkey * 11 % 32 / 16.0::DOUBLE + 0.0005::DOUBLE AS VARCHAR) ELSE 'null' END || ',"status":"' || CASE WHEN p_partkey % 3 = 0 THEN 'UNSEPARATED' ELSE 'SEPARATED' END || '"}' AS t FROM part),
+c AS (SELECT p_type, p_brand, '"' || p_brand || '":{' || string_agg(t, ',' ORDER BY 'gé' || k) || '}' AS t FROM g GROUP BY p_type, p_brand), a AS (SELECT p_type, '{' || string_agg(t, ',' ORDER BY p_brand) || '}' AS t FROM c GROUP BY 1),
+p AS (SELECT p_type, string_agg('{"attempt_id":"a\\' || p_partkey || '","id":"p' || p_partkey || '","measurement_raw_sha256":"' || sha256(CAST(p_partkey AS VARCHAR)) || '","specification_id":"s\"' || p_partkey || '"}', ',' ORDER BY 'p' || p_partkey) FILTER (p_partkey % 2 = 0) AS t, bool_or(p_partkey % 1000 = 998) AS missing FROM part GROUP BY 1)
+SELECT p_type AS config_id, CASE WHEN NOT missing THEN substr(sha256('{"acceptance_profiles":' || a.t || ',"active_promotions":[' || coalesce(p.t, '') || '],"numeric_policy":{"comparison":"metric <= budget","epsilon":0,"places":4,"rounding":"ceiling"}}'), 1, 16) END AS digest, CASE WHEN missing THEN 'missing_measurement' END AS reason FROM a JOIN p USING (p_type)""",
     "agg_quorum": "SELECT id, CASE WHEN reason IS NULL THEN 'ACTIVE' ELSE 'INVALIDATED' END AS status, reason FROM (SELECT event_id % 3000 AS id, CASE WHEN count(DISTINCT user_id % 3) < 2 THEN 'too_few_reviewers' WHEN count(DISTINCT event_id % 29 = 0) > 1 THEN 'packet_mismatch' WHEN bool_or(event_type = 'error') THEN 'not_approved' END AS reason FROM events GROUP BY 1)",
     "agg_polish_quorum": "SELECT id, needed, missing, open, CASE WHEN missing > 0 THEN 'INCOMPLETE' WHEN reviewers < needed THEN 'WAITING' WHEN open > 0 THEN 'UNRESOLVED' ELSE 'PASS' END AS status FROM (SELECT event_id % 2000 AS id, CASE WHEN count(*) FILTER (value > 150) > 0 THEN 2 ELSE 1 END AS needed, CAST(2 - count(DISTINCT event_type) FILTER (event_type IN ('click','view')) AS INT) AS missing, count(*) FILTER (value > 150) AS open, count(DISTINCT user_id % 4) AS reviewers FROM events GROUP BY 1)",
     "agg_worst_good": "SELECT l_returnflag, l_linestatus, max(l_discount) AS worst, min(l_orderkey * 10 + l_linenumber) FILTER (l_discount = top) AS binding, min(l_discount) AS floor FROM (SELECT *, max(l_discount) OVER (PARTITION BY l_returnflag, l_linestatus) AS top FROM lineitem) GROUP BY 1, 2",
