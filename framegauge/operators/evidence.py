@@ -50,16 +50,6 @@ def escapes(path: Column) -> Column:
     return path.startswith("/") | path.rlike("(^|[/\\\\])\\.\\.([/\\\\]|$)")
 
 
-def linked(rows: DataFrame, links: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """rows with `reason`: the first of the links (column, table, its key, code) that leads nowhere."""
-    flags = []
-    for i, (column, target, key, code) in enumerate(links):
-        there = target.select(F.col(key).alias(f"_k{i}"), F.lit(True).alias(f"_f{i}")).distinct()
-        rows = rows.join(there, F.col(column) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
-        flags.append((F.col(f"_f{i}").isNull(), code))
-    return rows.withColumn("reason", first_reason(*flags)).drop(*(f"_f{i}" for i in range(len(flags))))
-
-
 def quorum(reviews: DataFrame, needed: int = 2) -> DataFrame:
     """reviews(id, reviewer, packet, verdict): ACTIVE with enough distinct reviewers on one packet who all approve."""
     rows = reviews.groupBy("id").agg(F.count_distinct("reviewer").alias("reviewers"), F.count_distinct("packet").alias("packets"), F.bool_and(F.col("verdict") == "APPROVE").alias("agree"))
@@ -104,17 +94,6 @@ def worst_good(metrics: DataFrame, keys: Sequence[str], value: str, ident: str)
     return rows.select(*keys, (-F.col("w.m")).alias("worst"), F.col("w.id").alias("binding"), "floor")
 
 
-def last_with_digest(attempts: DataFrame, digest: str, order: str) -> DataFrame:
-    """Attempts with `registered`: whether a row is the last one with its digest."""
-    return attempts.withColumn("registered", F.col(order) == F.max(order).over(Window.partitionBy(digest)))
-
-
-def same_frames(stored: DataFrame, derived: DataFrame) -> DataFrame:
-    """Rows of either side that the other lacks, with the side they are on; none if a draft is reproduced."""
-    a, b = stored.exceptAll(derived), derived.exceptAll(stored)
-    return a.withColumn("side", F.lit("stored")).unionByName(b.withColumn("side", F.lit("derived")))
-
-
 def self_digest(record: Column) -> Column:
     """SHA-256 of a record's JSON without its own digest, nulls kept; fields must stand in order of their names."""
     return F.sha2(F.to_json(record, {"ignoreNullFields": "false"}), 256)

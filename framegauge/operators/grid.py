@@ -57,8 +57,8 @@ def sample_cells(pixels: DataFrame, pitch: int, phase: int, margin: float = 0.3)
 def slice_frames(cells: DataFrame, frame_w: int, gutter: int = 0, margin: int = 0) -> DataFrame:
     """Frame number and inner x of cells of a sheet; cells in margins and gutters go."""
     stride = frame_w + gutter
-    inner = F.col("x") - margin
-    return cells.withColumns({"frame": F.expr(f"cast((x - {margin}) div {stride} as int)"), "x": (inner % stride).cast("int")}).filter((inner >= 0) & (F.col("x") < frame_w))
+    inner = cells.filter(F.col("x") >= margin).withColumn("x", F.col("x") - margin)
+    return inner.withColumns({"frame": F.expr(f"cast(x div {stride} as int)"), "x": (F.col("x") % stride).cast("int")}).filter(F.col("x") < frame_w)
 
 
 def canonicalise(cells: DataFrame, w: int, h: int, source_h: int) -> DataFrame:

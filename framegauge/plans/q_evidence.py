@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
-from ..operators import controls, graph, grid, pairs
+from ..operators import controls, deltas, graph, replay
 from ..sources import testdata as T
+from ..sources.shared import cut
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +62,30 @@ def join_registered_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_bundle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored frames, of which a colour was changed in every 50th strip, against those derived anew."""
-    c = T.cells(spark, sf_dir)
-    stored = c.withColumn("rgb", F.when((F.col("strip_id") % 50 == 7) & (F.col("x") == 3), F.col("rgb") + 1).otherwise(F.col("rgb")))
-    return E.same_frames(stored, c).groupBy("strip_id", "frame", "side").agg(F.count("*").alias("n"))
+    """Even strips as provider bundles (a sheet of four frames, cut to six columns and five rows), odd ones as cell-authored
+    ones (frames 0 and 2 as bases of 1 and 3); some drafts and ledgers were tampered with."""
+    c = T.cells(spark, sf_dir).withColumnRenamed("strip_id", "bundle_id")
+    bundles = T.strips(spark, sf_dir).select(F.col("strip_id").alias("bundle_id"), "motion_class", (F.col("strip_id") % 2 == 1).alias("cell_authored"))
+    even, odd = c.filter("bundle_id % 2 = 0"), c.filter("bundle_id % 2 = 1")
+    sheets = even.select("bundle_id", (F.col("frame") * 9 + F.col("x") + 1).alias("x"), "y", "rgb")
+    origins = bundles.join(F.broadcast(T.classes(spark).select("motion_class", "origin_x", "origin_y")), "motion_class").select("bundle_id", "origin_x", "origin_y")
+    derived = replay.provider_drafts(sheets, origins, 8, 1, 1, 6, 5, 8)
+    # what was stored, by a formula of its own
+    low = even.groupBy("bundle_id", "frame").agg(F.max("y").alias("low"))
+    stored = even.join(low, ["bundle_id", "frame"]).join(origins, "bundle_id").selectExpr("bundle_id", "frame", "x + origin_x as x", "y - least(greatest(low - 4, 0), 3) as y", "if(bundle_id % 10 = 2 and frame = 2, rgb + 1, rgb) as rgb", "x as inner").filter("inner < 6 and y between 0 and 4 and not (bundle_id % 10 = 4 and frame = 3)").drop("inner")
+    half = F.expr("cast(frame div 2 as int)")
+    own = odd.withColumnRenamed("bundle_id", "ledger_id")
+    base_cells, targets = (own.filter(F.col("frame") % 2 == k).withColumn(n, half).select("ledger_id", n, "x", "y", "rgb") for k, n in ((0, "base"), (1, "frame")))
+    sizes = T.frames(spark, sf_dir).filter("strip_id % 2 = 1").withColumnRenamed("strip_id", "ledger_id")
+    bases, dims = (sizes.filter(F.col("frame") % 2 == k).withColumn(n, half).select("ledger_id", n, "w", "h") for k, n in ((0, "base"), (1, "frame")))
+    ledgers = sizes.select("ledger_id").distinct().withColumn("mapping", F.expr("array(0, 1)"))
+    changed, _ = deltas.build_ledgers(ledgers, bases, base_cells, dims, targets)
+    changed = changed.withColumn("after", F.when((F.col("ledger_id") % 10 == 5) & (F.col("place") == 2), F.col("before")).otherwise(F.col("after")))
+    changed = cut(changed, "deltas")
+    digests = deltas.frame_digests(bases, base_cells, "base").groupBy("ledger_id").agg(F.array_sort(F.collect_list(F.struct("base", "sha256")))["sha256"].alias("digests"))
+    ledgers = cut(ledgers.join(digests, "ledger_id").withColumns({"schema": F.lit(deltas.SCHEMA), "target_count": F.lit(2)}), "ledgers")
+    drafts = targets.withColumnRenamed("ledger_id", "bundle_id").withColumn("rgb", F.expr("if(bundle_id % 10 = 3 and frame = 1, rgb + 1, rgb)"))
+    return replay.check_drafts(bundles.select("bundle_id", "cell_authored"), stored.unionByName(drafts), derived, ledgers, bases, base_cells, changed)
 
 
 def join_projection_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +168,11 @@ SELECT kind, id, split_part(why, ' ', 1) AS hop, split_part(why, ' ', 2) AS reas
     "join_registered_attempt": """WITH o AS (SELECT *, sha256(CAST(o_custkey AS VARCHAR)) AS sha, CASE WHEN o_orderkey % 9 = 4 THEN 'edit' ELSE 'new' END AS mode FROM orders), l AS (SELECT sha, max(o_orderkey) AS last FROM o WHERE o_orderkey % 17 <> 3 GROUP BY 1)
 SELECT 'a' || o_orderkey AS attempt_id, CASE WHEN o_orderkey % 17 = 3 THEN 'not_in_store' WHEN o_orderkey % 19 = 5 THEN 'digest_differs' WHEN o_orderstatus = 'F' THEN 'rejected' WHEN o_orderkey % 23 = 7 THEN 'no_provenance' WHEN o_orderkey % 7 = 2 AND mode <> 'new' THEN 'generation_mode_differs' WHEN o_orderkey % 29 = 8 THEN 'motion_class_differs'
   WHEN o_orderkey % 31 = 9 THEN 'prompt_sha256_differs' WHEN last <> o_orderkey THEN 'not_the_last' END AS reason FROM o LEFT JOIN l USING (sha)""",
-    "join_bundle_replay": C + " SELECT strip_id, frame, side, count(*) AS n FROM cells, (VALUES ('stored'), ('derived')) v(side) WHERE strip_id % 50 = 7 AND x = 3 GROUP BY ALL",
+    "join_bundle_replay": C + """, low AS (SELECT strip_id, frame, max(y) AS low FROM cells GROUP BY ALL), kept AS (SELECT c.strip_id, c.frame, x + CASE WHEN motion_class = 'swing' THEN 1 ELSE 0 END AS x, y - least(greatest(low - 4, 0), 3) AS y, x AS inn FROM cells c JOIN low USING (strip_id, frame) JOIN strips USING (strip_id)),
+d AS (SELECT strip_id, min({'frame': frame, 'y': y, 'x': x}) AS m FROM kept WHERE inn < 6 AND y BETWEEN 0 AND 4 AND ((strip_id % 10 = 2 AND frame = 2) OR (strip_id % 10 = 4 AND frame = 3)) GROUP BY 1),
+t AS (SELECT strip_id, min({'frame': 1, 'y': y, 'x': x}) AS m FROM cells WHERE strip_id % 10 = 3 AND frame = 3 GROUP BY 1),
+n AS (SELECT strip_id, CAST(frame AS INT) AS frame, x, y, row_number() OVER (PARTITION BY strip_id ORDER BY frame, y, x) - 1 AS place FROM (SELECT strip_id, frame // 2 AS frame, x, y, rgb AS p FROM cells WHERE frame % 2 = 0) o FULL JOIN (SELECT strip_id, frame // 2 AS frame, x, y, rgb AS q FROM cells WHERE frame % 2 = 1) w USING (strip_id, frame, x, y) WHERE strip_id % 10 = 5 AND p IS DISTINCT FROM q)
+SELECT strip_id AS bundle_id, CASE WHEN d.m IS NOT NULL THEN 'draft_reproduction_mismatch' WHEN t.m IS NOT NULL THEN 'cell_delta_replay_mismatch' WHEN n.place IS NOT NULL THEN 'invalid_cell_delta_ledger_noop' END AS reason, coalesce(d.m.frame, t.m.frame, n.frame) AS frame, coalesce(d.m.x, t.m.x, n.x) AS x, coalesce(d.m.y, t.m.y, n.y) AS y FROM strips LEFT JOIN d USING (strip_id) LEFT JOIN t USING (strip_id) LEFT JOIN (SELECT * FROM n WHERE place = 2) n USING (strip_id)""",
     "join_projection_eq": "SELECT p_partkey, f AS field FROM part, (VALUES ('p_brand'), ('p_size')) v(f) WHERE p_partkey % 31 = 4 OR (p_partkey % 9 = 0 AND f = 'p_size')",
     "join_divergence": "SELECT o_orderkey, o_orderstatus AS first, 'P' AS second FROM orders WHERE o_orderkey % 19 = 0 AND o_orderstatus <> 'P'",
     "join_contract": "SELECT o_orderkey AS id, state FROM (SELECT o_orderkey, CASE WHEN n IS NULL THEN 'pending' WHEN o_orderstatus = 'O' AND len(t) = 0 THEN 'agrees' WHEN o_orderstatus = 'F' AND (list_contains(t, 'A') OR list_contains(t, 'N')) THEN 'agrees' WHEN o_orderstatus = 'P' AND list_contains(t, 'R') AND (list_contains(t, 'A') OR list_contains(t, 'N')) THEN 'agrees' ELSE 'regression' END AS state FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, coalesce(list(DISTINCT l_returnflag) FILTER (l_tax > 0.07), []) AS t FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1) ON l_orderkey = o_orderkey)",
