@@ -84,7 +84,8 @@ def projection_mismatches(a: DataFrame, b: DataFrame, keys: Sequence[str], field
     """keys and the names of the fields in which two projections differ (all of them where one side is missing)."""
     left, right = a.select(*keys, F.struct(*fields).alias("_a")), b.select(*keys, F.struct(*fields).alias("_b"))
     rows = left.join(right, list(keys), "full_outer")
-    bad = F.filter(F.array(*(F.when(~F.col(f"_a.{f}").eqNullSafe(F.col(f"_b.{f}")), F.lit(f)) for f in fields)), lambda x: x.isNotNull())
+    alone = F.col("_a").isNull() | F.col("_b").isNull()
+    bad = F.filter(F.array(*(F.when(alone | ~F.col(f"_a.{f}").eqNullSafe(F.col(f"_b.{f}")), F.lit(f)) for f in fields)), lambda x: x.isNotNull())
     return rows.select(*keys, F.explode(bad).alias("field"))
 
 

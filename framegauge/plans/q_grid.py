@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import deltas, grid, identity
@@ -125,10 +125,19 @@ def agg_min_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return least.select("strip_id", F.floor(F.col("least") * 1000 + 0.0005).cast("long").alias("least"))
 
 
+def _pair() -> Column:
+    """Frames 2k and 2k + 1 of a strip are a draft and its polished form: one pair."""
+    return F.expr("strip_id * 2 + cast(frame div 2 as int)")
+
+
 def _draft_polished(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Frame 1 over frame 0 of each strip, as a draft and its polished form."""
-    c = T.cells(spark, sf_dir)
-    return c.filter("frame = 0").drop("frame"), c.filter("frame = 1").drop("frame")
+    """Cells of all drafts and of all polished frames, by pair (as strip_id)."""
+    c = T.cells(spark, sf_dir).select(_pair().alias("strip_id"), F.col("frame") % 2 == 1, "x", "y", "rgb").toDF("strip_id", "late", "x", "y", "rgb")
+    return c.filter("not late").drop("late"), c.filter("late").drop("late")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.frames(spark, sf_dir).select(_pair().alias("strip_id")).distinct()
 
 
 def join_celldiff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +149,7 @@ def join_celldiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_visible_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _draft_polished(spark, sf_dir)
     n = a.join(b.withColumnRenamed("rgb", "q"), ["strip_id", "x", "y"]).filter("rgb <> q").groupBy("strip_id").agg(F.count("*").alias("n"))
-    return T.strips(spark, sf_dir).select("strip_id").join(n, "strip_id", "left").select("strip_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return _pairs(spark, sf_dir).join(n, "strip_id", "left").select("strip_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
@@ -186,7 +195,7 @@ def join_ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_palette_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occupancy first, then colours: polished cells must be where the draft's are and of the strip's first-frame colours."""
+    """Occupancy first, then colours: polished cells must be where the draft's are and of the draft's colours."""
     a, b = _draft_polished(spark, sf_dir)
     both = a.select("strip_id", "x", "y", F.lit(1).alias("p")).join(b, ["strip_id", "x", "y"], "full_outer")
     bad = both.join(a.select("strip_id", "rgb").distinct().withColumn("ok", F.lit(1)), ["strip_id", "rgb"], "left")
@@ -195,10 +204,10 @@ def join_palette_member(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_landmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest frame-1 cell of a high red level within two cells of (3, 3)."""
+    """Nearest polished cell of a high red level within two cells of (3, 3)."""
     _, b = _draft_polished(spark, sf_dir)
     found = identity.landmark(b.filter("rgb div 65536 >= 128"), 3, 3, 2)
-    return T.strips(spark, sf_dir).select("strip_id").join(found, "strip_id", "left").select("strip_id", "x", "y", "distance", F.when(F.col("distance").isNull(), "FAIL").otherwise("PASS").alias("result"))
+    return _pairs(spark, sf_dir).join(found, "strip_id", "left").select("strip_id", "x", "y", "distance", F.when(F.col("distance").isNull(), "FAIL").otherwise("PASS").alias("result"))
 
 
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +223,7 @@ def agg_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 C, P = f"WITH {T.CELLS}", f"WITH {T.PIXELS}, k AS (SELECT *, a < 128 OR (abs(r - 255) <= 40 AND abs(g) <= 40 AND abs(b - 255) <= 40) AS keyed FROM pixels)"
-AB = C + ", a AS (SELECT strip_id, x, y, rgb FROM cells WHERE frame = 0), b AS (SELECT strip_id, x, y, rgb FROM cells WHERE frame = 1)"
+AB = C + ", a AS (SELECT strip_id * 2 + frame // 2 AS strip_id, x, y, rgb FROM cells WHERE frame % 2 = 0), b AS (SELECT strip_id * 2 + frame // 2 AS strip_id, x, y, rgb FROM cells WHERE frame % 2 = 1), prs AS (SELECT DISTINCT strip_id * 2 + frame // 2 AS strip_id FROM frames)"
 BOX = P + ", box AS (SELECT image_id, min(x) FILTER (NOT keyed) AS min_x, max(x) FILTER (NOT keyed) AS max_x, min(y) FILTER (NOT keyed) AS min_y, max(y) FILTER (NOT keyed) AS max_y, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_ FROM k GROUP BY 1)"
 _ROLES = ", ".join(f"({i}, 'role{i % 3}', {(5 - i) * 32 * 65536 + 60 * 256 + 30})" for i in range(6))
 _DIST = "((rgb >> 16) - (entry >> 16)) ** 2 + (((rgb >> 8) & 255) - ((entry >> 8) & 255)) ** 2 + ((rgb & 255) - (entry & 255)) ** 2"
@@ -253,7 +262,7 @@ q AS (SELECT rgb, role, arg_min(entry, d * 1000000 + l) AS new FROM (SELECT DIST
 SELECT strip_id, frame, x, y, c.role, new AS rgb, CASE WHEN c.role IS NULL THEN 'missing_role' WHEN new IS NULL THEN 'unknown_role' END AS reason FROM c LEFT JOIN q ON q.rgb = c.rgb AND q.role = c.role""",
     "agg_min_delta": C + " , d AS (SELECT DISTINCT strip_id, rgb FROM cells), l AS (SELECT rgb, " + ", ".join(f"{e} AS {n}" for e, n in zip(_lab_sql("rgb"), ("l", "a", "b"), strict=True)) + " FROM (SELECT DISTINCT rgb FROM d)) SELECT a.strip_id, CAST(floor(min(sqrt(pow(p.l - q.l, 2) + pow(p.a - q.a, 2) + pow(p.b - q.b, 2))) * 1000 + 0.0005) AS BIGINT) AS least FROM d a JOIN d b ON a.strip_id = b.strip_id AND a.rgb < b.rgb JOIN l p ON p.rgb = a.rgb JOIN l q ON q.rgb = b.rgb GROUP BY 1",
     "join_celldiff": AB + " SELECT strip_id, count(*) FILTER (a.rgb IS DISTINCT FROM b.rgb) AS changed, count(*) AS \"union\" FROM a FULL JOIN b USING (strip_id, x, y) GROUP BY 1",
-    "join_visible_delta": AB + " SELECT s.strip_id, count(b.rgb) FILTER (a.rgb <> b.rgb) AS n FROM strips s LEFT JOIN a ON a.strip_id = s.strip_id LEFT JOIN b ON b.strip_id = a.strip_id AND b.x = a.x AND b.y = a.y GROUP BY 1",
+    "join_visible_delta": AB + " SELECT s.strip_id, count(b.rgb) FILTER (a.rgb <> b.rgb) AS n FROM prs s LEFT JOIN a ON a.strip_id = s.strip_id LEFT JOIN b ON b.strip_id = a.strip_id AND b.x = a.x AND b.y = a.y GROUP BY 1",
     "join_ledger_build": DELTAS + """SELECT ledger_id, place, frame, x, y, p AS before, q AS after, NULL AS reason FROM delta UNION ALL SELECT strip_id, NULL, NULL, NULL, NULL, NULL, NULL, CASE strip_id % 17 WHEN 1 THEN 'invalid_cell_delta_ledger_target_count' ELSE 'invalid_cell_delta_ledger_mapping' END FROM strips WHERE strip_id % 17 IN (1, 2)""",
     "join_ledger_replay": AB + " , w AS (SELECT strip_id, x, y FROM a FULL JOIN b USING (strip_id, x, y) WHERE a.rgb IS DISTINCT FROM b.rgb AND (strip_id + x * 3 + y) % 9 = 0) SELECT strip_id, CAST(min(y * 8 + x) // 8 AS INT) AS y, CAST(min(y * 8 + x) % 8 AS INT) AS x, count(*) AS n FROM w GROUP BY 1",
     "join_ledger_check": DELTAS + """, o AS (SELECT ledger_id, min(place) FILTER (place = 0) AS z, arg_min(frame, place) FILTER (place = 0) AS f0, arg_min(x, place) FILTER (place = 0) AS x0, arg_min(y, place) FILTER (place = 0) AS y0, arg_min(frame, place) FILTER (place = 1) AS f1, arg_min(x, place) FILTER (place = 1) AS x1, arg_min(y, place) FILTER (place = 1) AS y1 FROM delta GROUP BY 1)
@@ -262,8 +271,8 @@ SELECT strip_id AS ledger_id, CASE WHEN k = 8 THEN 'invalid_cell_delta_ledger_sc
   CASE WHEN s IN (1, 2) THEN NULL WHEN k IN (1, 3, 5, 7) THEN 1 WHEN k = 2 THEN 10000 WHEN k IN (4, 6) THEN 0 END AS place, CASE WHEN s IN (1, 2) THEN NULL WHEN k IN (1, 2, 4, 6) THEN f0 WHEN k IN (5, 7) THEN f1 WHEN k = 3 THEN 9 END AS frame,
   CASE WHEN s IN (1, 2) THEN NULL WHEN k IN (1, 2, 6) THEN x0 WHEN k IN (3, 5, 7) THEN x1 WHEN k = 4 THEN 8 END AS x, CASE WHEN s IN (1, 2) THEN NULL WHEN k IN (1, 2, 4, 6) THEN y0 WHEN k IN (3, 5, 7) THEN y1 END AS y
 FROM (SELECT strip_id, strip_id % 13 AS k, strip_id % 17 AS s FROM strips) LEFT JOIN o ON ledger_id = strip_id""",
-    "join_palette_member": AB + " , f AS (SELECT strip_id, count(*) FILTER (a.rgb IS NULL OR b.rgb IS NULL) AS al, count(*) FILTER (b.rgb IS NOT NULL AND b.rgb NOT IN (SELECT rgb FROM a q WHERE q.strip_id = strip_id)) AS co FROM a FULL JOIN b USING (strip_id, x, y) GROUP BY 1) SELECT strip_id, CASE WHEN al > 0 THEN 'alpha_mismatch' WHEN co > 0 THEN 'palette_violation' END AS reason FROM f",
-    "join_landmark": AB + " , l AS (SELECT strip_id, x, y, greatest(abs(x - 3), abs(y - 3)) AS d, row_number() OVER (PARTITION BY strip_id ORDER BY greatest(abs(x - 3), abs(y - 3)), y, x) AS rn FROM b WHERE rgb // 65536 >= 128 AND greatest(abs(x - 3), abs(y - 3)) <= 2) SELECT s.strip_id, x, y, d AS distance, CASE WHEN d IS NULL THEN 'FAIL' ELSE 'PASS' END AS result FROM strips s LEFT JOIN l ON l.strip_id = s.strip_id AND rn = 1",
+    "join_palette_member": AB + " , f AS (SELECT strip_id, count(*) FILTER (a.rgb IS NULL OR b.rgb IS NULL) AS al, count(*) FILTER (b.rgb IS NOT NULL AND b.rgb NOT IN (SELECT q.rgb FROM a q WHERE q.strip_id = b.strip_id)) AS co FROM a FULL JOIN b USING (strip_id, x, y) GROUP BY 1) SELECT strip_id, CASE WHEN al > 0 THEN 'alpha_mismatch' WHEN co > 0 THEN 'palette_violation' END AS reason FROM f",
+    "join_landmark": AB + " , l AS (SELECT strip_id, x, y, greatest(abs(x - 3), abs(y - 3)) AS d, row_number() OVER (PARTITION BY strip_id ORDER BY greatest(abs(x - 3), abs(y - 3)), y, x) AS rn FROM b WHERE rgb // 65536 >= 128 AND greatest(abs(x - 3), abs(y - 3)) <= 2) SELECT s.strip_id, x, y, d AS distance, CASE WHEN d IS NULL THEN 'FAIL' ELSE 'PASS' END AS result FROM prs s LEFT JOIN l ON l.strip_id = s.strip_id AND rn = 1",
     "grid_components": C.replace("WITH ", "WITH RECURSIVE ", 1) + " , f AS (SELECT strip_id, frame, x, y, CAST(y * 1048576 + x AS BIGINT) AS id FROM cells), r AS (SELECT strip_id, frame, x, y, id FROM f UNION SELECT f.strip_id, f.frame, f.x, f.y, r.id FROM r JOIN f ON f.strip_id = r.strip_id AND f.frame = r.frame AND abs(f.x - r.x) + abs(f.y - r.y) = 1) SELECT strip_id, frame, x, y, min(id) AS component FROM r GROUP BY ALL",
     "agg_fingerprint": C + " , t AS (SELECT strip_id, frame, sha256(string_agg(y || '/' || x || '/' || rgb, ',' ORDER BY y, x, rgb)) AS h FROM cells GROUP BY ALL) SELECT strip_id, sha256(string_agg(h, ':' ORDER BY frame)) AS fingerprint FROM t GROUP BY 1",
 }
