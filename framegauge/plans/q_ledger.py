@@ -107,11 +107,11 @@ def sort_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_palette_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours of a strip's first two frames and those of the common palette (every fourth red level)."""
+    """Colours of a strip and those of the common palette (every fourth red level)."""
     cells = T.cells(spark, sf_dir)
     common = cells.select("rgb").distinct().filter("rgb div 65536 % 64 = 0")
     strips = cells.select("strip_id").distinct()
-    return cells.filter("frame < 2").select("strip_id", "rgb").union(strips.crossJoin(F.broadcast(common))).distinct()
+    return cells.select("strip_id", "rgb").union(strips.crossJoin(F.broadcast(common))).distinct()
 
 
 def set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +161,7 @@ b AS (SELECT *, ceil(CAST(good + (control - good) * 0.5 AS DECIMAL(20,16)) * 100
 SELECT l_partkey, CAST(floor((budget - good) * 100000 + 0.5) AS BIGINT) AS headroom FROM b WHERE budget >= good AND budget < control ORDER BY headroom, l_partkey LIMIT 5""",
     "sort_events": "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY floor(value), event_id) AS place FROM events",
     "sort_failures": "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'",
-    "set_palette_union": f"WITH {T.CELLS} SELECT DISTINCT strip_id, rgb FROM cells WHERE frame < 2 UNION SELECT DISTINCT s.strip_id, c.rgb FROM strips s, cells c WHERE c.rgb // 65536 % 64 = 0",
+    "set_palette_union": f"WITH {T.CELLS} SELECT DISTINCT strip_id, rgb FROM cells UNION SELECT DISTINCT s.strip_id, c.rgb FROM strips s, cells c WHERE c.rgb // 65536 % 64 = 0",
     "set_diff": "SELECT doc_id, 'missing' AS kind FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "set_unique": "SELECT l_orderkey, count(*) - count(DISTINCT l_linenumber) AS repeats, CAST(max(l_linenumber) - count(DISTINCT l_linenumber) AS INT) AS holes FROM lineitem GROUP BY 1",
     "snk_status": """WITH u AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 6) SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey IN (SELECT k FROM u) THEN 'INVALIDATED' ELSE o_orderstatus END AS status, NULL AS reason FROM orders
