@@ -16,7 +16,8 @@ def key_mask(pixels: DataFrame) -> DataFrame:
 def border_ratio(pixels: DataFrame, width: int = 2, least: float = 0.95) -> DataFrame:
     """Keyed and all pixels of each image's border, less its bottom left one, and whether the share is enough."""
     size = pixels.groupBy("image_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    rows = key_mask(pixels).join(size, "image_id")
+    # pixels made by explode are planned at the size of what they came from: without a hint they are broadcast
+    rows = key_mask(pixels).join(size.hint("shuffle_hash"), "image_id")
     edge = (F.col("x") < F.col("x0") + width) | (F.col("x") > F.col("x1") - width) | (F.col("y") < F.col("y0") + width) | (F.col("y") > F.col("y1") - width)
     stamp = (F.col("x") == F.col("x0")) & (F.col("y") == F.col("y1"))
     out = rows.filter(edge & ~stamp).groupBy("image_id").agg(F.count_if("keyed").alias("keyed"), F.count("*").alias("pixels"))
