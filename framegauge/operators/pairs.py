@@ -123,6 +123,20 @@ def sharpness(scores: DataFrame) -> DataFrame:
     return two.withColumn("margin", F.col("second") - F.col("best"))
 
 
+def worst_pair(scores: DataFrame) -> DataFrame:
+    """(strip_id, min_margin, worst_a): the least margin of a strip's pairs, and the first frame whose pair has it.
+
+    Margins are compared as whole 1e-18ths of the exact ratio, so that equal ones are ties however their fractions round
+    (exactly, for unions of up to 30,000 cells).
+    """
+    best, second = F.get("scores", F.lit(0)), F.get("scores", F.lit(1))
+    names = {"c1": best["changed"], "u1": F.greatest(best["union"], F.lit(1)), "c2": second["changed"], "u2": F.greatest(second["union"], F.lit(1))}
+    rows = scores.select("strip_id", "a", (second["frac"] - best["frac"]).alias("margin"), *(c.cast("decimal(9,0)").alias(n) for n, c in names.items()))
+    exact = F.expr("cast(c2 * u1 - c1 * u2 as decimal(19,0)) * 1000000000000000000BD div (u1 * u2)")
+    worst = rows.groupBy("strip_id").agg(F.min("margin").alias("min_margin"), F.min(F.struct(exact.alias("m"), "a")).alias("w"))
+    return worst.select("strip_id", "min_margin", F.col("w.a").alias("worst_a"))
+
+
 def antisymmetric(in_dx: str, in_dy: str, out_dx: str, out_dy: str, tolerance: int = 1) -> Column:
     """Whether two shifts are each other's negation within a tolerance in the larger component."""
     return F.greatest(F.abs(F.col(in_dx) + F.col(out_dx)), F.abs(F.col(in_dy) + F.col(out_dy))) <= tolerance

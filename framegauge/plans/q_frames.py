@@ -79,9 +79,7 @@ def join_allpairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agg_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Frames(spark, sf_dir)
-    sharp = pairs.sharpness(pairs.shift_scores(pairs.adjacent(t.strips), t.masks, 4, 4))
-    first = F.min(F.struct("margin", "a")).alias("worst")
-    return sharp.groupBy("strip_id").agg(first).select("strip_id", F.col("worst.margin").alias("min_margin"), F.col("worst.a").cast("long").alias("worst_a"))
+    return _int(pairs.worst_pair(pairs.shift_scores(pairs.adjacent(t.strips), t.masks, 4, 4)), "worst_a")
 
 
 def agg_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
