@@ -34,7 +34,9 @@ def st_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.drain(S.rolling(_stream(spark, sf_dir).select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")), "rolling")
+    out = folder(spark, "rolling")
+    S.rolling(_stream(spark, sf_dir).select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value"), out, folder(spark, "progress"))
+    return spark.read.parquet(out).select("event_id", "p50", "p95", "top")
 
 
 def st_thin(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,14 @@
 """Streams: validated messages, change suppression, append-once ingest, late cut-off, rolling statistics, thinning and
 escalation.
 
-Keyed state is one small record for a key: the last value, a ring of 120 samples, the last kept times, or a run. Rows of a key
-may come in any order within a micro-batch, so they are sorted there: a key's rows of one micro-batch must fit into a
-task's memory, which stream_of's files_a_batch bounds.
+Keyed state is one small record for a key: the last value, the last kept times, or a run. Rows of a key may come in any
+order within a micro-batch, so they are sorted there: a key's rows of one micro-batch must fit into a task's memory, which
+stream_of's files_a_batch bounds. Rolling statistics, whose keys are few and large, take a micro-batch as a table instead.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import deque
 from collections.abc import Callable, Iterator
-from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.ledger import append_once
-from ..sources.shared import folder
+from ..operators.ledger import append_once, placed, rolling_stats, with_key
+from ..sources.shared import cut, folder
 
 
 def stream_of(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame:
@@ -70,22 +67,30 @@ def changed_only(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(emit, "event_id long, user_id long, event_type string, high boolean", "event_type string, high boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def rolling(stream: DataFrame, size: int = 120) -> DataFrame:
-    """stream(event_type, ts, event_id, value): nearest-rank p50, p95 and maximum of the key's last `size` values."""
+def rolling(stream: DataFrame, out: str, progress: str, size: int = 120) -> None:
+    """stream(event_type, ts, event_id, value): nearest-rank p50, p95 and maximum of the key's last `size` values, appended
+    to out by micro-batch (event_id, p50, p95, top), as record_batches does.
 
-    def emit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = deque(state.get[0] if state.exists else [])
-        s, out = sorted(ring), []
-        for r in pd.concat(list(parts)).sort_values(["ts", "event_id"]).itertuples(index=False):
-            if len(ring) == size:
-                del s[bisect_left(s, ring.popleft())]
-            ring.append(float(r.value))
-            insort(s, ring[-1])
-            out.append((r.event_id, s[ceil(0.5 * len(s)) - 1], s[ceil(0.95 * len(s)) - 1], s[-1]))
-        state.update((list(ring),))
-        yield pd.DataFrame(out, columns=["event_id", "p50", "p95", "top"])
-
-    return stream.groupBy("event_type").applyInPandasWithState(emit, "event_id long, p50 double, p95 double, top double", "ring array<double>", "append", GroupStateTimeout.NoTimeout)
+    A micro-batch is a table: the segmented scan deals a key's rows over tasks, however many they are. State is the last
+    size - 1 rows of each key, a folder beside each batch, which the next batch reads as its lead.
+    """
+    state = f"{progress}-state"
+    spark, kind = stream.sparkSession, "_late int, ts timestamp, event_id long, event_type string, value double"
+
+    def each(batch: DataFrame, number: int) -> None:
+        now = batch.select(F.lit(1).alias("_late"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"), "event_type", F.col("value").cast("double").alias("value"))
+        # batch numbers have no gaps: a batch that runs again reads and overwrites the same folders
+        if number:
+            now = spark.read.schema(kind).parquet(f"{state}/{number - 1}").unionByName(now)
+        now = cut(now, "batch")
+        stats = rolling_stats(now, "event_type", ["_late", "ts", "event_id"], "value", size)
+        stats.filter("_late = 1").select("event_id", "p50", "p95", "top").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        numbered = placed(now, "event_type", ["_late", "ts", "event_id"])
+        most = numbered.groupBy("event_type").agg(F.max("place").alias("_most"))
+        last = with_key(numbered, most, "event_type").filter(F.col("place") > F.col("_most") - (size - 1))
+        last.select(F.lit(0).alias("_late"), "ts", "event_id", "event_type", "value").coalesce(1).write.mode("overwrite").parquet(f"{state}/{number}")
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
 class _Thinning(StatefulProcessor):
