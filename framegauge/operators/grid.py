@@ -1,12 +1,19 @@
-"""Operators on pixel and cell tables: column arithmetic and aggregation, no Python."""
+"""Operators on pixel and cell tables: column arithmetic and aggregation; only the components of a tile are found by NumPy."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import delta_e, keyed, luma, rgb_distance
-from ..sources.shared import ensure_checkpoint_dir
+from ..sources.shared import cut
+
+#: Side of the tiles in which components are found first.
+TILE = 32
 
 
 def key_mask(pixels: DataFrame) -> DataFrame:
@@ -124,22 +131,65 @@ def neighbour_masks(cells: DataFrame) -> DataFrame:
 def components(cells: DataFrame) -> DataFrame:
     """(strip_id, frame, x, y, component) of 4-connected cells: the smallest y * 2^20 + x that can be reached.
 
-    Labels take their neighbours' minimum until nothing changes; the frames are small, so a few rounds do.
+    Frames are cut into tiles of TILE x TILE cells, each labelled by itself in one pass. Labels that touch across the
+    seams of tiles are nodes of a graph, which take their neighbours' minimum, and their minimum's, until nothing changes;
+    frames of one tile have no seams.
     """
-    ensure_checkpoint_dir(cells.sparkSession)
-    rows = cells.select("strip_id", "frame", "x", "y", (F.col("y") * F.lit(1 << 20) + F.col("x")).cast("long").alias("component"))
-    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))))
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of tiles with cs: for each cell of ps the first cell (by row, then column) of its component inside the tile."""
+        for batch in batches:
+            ps = batch.column("ps")
+            sizes, area = ps.value_lengths().to_numpy(zero_copy_only=False), TILE * TILE
+            # all tiles of the batch at once; neighbours are found by their numbers
+            ids, back = np.unique(np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * area + ps.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            ends = []
+            for step, inside in ((1, ids % TILE < TILE - 1), (TILE, ids % area < area - TILE)):
+                i = np.flatnonzero(inside)
+                j = np.minimum(np.searchsorted(ids, ids[i] + step), len(ids) - 1)
+                there = ids[j] == ids[i] + step
+                ends.append(np.stack([i[there], j[there]]))
+            a, b = np.concatenate(ends, axis=1)
+            label = np.arange(len(ids))
+            while True:
+                p, q = label[a], label[b]
+                if (p == q).all():
+                    break
+                np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+                while (label != (up := label[label])).any():
+                    label = up
+            cs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids[label[back.ravel()]] % area, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), cs], names=[*batch.schema.names[:5], "cs"])
+
+    types, keys = dict(cells.dtypes), ["strip_id", "frame"]
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("int")
+    spots = cells.filter("x is not null and y is not null").select(*keys, tile("x").alias("tx"), tile("y").alias("ty"), F.expr(f"cast(pmod(y, {TILE}) * {TILE} + pmod(x, {TILE}) as int)").alias("p"))
+    tiles = spots.filter("strip_id is not null and frame is not null").groupBy(*keys, "tx", "ty").agg(F.collect_list("p").alias("ps"))
+    known = tiles.mapInArrow(labelled, f"strip_id {types['strip_id']}, frame {types['frame']}, tx int, ty int, ps array<int>, cs array<int>")
+    rows = known.select(*keys, "tx", "ty", F.explode(F.arrays_zip("ps", "cs")).alias("c"))
+    spot = lambda c: (F.col("tx") * TILE + F.col(c) % TILE, F.col("ty") * TILE + F.expr(f"{c} div {TILE}"))
+    (x, y), (low_x, low_y) = spot("c.ps"), spot("c.cs")
+    rows = cut(rows.select(*keys, x.cast(types["x"]).alias("x"), y.cast(types["y"]).alias("y"), (low_y * F.lit(1 << 20) + low_x).cast("long").alias("component")), "components")
+    touching = None
+    for over, along in (("x", "y"), ("y", "x")):
+        last = rows.filter(F.expr(f"pmod({over}, {TILE}) = {TILE - 1}")).select(*keys, (F.col(over) + 1).alias(over), along, F.col("component").alias("a"))
+        first = rows.filter(F.expr(f"pmod({over}, {TILE}) = 0")).select(*keys, over, along, F.col("component").alias("b"))
+        both = last.join(first, [*keys, over, along]).select(*keys, "a", "b").distinct()
+        touching = both if touching is None else touching.union(both)
+    edges = cut(touching.union(touching.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))), "seams")
+    if edges.limit(1).count() == 0:
+        return rows
+    nodes = edges.select(*keys, F.col("a").alias("node"), F.col("a").alias("low")).distinct()
     while True:
-        rows = rows.persist()
-        told = rows.select("strip_id", "frame", "x", "y", "component", F.explode(steps).alias("s"))
-        told = told.groupBy("strip_id", "frame", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y")).agg(F.min("component").alias("low"))
-        new = rows.join(told, ["strip_id", "frame", "x", "y"]).withColumn("changed", F.col("low") < F.col("component"))
-        new = new.select("strip_id", "frame", "x", "y", F.col("low").alias("component"), "changed").checkpoint()
-        more = new.filter("changed").limit(1).count()
-        rows.unpersist()
-        rows = new.drop("changed")
-        if not more:
-            return rows
+        told = edges.join(nodes.withColumnsRenamed({"node": "b", "low": "other"}), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        new = cut(nodes.join(told, [*keys, "node"]).select(*keys, "node", "low", F.least("low", "other").alias("near")), "near")
+        # a label's own label is as near as the label
+        new = new.join(new.select(*keys, F.col("node").alias("near"), F.col("near").alias("far")), [*keys, "near"]).select(*keys, "node", F.col("far").alias("low"), (F.col("far") < F.col("low")).alias("changed"))
+        new = cut(new, "labels")
+        nodes = new.drop("changed")
+        if new.filter("changed").limit(1).count() == 0:
+            break
+    out = rows.join(nodes.withColumnRenamed("node", "component"), [*keys, "component"], "left")
+    return out.select(*keys, "x", "y", F.coalesce("low", "component").alias("component"))
 
 
 def nearest_entry(colours: DataFrame, palette: DataFrame) -> DataFrame:
