@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import delta_e, keyed, luma, rgb_distance
 from ..sources.shared import cut
 
-#: Side of the tiles in which components are found first.
-TILE = 32
+#: Side of the tiles in which components are found first; pixels that a task sorts.
+TILE, PIXELS_A_TASK = 32, 1 << 20
 
 
 def key_mask(pixels: DataFrame) -> DataFrame:
@@ -43,9 +43,14 @@ def bounding_box(pixels: DataFrame) -> DataFrame:
 
 
 def edge_profile(pixels: DataFrame) -> DataFrame:
-    """Energy of each pixel column: sum of channel differences to the pixel before, where both are foreground."""
+    """Energy of each pixel column: sum of channel differences to the pixel before, where both are foreground.
+
+    Pixels are shuffled once, by image, to as many tasks as their count calls for: few bytes a pixel when compressed, they
+    would else be merged at run time into tasks that sort far more than they read.
+    """
+    tasks = max(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pixels.count() // PIXELS_A_TASK))
     w = Window.partitionBy("image_id", "y").orderBy("x")
-    rows = key_mask(pixels)
+    rows = key_mask(pixels).select("image_id", "x", "y", "r", "g", "b", "keyed").repartition(tasks, "image_id")
     before = [F.lag(c).over(w) for c in ("r", "g", "b")]
     energy = sum((F.abs(F.col(c) - p) for c, p in zip(("r", "g", "b"), before, strict=True)), F.lit(0))
     near = ~F.col("keyed") & ~F.lag("keyed").over(w) & (F.col("x") - F.lag("x").over(w) == 1)
@@ -275,27 +280,34 @@ def pitch_search(profile: DataFrame, least: float, most: float, step: float = 0.
     score is the share of energy in distinct columns taken, times the share of hits. Ties go to the smaller pitch, then
     phase; images without energy get score -1.
     """
-    spark = profile.sparkSession
-    grids = spark.range(round((most - least) / step) + 1).select((F.lit(least) + F.col("id") * step).alias("pitch"))
-    grids = grids.select("pitch", F.explode(F.sequence(F.lit(0), F.ceil(F.col("pitch") / phase_step).cast("int") - 1)).alias("i")).select("pitch", (F.col("i") * phase_step).alias("phase"))
-    images = profile.groupBy("image_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("energy").alias("total"), F.max("energy").alias("peak"), F.map_from_entries(F.collect_list(F.struct("x", "energy"))).alias("at"))
-    # the grid of candidates depends on the parameters only
-    rows = images.filter("total > 0").crossJoin(F.broadcast(grids))
-    lo, hi = F.ceil((F.col("lo") - F.col("phase")) / F.col("pitch")), F.floor((F.col("hi") - F.col("phase")) / F.col("pitch"))
-    places = F.when(hi >= lo, F.transform(F.sequence(lo, hi), lambda k: F.col("phase") + k * F.col("pitch")))
-    teeth = F.filter(places, lambda p: (p > F.col("lo") + 0.5) & (p < F.col("hi") - 0.5))
-    energy = lambda x: F.coalesce(F.try_element_at(F.col("at"), x.cast("int")), F.lit(0).cast("long"))
-
-    def tooth(p: Column) -> Column:
-        mid = F.bround(p, 0).cast("int")
-        best = F.greatest(energy(mid - 1), energy(mid), energy(mid + 1))
-        column = F.when(best == 0, None).when(energy(mid - 1) == best, mid - 1).when(energy(mid) == best, mid).otherwise(mid + 1)
-        return F.struct(best.alias("e"), column.alias("x"))
-
-    rows = rows.withColumn("teeth", F.transform(teeth, tooth)).filter(F.size("teeth") > 0)
-    covered = F.aggregate(F.array_distinct(F.filter(F.col("teeth"), lambda t: t["x"].isNotNull())), F.lit(0).cast("long"), lambda s, t: s + t["e"])
-    hits = F.size(F.filter("teeth", lambda t: t["e"] > F.col("peak") * epsilon))
-    scored = rows.withColumn("score", covered / F.col("total") * (hits / F.size("teeth")))
-    best = scored.groupBy("image_id").agg(F.min(F.struct((-F.col("score")).alias("m"), "pitch", "phase")).alias("b"))
-    out = images.select("image_id").join(best, "image_id", "left")
+    none = F.lit(0).cast("long")
+    images = profile.groupBy("image_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("energy").alias("total"), F.max("energy").alias("peak"), F.array_sort(F.collect_list(F.struct("x", "energy"))).alias("at"))
+    sparse = F.transform(F.sequence("lo", "hi"), lambda x: F.coalesce(F.try_element_at(F.map_from_entries("at"), x), none))
+    images = images.withColumn("e", F.when(F.size("at") == F.col("hi") - F.col("lo") + 1, F.transform("at", lambda c: F.coalesce(c["energy"], none))).otherwise(sparse))
+    # by column from lo: the strongest of the three around it, and which one that is, whatever the grid
+    side = lambda i: F.coalesce(F.get("e", i), none)
+    images = images.withColumn("most", F.transform("e", lambda e, i: F.greatest(side(i - 1), e, side(i + 1))))
+    images = images.withColumn("taken", F.transform("most", lambda m, i: F.when(m == 0, None).when(side(i - 1) == m, i - 1).when(side(i) == m, i).otherwise(i + 1)))
+    bind = lambda value, what: F.get(F.transform(F.array(value), what), F.lit(0))
+
+    def scored(teeth: Column, pitch: Column, phase: Column) -> Column:
+        columns = F.array_distinct(F.filter(F.transform(teeth, lambda i: F.get("taken", i)), lambda c: c.isNotNull()))
+        covered = F.aggregate(columns, none, lambda sum_, c: sum_ + F.get("e", c))
+        hits = F.size(F.filter(teeth, lambda i: F.get("most", i) > F.col("peak") * epsilon))
+        return F.when(F.size(teeth) > 0, F.struct((-(covered / F.col("total") * (hits / F.size(teeth)))).alias("m"), pitch.alias("pitch"), phase.alias("phase")))
+
+    def at_phase(pitch: Column, phase: Column) -> Column:
+        first, last = F.ceil((F.col("lo") - phase) / pitch), F.floor((F.col("hi") - phase) / pitch)
+        places = F.transform(F.sequence(first, last), lambda k: phase + k * pitch)
+        inside = F.filter(places, lambda p: (p > F.col("lo") + 0.5) & (p < F.col("hi") - 0.5))
+        teeth = F.transform(inside, lambda p: (F.rint(p) - F.col("lo")).cast("int"))
+        return F.when(last >= first, bind(teeth, lambda t: scored(t, pitch, phase)))
+
+    def at_pitch(pitch: Column) -> Column:
+        phases = F.sequence(F.lit(0), F.ceil(pitch / phase_step).cast("int") - 1)
+        return F.array_min(F.transform(phases, lambda j: at_phase(pitch, j * F.lit(phase_step))))
+
+    # all grids in the image's own row: no row for each grid
+    pitches = F.transform(F.sequence(F.lit(0), F.lit(round((most - least) / step))), lambda i: F.lit(least) + i * F.lit(step))
+    out = images.withColumn("b", F.when(F.col("total") > 0, F.array_min(F.transform(pitches, at_pitch))))
     return out.select("image_id", F.coalesce("b.pitch", F.lit(least)).alias("pitch"), F.coalesce("b.phase", F.lit(0.0)).alias("phase"), F.coalesce(-F.col("b.m"), F.lit(-1.0)).alias("score"))
