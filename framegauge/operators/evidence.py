@@ -21,7 +21,8 @@ def pairing(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 
 def binding_check(bindings: DataFrame, files: DataFrame, label: str) -> DataFrame:
     """bindings(id, path, digest) against files(path, actual): path_escape, missing or mismatch, each with the label."""
-    rows = bindings.join(files, "path", "left")
+    # merged, since files are planned at their compressed size and would be broadcast through the driver
+    rows = bindings.join(files.hint("merge"), "path", "left")
     reason = first_reason((escapes(F.col("path")), f"path_escape_{label}"), (F.col("actual").isNull(), f"missing_{label}"), (F.col("actual") != F.col("digest"), f"mismatch_{label}"))
     return rows.select("id", reason.alias("reason"))
 

@@ -22,8 +22,9 @@ def check_packs(assets: DataFrame, releases: DataFrame, reports: DataFrame, file
     only), the report's path_escape, missing and mismatch, invalid_report, report_not_pass, the same of releases, and
     palette_violation.
     """
+    # tables are merged: planned by their compressed size, they would be broadcast through the driver at many times that
     told = assets.join(policy.select("asset_id", F.col("loop").alias("p_loop"), F.col("durations").alias("p_durations"), F.col("contact_frame").alias("p_contact"), F.lit(True).alias("p")), "asset_id", "left")
-    told = told.join(reports.select(F.col("path").alias("report_path"), F.col("schema").alias("report_schema"), F.col("outcome").alias("report_outcome")), "report_path", "left")
+    told = told.join(reports.select(F.col("path").alias("report_path"), F.col("schema").alias("report_schema"), F.col("outcome").alias("report_outcome")).hint("merge"), "report_path", "left")
     key = F.struct("pack_id", "asset_id")
     bound = binding_check(assets.select(key.alias("id"), F.col("report_path").alias("path"), F.col("report_sha").alias("digest")), files, "report")
     bound = bound.select("id.*", F.col("reason").alias("report_reason")).dropDuplicates(["pack_id", "asset_id"])
@@ -33,18 +34,18 @@ def check_packs(assets: DataFrame, releases: DataFrame, reports: DataFrame, file
         (has & (F.col("kind") != "animation"), "metadata_kind"), (has & ~F.col("loop").eqNullSafe(F.col("p_loop")), "loop"), (has & ~F.col("durations").eqNullSafe(F.col("p_durations")), "durations"),
         (has & ~F.col("contact_frame").eqNullSafe(F.col("p_contact")), "contact_frame"),
     ]
-    own = told.join(bound, ["pack_id", "asset_id"], "left")
+    own = told.join(bound.hint("merge"), ["pack_id", "asset_id"], "left")
     metadata = own.select("pack_id", "ord", F.lit(0).alias("step"), first_reason(*rules).alias("reason"))
     invalid = ~F.col("report_schema").eqNullSafe(wanted)
     report = first_reason((F.col("report_reason").isNotNull(), "x"), (invalid, "invalid_report"), (F.coalesce(F.col("report_outcome") != "PASS", F.lit(True)), "report_not_pass"))
     reported = own.select("pack_id", "ord", F.lit(1).alias("step"), F.coalesce("report_reason", report).alias("reason"))
-    rel = releases.join(assets.select("pack_id", "asset_id", "ord"), ["pack_id", "asset_id"])
+    rel = releases.join(assets.select("pack_id", "asset_id", "ord").hint("merge"), ["pack_id", "asset_id"])
     odd = cells.join(palette.select("rgb").distinct(), "rgb", "left_anti").select("path").distinct().withColumn("odd", F.lit(True))
     hashed = binding_check(rel.select(F.struct("pack_id", "ord", "path").alias("id"), "path", F.col("sha").alias("digest")), files, "release").select("id.*", F.col("reason").alias("bad"))
-    released = hashed.join(odd, "path", "left").select("pack_id", "ord", F.lit(2).alias("step"), F.coalesce("bad", F.when(F.col("odd"), F.lit("palette_violation"))).alias("reason"))
+    released = hashed.join(odd.hint("merge"), "path", "left").select("pack_id", "ord", F.lit(2).alias("step"), F.coalesce("bad", F.when(F.col("odd"), F.lit("palette_violation"))).alias("reason"))
     faults = metadata.union(reported).union(released).filter("reason is not null")
     first = faults.groupBy("pack_id").agg(F.min(F.struct("step", "ord", "reason")).alias("f"))
-    return assets.select("pack_id").distinct().join(first, "pack_id", "left").select("pack_id", F.when(F.col("f").isNull(), "PASS").otherwise("FAIL").alias("outcome"), "f.reason")
+    return assets.select("pack_id").distinct().join(first.hint("merge"), "pack_id", "left").select("pack_id", F.when(F.col("f").isNull(), "PASS").otherwise("FAIL").alias("outcome"), "f.reason")
 
 
 def tile_edges(cells: DataFrame, size: int) -> DataFrame:
