@@ -43,9 +43,13 @@ def _tokens(text: Column) -> Column:
 
 
 def template_tokens(text: Column) -> Column:
-    """Template words of a text, a run of name words as one; raw_tokens gives the words that stand at the same places."""
-    text = F.regexp_replace(text, f"{_INSIDE}{_NAME}(?:[ \\t]{_NAME})*", NAME)
-    text = F.lower(F.regexp_replace(text, "[0-9]+(?:[.,][0-9]+)*", NUMBER))
+    """Template words of a text, a run of name words as one; raw_tokens gives the words that stand at the same places.
+
+    Groups repeat possessively: nothing follows that they could give way to, and else each repetition takes more of the
+    thread's stack, so that a long run of names or digits would end the executor.
+    """
+    text = F.regexp_replace(text, f"{_INSIDE}{_NAME}(?:[ \\t]{_NAME})*+", NAME)
+    text = F.lower(F.regexp_replace(text, "[0-9]+(?:[.,][0-9]+)*+", NUMBER))
     units = F.regexp_replace(text, f"(?<={NUMBER}[ \\t]?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\\p{{L}}\\p{{N}}])", UNIT)
     return _tokens(F.when(F.contains(text, F.lit(NUMBER)), units).otherwise(text))
 
