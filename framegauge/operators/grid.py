@@ -1,4 +1,4 @@
-"""Operators on pixel and cell tables: column arithmetic and aggregation; only the components of a tile are found by NumPy."""
+"""Operators on pixel and cell tables: column arithmetic and aggregation; the components of a tile and the grid of a profile are found by NumPy."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scalars import delta_e, keyed, luma, rgb_distance
 from ..sources.shared import cut
 
-#: Side of the tiles in which components are found first; pixels that a task sorts.
-TILE, PIXELS_A_TASK = 32, 1 << 20
+#: Side of the tiles in which components are found first; pixels that a task sorts; teeth of grids that are compared at once.
+TILE, PIXELS_A_TASK, TEETH_AT_ONCE = 32, 1 << 20, 1 << 20
 
 
 def key_mask(pixels: DataFrame) -> DataFrame:
@@ -278,36 +279,58 @@ def pitch_search(profile: DataFrame, least: float, most: float, step: float = 0.
     profile(image_id, x, energy) has a row for each column from the first to the last that counts. A tooth takes the
     strongest of the three columns around it (the first on ties) and hits if that is over epsilon of the peak; the
     score is the share of energy in distinct columns taken, times the share of hits. Ties go to the smaller pitch, then
-    phase; images without energy get score -1.
+    phase; images without energy get score -1. All grids are tried at once on the images of a batch with equal ends.
     """
     none = F.lit(0).cast("long")
     images = profile.groupBy("image_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("energy").alias("total"), F.max("energy").alias("peak"), F.array_sort(F.collect_list(F.struct("x", "energy"))).alias("at"))
     sparse = F.transform(F.sequence("lo", "hi"), lambda x: F.coalesce(F.try_element_at(F.map_from_entries("at"), x), none))
-    images = images.withColumn("e", F.when(F.size("at") == F.col("hi") - F.col("lo") + 1, F.transform("at", lambda c: F.coalesce(c["energy"], none))).otherwise(sparse))
-    # by column from lo: the strongest of the three around it, and which one that is, whatever the grid
-    side = lambda i: F.coalesce(F.get("e", i), none)
-    images = images.withColumn("most", F.transform("e", lambda e, i: F.greatest(side(i - 1), e, side(i + 1))))
-    images = images.withColumn("taken", F.transform("most", lambda m, i: F.when(m == 0, None).when(side(i - 1) == m, i - 1).when(side(i) == m, i).otherwise(i + 1)))
-    bind = lambda value, what: F.get(F.transform(F.array(value), what), F.lit(0))
-
-    def scored(teeth: Column, pitch: Column, phase: Column) -> Column:
-        columns = F.array_distinct(F.filter(F.transform(teeth, lambda i: F.get("taken", i)), lambda c: c.isNotNull()))
-        covered = F.aggregate(columns, none, lambda sum_, c: sum_ + F.get("e", c))
-        hits = F.size(F.filter(teeth, lambda i: F.get("most", i) > F.col("peak") * epsilon))
-        return F.when(F.size(teeth) > 0, F.struct((-(covered / F.col("total") * (hits / F.size(teeth)))).alias("m"), pitch.alias("pitch"), phase.alias("phase")))
-
-    def at_phase(pitch: Column, phase: Column) -> Column:
-        first, last = F.ceil((F.col("lo") - phase) / pitch), F.floor((F.col("hi") - phase) / pitch)
-        places = F.transform(F.sequence(first, last), lambda k: phase + k * pitch)
-        inside = F.filter(places, lambda p: (p > F.col("lo") + 0.5) & (p < F.col("hi") - 0.5))
-        teeth = F.transform(inside, lambda p: (F.rint(p) - F.col("lo")).cast("int"))
-        return F.when(last >= first, bind(teeth, lambda t: scored(t, pitch, phase)))
-
-    def at_pitch(pitch: Column) -> Column:
-        phases = F.sequence(F.lit(0), F.ceil(pitch / phase_step).cast("int") - 1)
-        return F.array_min(F.transform(phases, lambda j: at_phase(pitch, j * F.lit(phase_step))))
-
-    # all grids in the image's own row: no row for each grid
-    pitches = F.transform(F.sequence(F.lit(0), F.lit(round((most - least) / step))), lambda i: F.lit(least) + i * F.lit(step))
-    out = images.withColumn("b", F.when(F.col("total") > 0, F.array_min(F.transform(pitches, at_pitch))))
-    return out.select("image_id", F.coalesce("b.pitch", F.lit(least)).alias("pitch"), F.coalesce("b.phase", F.lit(0.0)).alias("phase"), F.coalesce(-F.col("b.m"), F.lit(-1.0)).alias("score"))
+    e = F.when(F.size("at") == F.col("hi") - F.col("lo") + 1, F.transform("at", lambda c: F.coalesce(c["energy"], none))).otherwise(sparse)
+    images = images.select("image_id", "lo", "hi", "total", "peak", F.when(F.col("total") > 0, e).alias("e"))
+
+    pitches = least + np.arange(round((most - least) / step) + 1) * step
+    phases = np.ceil(pitches / phase_step).astype(np.int64)
+    counted = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    pitch, phase = np.repeat(pitches, phases), counted(phases) * phase_step
+
+    def teeth(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The grids that have teeth between lo and hi, where in columns theirs begin, how many, and the teeth's columns from lo."""
+        first = np.ceil((lo - phase) / pitch)
+        n = np.maximum(np.floor((hi - phase) / pitch) - first + 1, 0).astype(np.int64)
+        of = np.repeat(np.arange(len(pitch)), n)
+        place = phase[of] + (np.repeat(first, n) + counted(n)) * pitch[of]
+        inside = (place > lo + 0.5) & (place < hi - 0.5)
+        return *np.unique(of[inside], return_index=True, return_counts=True), (np.rint(place[inside]) - lo).astype(np.int64)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, hi, total, peak = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "total", "peak"))
+            es = batch.column("e")
+            flat, rows = es.flatten().to_numpy(zero_copy_only=False), np.flatnonzero(es.is_valid().to_numpy(zero_copy_only=False))
+            begins = np.zeros(len(lo), np.int64)
+            begins[rows] = np.cumsum(hi[rows] - lo[rows] + 1, dtype=np.int64) - (hi[rows] - lo[rows] + 1)
+            best = np.tile(np.array([least, 0.0, -1.0]), (len(lo), 1))
+            ends, group = np.unique(np.stack([lo[rows], hi[rows]]), axis=1, return_inverse=True)
+            alike = np.split(rows[np.argsort(group.ravel(), kind="stable")], np.cumsum(np.bincount(group.ravel()))[:-1])
+            for (low, high), members in zip(ends.T.tolist(), alike, strict=True):
+                grids, starts, counts, columns = teeth(low, high)
+                some = max(1, TEETH_AT_ONCE // max(1, len(columns)))
+                for i in (members[k : k + some] for k in range(0, len(members) if len(grids) else 0, some)):
+                    x = np.arange(high - low + 1)
+                    energy = flat[begins[i][:, None] + x]
+                    sides = np.pad(energy, ((0, 0), (1, 1)))
+                    strongest = np.maximum(np.maximum(sides[:, :-2], energy), sides[:, 2:])
+                    taken = (x + np.where(sides[:, :-2] == strongest, -1, np.where(energy == strongest, 0, 1)))[:, columns]
+                    strongest = strongest[:, columns]
+                    # teeth that take the same column are neighbours: it counts for the first of them
+                    fresh = np.ones(taken.shape, bool)
+                    fresh[:, 1:] = taken[:, 1:] != taken[:, :-1]
+                    fresh[:, starts] = True
+                    covered = np.add.reduceat(strongest * fresh, starts, axis=1)
+                    hits = np.add.reduceat((strongest > (peak[i] * epsilon)[:, None]).astype(np.int64), starts, axis=1)
+                    score = covered / total[i][:, None] * (hits / counts)
+                    won = score.argmax(axis=1)
+                    best[i] = np.stack([pitch[grids[won]], phase[grids[won]], score[np.arange(len(i)), won]], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), *(pa.array(c) for c in best.T)], names=["image_id", "pitch", "phase", "score"])
+
+    out = StructType([images.schema["image_id"], *(StructField(c, DoubleType()) for c in ("pitch", "phase", "score"))])
+    return images.mapInArrow(fitted, out)
